@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-import zlib  # noqa: F401
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding
+from . import licences, mixing, packing, pii, quality, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the terms beside it that would reveal it."""
+    found = pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{pii.KINDS[k]}") for k in range(4)], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
+
+
+def op4_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence lines of all documents: the best template of each line with a Dice coefficient of 0.75 or more."""
+    return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 8 shards of near equal bytes; equal texts stay together. Null text: 0 bytes plus 1."""
     docs = read(spark, sf_dir, "documents")
@@ -21,6 +33,18 @@ def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_best_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in sequences of at most 2048."""
+
+    def tokenizer():
+        import public_tokenizers
+
+        return packing.word_tokenizer(public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+    pieces = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, length=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; learned from labelled documents that aren't held out."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -36,5 +60,5 @@ def op8_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_lpt_shards, op7_subword_quality, op8_water_filled_mix)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_information_theoretic_pii, op4_licence_dice, op5_lpt_shards, op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix)}
+ORACLE: dict[str, str] = {"op4_licence_dice": licences.scan_sql()}

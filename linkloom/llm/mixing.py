@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window
 
+from .runtime import Scratch
+
+#: Lists of sources up to this length are broadcast.
+MOST_BROADCAST = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,7 +47,7 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     spark = docs.sparkSession
     hashed = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = docs.withColumns({"size": word_count(F.col(text)), "_h": hashed, "_bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "_s": F.col(source)})
-    by_bucket = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("n"))
+    by_bucket = Scratch(spark, "mix").table(rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("n")), "buckets")
     totals = sorted(((r["_s"], int(r["n"])) for r in by_bucket.groupBy("_s").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     targets = water_fill(sizes, weigh([s for s, _ in totals]), share * sum(sizes), cap)
@@ -62,7 +66,9 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     edge_of = {r["_s"]: (r["_bucket"], r["_base"]) for r in edge}
     plan = spark.createDataFrame(
         [(s, n, t, w, r, *edge_of.get(s, (None, None))) for (s, n), t, w, r in zip(totals, targets, whole, rest)], "_source string, source_size long, target double, _whole long, _rest long, _edge int, _base long"
-    )  # as many rows as the mix has sources; Spark broadcasts it if it is small
+    )
+    if len(totals) <= MOST_BROADCAST:  # else Spark chooses by size
+        plan = F.broadcast(plan)
     rows = rows.join(plan, F.col("_s").eqNullSafe(F.col("_source")))
     at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
     order = Window.partitionBy("_s").orderBy("_h", id_col, F.hash(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)

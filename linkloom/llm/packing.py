@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import Scratch
+from .hashing import LOWER, word_hashes, words
+from .runtime import Scratch, slices, text_bytes
 
 #: A piece: document id, its first token's number in the document, ids (uint32), the document's tokens.
 Piece = tuple[object, int, np.ndarray, int]
@@ -71,44 +71,82 @@ def filled(pieces: list[Piece], length: int) -> Iterator[list[Piece]]:
         yield window
 
 
-_KNOWN: dict[tuple[str, bytes], dict[bytes, bytes]] = {}
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord("."), ord(",")]] = True
+_KNOWN: dict[tuple, WordIds] = {}
 
 
-def word_tokenizer(path: str, end_id: int | None, cache: int = 800_000) -> Callable[[list[str]], list[np.ndarray]]:
+class WordIds:
     """Ids of whole texts, for a tokenizer that lower-cases, drops white space and merges nothing across it, nor
-    across the border of letters and a full stop or comma: a text's ids are its words' ids one after another, so
-    each distinct word is encoded once and kept, at most ``cache`` words in each Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    encode = Tokenizer.from_file(path)
-    run = getattr(encode, "encode_batch_fast", encode.encode_batch)
-    pack_ids = lambda ids: array("I", ids).tobytes()
-    marks = {m: pack_ids(encode.encode(m.decode(), add_special_tokens=False).ids) for m in (b".", b",")}
-    known = _KNOWN.setdefault((path, marks[b"."]), {})
-    tail = b"" if end_id is None else pack_ids([end_id])
-
-    def words(text: str) -> list[bytes]:
-        raw = (text or "").encode("utf-8")
-        return (raw if b"<|" in raw else raw.lower()).split()  # bytes: ASCII case and white space only
-
-    def ids(texts: list[str]) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > cache:
-            known.clear()
-            new = set().union(*split)
-        marked = [w for w in new if w[-1:] in marks and w[-2:-1].isalnum()]
-        plain = list((new - set(marked)).union(w[:-1] for w in marked) - known.keys())
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            for w, e in zip(part, run([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                known[w] = pack_ids(e.ids)
-        for w in marked:
-            known[w] = known[w[:-1]] + marks[w[-1:]]
-        return [np.frombuffer(b"".join([*map(known.__getitem__, ws), tail]), "<u4") for ws in split]
-
-    return ids
+    across the border of a letter or digit and a full stop or comma: a text's ids are its words' ids one after
+    another. Each distinct word is encoded once and found again by its 64-bit hash in a sorted array; at most
+    ``most`` words, about 40 bytes each, are kept in a Python worker."""
+
+    def __init__(self, path: str, end_id: int | None, most: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        self.encode, self.end_id, self.most = getattr(encoder, "encode_batch_fast", encoder.encode_batch), end_id, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes words that aren't known; hashes are sorted."""
+        text = raw.tobytes()
+        listed = [text[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
+        flat, lengths = array("I"), []
+        for lo in range(0, len(listed), 10_000):
+            for e in self.encode(listed[lo : lo + 10_000], add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                lengths.append(len(ids))
+        lengths = np.array(lengths, np.int32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), len(self.pool) // 2) + 1, np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = np.frombuffer(flat, np.uint32) if len(flat) else []
+        at = self.used + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
+        self.used += len(flat)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.length = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.length, place, lengths)
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of the texts raw[offsets[i]:offsets[i+1]], each with the end id."""
+        if b"<|" not in raw.tobytes():  # a special token's name is told by its case
+            raw = LOWER[raw]
+        starts, ends, _ = words(raw, offsets)
+        marked = _MARK[raw[ends - 1]] & (ends - starts > 1) & _ALNUM[raw[np.maximum(ends - 2, 0)]] if len(starts) else np.zeros(0, bool)
+        place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(marked)])[:-1].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+        a, b = np.empty(len(starts) + int(marked.sum()), np.int64), np.empty(len(starts) + int(marked.sum()), np.int64)
+        a[place], b[place] = starts, ends - marked
+        a[place[marked] + 1], b[place[marked] + 1] = ends[marked] - 1, ends[marked]
+        hashes, first, which = np.unique(word_hashes(raw, a, b), return_index=True, return_inverse=True)
+        found = np.searchsorted(self.hashes, hashes)
+        new = (found >= len(self.hashes)) | (self.hashes[np.minimum(found, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.ones(len(hashes), bool)
+        if len(self.hashes) + int(new.sum()) > self.most:
+            self._clear()
+            new = np.ones(len(hashes), bool)
+        if new.any():
+            self._learn(raw, hashes[new], a[first[new]], b[first[new]])
+            found = np.searchsorted(self.hashes, hashes)
+        at, length = self.at[found][which], self.length[found][which].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(length)])
+        flat = self.pool[np.repeat(at - before[:-1], length) + np.arange(before[-1])]
+        bounds = before[np.searchsorted(a, offsets)]
+        tail = np.array([] if self.end_id is None else [self.end_id], np.uint32)
+        return [np.concatenate([flat[lo:hi], tail]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+
+
+def word_tokenizer(path: str, end_id: int | None) -> WordIds:
+    """Kept for all tasks of a Python worker."""
+    if (path, end_id) not in _KNOWN:
+        _KNOWN[path, end_id] = WordIds(path, end_id)
+    return _KNOWN[path, end_id]
 
 
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("closed", pa.bool_())]
@@ -134,10 +172,10 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.types)], self.names)
 
 
-def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[np.ndarray]]], length: int = 2048, open_windows: int = 32, min_cut: int = 64, text: str = "text", id_col: str = "doc_id", merge_parts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]], length: int = 2048, open_windows: int = 32, min_cut: int = 64, text: str = "text", id_col: str = "doc_id", merge_parts: int = 64) -> DataFrame:
     """A row for each piece: id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
 
-    ``tokenizer()`` is called once in each task. Each input partition packs its documents with ``open_windows``
+    ``tokenizer()`` is called in each task and gives what turns UTF-8 bytes and offsets into ids. Each input partition packs its documents with ``open_windows``
     open windows. What is open at its end, at most open_windows * length tokens, is merged over groups of
     ``merge_parts`` partitions, so no task or driver gathers more than a fixed amount, and each group leaves one
     sequence that isn't full. Null text is an empty one; a document without ids gives no row; repeated ids and
@@ -152,18 +190,13 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[np.
         part, sequence, ids_of, windows, rows = TaskContext.get().partitionId(), 0, tokenizer(), Windows(length, open_windows, min_cut), None
         for batch in batches:
             rows = rows or _Rows(id_col, batch.column(0).type)
-            ids, texts, lo, size = batch.column(0).to_pylist(), batch.column(1), 0, 0
-            lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for i in range(batch.num_rows):
-                size += lengths[i]
-                if size >= 1 << 20 or i == batch.num_rows - 1:
-                    part_texts = texts.slice(lo, i + 1 - lo).to_pylist()
-                    for doc, found in zip(ids[lo : i + 1], ids_of(part_texts)):
-                        for window in windows.add((doc, 0, found, len(found))):
-                            rows.window(window, (part << 32) + sequence, part, True)
-                            sequence += 1
-                    lo, size = i + 1, 0
-                    yield rows.batch()
+            ids, (raw, offs) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            for lo, hi in slices(offs):
+                for doc, found in zip(ids[lo:hi], ids_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
+                    for window in windows.add((doc, 0, found, len(found))):
+                        rows.window(window, (part << 32) + sequence, part, True)
+                        sequence += 1
+                yield rows.batch()
         if rows:
             for window in windows.left():
                 rows.window(window, (part << 32) + sequence, part, False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, mixing, packing, pii, quality, sharding
+from . import licences, minhash, mixing, packing, pii, quality, sharding, substrings, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,17 @@ def op1_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that start earlier too."""
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_tiled_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked at a cosine of 0.95 or more."""
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op4_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence lines of all documents: the best template of each line with a Dice coefficient of 0.75 or more."""
     return licences.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,5 +71,21 @@ def op8_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_information_theoretic_pii, op4_licence_dice, op5_lpt_shards, op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix)}
+def op9_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product found for each row whose vec_id is divisible by 20."""
+    return vectors.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, grouped at a Jaccard similarity of 0.8 or more of 2-word shingles."""
+    return minhash.near_duplicate_groups(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_information_theoretic_pii, op2_window_dedup, op3_tiled_embedding_dedup, op4_licence_dice, op5_lpt_shards,
+        op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix, op9_prefix_forest_search, op10_minhash_groups,
+    )
+}
 ORACLE: dict[str, str] = {"op4_licence_dice": licences.scan_sql()}

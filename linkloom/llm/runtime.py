@@ -71,7 +71,7 @@ class Scratch:
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below df, by the optimiser's statistics; no job runs."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:

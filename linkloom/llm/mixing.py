@@ -35,7 +35,7 @@ def word_count(text: F.Column) -> F.Column:
 def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", id_col: str = "doc_id", buckets: int = 4096) -> DataFrame:
     """docs with size, source_size, target and taken added (words; names are overwritten if there).
 
-    ``weigh(names)`` gives the weight of each source; names come sorted by code point, null last. The list
+    ``weigh(names, sizes)`` gives the weight of each source; they come sorted by code point, null last. The list
     of sources, one row each, is the mix's configuration and is held on the driver. A source takes
     floor(target / size) whole repetitions of all its documents; of the fractional repetition it takes
     documents in the order of a seeded hash, until the target is met, the last one in part. So each
@@ -50,7 +50,7 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     by_bucket = Scratch(spark, "mix").table(rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("n")), "buckets")
     totals = sorted(((r["_s"], int(r["n"])) for r in by_bucket.groupBy("_s").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
-    targets = water_fill(sizes, weigh([s for s, _ in totals]), share * sum(sizes), cap)
+    targets = water_fill(sizes, weigh([s for s, _ in totals], sizes), share * sum(sizes), cap)
     whole = [int(t // n) if n else 0 for t, n in zip(targets, sizes)]
     rest = [round(t) - w * n if n else 0 for t, w, n in zip(targets, whole, sizes)]
     rests = spark.createDataFrame([(s, r) for (s, _), r in zip(totals, rest)], "_source string, _rest long")

@@ -67,7 +67,7 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_water_filled_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150% of their words, weights 3, 1, 2 repeating, at most twice each source."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mixing.mix(docs, lambda names: [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], share=1.5, cap=2.0)
+    out = mixing.mix(docs, lambda names, sizes: [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], share=1.5, cap=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

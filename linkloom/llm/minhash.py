@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
+from .components import connected_components, unite
 from .hashing import LOWER, inside, mixed, window_hashes, word_hashes, words
 from .runtime import Scratch, slices, text_bytes
 
@@ -101,7 +101,125 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text: str) ->
     return found.dropDuplicates(["id"])
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 160, rows: int = 5, star_rounds: int = 3, seed: int = 11, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _placed(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Bucket members with their component so far."""
+    if components is None:
+        return members.withColumn("component", F.col("rep"))
+    return members.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray, percent: int, width: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of rows left, right) of different components that reach the threshold, exactly: intersections of all
+    sets at once, as products of 0/1 matrices over ranges of the shingles that both sides have."""
+    flat = lambda rows: (np.concatenate([sets[r] for r in rows]), np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows]))
+    (a, row_a), (b, row_b) = flat(left), flat(right)
+    names = np.intersect1d(a, b)
+    both = np.zeros((len(left), len(right)), np.float32)
+
+    def columns(x, rows):
+        at = np.searchsorted(names, x)
+        known = (at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == x) if len(names) else np.zeros(len(x), bool)
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], rows[known][order]
+
+    (col_a, row_a), (col_b, row_b) = columns(a, row_a), columns(b, row_b)
+    for lo in range(0, len(names), width):
+        n = min(width, len(names) - lo)
+        parts = []
+        for col, row, size in ((col_a, row_a, len(left)), (col_b, row_b, len(right))):
+            x, y = np.searchsorted(col, [lo, lo + n])
+            m = np.zeros((size, n), np.float32)
+            m[row[x:y], col[x:y] - lo] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T
+    sizes = np.array([len(x) for x in sets])
+    both = both.astype(np.int64)
+    hit = (both * 100 >= (sizes[left][:, None] + sizes[right][None, :] - both) * percent) & (component[left][:, None] != component[right][None, :])
+    return np.nonzero(hit)
+
+
+def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, percent: int, family_most: int = 8192, block: int = 128) -> DataFrame:
+    """Links between members of a bucket that are in different components, enough of them to join these.
+
+    Buckets that share members make a family. A family of at most ``family_most`` documents is compared as one group,
+    so its sets travel once; in a larger one each bucket is a group. In a group all members outside its largest
+    component are compared with all members, in blocks: a task gets ``block`` sets of each side and gives a spanning
+    forest of the links that it finds. No pair is made as a row.
+    """
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where(F.col("lo") < F.col("hi")).select("key", "first")
+    open_ = scratch.table(placed.join(split, "key"), "open")
+    edges = open_.where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    families = connected_components(edges, scratch, "families").select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    families = scratch.table(families, "families")
+    large = families.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > family_most).select("family", F.lit(True).alias("large"))
+    of = families.join(large, "family", "left")
+    grouped = open_.join(of, "rep").select(F.xxhash64(F.when(F.col("large"), F.col("key")).otherwise(F.col("family")), F.coalesce("large", F.lit(False))).alias("group"), "rep", "component").distinct()
+    grouped = scratch.table(grouped, "grouped")
+    parts = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("c"))
+    shape = parts.groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("s"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    rows = grouped.join(shape.select("group", "main", blocks("s").alias("left_blocks"), blocks("m").alias("right_blocks")), "group")
+    own = lambda c: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    right = rows.select("group", "rep", "component", F.lit(False).alias("left"), own("right_blocks").alias("j"), every("left_blocks").alias("i"))
+    left = rows.where(F.col("component") != F.col("main")).select("group", "rep", "component", F.lit(True).alias("left"), every("right_blocks").alias("j"), own("left_blocks").alias("i"))
+    dealt = left.unionByName(right).join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("group", "i", "j", "left", "rep", "component", "shingles")
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+
+        def task(rows: pa.RecordBatch):
+            ids, component = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
+            is_left = rows.column("left").to_numpy(zero_copy_only=False)
+            lists = rows.column("shingles")
+            flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            sets_ = [flat[a - offs[0] : b - offs[0]] for a, b in zip(offs[:-1], offs[1:])]
+            l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            if not len(l) or not len(r):
+                return [], []
+            u, v = block_links(sets_, l, r, component, percent)
+            # one node for each component: only links that join two of them matter
+            names, node = np.unique(component, return_inverse=True)
+            a, b, labels, out = l[u], r[v], np.arange(len(names)), []
+            while len(a):
+                apart = labels[node[a]] != labels[node[b]]
+                a, b = a[apart], b[apart]
+                if len(a):
+                    out.append((ids[a[0]], ids[b[0]]))
+                    labels = unite(labels, node[a[:1]], node[b[:1]])
+            return [x for x, _ in out], [y for _, y in out]
+
+        def tasks(batch: pa.RecordBatch):
+            """Cuts where (group, i, j) changes."""
+            keys = [batch.column(c).to_numpy() for c in ("group", "i", "j")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            bounds = [0, *change.tolist(), batch.num_rows]
+            return [batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:])]
+
+        def whole(held):
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+        def result(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for a, _ in found for x in a], pa.int64()), pa.array([y for _, b in found for y in b], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            for part in tasks(batch):
+                if held and any(held[-1].column(c)[-1] != part.column(c)[0] for c in ("group", "i", "j")):
+                    found.append(task(whole(held)))
+                    held = []
+                held.append(part)
+            yield result(found)
+        if held:
+            yield result([task(whole(held))])
+
+    ready = dealt.repartition(F.col("group"), F.col("i"), F.col("j")).sortWithinPartitions("group", "i", "j", "left", "rep")
+    return scratch.table(ready.mapInArrow(compare, "a long, b long"), "joining")
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 160, rows: int = 5, star_rounds: int = 2, seed: int = 11, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept (the smallest id of each group).
 
     Documents with 100 * |A and B| >= percent * |A or B| over distinct k-word shingles are linked; components are
@@ -110,8 +228,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     share of equal minima, at 5 standard deviations below the threshold, and then on the full sets.
 
     A group of m similar documents isn't compared pair by pair: in each bucket of a band all are compared with one
-    pivot, another one in each of ``star_rounds`` rounds. After that only pairs of a bucket are compared that are in
-    different components still, so no link that joins two components is lost. Nothing is capped.
+    pivot, another one in each of ``star_rounds`` rounds. After that those outside a group's largest component are
+    compared with all of the group, in blocks, so no link that joins two components is lost. Nothing is capped.
 
     Null and empty texts have no shingles and link with nothing, as have rows with a null id (null component,
     kept). Ids are expected to be unique; rows that share an id share a component. Other columns are ignored.
@@ -128,6 +246,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     sets = scratch.table(_sets(docs, wanted.select(F.col("rep").alias("id"), "s1", "s2"), k, id_col, text), "sets")
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
 
+    possible = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+
     def similar(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, hashes) for c in (2, 3))
@@ -135,44 +255,26 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         sig = lambda x: wanted.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-        sized = pairs.join(sig("a"), "a").join(sig("b"), "b").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+        sized = pairs.join(sig("a"), "a").join(sig("b"), "b").where(possible)
         likely = scratch.table(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(similar, "a long, b long"), f"{name}_likely")
         side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         exact = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", both)
         return scratch.table(exact.where(F.col("both") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("both")) * percent).select("a", "b"), name)
 
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    components = None
-
-    def placed() -> DataFrame:
-        if components is None:
-            return members.select("key", "rep", F.col("rep").alias("component"))
-        return members.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-
-    for r in range(star_rounds + 1):
-        now = scratch.table(placed(), f"placed_{r}") if r else placed()
-        if r < star_rounds:
-            order = F.struct(F.col("rep").alias("o"), "rep", "component") if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)).alias("o"), "rep", "component")
-            pivots = now.groupBy("key").agg(F.min(order).alias("p"), F.count_distinct("component").alias("c") if r else F.lit(2).alias("c"))
-            pivots = pivots.where(F.col("c") > 1).select("key", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component"))
-            pairs = now.join(pivots, "key").where(F.col("component") != F.col("pivot_component")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        else:
-            split = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-            side = lambda x: now.join(split, "key").select("key", F.col("rep").alias(x), F.col("component").alias(f"component_{x}"))  # noqa: B023, E731
-            pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs_{r}")
-        if r and pairs.isEmpty():
-            continue
+    links = components = tested = None
+    for r in range(star_rounds):
+        now = _placed(members, components)
+        order = F.struct((F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))).alias("o"), "rep", "component")
+        pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component"))
+        pairs = now.join(pivots, "key").where(F.col("component") != F.col("pivot_component")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs_{r}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = verified(pairs, f"links_{r}")
-        if r and more.isEmpty():
-            continue
         links = more if links is None else links.unionByName(more)
         components = scratch.table(connected_components(links, scratch, f"cc_{r}"), f"components_{r}")
+    more = _between_components(scratch, _placed(members, components), sets, percent)
+    components = scratch.table(connected_components(links.unionByName(more), scratch, "cc"), "components")
 
     known = classes.select("s1", "s2", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = digest.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1"), "s2").join(known, ["s1", "s2"], "left")

@@ -135,9 +135,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", id_col
             yield _batch(rows, ["range", "chunk", "hashes", "more"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
     def repeated_seeds(batches):
-        t = pa.Table.from_batches(batches)
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         sizes = [len(x) // 8 for x in t.column("hashes").to_pylist()]
         hashes, more = _unpack(t.column("hashes"), np.uint64), _unpack(t.column("more"), np.uint8)
         seen, n = np.unique(np.concatenate([hashes, hashes[more > 0]]), return_counts=True)
@@ -172,9 +173,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", id_col
         return pa.Table.from_batches([_batch(rows, ["range", "chunk", "a", "b", "late", "rank"], [pa.int32(), pa.int64(), *[pa.binary()] * 4])])
 
     def elsewhere(batches):
-        t = pa.Table.from_batches(batches)
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         sizes = [len(x) for x in t.column("late").to_pylist()]
         a, b, late, rank = (_unpack(t.column(c), d) for c, d in (("a", np.uint64), ("b", np.uint32), ("late", np.uint8), ("rank", np.int64)))
         order = np.lexsort((rank, late, b, a))

@@ -107,9 +107,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "
             )
 
     def link(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         ids, n, tile_of, pair = (table.column(c).to_numpy() for c in ("rep", "n", "tile", "pair"))
         v = matrix(table.column("_v").combine_chunks(), dim)
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -175,7 +176,7 @@ class Forest:
 
     def search(self, queries: np.ndarray, enough: int):
         """For each query its candidates. The descent finds the longest prefix that any tree matches; then all trees
-        ascend together, a sign at a time, until their ranges hold ``enough`` rows or everything is a candidate."""
+        ascend together, a sign at a time, until their ranges hold ``enough`` different rows or everything."""
         strings = self.strings(queries)
         longest, shortest = np.full(len(queries), self.bits), np.zeros(len(queries), np.int64)
         # the rows within all trees' ranges only grow as the prefix shortens, so the level is found by bisection
@@ -184,21 +185,33 @@ class Forest:
             lo, hi = self.ranges(strings, middle)
             held = (hi - lo).sum(0) >= enough
             shortest, longest = np.where(held, middle, shortest), np.where(held, longest, middle - 1)
-        lo, hi = self.ranges(strings, shortest)
-        for q in range(len(queries)):
-            mark = np.zeros(self.order.shape[1], bool)
-            for t in range(self.trees):
-                mark[self.order[t, lo[t, q] : hi[t, q]]] = True
-            yield np.flatnonzero(mark)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 1.0, seed: int = 7) -> DataFrame:
+        # ranges of several trees overlap, so the ascent goes on until there are as many different rows
+        waiting = np.arange(len(queries))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        while len(waiting):
+            lo, hi = self.ranges(strings[:, waiting], shortest[waiting])
+            again = []
+            for k, q in enumerate(waiting.tolist()):
+                mark = np.zeros(self.order.shape[1], bool)
+                for t, (x, y) in enumerate(zip(lo[:, k].tolist(), hi[:, k].tolist())):
+                    mark[self.order[t, x:y]] = True
+                found = np.flatnonzero(mark)
+                if len(found) >= enough or shortest[q] == 0:
+                    out[q] = found
+                else:
+                    shortest[q] -= 1
+                    again.append(q)
+            waiting = np.array(again, np.int64)
+        return out
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.5, seed: int = 7) -> DataFrame:
     """The k rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
     Rows are dealt to blocks of about ``block``; each block indexes all its rows in a forest and answers all
-    queries, and the best k of all blocks are kept. Trees ascend until their ranges together hold ``share`` times the
-    block's rows, a row in several trees counted as often: vectors without any structure need so many for a recall
-    above 0.9, and the share is the same at every size. Inner product becomes an angle by one more component that makes all rows' norms equal (0 for queries). Scores
+    queries, and the best k of all blocks are kept. Trees ascend until their ranges hold ``share`` of the block's rows, and
+    k + 1 at least: vectors without any structure need so many for a recall above 0.9, and the share is the same at
+    every size. Inner product becomes an angle by one more component that makes all rows' norms equal (0 for queries). Scores
     are in double precision on the vectors as they are; ties go to the smaller id. Unusable vectors take no part.
     A query's own row isn't returned, nor others with its id.
     """
@@ -228,7 +241,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
                 forest = Forest(np.hstack([v, rest[:, None]]), trees, bits, seed)
             q, q_ids = matrix(asked_now.column(3), dim), asked_now.column(0).to_numpy()
             out = ([], [], [])
-            for i, found in enumerate(forest.search(np.hstack([q, np.zeros((len(q), 1))]), int(enough * len(ids)))):
+            for i, found in enumerate(forest.search(np.hstack([q, np.zeros((len(q), 1))]), max(k + 1, int(enough * len(ids))))):
                 found = found[ids[found] != q_ids[i]]
                 score = v[found] @ q[i]
                 best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkloom.llm import minhash, mixing, packing, pii, quality
-from linkloom.llm.runtime import Scratch
+from linkloom.llm.runtime import Scratch, small
 
 
 def _lengths(docs: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each group with a similarity of 0.8 or more of five-word shingles: the smallest id."""
     groups = minhash.near_duplicate_groups(docs.select("doc_id", "text"), k=5, percent=80)
     dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
+    dropped = small(Scratch(spark, "dropped").table(dropped, "ids"))
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     again = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
     if again.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components, unite
 from .hashing import LOWER, inside, mixed, window_hashes, word_hashes, words
-from .runtime import Scratch, slices, text_bytes
+from .runtime import Scratch, slices, small, text_bytes
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     members = scratch.table(banded.join(shared, "key"), "members")
     wanted = members.select("rep").distinct().join(classes.select("rep", "n", "s1", "s2", "sig"), "rep")
     wanted = scratch.table(wanted, "wanted")
-    sets = scratch.table(_sets(docs, wanted.select(F.col("rep").alias("id"), "s1", "s2"), k, id_col, text), "sets")
+    names = scratch.table(wanted.select(F.col("rep").alias("id"), "s1", "s2"), "names")
+    sets = scratch.table(_sets(docs, small(names), k, id_col, text), "sets")
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
 
     possible = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)

@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[np.ndarray, np.ndarr
         for batch in batches:
             rows = rows or _Rows(id_col, batch.column(0).type)
             ids, (raw, offs) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, 1 << 20):
                 for doc, found in zip(ids[lo:hi], ids_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])):
                     for window in windows.add((doc, 0, found, len(found))):
                         rows.window(window, (part << 32) + sequence, part, True)

@@ -12,6 +12,8 @@ from .hashing import SPACE, mixed
 from .runtime import slices, text_bytes
 
 NGRAMS = (3, 4)
+#: Bytes of text that are worked on at once; the arrays of a slice take about a hundred times as much.
+SLICE = 1 << 19
 _SPACE32 = np.concatenate([SPACE, np.zeros(1, bool)])
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -126,15 +128,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
             raw, offs = text_bytes(batch.column(1))
             ids, ys = batch.column(0), batch.column(2)
             out = []
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, SLICE):
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 for i in range(hi - lo):
                     b, n = np.unique(f[o[i] : o[i + 1]], return_counts=True)
                     out.append((b.astype("<i4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([ids, ys, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "y", "buckets", "share"])
 
-    rows = sorted(sample.mapInArrow(to_features, "id long, y int, buckets binary, share binary").collect())
-    examples = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["share"], "<f4"), r["y"]) for r in rows if len(r["buckets"])]
+    table = sample.mapInArrow(to_features, "id long, y int, buckets binary, share binary").toArrow()
+    order = np.lexsort((table.column("y").to_numpy(), table.column("id").to_numpy()))
+    columns = [table.column(c).combine_chunks() for c in ("buckets", "share", "y")]
+    rows = [(np.frombuffer(columns[0][i].as_buffer(), "<i4"), np.frombuffer(columns[1][i].as_buffer(), "<f4"), columns[2][i].as_py()) for i in order.tolist()]
+    examples = [r for r in rows if len(r[0])]
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     return train(examples, prior, bits, seed=seed)
 
@@ -152,7 +157,7 @@ def score(docs: DataFrame, model: Model, bits: int = 17, text: str = "text", col
         for batch in batches:
             raw, offs = text_bytes(batch.column(at))
             logits = np.zeros(batch.num_rows)
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, SLICE):
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 n = np.diff(o)

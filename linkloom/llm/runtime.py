@@ -9,9 +9,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_CREATED: list[tuple[SparkSession, str]] = []
+#: Written folders: (session, path, weak reference to the JVM's file index of the table that reads it, or None).
+_CREATED: list[tuple[SparkSession, str, object]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,36 +32,47 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _delete_all() -> None:
-    for spark, path in _CREATED:
+def sweep(everything: bool = False) -> None:
+    """Removes written tables that no plan reads any more: those whose file index the JVM has collected."""
+    left = []
+    for spark, path, ref in _CREATED:
         try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
+            if everything or ref is not None and ref.get() is None:
+                _delete(spark, path)
+            else:
+                left.append((spark, path, ref))
+        except Exception:  # noqa: BLE001  the session has ended, and its folders with it
+            continue
+    _CREATED[:] = left
 
 
-atexit.register(_delete_all)
+atexit.register(sweep, True)
 
 
 class Scratch:
     """Written tables of one run of an operator, in the shared folder, so that a lost executor loses nothing.
 
-    The tables live until ``drop`` or the end of the driver, since lazy results read them.
+    Lazy results read them, so a table lives until ``drop``, until no plan in the JVM refers to it any more, or until
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/linkloom-{name}-{uuid.uuid4().hex[:12]}"
-        _CREATED.append((spark, self.path))
+        sweep()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again: cuts the lineage."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        index = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
+        _CREATED.append((self.spark, path, self.spark._jvm.java.lang.ref.WeakReference(index)))
+        return out
 
     def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
         """Write df as a table hashed by a column, so that later joins on it don't shuffle this side."""
         table = f"linkloom_{name}_{self.path[-12:]}"
+        _CREATED.append((self.spark, f"{self.path}/{name}", None))
         df.repartition(buckets, column).write.option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(buckets, column).saveAsTable(table)
         return self.spark.table(table)
 
@@ -81,6 +93,15 @@ def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked)
 
 
+#: Tables of at most so many bytes on disk are broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are small; else Spark shuffles both sides."""
+    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array as one uint8 array, and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -35,13 +35,12 @@ def compose(*configs: dict) -> dict:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="linkloom")
     sub = p.add_subparsers(dest="command", required=True)
-    export = sub.add_parser("export", help="urls, graph or uncharted", prefix_chars="-+")
+    export = sub.add_parser("export", help="urls, graph or uncharted, with key=value options of the topic", prefix_chars="-+")
     export.add_argument("topic", choices=("urls", "graph", "uncharted"))
     export.add_argument("-i", "--input", required=True)
     export.add_argument("-o", "--output", required=True)
     export.add_argument("+f", "--include", nargs=3, action="append", default=[])
     export.add_argument("-f", "--exclude", nargs=3, action="append", default=[])
-    export.add_argument("extras", nargs="*", help="key=value options of the topic")
     for name in ("check", "repair", "cleanup"):
         sub.add_parser(name).add_argument("input")
     merge = sub.add_parser("merge", help="several stores into a new one")
@@ -56,14 +55,16 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    args, extra = parser().parse_known_args(argv)
+    if any("=" not in e or args.command != "export" for e in extra):
+        parser().error(f"unrecognized arguments: {' '.join(extra)}")
     if args.command == "options":
         print("\n".join(ATTRIBUTES))
         return 0
     spark = spark or SparkSession.builder.appName("linkloom").getOrCreate()
     if args.command == "export":
         tables = Store(spark, args.input).open()
-        extras = dict(e.split("=", 1) for e in args.extras)
+        extras = dict(e.split("=", 1) for e in extra)
         include, exclude = [tuple(f) for f in args.include], [tuple(f) for f in args.exclude]
         if args.topic == "urls":
             written = sinks.write_by_path(exports.urls(tables, include, exclude, **extras), args.output, extras.get("format", "lines")).collect()

@@ -11,7 +11,7 @@ from ..functions.text import ESCAPES
 from ..functions.urls import url_part
 from ..model import Catalog
 from .filters import Filter, domain_filter, where
-from .wide import ATTRIBUTES, COLUMNS, TYPES, attribute, wide
+from .wide import ATTRIBUTES, TYPES, attribute, columns, wide
 
 
 def urls(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filter] = (), key: str | None = None, format: str = "lines", fmt: str = "urls.txt", escape: str | None = None, distinct: bool = True) -> DataFrame:
@@ -23,11 +23,11 @@ def urls(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filt
     """
     keys = (key.split(",") if key else list(ATTRIBUTES)) if format == "csv" else [key or "target:url"]
     for k in [*keys, *template_keys(fmt)]:
-        if k not in COLUMNS:
+        if k not in ATTRIBUTES:
             raise KeyError(f"unknown attribute {k!r}; known are {', '.join(ATTRIBUTES)}")
     if escape not in ESCAPES:
         raise ValueError(f"unknown escape {escape!r}; known are {', '.join(str(e) for e in ESCAPES)}")
-    rows = wide(tables).where(where(include, exclude, COLUMNS, TYPES))
+    rows = wide(tables).where(where(include, exclude, columns(), TYPES))
     others = [k for k in template_keys(fmt) if k not in keys]
     if distinct and others:
         order = F.struct(attribute("source:url"), attribute("target:url"), attribute("tag"))
@@ -36,7 +36,7 @@ def urls(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filt
     else:
         rows = rows.select(*[attribute(k) for k in [*keys, *others]])
         rows = rows.distinct() if distinct else rows
-    path = file_path(fmt, COLUMNS, ESCAPES[escape], TYPES)
+    path = file_path(fmt, columns(), ESCAPES[escape], TYPES)
     return rows.withColumn("_path", path).select(*[attribute(k) for k in keys], "_path")
 
 

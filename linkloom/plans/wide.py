@@ -24,7 +24,8 @@ def attribute(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-COLUMNS = {a: attribute(a) for a in ATTRIBUTES}
+def columns() -> dict[str, Column]:
+    return {a: attribute(a) for a in ATTRIBUTES}
 
 
 def _urls(tables: Catalog, role: str) -> DataFrame:
@@ -45,5 +46,5 @@ def wide(tables: Catalog) -> DataFrame:
         .join(_urls(tables, "feed"), F.col("_item_feed") == F.col("_feed"))
         .join(_urls(tables, "source"), F.col("source_id") == F.col("_source"))
         .join(_urls(tables, "target"), F.col("target_id") == F.col("_target"))
-        .select("_source", "_target", "_feed", *COLUMNS.values())
+        .select("_source", "_target", "_feed", *columns().values())
     )

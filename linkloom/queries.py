@@ -12,7 +12,7 @@ from .model import Catalog
 from .operators import frontier, keywords, stats, storage
 from .plans import exports
 from .plans.filters import Filter
-from .plans.wide import ATTRIBUTES, COLUMNS, wide
+from .plans.wide import ATTRIBUTES, columns, wide
 from .sources import starschema
 from .streaming.ingest import session_counts, windowed_counts
 
@@ -91,7 +91,7 @@ def urls_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {', '.join(flat(a) for a in ATTRIBUTES)} FROM wide", WIDE)
 def urls_wide_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plainly(wide(starschema.catalog(spark, sf_dir)).select(*COLUMNS.values()))
+    return plainly(wide(starschema.catalog(spark, sf_dir)).select(*columns().values()))
 
 
 @query("SELECT target_url, source_title, published_date FROM (SELECT *, row_number() OVER (PARTITION BY target_url ORDER BY source_url, tag) AS k FROM wide) WHERE k = 1", WIDE)

@@ -73,10 +73,14 @@ def duration(seconds: Column) -> Column:
     return F.format_string("%dh %dm %ds", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), (s % 60).cast("long"))
 
 
-def rolling_hash(c: Column) -> Column:
+def sha1_hex(c: Column) -> Column:
     return F.sha1(c.cast("binary"))
 
 
+def falsy(c: Column, values: tuple = ("", "0", "false", "no", "none")) -> Column:
+    return c.isNull() | F.lower(c).isin(*values)
+
+
 def keyword_score(weights: dict[float, list[str]], target: Column, phrases: Column) -> Column:
     """Sum of the weights whose words (regular expressions, any case) are in the target, and as whole words in the
     phrases; a weight of minus infinity that matches gives minus infinity."""

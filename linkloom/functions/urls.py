@@ -73,6 +73,14 @@ def feed_id(uri: Column) -> Column:
     return F.concat(F.lit("feed/"), uri)
 
 
+def api_url(base: str, argument: Column, **params: Column | str | int) -> Column:
+    """base + argument?key=value&..., all percent-encoded, in the order given."""
+    encode = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    pairs = [F.concat(encode(F.lit(k)), F.lit("="), encode(v if isinstance(v, Column) else F.lit(str(v)))) for k, v in params.items()]
+    query = F.concat(F.lit("?"), F.concat_ws("&", *pairs)) if pairs else F.lit("")
+    return F.concat(F.lit(base), encode(argument), query)
+
+
 def image_rewrite(url: Column) -> Column:
     """The largest variant of an image that is kept by width, over https."""
     return F.regexp_replace(F.regexp_replace(url, "_[0-9]+[.](jpg|png|gif)", "_1280.$1"), "^http:", "https:")

@@ -62,6 +62,12 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def next_depth(depth: Column, flagged: Column, probing: Column | None = None) -> Column:
+    """Depth grows for flagged requests only; a flagged probe doesn't count as a level of its own."""
+    start = depth if probing is None else F.when(flagged & probing, depth - 1).otherwise(depth)
+    return F.when(flagged, start + 1).otherwise(start)
+
+
 def state_priority(dead: Column, mode: str) -> Column:
     """Priority of a feed by its state: unknown (null), dead, alive; rows with 0 are dropped by ``select_feeds``."""
     unknown, is_dead, alive = STATE_PRIORITY[mode]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.html import links
 from ..functions.text import epoch_time, iso_time, lower_set
@@ -18,7 +18,14 @@ _ALTERNATE = "array<struct<href string, type string>>"
 
 
 def read_pages(spark: SparkSession, path: str, delimiter: str = "\0", on_error: str = "continue") -> DataFrame:
-    """Lines of JSON pages with delimiter lines between; on_error: continue (drop the line) or raise."""
+    """Lines of JSON pages with delimiter lines between; on_error: continue (drop the line), raise, or stop (drop the
+    line and what follows it in its file; files are then read as a whole)."""
+    if on_error == "stop":
+        whole = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "value"))
+        whole = whole.where((F.col("value") != delimiter) & (F.trim("value") != "")).withColumn("page", F.from_json("value", PAGE, {"mode": "PERMISSIVE"}))
+        bad = F.col("page.items").isNull() & F.col("page.id").isNull()
+        first = F.min(F.when(bad, F.col("_at"))).over(Window.partitionBy("_file"))
+        return whole.withColumn("_bad", first).where(F.col("_bad").isNull() | (F.col("_at") < F.col("_bad"))).select("page.*")
     lines = spark.read.text(path).where((F.col("value") != delimiter) & (F.trim("value") != ""))
     return parse_pages(lines, on_error)
 
@@ -60,6 +67,17 @@ def with_links(items: DataFrame, markup: str = "markup", resolve: bool = False)
     return items.withColumn("links", found)
 
 
+def enriched(items: DataFrame, pages: DataFrame, resolve: bool = False) -> DataFrame:
+    """entries with the links of their own web pages added, and ``webpage``: the page's markup.
+
+    pages: (url, html, status). Answers of 400 and above, and items without a page, add nothing.
+    """
+    good = pages.where(F.coalesce("status", F.lit(200)) < 400).groupBy("url").agg(F.max("html").alias("webpage"))
+    base = items if "links" in items.columns else with_links(items, resolve=resolve)
+    joined = with_links(base.withColumnRenamed("links", "_links").join(good, "url", "left"), "webpage", resolve)
+    return joined.withColumn("links", F.array_distinct(F.concat("_links", "links"))).drop("_links")
+
+
 def link_rows(items: DataFrame) -> DataFrame:
     """(source, target, element), one for each item and URL."""
     rows = items.select(F.col("url").alias("source"), F.explode("links").alias("l")).where(is_absolute_http(F.col("l.url")))
@@ -91,11 +109,19 @@ def tables_of(items: DataFrame, markup_table: str = "summary") -> Catalog:
             "hyperlink": targets.select(key("source", "target", "element").alias("id"), url_id(F.col("source")).alias("source_id"), url_id(F.col("target")).alias("target_id"), "element"),
             "feed": items.where(F.col("source") != "").select("source").distinct().select(key("source").alias("id"), url_id(F.col("source")).alias("url_id"), F.lit("").alias("title"), F.lit(None).cast("boolean").alias("dead")),
             "tagging": words.select(key("url", "keyword").alias("id"), url_id(F.col("url")).alias("url_id"), key("keyword").alias("keyword_id")),
+            **_webpages(items),
             markup_table: items.where(F.col("markup").isNotNull()).groupBy("url").agg(F.max_by("markup", F.struct("published", "markup")).alias("markup")).select(key("url").alias("id"), url_id(F.col("url")).alias("url_id"), "markup"),
         },
     )
 
 
+def _webpages(items: DataFrame) -> dict[str, DataFrame]:
+    if "webpage" not in items.columns:
+        return {}
+    rows = items.where(F.col("webpage").isNotNull()).groupBy("url").agg(F.max("webpage").alias("markup"))
+    return {"webpage": rows.select(F.xxhash64("url").alias("id"), url_id(F.col("url")).alias("url_id"), "markup")}
+
+
 def without_crawled(items: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Items whose URL isn't in a text file of URLs."""
     done = spark.read.text(path).select(F.trim("value").alias("url")).where(F.col("url") != "")

@@ -10,7 +10,7 @@ from linkloom.model import SPECS, Catalog, Store
 from linkloom.operators import frontier, keywords, stats, storage
 from linkloom.plans import exports
 from linkloom.plans.wide import ATTRIBUTES
-from linkloom.sources.pages import entries, parse_pages, read_pages, tables_of, with_links, without_crawled
+from linkloom.sources.pages import enriched, entries, parse_pages, read_pages, tables_of, with_links, without_crawled
 from linkloom.streaming.ingest import ingest, site_counts, windowed_counts
 
 
@@ -54,6 +54,9 @@ def test_read_modes(spark, tmp_path):
     assert read_pages(spark, str(tmp_path)).where(F.col("items").isNotNull()).count() == 2
     with pytest.raises(Exception):
         read_pages(spark, str(tmp_path), on_error="raise").collect()
+    (tmp_path / "stop").mkdir()
+    (tmp_path / "stop" / "p.jsonl").write_text("\n".join([PAGES[0], PAGES[2], PAGES[1]]))
+    assert read_pages(spark, str(tmp_path / "stop"), on_error="stop").count() == 1
     (tmp_path / "done.txt").write_text("http://alt.com/x\n\n")
     left = without_crawled(entries(read_pages(spark, str(tmp_path / "p.jsonl"))), spark, str(tmp_path / "done.txt"))
     assert left.where("url = 'http://alt.com/x'").count() == 0
@@ -67,6 +70,14 @@ def test_tables(tables):
     assert tags == {"a", "img"}  # the smaller of a and video
 
 
+def test_enriched(spark):
+    lines = spark.createDataFrame([(page(item("http://a.com/1", '<a href="http://b.com/">'), item("http://a.com/2")),)], "value string")
+    web = spark.createDataFrame([("http://a.com/1", '<img src="http://c.com/i.png">', 200), ("http://a.com/2", '<a href="http://d.com/">', 404)], "url string, html string, status int")
+    t = tables_of(enriched(entries(parse_pages(lines)), web))
+    assert {u["url"] for u in t["url"].collect()} == {"http://a.com/1", "http://a.com/2", "http://b.com/", "http://c.com/i.png", "http://f.com/rss"}
+    assert [r["markup"] for r in t["webpage"].collect()] == ['<img src="http://c.com/i.png">']
+
+
 def test_wide_row_golden(tables):
     row = exports.urls(tables, [("target:path", "endswith", ".PNG")], format="csv").first()
     want = {"feed:netloc": "f.com", "feed:path": "/rss", "source:netloc": "xkcd.com", "source:path": "/937/", "target:netloc": "imgs.xkcd.com", "published:year": 2011, "published:month": 8, "tag": "img", "published:date": "2011-08-12T04:05:04+00:00"}
@@ -243,6 +254,8 @@ def test_frontier(spark):
     seeds = spark.createDataFrame([("a",)], "site string")
     reach = lambda t, d: {r["site"]: r["depth"] for r in frontier.expand(edges, seeds, t, d).collect()}
     assert reach(2, 0) == {"a": 1, "b": 2, "c": 3, "d": 4} and reach(2, 2) == {"a": 1, "b": 2} and reach(3, 0) == {"a": 1}
+    steps = spark.createDataFrame([(1, True, False), (1, False, False), (2, True, True)], "d int, f boolean, p boolean")
+    assert [r[0] for r in steps.select(frontier.next_depth(F.col("d"), F.col("f"), F.col("p"))).collect()] == [2, 1, 2]
     answers = spark.createDataFrame([(200, "text/xml", False), (404, None, False), (200, "text/html", False), (None, None, True), (None, None, False)], "s int, c string, f boolean")
     assert [r[0] for r in answers.select(frontier.dead_state(F.col("s"), F.col("c"), F.col("f"))).collect()] == [False, True, True, True, None]
 

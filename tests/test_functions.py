@@ -128,3 +128,17 @@ def test_small_functions(spark):
     assert values(spark, fn.duration(F.col("u")), [3661], kind="long") == ["1h 1m 1s"]
     score = fn.keyword_score({2.0: ["cat"], 1.0: ["dog", "d.g"]}, F.col("u"), F.lit("a Dog, catalog"))
     assert values(spark, score, ["concat", "x"]) == [3.0, 1.0]
+
+
+def test_presets(spark):
+    from linkloom import presets
+
+    got = values(spark, presets.feed_candidates(F.col("u")), ["http://joe-deactivated12.tumblr.com/post/1", "https://x.livejournal.com/", "http://none.org/"])
+    assert got[0][0] == "http://joe.tumblr.com/rss" and len(got[0]) == 8
+    assert got[1] == ["http://x.livejournal.com/data/rss", "https://x.livejournal.com/data/rss", "http://x.livejournal.com/data/atom", "https://x.livejournal.com/data/atom"] and got[2] is None
+    assert presets.for_feed("http://a.wordpress.com/feed/") is presets.PRESETS["wordpress"] and presets.for_feed("http://a.b/") is None
+
+
+def test_api_url(spark):
+    got = values(spark, fu.api_url("https://api.example.com/v3/streams/", F.col("u"), count=10, q="a b&c"), ["feed/http://x.y/z"])
+    assert got == ["https://api.example.com/v3/streams/feed%2Fhttp%3A%2F%2Fx.y%2Fz?count=10&q=a%20b%26c"]

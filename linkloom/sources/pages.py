@@ -21,7 +21,8 @@ def read_pages(spark: SparkSession, path: str, delimiter: str = "\0", on_error:
     """Lines of JSON pages with delimiter lines between; on_error: continue (drop the line), raise, or stop (drop the
     line and what follows it in its file; files are then read as a whole)."""
     if on_error == "stop":
-        whole = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("_file"), F.posexplode(F.split("value", "\n")).alias("_at", "value"))
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+        whole = whole.select("_file", F.posexplode(F.split("value", "\n")).alias("_at", "value"))
         whole = whole.where((F.col("value") != delimiter) & (F.trim("value") != "")).withColumn("page", F.from_json("value", PAGE, {"mode": "PERMISSIVE"}))
         bad = F.col("page.items").isNull() & F.col("page.id").isNull()
         first = F.min(F.when(bad, F.col("_at"))).over(Window.partitionBy("_file"))

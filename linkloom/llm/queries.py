@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, minhash, mixing, packing, pii, quality, sharding, substrings, vectors
+from . import licences, minhash, mixing, oracles, packing, pii, quality, sharding, substrings, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,4 +88,9 @@ QUERIES = {
         op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix, op9_prefix_forest_search, op10_minhash_groups,
     )
 }
-ORACLE: dict[str, str] = {"op4_licence_dice": licences.scan_sql()}
+ORACLE: dict[str, str] = {
+    "op2_window_dedup": oracles.windows(20),
+    "op3_tiled_embedding_dedup": oracles.embeddings(0.95),
+    "op4_licence_dice": licences.scan_sql(),
+    "op10_minhash_groups": oracles.near_duplicates(80),
+}

@@ -7,7 +7,7 @@ n(t) its occurrences in the corpus, and p(e) the share of all terms that stand b
     PMI(e, t) = log2((n(e, t) / n(t)) / p(e)),  IC(e) = -log2 p(e),  disclosure = PMI / IC
 
 is 1 if t occurs beside e only, and 0 if it is independent. Terms at or above a threshold, seen in enough
-different contexts (copies of a passage count once), are generalised, and from a second threshold on removed,
+different contexts (copies of a passage, edited ones too, count once as a rule), are generalised, and from a second threshold on removed,
 beside the mentions that they would reveal.
 """
 
@@ -79,7 +79,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each mention: its entity, a hash of what surrounds it, and the terms beside it."""
+    """For each mention: its entity, a min-hash of the word pairs around it, and the terms beside it."""
     covered = [(s, e) for s, _, e in spans]
     out, first = [], 0
     for s, kind, e in spans:
@@ -99,11 +99,13 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
             if whole and not any(a < hi and lo < b for lo, hi in near):
                 terms.append({"term": m.group().lower(), "start": a, "end": b})
-        around = (text[line_lo:s] + "\0" + text[e:line_hi]).encode("utf-8", "replace")
+        # a minimum over the word pairs around: edited copies of one passage mostly share it, and so count as one context
+        beside = [*text[line_lo:s].split(), "", *text[e:line_hi].split()]
+        around = min(zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(["", *beside], [*beside, ""]))
         out.append(
             {
                 "entity": hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=16).hexdigest(),
-                "around": int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "big", signed=True),
+                "around": around,
                 "terms": terms,
             }
         )

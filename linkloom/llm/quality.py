@@ -12,6 +12,8 @@ from .hashing import SPACE, mixed
 from .runtime import slices, text_bytes
 
 NGRAMS = (3, 4)
+#: Added to a document's number of features: a short one's score stays near the prior's.
+SHRINK = 100
 #: Bytes of text that are worked on at once; the arrays of a slice take about a hundred times as much.
 SLICE = 1 << 19
 _SPACE32 = np.concatenate([SPACE, np.zeros(1, bool)])
@@ -30,7 +32,7 @@ class Model:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and character n-grams of each document, and n+1 offsets into them.
+    """Buckets of all words, repeated words and character n-grams of each document, and n+1 offsets into them.
 
     Characters are code points. n-grams may begin or end at white space, but have none inside; each document
     is seen with a space before and after it. Words have their own hash.
@@ -59,7 +61,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
         for j in range(n):
             h += values[where + j] * _MULTIPLIERS[j]
         found.append((mixed(h + np.uint64(n)) >> shift).astype(np.int32))
-        at.append(where)
+        at.append(where + 1)  # an n-gram belongs to the document that its second character is in
     starts, ends = np.flatnonzero(white[:-1] & ~white[1:]) + 1, np.flatnonzero(~white[:-1] & white[1:]) + 1
     if len(starts):
         # a word's hash must not depend on its place in the text: characters are mixed with their place in the word
@@ -67,13 +69,25 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
         place = (np.flatnonzero(~white) - inner).astype(np.uint64)
         parts = mixed(values[~white] + place * _MULTIPLIERS[0])
         cut = np.concatenate([[0], np.cumsum(ends - starts)])[:-1]
-        found.append((mixed(np.add.reduceat(parts, cut) + np.uint64(99)) >> shift).astype(np.int32))
+        word = mixed(np.add.reduceat(parts, cut) + np.uint64(99))
+        found.append((word >> shift).astype(np.int32))
         at.append(starts)
+        doc = np.searchsorted(bounds, starts, "right").astype(np.uint64)
+        # word n-grams by whether they repeat: a word equal to the one before it, and three words that the document had
+        inside = doc[1:] == doc[:-1]
+        same = np.flatnonzero(inside & (word[1:] == word[:-1])) + 1
+        three = np.flatnonzero(inside[:-1] & inside[1:]) if len(inside) > 1 else np.zeros(0, np.int64)
+        rows = mixed(word[three] * _MULTIPLIERS[1] + word[three + 1] * _MULTIPLIERS[2] + word[three + 2] * _MULTIPLIERS[3]) + doc[three] * _MULTIPLIERS[0]
+        again = np.ones(len(three), bool)
+        again[np.unique(rows, return_index=True)[1]] = False
+        for name, where in ((7, same), (8, three[again])):
+            found.append(np.full(len(where), int(mixed(np.array([name], np.uint64))[0] >> shift), np.int32))
+            at.append(starts[where])
     if not found:
         return np.zeros(0, np.int32), np.zeros(n_docs + 1, np.int64)
-    # in the order of the documents: an n-gram belongs to the document that its second character is in
+    # in the order of the documents
     out, offs = [], np.zeros(n_docs + 1, np.int64)
-    cuts = [np.searchsorted(a + (0 if k == len(NGRAMS) else 1), bounds) for k, a in enumerate(at)]
+    cuts = [np.searchsorted(a, bounds) for a in at]
     order = np.argsort(np.concatenate([np.repeat(np.arange(n_docs), np.diff(c)) for c in cuts]), kind="stable") if n_docs > 1 else None
     kept = np.concatenate([f[c[0] : c[-1]] for f, c in zip(found, cuts)])
     out = kept if order is None else kept[order]
@@ -132,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 for i in range(hi - lo):
                     b, n = np.unique(f[o[i] : o[i + 1]], return_counts=True)
-                    out.append((b.astype("<i4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
+                    out.append((b.astype("<i4").tobytes(), (n / (n.sum() + SHRINK)).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([ids, ys, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "y", "buckets", "share"])
 
     table = sample.mapInArrow(to_features, "id long, y int, buckets binary, share binary").toArrow()
@@ -161,7 +175,7 @@ def score(docs: DataFrame, model: Model, bits: int = 17, text: str = "text", col
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 n = np.diff(o)
-                logits[lo:hi] = (sums[o[1:]] - sums[o[:-1]]) / np.maximum(n, 1)
+                logits[lo:hi] = (sums[o[1:]] - sums[o[:-1]]) / (n + SHRINK)
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits + bias, -60, 60))))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], scores], [*names, column])
 

@@ -93,8 +93,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "
     tiles = max(1, math.ceil(count / tile))
     borders = np.quantile(x @ basis[:, 0], np.arange(1, tiles) / tiles)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    pairs = [(i, j) for i in range(tiles) for j in range(i, tiles) if j - i < 2 or borders[j - 1] - borders[i] <= reach]
-    of_tile = {t: [k for k, (i, j) in enumerate(pairs) if t in (i, j)] for t in range(tiles)}
+    pairs: list[tuple[int, int]] = []
+    of_tile: list[list[int]] = [[] for _ in range(tiles)]
+    for i in range(tiles):
+        for j in range(i, tiles):
+            if j - i > 1 and borders[j - 1] - borders[i] > reach:
+                break  # borders are sorted, so tiles further on are out of reach too
+            for t in {i, j}:
+                of_tile[t].append(len(pairs))
+            pairs.append((i, j))
 
     def spread(batches):
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .runtime import Scratch
+from .runtime import Scratch, small
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
@@ -20,15 +20,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     now, state = scratch.table(tidy(edges), f"{name}_0"), None
     for k in range(1, most_rounds + 1):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        # written first, so that the join reads plain shuffles, which Spark splits where a vertex has very many neighbours
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_{k}_least")
+        large = tidy(both.where(F.col("v") > F.col("u")).join(small(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         large = scratch.table(large, f"{name}_{k}_large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("lo").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("hi").alias("a"), F.col("m").alias("b")))
-        after = scratch.table(tidy(small), f"{name}_{k}")
+        lower = scratch.table(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{name}_{k}_lower")
+        stars = large.join(small(lower), "hi").select(F.col("lo").alias("a"), F.col("m").alias("b")).unionByName(lower.select(F.col("hi").alias("a"), F.col("m").alias("b")))
+        after = scratch.table(tidy(stars), f"{name}_{k}")
         row = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}_{k}_large")
-        scratch.drop(f"{name}_{k - 1}")
+        for old in (f"{name}_{k}_large", f"{name}_{k}_least", f"{name}_{k}_lower", f"{name}_{k - 1}"):
+            scratch.drop(old)
         now, before, state = after, state, tuple(row)
         if state == before or row[0] == 0:
             break

@@ -146,8 +146,9 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
     component are compared with all members, in blocks: a task gets ``block`` sets of each side and gives a spanning
     forest of the links that it finds. No pair is made as a row.
     """
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where(F.col("lo") < F.col("hi")).select("key", "first")
-    open_ = scratch.table(placed.join(split, "key"), "open")
+    split = lambda p: p.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where(F.col("lo") < F.col("hi")).select("key", "first")
+    placed = scratch.table(placed, "placed_last")
+    open_ = scratch.table(placed.join(small(scratch.table(split(placed), "split")), "key"), "open")
     edges = open_.where(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     families = connected_components(edges, scratch, "families").select(F.col("id").alias("rep"), F.col("component").alias("family"))
     families = scratch.table(families, "families")
@@ -158,7 +159,8 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
     parts = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("c"))
     shape = parts.groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("s"))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    rows = grouped.join(shape.select("group", "main", blocks("s").alias("left_blocks"), blocks("m").alias("right_blocks")), "group")
+    shape = scratch.table(shape.select("group", "main", blocks("s").alias("left_blocks"), blocks("m").alias("right_blocks")), "shape")
+    rows = grouped.join(small(shape), "group")
     own = lambda c: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     right = rows.select("group", "rep", "component", F.lit(False).alias("left"), own("right_blocks").alias("j"), every("left_blocks").alias("i"))
@@ -240,7 +242,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     classes = scratch.table(linkable.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    members = scratch.table(banded.join(shared, "key"), "members")
+    members = scratch.table(banded.join(small(scratch.table(shared, "shared")), "key"), "members")
     wanted = members.select("rep").distinct().join(classes.select("rep", "n", "s1", "s2", "sig"), "rep")
     wanted = scratch.table(wanted, "wanted")
     names = scratch.table(wanted.select(F.col("rep").alias("id"), "s1", "s2"), "names")
@@ -265,10 +267,11 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
 
     links = components = tested = None
     for r in range(star_rounds):
-        now = _placed(members, components)
+        now = scratch.table(_placed(members, components), f"placed_{r}") if r else _placed(members, components)
         order = F.struct((F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))).alias("o"), "rep", "component")
         pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component"))
-        pairs = now.join(pivots, "key").where(F.col("component") != F.col("pivot_component")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        # written first, so that Spark can split the join where a bucket is very large
+        pairs = now.join(small(scratch.table(pivots, f"pivots_{r}")), "key").where(F.col("component") != F.col("pivot_component")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs_{r}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         more = verified(pairs, f"links_{r}")

@@ -81,7 +81,8 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
 
 
 def repeat_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: a row for each repetition, the fractional one cut to its words (joined by a space)."""
+    """The mix itself: a row for each repetition, the fractional one cut to its words (joined by a space). Documents
+    without words have no repetition."""
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rows = mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")

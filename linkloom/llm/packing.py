@@ -172,7 +172,7 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.types)], self.names)
 
 
-def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]], length: int = 2048, open_windows: int = 32, min_cut: int = 64, text: str = "text", id_col: str = "doc_id", merge_parts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: Callable[[], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]], length: int = 2048, open_windows: int = 32, min_cut: int = 64, text: str = "text", id_col: str = "doc_id", merge_parts: int = 8) -> DataFrame:
     """A row for each piece: id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
 
     ``tokenizer()`` is called in each task and gives what turns UTF-8 bytes and offsets into ids. Each input partition packs its documents with ``open_windows``

@@ -138,7 +138,7 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, com
     return np.nonzero(hit)
 
 
-def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, percent: int, family_most: int = 8192, block: int = 128) -> DataFrame:
+def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, percent: int, family_most: int = 8192, block: int = 64) -> DataFrame:
     """Links between members of a bucket that are in different components, enough of them to join these.
 
     Buckets that share members make a family. A family of at most ``family_most`` documents is compared as one group,
@@ -221,7 +221,7 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
     return scratch.table(ready.mapInArrow(compare, "a long, b long"), "joining")
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 160, rows: int = 5, star_rounds: int = 2, seed: int = 11, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 160, rows: int = 5, star_rounds: int = 1, seed: int = 11, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept (the smallest id of each group).
 
     Documents with 100 * |A and B| >= percent * |A or B| over distinct k-word shingles are linked; components are

@@ -94,7 +94,7 @@ def partitions(df: DataFrame, bytes_each: int = 32 << 20) -> int:
 
 
 #: Tables of at most so many bytes on disk are broadcast.
-BROADCAST_BYTES = 2 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def small(df: DataFrame) -> DataFrame:

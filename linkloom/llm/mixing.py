@@ -46,45 +46,45 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     """
     spark = docs.sparkSession
     hashed = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = docs.withColumns({"size": word_count(F.col(text)), "_h": hashed, "_bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "_s": F.col(source)})
-    by_bucket = Scratch(spark, "mix").table(rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("n")), "buckets")
-    totals = sorted(((r["_s"], int(r["n"])) for r in by_bucket.groupBy("_s").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    rows = docs.drop("source_size", "target", "taken").withColumns({"size": word_count(F.col(text)), "_mix_h": hashed, "_mix_bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "_mix_s": F.col(source)})
+    by_bucket = Scratch(spark, "mix").table(rows.groupBy("_mix_s", "_mix_bucket").agg(F.sum("size").alias("n")), "buckets")
+    totals = sorted(((r["_mix_s"], int(r["n"])) for r in by_bucket.groupBy("_mix_s").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     targets = water_fill(sizes, weigh([s for s, _ in totals], sizes), share * sum(sizes), cap)
     whole = [int(t // n) if n else 0 for t, n in zip(targets, sizes)]
     rest = [round(t) - w * n if n else 0 for t, w, n in zip(targets, whole, sizes)]
-    rests = spark.createDataFrame([(s, r) for (s, _), r in zip(totals, rest)], "_source string, _rest long")
-    before = Window.partitionBy("_s").orderBy("_bucket")
-    reached = F.col("_base") + F.col("n")
+    rests = spark.createDataFrame([(s, r) for (s, _), r in zip(totals, rest)], "_mix_source string, _mix_rest long")
+    before = Window.partitionBy("_mix_s").orderBy("_mix_bucket")
+    reached = F.col("_mix_base") + F.col("n")
     edge = (
-        by_bucket.withColumn("_base", F.sum("n").over(before) - F.col("n"))
-        .join(rests, F.col("_s").eqNullSafe(F.col("_source")))
-        .where((F.col("_base") < F.col("_rest")) & (reached >= F.col("_rest")))
-        .select("_s", "_bucket", "_base")
+        by_bucket.withColumn("_mix_base", F.sum("n").over(before) - F.col("n"))
+        .join(rests, F.col("_mix_s").eqNullSafe(F.col("_mix_source")))
+        .where((F.col("_mix_base") < F.col("_mix_rest")) & (reached >= F.col("_mix_rest")))
+        .select("_mix_s", "_mix_bucket", "_mix_base")
         .collect()
     )  # one row for each source at most
-    edge_of = {r["_s"]: (r["_bucket"], r["_base"]) for r in edge}
+    edge_of = {r["_mix_s"]: (r["_mix_bucket"], r["_mix_base"]) for r in edge}
     plan = spark.createDataFrame(
-        [(s, n, t, w, r, *edge_of.get(s, (None, None))) for (s, n), t, w, r in zip(totals, targets, whole, rest)], "_source string, source_size long, target double, _whole long, _rest long, _edge int, _base long"
+        [(s, n, t, w, r, *edge_of.get(s, (None, None))) for (s, n), t, w, r in zip(totals, targets, whole, rest)], "_mix_source string, source_size long, target double, _mix_whole long, _mix_rest long, _mix_edge int, _mix_base long"
     )
     if len(totals) <= MOST_BROADCAST:  # else Spark chooses by size
         plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("_s").eqNullSafe(F.col("_source")))
-    at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
-    order = Window.partitionBy("_s").orderBy("_h", id_col, F.hash(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(plan, F.col("_mix_s").eqNullSafe(F.col("_mix_source")))
+    at_edge = F.coalesce(F.col("_mix_bucket") == F.col("_mix_edge"), F.lit(False))
+    order = Window.partitionBy("_mix_s").orderBy("_mix_h", id_col, F.hash(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = F.sum("size").over(order) - F.col("size")
-    extra_edge = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_base") - prior))
-    extra = F.when(F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)), F.col("size")).otherwise(F.lit(0))
-    taken = lambda e: (F.col("_whole") * F.col("size") + e).cast("long")
+    extra_edge = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_mix_rest") - F.col("_mix_base") - prior))
+    extra = F.when(F.coalesce(F.col("_mix_bucket") < F.col("_mix_edge"), F.lit(False)), F.col("size")).otherwise(F.lit(0))
+    taken = lambda e: (F.col("_mix_whole") * F.col("size") + e).cast("long")
     out = rows.where(~at_edge).withColumn("taken", taken(extra)).unionByName(rows.where(at_edge).withColumn("taken", taken(extra_edge)))
-    return out.drop("_h", "_bucket", "_s", "_source", "_whole", "_rest", "_edge", "_base")
+    return out.drop("_mix_h", "_mix_bucket", "_mix_s", "_mix_source", "_mix_whole", "_mix_rest", "_mix_edge", "_mix_base")
 
 
 def repeat_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: a row for each repetition, the fractional one cut to its words (joined by a space). Documents
     without words have no repetition."""
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rows = mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
+    rows = mixed.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    left = F.col("taken") - (F.col("_mix_copy") - 1) * F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    return rows.withColumn(text, F.when(left >= F.col("size"), F.col(text)).otherwise(cut)).drop("_copy")
+    return rows.withColumn(text, F.when(left >= F.col("size"), F.col(text)).otherwise(cut)).drop("_mix_copy")

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -120,8 +121,8 @@ _ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int6
 
 
 def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    fields = [T.StructField("_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_base", T.ArrayType(_SPAN)), T.StructField("_contexts", T.ArrayType(_CONTEXT)), T.StructField("_n_terms", T.LongType())]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, F.col(text).alias("_text"))
+    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_n_terms", T.LongType())]
+    rows = docs.select(F.monotonically_increasing_id().alias("_pii_row"), *carry, F.col(text).alias("_pii_text"))
 
     def run(batches):
         for batch in batches:
@@ -139,12 +140,12 @@ def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def _count_terms(docs: DataFrame, text: str, wanted: set[int], mask: int) -> DataFrame:
+def _count_terms(docs: DataFrame, text: str, wanted: np.ndarray, mask: int) -> DataFrame:
     """Occurrences in all texts of the terms whose hash is wanted: (term, n_term), partly summed by batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
-        keep = shared.value
+        keep = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             found: Counter = Counter()
             for t in batch.column(0).to_pylist():
@@ -153,7 +154,7 @@ def _count_terms(docs: DataFrame, text: str, wanted: set[int], mask: int) -> Dat
             sums: Counter = Counter()
             for term, n in found.items():
                 low = term.lower()
-                if zlib.crc32(low.encode("utf-8", "replace")) & mask in keep:
+                if keep[zlib.crc32(low.encode("utf-8", "replace")) & mask]:
                     sums[low] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
 
@@ -165,43 +166,50 @@ def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | N
 
     base: array of (start, kind, end, remove) of the pattern matches; spans: those and the disclosing terms.
     kind is an index into KINDS. Null and empty texts have no spans; repeated rows are handled one by one (no
-    column needs to be a key); an empty table gives none. Columns named _row, _base, _contexts, _n_terms, _text
-    are reserved. What the driver gets is at most 2**filter_bits hash values, at any input size.
+    column needs to be a key); an empty table gives none. Columns named
+    _pii_... are reserved; carried ones named base and spans are replaced. What the driver gets is at most 2**filter_bits hash values, at any input size.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pii")
-    carry = carry if carry is not None else [c for c in docs.columns if c != text]
+    carry = [c for c in (carry if carry is not None else docs.columns) if c not in ("base", "spans") and (carry is not None or c != text)]
+    found = _find(docs, text, carry, min_contexts, generalise_at, remove_at, filter_bits)
+    return found.withColumnsRenamed({"_pii_marked": "base", "_pii_spans": "spans"})
+
+
+def _find(docs: DataFrame, text: str, carry: list[str], min_contexts: int = 5, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
+    """carry's columns, _pii_marked and _pii_spans."""
+    scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.table(_detect(docs, text, carry), "found")
     beside = (
-        found.where(F.size("_contexts") > 0)
-        .select("_row", F.explode("_contexts").alias("c"))
-        .select("_row", F.col("c.entity").alias("entity"), F.col("c.around").alias("around"), F.explode("c.terms").alias("t"))
-        .select("_row", "entity", "around", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+        found.where(F.size("_pii_contexts") > 0)
+        .select("_pii_row", F.explode("_pii_contexts").alias("c"))
+        .select("_pii_row", F.col("c.entity").alias("entity"), F.col("c.around").alias("around"), F.explode("c.terms").alias("t"))
+        .select("_pii_row", "entity", "around", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     )
     # an occurrence between two mentions of one entity counts once
-    occurrences = beside.groupBy("entity", "term", "_row", "start", "end").agg(F.min("around").alias("around"))
+    occurrences = beside.groupBy("entity", "term", "_pii_row", "start", "end").agg(F.min("around").alias("around"))
     by_context = occurrences.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("n"))
     pairs = scratch.table(by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")), "pairs")
     entities = pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
     likely = pairs.where(F.col("contexts") >= min_contexts)
     mask = (1 << filter_bits) - 1
-    wanted = {r[0] for r in likely.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().collect()}
-    total = max(found.agg(F.sum("_n_terms")).first()[0] or 0, 1)
+    wanted = np.zeros(mask + 1, bool)
+    wanted[likely.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().toArrow().column("h").to_numpy()] = True
+    total = max(found.agg(F.sum("_pii_n_terms")).first()[0] or 0, 1)
     counts = _count_terms(docs, text, wanted, mask)
     bits = -F.log2(F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(total))))
     disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / bits
-    disclosing = (likely.join(counts, "term") if wanted else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
+    disclosing = (likely.join(counts, "term") if wanted.any() else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     disclosing = scratch.table(disclosing.select("entity", "term", "disclosure"), "disclosing")
     extra = (
         beside.join(disclosing, ["entity", "term"])
-        .groupBy("_row", "start", "end")
+        .groupBy("_pii_row", "start", "end")
         .agg(F.max("disclosure").alias("d"))
-        .groupBy("_row")
-        .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("d") >= remove_at).alias("remove"))).alias("_extra"))
+        .groupBy("_pii_row")
+        .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("d") >= remove_at).alias("remove"))).alias("_pii_extra"))
     )
-    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
-    plain = found.where(F.size("_base") == 0).select(*carry, base.alias("base"), base.alias("spans"))
-    marked = found.where(F.size("_base") > 0).select("_row", *carry, base.alias("base")).join(extra, "_row", "left")
-    marked = marked.select(*carry, "base", F.when(F.col("_extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_extra"))).alias("spans"))
+    base = F.transform("_pii_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
+    plain = found.where(F.size("_pii_base") == 0).select(*carry, base.alias("_pii_marked"), base.alias("_pii_spans"))
+    marked = found.where(F.size("_pii_base") > 0).select("_pii_row", *carry, base.alias("_pii_marked")).join(extra, "_pii_row", "left")
+    marked = marked.select(*carry, "_pii_marked", F.when(F.col("_pii_extra").isNull(), F.col("_pii_marked")).otherwise(F.array_sort(F.concat("_pii_marked", "_pii_extra"))).alias("_pii_spans"))
     return plain.unionByName(marked)
 
 
@@ -218,8 +226,8 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     are passed on as they are.
     """
     columns = docs.columns
-    spotted = find_personal_data(docs, text, carry=columns, **options)
-    touched = spotted.where(F.size("spans") > 0).select(*columns, "spans")
+    spotted = _find(docs, text, columns, **options)
+    touched = spotted.where(F.size("_pii_spans") > 0).select(*columns, "_pii_spans")
     at = columns.index(text)
 
     def run(batches):
@@ -236,4 +244,4 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
             arrays[at] = pa.array(out, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return spotted.where(F.size("spans") == 0).select(*columns).unionByName(touched.mapInArrow(run, docs.schema))
+    return spotted.where(F.size("_pii_spans") == 0).select(*columns).unionByName(touched.mapInArrow(run, docs.schema))

@@ -169,6 +169,19 @@ def test_disclosing_terms(spark):
     assert "Zebulon" not in clean[205] and "[EMAIL]" in clean[205] and "@" not in clean[205]
 
 
+def test_clashing_names(spark):
+    docs = frame(spark, ["mail a@b.cd", "x y z", None], sources=["a", None, "a"])
+    for name in ("base", "spans", "target", "taken", "source_size", "shard", "slot", "id", "key", "rep", "n", "_score"):
+        docs = docs.withColumn(name, F.lit("own"))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and {r["spans"] for r in out.collect()} == {"own"} and "mail [EMAIL]" in [r["text"] for r in out.collect()]
+    assert pii.find_personal_data(docs).where("size(spans) = 1").count() == 1
+    mixed = mixing.mix(docs, lambda names, sizes: [1.0] * len(names), share=1.0)
+    assert mixed.agg(F.sum("taken")).first()[0] == 4 and {r["key"] for r in mixing.repeat_texts(mixed).collect()} == {"own"}
+    assert minhash.near_duplicate_groups(docs).count() == 3 and substrings.remove_repeats(docs).count() == 3 and licences.scan(docs).count() == 0
+    assert sharding.shard_groups(docs, 2, F.lit(1), F.xxhash64("text")).count() == 3 and packing.pack(docs, length_tokenizer(), length=8).count() >= 3
+
+
 def test_personal_data_odd_rows(spark):
     odd = frame(spark, [None, "", "mail a@b.cd", "mail a@b.cd", "+1 (743) 555-3824 " * 3000], ids=[1, None, 3, 3, 5])
     out = pii.sanitise(odd)

@@ -23,6 +23,8 @@ from .hashing import inside, mixed, window_hashes, word_hashes, words
 from .runtime import Scratch, partitions, slices, text_bytes
 
 SEED_WORDS = 8
+#: Hash ranges at most, so that the packed rows (one for each chunk and range) stay large with very many chunks.
+MOST_RANGES = 16_384
 
 
 def _extreme(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -112,7 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", id_col
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "repeats")
     chunks = partitions(docs)
-    ranges = chunks
+    ranges = min(chunks, MOST_RANGES)
     names = spark.createDataFrame(list(enumerate(_chunk_names(spark, chunks))), "_at int, _chunk long")  # as many rows as partitions
     rank = F.coalesce(F.col(id_col), F.xxhash64(text)).cast("long")
     dealt = docs.select(F.col(id_col).alias("_id"), F.col(id_col).isNull().alias("_late"), rank.alias("_rank"), F.col(text).alias("_text"))

@@ -2,13 +2,15 @@
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern. Method: the corpus tells how strongly
 a term beside such an entity reveals it. With n(e, t) the occurrences of term t beside mentions of entity e,
-n(t) its occurrences in the corpus, and p(e) the share of all terms that stand beside e,
+n(t) its occurrences in the corpus (outside of mentions), and p(e) the share of all terms that stand beside e,
 
     PMI(e, t) = log2((n(e, t) / n(t)) / p(e)),  IC(e) = -log2 p(e),  disclosure = PMI / IC
 
-is 1 if t occurs beside e only, and 0 if it is independent. Terms at or above a threshold, seen in enough
-different contexts (copies of a passage, edited ones too, count once as a rule), are generalised, and from a second threshold on removed,
-beside the mentions that they would reveal.
+is 1 if t occurs beside e only, and 0 if it is independent. A passage is judged by the others: of c different contexts
+of a pair c - 1 speak for it, so n(e, t) is weighed by (c - 1) / c. One context alone proves nothing, two cost one bit,
+and many cost next to nothing; there is no least number. Different documents with the same line are different contexts, as
+are different passages of one document; copies of a document, edited ones too, count once as a rule. Terms at or
+above a threshold are generalised, and from a second threshold on removed, beside the mentions that they would reveal.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .runtime import Scratch
+from .runtime import Scratch, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +37,8 @@ _TERM = re.compile(r"[^\W\d_]{3,40}")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Code points on each side of a mention, in its line, that count as beside it.
 REACH = 200
+#: Min-hashes of a context; two contexts differ if all of them differ.
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -79,10 +83,18 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _minima(words: list[str]) -> np.ndarray:
+    """Minima over the word pairs by each of ``_FACTORS``: edited copies mostly share some of them."""
+    pairs = np.fromiter({zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(["", *words], [*words, ""])}, np.uint32)
+    return (pairs[:, None] * _FACTORS).min(0)
+
+
 def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each mention: its entity, a min-hash of the word pairs around it, and the terms beside it."""
+    """For each mention: its entity, min-hashes of the document and the words around it, and the terms beside it that
+    no earlier mention of the entity has."""
     covered = [(s, e) for s, _, e in spans]
-    out, first = [], 0
+    out, first, seen = [], 0, set()
+    document = _minima(text.split()).astype(np.int64) << 32
     for s, kind, e in spans:
         value = text[s:e].lower() if kind < 2 else _NOT_DIGIT.sub("", text[s:e])
         line_lo, line_hi = max(text.rfind("\n", max(0, s - REACH - 1), s) + 1, s - REACH, 0), text.find("\n", e, e + REACH)
@@ -94,54 +106,61 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             if covered[k][0] >= line_hi:
                 break
             near.append(covered[k])
-        terms = []
+        entity, terms = hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=16).hexdigest(), []
         for m in _TERM.finditer(text, line_lo, line_hi):
             a, b = m.span()
             whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
-            if whole and not any(a < hi and lo < b for lo, hi in near):
+            if whole and (entity, a) not in seen and not any(a < hi and lo < b for lo, hi in near):
+                seen.add((entity, a))
                 terms.append({"term": m.group().lower(), "start": a, "end": b})
-        # a minimum over the word pairs around: edited copies of one passage mostly share it, and so count as one context
-        beside = [*text[line_lo:s].split(), "", *text[e:line_hi].split()]
-        around = min(zlib.crc32(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(["", *beside], [*beside, ""]))
-        out.append(
-            {
-                "entity": hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=16).hexdigest(),
-                "around": around,
-                "terms": terms,
-            }
-        )
+        around = document | _minima([*text[line_lo:s].split(), "", *text[e:line_hi].split()])
+        out.append({"entity": entity, "around": around.tolist(), "terms": terms})
     return out
 
 
+def _inside(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """Terms that lie in a mention, in part or as a whole: sanitised with it, so they are no occurrences of their own."""
+    out = {}
+    for s, _, e in spans:
+        while s > 0 and text[s - 1].isalnum():
+            s -= 1
+        while e < len(text) and text[e].isalnum():
+            e += 1
+        out.update((m.start(), m.group().lower()) for m in _TERM.finditer(text, s, e))
+    return list(out.values())
+
+
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("around", T.LongType()), T.StructField("terms", T.ArrayType(_TERMS))])
+_CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("around", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(_TERMS))])
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
+_ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.list_(pa.int64())), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
 
 
 def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_n_terms", T.LongType())]
+    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_inside", T.ArrayType(T.StringType())), T.StructField("_pii_n_terms", T.LongType())]
     rows = docs.select(F.monotonically_increasing_id().alias("_pii_row"), *carry, F.col(text).alias("_pii_text"))
 
     def run(batches):
         for batch in batches:
-            base, contexts, n_terms = [], [], []
+            base, contexts, within, n_terms = [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 spans = base_spans(t)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 contexts.append(_contexts(t, spans) if spans else [])
+                within.append(_inside(t, spans) if spans else [])
                 n_terms.append((len(t) // 6 + 1) if t else 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(n_terms, pa.int64())],
+                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(within, pa.list_(pa.string())), pa.array(n_terms, pa.int64())],
                 names=[f.name for f in fields],
             )
 
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def _count_terms(docs: DataFrame, text: str, wanted: np.ndarray, mask: int) -> DataFrame:
-    """Occurrences in all texts of the terms whose hash is wanted: (term, n_term), partly summed by batch."""
+def _count_terms(docs: DataFrame, text: str, inside: DataFrame, wanted: np.ndarray, mask: int) -> DataFrame:
+    """Occurrences in all texts, but for those inside mentions, of the terms whose hash is wanted: (term, n_term), partly
+    summed by batch."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
@@ -158,10 +177,11 @@ def _count_terms(docs: DataFrame, text: str, wanted: np.ndarray, mask: int) -> D
                     sums[low] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
 
-    return docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counted = docs.select(text).mapInArrow(run, "term string, n long")
+    return counted.unionByName(inside.select("term", F.lit(-1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None, min_contexts: int = 5, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
     """A row for each document: ``carry``'s columns, ``base`` and ``spans``.
 
     base: array of (start, kind, end, remove) of the pattern matches; spans: those and the disclosing terms.
@@ -170,11 +190,11 @@ def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | N
     _pii_... are reserved; carried ones named base and spans are replaced. What the driver gets is at most 2**filter_bits hash values, at any input size.
     """
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in ("base", "spans") and (carry is not None or c != text)]
-    found = _find(docs, text, carry, min_contexts, generalise_at, remove_at, filter_bits)
+    found = _find(docs, text, carry, generalise_at, remove_at, filter_bits)
     return found.withColumnsRenamed({"_pii_marked": "base", "_pii_spans": "spans"})
 
 
-def _find(docs: DataFrame, text: str, carry: list[str], min_contexts: int = 5, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
+def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
     """carry's columns, _pii_marked and _pii_spans."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.table(_detect(docs, text, carry), "found")
@@ -184,19 +204,25 @@ def _find(docs: DataFrame, text: str, carry: list[str], min_contexts: int = 5, g
         .select("_pii_row", F.col("c.entity").alias("entity"), F.col("c.around").alias("around"), F.explode("c.terms").alias("t"))
         .select("_pii_row", "entity", "around", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     )
-    # an occurrence between two mentions of one entity counts once
-    occurrences = beside.groupBy("entity", "term", "_pii_row", "start", "end").agg(F.min("around").alias("around"))
-    by_context = occurrences.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("n"))
-    pairs = scratch.table(by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts")), "pairs")
+    # each occurrence beside an entity is here once; a pair of one context only can't disclose, whatever its counts
+    n = len(_FACTORS)
+    ends = [f(F.col("around")[j]).alias(f"{f.__name__}{j}") for j in range(n) for f in (F.min, F.max)]
+    pairs = scratch.table(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), *ends), "pairs")
     entities = pairs.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
-    likely = pairs.where(F.col("contexts") >= min_contexts)
+    differ = F.lit(True)
+    for j in range(n):
+        differ = differ & (F.col(f"min{j}") != F.col(f"max{j}"))
+    several = scratch.table(pairs.where(differ).select("entity", "term", "n_both"), "several")
+    contexts = beside.join(small(several.select("entity", "term")), ["entity", "term"]).select("entity", "term", F.posexplode("around").alias("j", "context"))
+    contexts = contexts.groupBy("entity", "term", "j", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term", "j").agg(F.count(F.lit(1)).alias("c"))
+    likely = scratch.table(several.join(contexts.groupBy("entity", "term").agg(F.min("c").alias("contexts")), ["entity", "term"]), "likely")
     mask = (1 << filter_bits) - 1
     wanted = np.zeros(mask + 1, bool)
     wanted[likely.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().toArrow().column("h").to_numpy()] = True
     total = max(found.agg(F.sum("_pii_n_terms")).first()[0] or 0, 1)
-    counts = _count_terms(docs, text, wanted, mask)
+    counts = _count_terms(docs, text, found.select(F.explode("_pii_inside").alias("term")), wanted, mask)
     bits = -F.log2(F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(total))))
-    disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / bits
+    disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * (F.col("contexts") - 1) / F.col("contexts")) / bits
     disclosing = (likely.join(counts, "term") if wanted.any() else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     disclosing = scratch.table(disclosing.select("entity", "term", "disclosure"), "disclosing")
     extra = (

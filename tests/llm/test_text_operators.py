@@ -169,6 +169,22 @@ def test_disclosing_terms(spark):
     assert "Zebulon" not in clean[205] and "[EMAIL]" in clean[205] and "@" not in clean[205]
 
 
+def test_same_line_in_different_documents(spark):
+    """A signature line counts once for each different document, and an address in two documents can disclose."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{filler(40)}\nJane Doe <jane@x.com>\n{filler(40)}" for _ in range(30)]
+    texts += [f"{filler(40)}\n{filler(3)} Quixote <quix@x.com> {filler(3)}\n{filler(40)}" for _ in range(2)]
+    edited = filler(100)
+    texts += [f"{edited}\nOnly Here <only@x.com>\n{filler(3)}" for _ in range(2)] + [filler(100) for _ in range(1000)]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, texts), carry=["doc_id"]).collect()}
+    terms = lambda i: {(texts[i][s["start"] : s["end"]], s["remove"]) for s in found[i]["spans"] if s["kind"] == 4}
+    assert all(terms(i) == {("Jane", True), ("Doe", True)} for i in range(30))
+    assert all(terms(i) == {("Quixote", False)} for i in (30, 31))
+    assert not terms(32) and not terms(33) and not terms(40)
+
+
 def test_clashing_names(spark):
     docs = frame(spark, ["mail a@b.cd", "x y z", None], sources=["a", None, "a"])
     for name in ("base", "spans", "target", "taken", "source_size", "shard", "slot", "id", "key", "rep", "n", "_score"):

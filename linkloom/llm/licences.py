@@ -1,13 +1,17 @@
-"""Licence scan: lines of normalised text against licence templates by Dice coefficient over word bigrams.
+"""Licence scan: lines and passages of normalised text against licence templates by Dice coefficient over word bigrams.
 
-Only DataFrame expressions; no shuffle. A line A matches a template B if 2 |A and B| / (|A| + |B|) reaches the
+Only DataFrame expressions; no shuffle. A line or a window of words A matches a template B if 2 |A and B| / (|A| + |B|) reaches the
 threshold t over distinct bigrams. That implies t/(2-t) |B| <= |A| <= (2-t)/t |B|, which prunes templates by size,
-and |A and B| >= t/(2-t) |B|, so a matching line holds at least one bigram of each large enough subset of B's:
-``anchors`` chooses few words that leave fewer bigrams without them, and only lines with such a word are looked at.
+and |A and B| >= t/(2-t) |B|, so a match holds at least one bigram of each large enough subset of B's:
+``anchors`` chooses few words that leave fewer bigrams without them, and only texts and lines with such a word are looked at.
+Windows run over the whole text, so a notice may be wrapped or stand in a line with other words. A window is as long as
+B at least, so that words in which the text differs aren't cut away. A longer one that begins or ends with a bigram that
+B hasn't got is worse than the one without it, so windows begin with one of B's, and longer ones end with one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import string
 
@@ -63,14 +67,18 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each matching line: id, line_no (from 1), license, shared (bigrams), dice.
+    """A row for each match: id, line_no (from 1, where it begins), license, shared (bigrams), dice.
 
-    The best template of a line counts, of equal ones the first by name. Null, empty and one-word texts match
-    nothing; repeated rows are scanned one by one; other columns are ignored; an empty table gives none.
+    The best template of a line counts, of equal ones the first by name. Added are passages: windows from a template's
+    length to the size bound, of each template and first bigram the best one, of overlapping ones the best one. A passage
+    that touches a matching line is left out if that line has the same template, or one that is as good (by dice, then
+    shared). Null, empty and one-word texts match nothing; repeated rows are scanned one by one; other columns
+    are ignored; an empty table gives none.
     """
     grams = {name: bigrams(t) for name, t in sorted((templates or TEMPLATES).items())}
     grams = {name: g for name, g in grams.items() if g}
     words = anchors(grams, threshold)
+    lengths = [len(normal_words((templates or TEMPLATES)[name])) - 1 for name in grams]
 
     def holds(column):
         low, out = F.lower(column), F.lit(False)
@@ -78,25 +86,79 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             out = out | F.contains(low, F.lit(w))
         return out
 
-    lines = docs.where(holds(F.col(text))).select(F.col(id_col), F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line")).where(holds(F.col("_line")))
-    plain = F.trim(F.regexp_replace(F.translate("_line", string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", " "))
-    lines = lines.select(id_col, (F.col("_at") + 1).alias("line_no"), F.split(plain, " ").alias("_w")).where(F.size("_w") >= 2)
-    pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.select(id_col, "line_no", F.array_distinct(pairs).alias("_g"))
-    n = F.size("_g")
-    found = []
-    for k, g in enumerate(grams.values()):
-        near = (n >= threshold / (2 - threshold) * len(g) - 1e-9) & (n <= (2 - threshold) / threshold * len(g) + 1e-9)
-        shared = F.size(F.array_intersect(F.col("_g"), F.array(*[F.lit(x) for x in g])))
-        dice = 2.0 * shared / (n + len(g))
-        found.append(F.when(near & (dice >= threshold), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), shared.alias("shared"))))
+    def normal(column):
+        plain = F.regexp_replace(F.translate(column, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", " ")
+        return F.filter(F.split(F.trim(plain), " "), lambda w: w != "")
+
+    def pairs(w):
+        return F.when(F.size(w) >= 2, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+
+    def once(value, use):
+        """use(value), with value worked out once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    ratio, templates_ = threshold / (2 - threshold), list(grams.values())
+    lists = [F.array(*[F.lit(x) for x in g]) for g in templates_]
+
+    def line_match(line):
+        def best(g):
+            n, found = F.size(g), []
+            for k, template in enumerate(templates_):
+                near = (n >= ratio * len(template) - 1e-9) & (n <= len(template) / ratio + 1e-9)
+                shared = F.size(F.array_intersect(g, lists[k]))
+                dice = 2.0 * shared / (n + len(template))
+                found.append(F.when(near & (dice >= threshold), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), shared.alias("shared"), line["no"].alias("line"))))
+            return F.array_max(F.array(*found))
+
+        return once(F.array_distinct(pairs(line["w"])), best)
+
+    def windows(k):
+        """Of each of the text's bigrams that template k has: the best window from there on, if it matches."""
+        size = len(templates_[k])
+        least, length, most = math.ceil(ratio * size - 1e-9), lengths[k], max(lengths[k], math.floor(size / ratio + 1e-9))
+
+        def window(i, j):
+            def rate(part):
+                shared = F.size(F.array_intersect(part, lists[k]))
+                return F.struct((2.0 * shared / (F.size(F.array_distinct(part)) + size)).alias("dice"), shared.alias("shared"), (-j).alias("end"))
+
+            return once(F.slice("_g", i + 1, j - i + 1), rate)
+
+        def longest(hits):
+            def of(i, p):
+                # at the end of the text it begins earlier
+                first = F.greatest(F.lit(0), F.least(i, F.size("_g") - length))
+                ends = F.filter(F.slice(hits, p + 1, F.lit(most)), lambda j: (j - first + 1 > length) & (j - first + 1 <= most))
+                ends = F.concat(ends, F.array(F.least(first + length, F.size("_g")) - 1))
+                best = F.array_max(F.transform(ends, lambda j: window(first, j)))
+                return once(best, lambda b: F.when(b["dice"] >= threshold, F.struct((-b["dice"]).alias("worse"), (-b["shared"]).alias("fewer"), first.alias("start"), F.lit(k).alias("k"), (-b["end"]).alias("end"))))
+
+            return F.filter(F.transform(hits, of), lambda c: c.isNotNull())
+
+        hits = F.filter(F.transform("_g", lambda g, i: F.when(F.array_contains(lists[k], g), i)), lambda i: i.isNotNull())
+        return once(F.when(F.size(F.array_intersect(F.col("_g"), lists[k])) >= least, hits).otherwise(F.array().cast("array<int>")), longest)
+
+    lines = F.transform(F.split(F.col(text), "\n"), lambda line, i: F.struct((i + 1).alias("no"), normal(line).alias("w"), holds(line).alias("held")))
+    texts = docs.where(holds(F.col(text))).select(id_col, lines.alias("_lines"))
+    matches = F.filter(F.transform(F.filter("_lines", lambda x: x["held"]), line_match), lambda m: m.isNotNull())
+    at = F.flatten(F.transform("_lines", lambda x: F.transform(x["w"], lambda _: x["no"])))
+    texts = texts.select(id_col, matches.alias("_m"), at.alias("_at"), pairs(F.flatten(F.transform("_lines", lambda x: x["w"]))).alias("_g"))
+    texts = texts.select(id_col, "_m", "_at", F.array_sort(F.flatten(F.array(*[windows(k) for k in range(len(grams))]))).alias("_c"))
+    apart = lambda a, b: (a["start"] > b["end"] + 1) | (b["start"] > a["end"] + 1)
+    kept = F.aggregate("_c", F.slice("_c", 1, 0), lambda done, c: F.when(F.exists(done, lambda d: ~apart(c, d)), done).otherwise(F.concat(done, F.array(c))))
+    placed = F.transform(kept, lambda c: F.struct((-c["worse"]).alias("dice"), (-c["k"]).alias("k"), (-c["fewer"]).alias("shared"), F.element_at("_at", c["start"] + 1).alias("line"), F.element_at("_at", c["end"] + 2).alias("last")))
+    told = lambda m, c: (m["k"] == c["k"]) | (m["dice"] > c["dice"]) | ((m["dice"] == c["dice"]) & (m["shared"] >= c["shared"]))
+    texts = texts.select(id_col, "_m", placed.alias("_p"))
+    new = F.filter("_p", lambda c: ~F.exists("_m", lambda m: m["line"].between(c["line"], c["last"]) & told(m, c)))
+    new = F.transform(new, lambda c: F.struct(c["dice"].alias("dice"), c["k"].alias("k"), c["shared"].alias("shared"), c["line"].alias("line")))
     names = F.array(*[F.lit(x) for x in grams])
-    best = lines.select(id_col, "line_no", F.array_max(F.array(*found)).alias("_b")).where(F.col("_b").isNotNull())
-    return best.select(id_col, "line_no", F.element_at(names, 1 - F.col("_b.k")).alias("license"), F.col("_b.shared").alias("shared"), F.col("_b.dice").alias("dice"))
+    # outer, as Spark would work out the lists of explode twice, to filter empty ones first
+    best = texts.select(id_col, F.explode_outer(F.concat("_m", new)).alias("_b")).where(F.col("_b").isNotNull())
+    return best.select(id_col, F.col("_b.line").alias("line_no"), F.element_at(names, 1 - F.col("_b.k")).alias("license"), F.col("_b.shared").alias("shared"), F.col("_b.dice").alias("dice"))
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    """The same for DuckDB over documents, without anchors and size bounds."""
+    """The lines of ``scan`` for DuckDB over documents, without anchors and size bounds; its passages are not in SQL."""
     values = ", ".join(f"('{name}', '{g}', {len(gs)})" for name, t in sorted((templates or TEMPLATES).items()) if (gs := bigrams(t)) for g in gs)
     return f"""
 WITH t(license, gram, n_b) AS (VALUES {values}),

@@ -213,6 +213,27 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+def test_licence_passages(spark):
+    """Notices in a line with other words, wrapped ones, and several of them; a notice is told once."""
+    t = licences.TEMPLATES
+    gpl, header = t["GPL-3.0"], t["Apache-2.0-header"]
+    texts = [
+        "Copyright 2020 Foo. Released under the MIT License.",
+        "x y\n" + gpl.replace(" GNU ", "\nGNU ") + "\nz",
+        "/*\n * " + t["BSD-2-Clause"].replace(" without ", "\n * without ") + "\n */\n\n" + t["ISC"].replace(" for ", "\n for ").replace(" and ", "\n and "),
+        header.replace("; you ", ";\nyou "),
+        "a b c " + t["MIT"] + " d e f g h i j k l m n o p " + t["CC-BY-NC-4.0"] + " q r s t u v w x y z " + t["MIT"],
+        gpl + "\n" + gpl,
+        "The license of it\nwas the license\nof this License. Licensed under the\nApache License, Version 1.1 of it",
+    ]
+    got = sorted((r["doc_id"], r["line_no"], r["license"], round(r["dice"], 2)) for r in licences.scan(frame(spark, texts)).collect())
+    assert [r for r in got if r[0] != 3] == [
+        (0, 1, "MIT", 1.0), (1, 2, "GPL-3.0", 1.0), (2, 2, "BSD-2-Clause", 1.0), (2, 6, "ISC", 1.0),
+        (4, 1, "CC-BY-NC-4.0", 1.0), (4, 1, "MIT", 1.0), (4, 1, "MIT", 1.0), (5, 1, "GPL-3.0", 1.0), (5, 2, "GPL-3.0", 1.0),
+    ]
+    assert (3, 1, "Apache-2.0-header", 1.0) in got
+
+
 def test_licence_anchors_are_enough():
     grams = {n: licences.bigrams(t) for n, t in licences.TEMPLATES.items()}
     words = set(licences.anchors(grams, licences.THRESHOLD))

@@ -8,7 +8,7 @@ n(t) its occurrences in the corpus (outside of mentions), and p(e) the share of
 
 is 1 if t occurs beside e only, and 0 if it is independent. A passage is judged by the others: of c different contexts
 of a pair c - 1 speak for it, so n(e, t) is weighed by (c - 1) / c. One context alone proves nothing, two cost one bit,
-and many cost next to nothing; there is no least number. Different documents with the same line are different contexts, as
+and many cost next to nothing; there is no least number. A term is any run of letters and digits. Different documents with the same line are different contexts, as
 are different passages of one document; copies of a document, edited ones too, count once as a rule. Terms at or
 above a threshold are generalised, and from a second threshold on removed, beside the mentions that they would reveal.
 """
@@ -33,9 +33,9 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,40}")
+_TERM = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: Code points on each side of a mention, in its line, that count as beside it.
+#: Code points on each side of a mention, over line breaks, that count as beside it.
 REACH = 200
 #: Min-hashes of a context; two contexts differ if all of them differ.
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -97,23 +97,22 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     document = _minima(text.split()).astype(np.int64) << 32
     for s, kind, e in spans:
         value = text[s:e].lower() if kind < 2 else _NOT_DIGIT.sub("", text[s:e])
-        line_lo, line_hi = max(text.rfind("\n", max(0, s - REACH - 1), s) + 1, s - REACH, 0), text.find("\n", e, e + REACH)
-        line_hi = min(len(text), e + REACH) if line_hi < 0 else line_hi
-        while first < len(covered) and covered[first][1] <= line_lo:
+        from_, to = max(0, s - REACH), min(len(text), e + REACH)
+        while first < len(covered) and covered[first][1] <= from_:
             first += 1
         near = []
         for k in range(first, len(covered)):
-            if covered[k][0] >= line_hi:
+            if covered[k][0] >= to:
                 break
             near.append(covered[k])
         entity, terms = hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=16).hexdigest(), []
-        for m in _TERM.finditer(text, line_lo, line_hi):
+        for m in _TERM.finditer(text, from_, to):
             a, b = m.span()
-            whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
+            whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
             if whole and (entity, a) not in seen and not any(a < hi and lo < b for lo, hi in near):
                 seen.add((entity, a))
                 terms.append({"term": m.group().lower(), "start": a, "end": b})
-        around = document | _minima([*text[line_lo:s].split(), "", *text[e:line_hi].split()])
+        around = document | _minima([*text[from_:s].split(), "", *text[e:to].split()])
         out.append({"entity": entity, "around": around.tolist(), "terms": terms})
     return out
 

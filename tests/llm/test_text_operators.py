@@ -177,7 +177,7 @@ def test_same_line_in_different_documents(spark):
     texts = [f"{filler(40)}\nJane Doe <jane@x.com>\n{filler(40)}" for _ in range(30)]
     texts += [f"{filler(40)}\n{filler(3)} Quixote <quix@x.com> {filler(3)}\n{filler(40)}" for _ in range(2)]
     edited = filler(100)
-    texts += [f"{edited}\nOnly Here <only@x.com>\n{filler(3)}" for _ in range(2)] + [filler(100) for _ in range(1000)]
+    texts += [f"{edited}\nOnly Here <only@x.com>\n{filler(3)}" for _ in range(2)] + [filler(100) for _ in range(3000)]
     found = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, texts), carry=["doc_id"]).collect()}
     terms = lambda i: {(texts[i][s["start"] : s["end"]], s["remove"]) for s in found[i]["spans"] if s["kind"] == 4}
     assert all(terms(i) == {("Jane", True), ("Doe", True)} for i in range(30))
@@ -185,6 +185,17 @@ def test_same_line_in_different_documents(spark):
     assert not terms(32) and not terms(33) and not terms(40)
 
 
+def test_terms_across_lines(spark):
+    """Names on the line above, short and CJK ones, and identifiers with digits."""
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    texts = [f"{filler(60)}\nJane Oz\n\u738b\u4f1f KD48213\njane@x.com\n{filler(60)}" for _ in range(12)] + [filler(100) for _ in range(600)]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, texts), carry=["doc_id"]).collect()}
+    for i in range(12):
+        assert {texts[i][s["start"] : s["end"]] for s in found[i]["spans"] if s["kind"] == 4} == {"Jane", "Oz", "\u738b\u4f1f", "KD48213"}
+    assert not any(found[i]["spans"] for i in range(12, len(texts)))
+
+
 def test_clashing_names(spark):
     docs = frame(spark, ["mail a@b.cd", "x y z", None], sources=["a", None, "a"])
     for name in ("base", "spans", "target", "taken", "source_size", "shard", "slot", "id", "key", "rep", "n", "_score"):

@@ -137,20 +137,19 @@ _ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.list
 
 
 def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_inside", T.ArrayType(T.StringType())), T.StructField("_pii_n_terms", T.LongType())]
+    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_inside", T.ArrayType(T.StringType()))]
     rows = docs.select(F.monotonically_increasing_id().alias("_pii_row"), *carry, F.col(text).alias("_pii_text"))
 
     def run(batches):
         for batch in batches:
-            base, contexts, within, n_terms = [], [], [], []
+            base, contexts, within = [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 spans = base_spans(t)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 contexts.append(_contexts(t, spans) if spans else [])
                 within.append(_inside(t, spans) if spans else [])
-                n_terms.append((len(t) // 6 + 1) if t else 0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(within, pa.list_(pa.string())), pa.array(n_terms, pa.int64())],
+                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(within, pa.list_(pa.string()))],
                 names=[f.name for f in fields],
             )
 
@@ -159,7 +158,7 @@ def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
 
 def _count_terms(docs: DataFrame, text: str, inside: DataFrame, wanted: np.ndarray, mask: int) -> DataFrame:
     """Occurrences in all texts, but for those inside mentions, of the terms whose hash is wanted: (term, n_term), partly
-    summed by batch."""
+    summed by batch. The row of the null term has the number of all terms."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
@@ -169,7 +168,7 @@ def _count_terms(docs: DataFrame, text: str, inside: DataFrame, wanted: np.ndarr
             for t in batch.column(0).to_pylist():
                 if t:
                     found.update(_TERM.findall(t))
-            sums: Counter = Counter()
+            sums: Counter = Counter({None: found.total()})
             for term, n in found.items():
                 low = term.lower()
                 if keep[zlib.crc32(low.encode("utf-8", "replace")) & mask]:
@@ -177,7 +176,7 @@ def _count_terms(docs: DataFrame, text: str, inside: DataFrame, wanted: np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select(text).mapInArrow(run, "term string, n long")
-    return counted.unionByName(inside.select("term", F.lit(-1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n_term"))
+    return counted.unionByName(inside.select(F.explode(F.array("term", F.lit(None))).alias("term"), F.lit(-1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
@@ -218,8 +217,10 @@ def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0
     mask = (1 << filter_bits) - 1
     wanted = np.zeros(mask + 1, bool)
     wanted[likely.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().toArrow().column("h").to_numpy()] = True
-    total = max(found.agg(F.sum("_pii_n_terms")).first()[0] or 0, 1)
-    counts = _count_terms(docs, text, found.select(F.explode("_pii_inside").alias("term")), wanted, mask)
+    total = 1
+    if wanted.any():
+        counts = scratch.table(_count_terms(docs, text, found.select(F.explode("_pii_inside").alias("term")), wanted, mask), "counts")
+        total = max(counts.where(F.col("term").isNull()).first()["n_term"], 1)
     bits = -F.log2(F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(total))))
     disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * (F.col("contexts") - 1) / F.col("contexts")) / bits
     disclosing = (likely.join(counts, "term") if wanted.any() else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)

@@ -196,6 +196,19 @@ def test_terms_across_lines(spark):
     assert not any(found[i]["spans"] for i in range(12, len(texts)))
 
 
+def test_terms_are_counted(spark):
+    """All terms outside of mentions are counted, and characters that make no term change nothing."""
+    docs = frame(spark, ["ab c1, \u738b\u4f1f x@y.zz", "--- " * 5000, None, "", "c1"])
+    wanted = np.ones(1 << 8, bool)
+    inside = spark.createDataFrame([("x",), ("y",), ("zz",)], "term string")
+    assert {tuple(r) for r in pii._count_terms(docs, "text", inside, wanted, 255).collect() if r["n_term"]} == {(None, 4), ("ab", 1), ("c1", 2), ("\u738b\u4f1f", 1)}
+    rng = random.Random(7)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    texts = [f"{filler(60)}\nAda {filler(3)} ada@x.com\n{filler(60)}" for _ in range(2)] + [filler(100) for _ in range(300)]
+    spans = lambda t: [[(s["start"], s["end"]) for s in r["spans"]] for r in sorted(pii.find_personal_data(frame(spark, t), carry=["doc_id"]).where("doc_id < 302").collect())]
+    assert spans(texts) == spans([*texts, "-" * 3_000_000])
+
+
 def test_clashing_names(spark):
     docs = frame(spark, ["mail a@b.cd", "x y z", None], sources=["a", None, "a"])
     for name in ("base", "spans", "target", "taken", "source_size", "shard", "slot", "id", "key", "rep", "n", "_score"):

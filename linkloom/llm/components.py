@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
 
     Each step re-links neighbours to the smallest neighbour, found by a partly summed minimum, so a vertex with
     very many neighbours is split over tasks; the join back is one that Spark splits where it is skewed. Each
-    step is written to the shared folder, and its predecessor removed. Ends when a step changes nothing.
+    step is written to the shared folder, and its predecessor removed. Ends when a step changes nothing; it is an
+    error if ``most_rounds`` steps don't get there.
     """
     tidy = lambda e: e.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     nodes = scratch.table(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}_nodes")
@@ -33,6 +34,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         now, before, state = after, state, tuple(row)
         if state == before or row[0] == 0:
             break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     stars = now.groupBy("hi").agg(F.min("lo").alias("component"))
     return nodes.join(stars, F.col("id") == F.col("hi"), "left").select("id", F.coalesce("component", "id").alias("component"))
 

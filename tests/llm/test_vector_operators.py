@@ -74,3 +74,9 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {v: names[labels[k]] for k, v in enumerate(names)}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_components_tell_when_they_are_not_done(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, Scratch(spark, "t"), most_rounds=1)

@@ -31,21 +31,24 @@ def over_threshold(mentions: DataFrame, scheduled: DataFrame, threshold: int) ->
     return mentions.where(F.col("n") > threshold).join(scheduled.select("site"), "site", "left_anti")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int, most_levels: int = 1000) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int, most_levels: int = 0) -> DataFrame:
     """(site, depth) of all sites that are reached: the seeds are at depth 1; a site is scheduled when the items of all
     sites scheduled so far mention it more than ``threshold`` times, at one more than the depth of the newest level.
 
     edges: (site, target, n): n mentions of target by the items of site. Each level is one aggregation over the edges
-    of the reached sites, checkpointed. depth_limit 0: no limit.
+    of the reached sites, checkpointed. depth_limit 0: no limit. With
+    ``most_levels`` it is an error if sites are left beyond so many levels.
     """
     reached = seeds.select("site").distinct().withColumn("depth", F.lit(1))
     level = 1
-    while level < most_levels and not (depth_limit and level >= depth_limit):
+    while not (depth_limit and level >= depth_limit):
         known = edges.join(reached.select("site"), "site").groupBy("target").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
         new = known.select(F.col("target").alias("site")).join(reached.select("site"), "site", "left_anti").withColumn("depth", F.lit(level + 1))
         new = _checkpointed(new)
         if new.isEmpty():
             break
+        if most_levels and level >= most_levels:
+            raise RuntimeError(f"sites are left after {most_levels} levels")
         reached, level = _checkpointed(reached.unionByName(new)), level + 1
     return reached
 

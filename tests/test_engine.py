@@ -260,6 +260,14 @@ def test_frontier(spark):
     assert [r[0] for r in answers.select(frontier.dead_state(F.col("s"), F.col("c"), F.col("f"))).collect()] == [False, True, True, True, None]
 
 
+def test_frontier_tells_of_sites_beyond_its_levels(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "site string, target string, n long")
+    seeds = spark.createDataFrame([("a",)], "site string")
+    with pytest.raises(RuntimeError):
+        frontier.expand(edges, seeds, 0, 0, most_levels=2)
+    assert frontier.expand(edges, seeds, 0, 0, most_levels=4).count() == 4 and frontier.expand(edges, seeds, 0, 2).count() == 2
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(i, "k", v) for i, v in enumerate([5, 1, 1, 5, 9])], "i int, k string, v long")
     rows = stats.rolling_stats(df, "v", ["i"], ["k"], last=3).orderBy("i").collect()

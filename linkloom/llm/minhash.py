@@ -232,6 +232,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     A group of m similar documents isn't compared pair by pair: in each bucket of a band all are compared with one
     pivot, another one in each of ``star_rounds`` rounds. After that those outside a group's largest component are
     compared with all of the group, in blocks, so no link that joins two components is lost. Nothing is capped.
+    Families of buckets with at most 8192 documents are compared as a whole, so pairs that share no band are found there as
+    well; in larger ones, only pairs that share a bucket.
 
     Null and empty texts have no shingles and link with nothing, as have rows with a null id (null component,
     kept). Ids are expected to be unique; rows that share an id share a component. Other columns are ignored.

@@ -1,7 +1,9 @@
-"""Vectorised word and window hashes over UTF-8 bytes: Rabin-Karp prefix sums modulo 2**64.
+"""Vectorised word and window hashes over UTF-8 bytes.
 
-A prefix sum S[i] = sum(value[j] * base**j, j < i) gives every segment's hash as
-(S[end] - S[start]) * base**-start, for all segments at once and independent of position.
+A word's hash is the sum of a pseudo-random 64-bit value for each of its bytes and that byte's place (tabulation), so
+any two different words collide with a chance of about 2**-64, whatever their length. A window's is a Rabin-Karp
+hash: the word hashes as a polynomial at a random base modulo the prime 2**61 - 1, so any two different windows of k words
+collide with a chance of at most k / 2**61. All windows are hashed at once, by doubling: a window's hash comes from its halves'.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BYTE_VALUES = np.random.default_rng(20_011).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95, "word2": 0xDA942042E4DD58B5}
-_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+PRIME = (1 << 61) - 1
+_P, _61, _32, _29 = np.uint64(PRIME), np.uint64(61), np.uint64(32), np.uint64(29)
+_LOW32, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+_BASES = dict(zip(("word", "word2"), np.random.default_rng(20_011).integers(1 << 32, PRIME, 2).tolist()))
+#: Bytes of a word with a value in the table; further ones' are worked out.
+_PLACES = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,21 +34,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, kept and grown by doubling."""
-    have = _POWERS.get(kind)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        out = []
-        for b in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
-            p = np.ones(size, np.uint64)
-            done = 1
-            while done < size:
-                p[done : 2 * done] = p[:done] * np.uint64(pow(b, done, 1 << 64))
-                done *= 2
-            out.append(p)
-        have = _POWERS[kind] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+def _byte_values(cells: np.ndarray) -> np.ndarray:
+    """The value of each cell (place * 256 + byte)."""
+    return mixed(mixed(cells.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0xD1342543DE82EF95))
+
+
+_TABLE = _byte_values(np.arange(_PLACES * 256))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,21 +59,59 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _powers("byte", len(raw) + 1)
+    """Hashes of the segments raw[starts[i]:ends[i]], which are sorted and don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    begin = np.zeros(len(raw), np.int32 if len(raw) < 1 << 31 else np.int64)
+    begin[starts] = starts
+    place = np.arange(len(raw), dtype=begin.dtype) - np.maximum.accumulate(begin)
+    value = _TABLE[np.minimum(place, _PLACES - 1) << 8 | raw]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = _byte_values(place[far].astype(np.int64) << 8 | raw[far])
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * power[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(value, out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo the prime, without the last reduction (below 2**63); both are below the prime.
+
+    By halves of 32 bits: 2**64 is 8, and 2**32 * m is (m >> 29) + ((m & (2**29 - 1)) << 32), as 2**61 is 1.
+    """
+    hi, lo = np.uint64(factor >> 32), np.uint64(factor & ((1 << 32) - 1))
+    x_hi, x_lo = x >> _32, x & _LOW32
+    middle = x_hi * lo
+    middle += x_lo * hi
+    low = x_lo * lo
+    out = x_hi * (hi << np.uint64(3))
+    out += middle >> _29
+    out += (middle & _LOW29) << _32
+    out += low & _P
+    out += low >> _61
+    return out
 
 
 def window_hashes(hashes: np.ndarray, k: int, kind: str = "word") -> np.ndarray:
-    """Hash of hashes[i:i+k] for each i; windows may cross documents, so callers mask them."""
-    n = len(hashes)
-    if n < k:
+    """Hash of hashes[i:i+k] for each i, all 64 bits in use; windows may cross documents, so callers mask them."""
+    if len(hashes) < k:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(kind, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * power[:-1], out=sums[1:])
-    return mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+    base = _BASES[kind]
+    one = _reduced(hashes)
+    out, length = one, 1
+    for bit in bin(k)[3:]:  # from the highest bit on: double, and one more where it is set
+        out = _reduced(_times(out[:-length], pow(base, length, PRIME)) + out[length:])
+        length *= 2
+        if bit == "1":
+            out = _reduced(_times(out[:-1], base) + one[length:])
+            length += 1
+    return mixed(out)
 
 
 def inside(word_offsets: np.ndarray, k: int) -> np.ndarray:

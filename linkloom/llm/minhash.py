@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components, unite
 from .hashing import LOWER, inside, mixed, window_hashes, word_hashes, words
-from .runtime import Scratch, slices, small, text_bytes
+from .runtime import Scratch, integer_ids, slices, small, text_bytes
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +236,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
     well; in larger ones, only pairs that share a bucket.
 
     Null and empty texts have no shingles and link with nothing, as have rows with a null id (null component,
-    kept). Ids are expected to be unique; rows that share an id share a component. Other columns are ignored.
+    kept). Ids are integers and expected to be unique: components go by text, so rows that share an id but not a text may
+    be in different ones, and callers whose ids repeat give a key of their own. Other columns are ignored; very long
+    texts are taken as a whole; an empty table gives none.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    integer_ids(docs, id_col)
     digest = scratch.table(_digest(docs, k, hashes, rows, seed, id_col, text), "digest")
     linkable = digest.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = scratch.table(linkable.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
@@ -281,6 +284,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, hashes
         components = scratch.table(connected_components(links, scratch, f"cc_{r}"), f"components_{r}")
     more = _between_components(scratch, _placed(members, components), sets, percent)
     components = scratch.table(connected_components(links.unionByName(more), scratch, "cc"), "components")
+    scratch.keep("digest", "classes", "components")
 
     known = classes.select("s1", "s2", "rep").join(components.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = digest.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1"), "s2").join(known, ["s1", "s2"], "left")

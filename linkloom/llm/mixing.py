@@ -24,7 +24,8 @@ def water_fill(sizes: list[float], weights: list[float], budget: float, cap: flo
         for i in over:
             targets[i] = float(cap * sizes[i])
         left -= sum(targets[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return targets
 
 
@@ -32,8 +33,9 @@ def word_count(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", id_col: str = "doc_id", buckets: int = 4096) -> DataFrame:
-    """docs with size, source_size, target and taken added (words; names are overwritten if there).
+def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", id_col: str = "doc_id", buckets: int = 4096, prefix: str = "") -> DataFrame:
+    """docs with size, source_size, target and taken added (words; columns of those names are replaced, so give a ``prefix``
+    for the new ones to keep them).
 
     ``weigh(names, sizes)`` gives the weight of each source; they come sorted by code point, null last. The list
     of sources, one row each, is the mix's configuration and is held on the driver. A source takes
@@ -42,12 +44,15 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     source's taken words equal its rounded target, and no document exceeds ceil(cap) times its size.
 
     Only documents of one hash bucket of each source (1/4096 of it) are sorted; all others are decided
-    where they are read. Null text has size 0; a source of size 0 gets target 0; an empty table gives none.
+    where they are read. Null text has size 0; a source of size 0 gets target 0; an empty table gives none. Repeated rows and
+    ids, and null ids, are taken row by row; ties of the hash go by id, then by a hash of the text. Very long texts are
+    only counted. Columns that begin with _mix_ are reserved.
     """
     spark = docs.sparkSession
+    size, whole_size, target, taken_ = (f"{prefix}{n}" for n in ("size", "source_size", "target", "taken"))
     hashed = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = docs.drop("source_size", "target", "taken").withColumns({"size": word_count(F.col(text)), "_mix_h": hashed, "_mix_bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "_mix_s": F.col(source)})
-    by_bucket = Scratch(spark, "mix").table(rows.groupBy("_mix_s", "_mix_bucket").agg(F.sum("size").alias("n")), "buckets")
+    rows = docs.drop(whole_size, target, taken_).withColumns({size: word_count(F.col(text)), "_mix_h": hashed, "_mix_bucket": F.pmod(hashed, F.lit(buckets)).cast("int"), "_mix_s": F.col(source)})
+    by_bucket = Scratch(spark, "mix").table(rows.groupBy("_mix_s", "_mix_bucket").agg(F.sum(size).alias("n")), "buckets")
     totals = sorted(((r["_mix_s"], int(r["n"])) for r in by_bucket.groupBy("_mix_s").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     targets = water_fill(sizes, weigh([s for s, _ in totals], sizes), share * sum(sizes), cap)
@@ -65,26 +70,28 @@ def mix(docs: DataFrame, weigh, share: float, cap: float = 2.0, seed: int = 17,
     )  # one row for each source at most
     edge_of = {r["_mix_s"]: (r["_mix_bucket"], r["_mix_base"]) for r in edge}
     plan = spark.createDataFrame(
-        [(s, n, t, w, r, *edge_of.get(s, (None, None))) for (s, n), t, w, r in zip(totals, targets, whole, rest)], "_mix_source string, source_size long, target double, _mix_whole long, _mix_rest long, _mix_edge int, _mix_base long"
+        [(s, n, t, w, r, *edge_of.get(s, (None, None))) for (s, n), t, w, r in zip(totals, targets, whole, rest)],
+        f"_mix_source string, {whole_size} long, {target} double, _mix_whole long, _mix_rest long, _mix_edge int, _mix_base long",
     )
     if len(totals) <= MOST_BROADCAST:  # else Spark chooses by size
         plan = F.broadcast(plan)
     rows = rows.join(plan, F.col("_mix_s").eqNullSafe(F.col("_mix_source")))
     at_edge = F.coalesce(F.col("_mix_bucket") == F.col("_mix_edge"), F.lit(False))
     order = Window.partitionBy("_mix_s").orderBy("_mix_h", id_col, F.hash(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = F.sum("size").over(order) - F.col("size")
-    extra_edge = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_mix_rest") - F.col("_mix_base") - prior))
-    extra = F.when(F.coalesce(F.col("_mix_bucket") < F.col("_mix_edge"), F.lit(False)), F.col("size")).otherwise(F.lit(0))
-    taken = lambda e: (F.col("_mix_whole") * F.col("size") + e).cast("long")
-    out = rows.where(~at_edge).withColumn("taken", taken(extra)).unionByName(rows.where(at_edge).withColumn("taken", taken(extra_edge)))
+    prior = F.sum(size).over(order) - F.col(size)
+    extra_edge = F.least(F.col(size), F.greatest(F.lit(0), F.col("_mix_rest") - F.col("_mix_base") - prior))
+    extra = F.when(F.coalesce(F.col("_mix_bucket") < F.col("_mix_edge"), F.lit(False)), F.col(size)).otherwise(F.lit(0))
+    taken = lambda e: (F.col("_mix_whole") * F.col(size) + e).cast("long")
+    out = rows.where(~at_edge).withColumn(taken_, taken(extra)).unionByName(rows.where(at_edge).withColumn(taken_, taken(extra_edge)))
     return out.drop("_mix_h", "_mix_bucket", "_mix_s", "_mix_source", "_mix_whole", "_mix_rest", "_mix_edge", "_mix_base")
 
 
-def repeat_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
+def repeat_texts(mixed: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """The mix itself: a row for each repetition, the fractional one cut to its words (joined by a space). Documents
     without words have no repetition."""
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    size, taken = F.col(f"{prefix}size"), F.col(f"{prefix}taken")
+    copies = F.when(size > 0, F.ceil(taken / size)).otherwise(0).cast("int")
     rows = mixed.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    left = F.col("taken") - (F.col("_mix_copy") - 1) * F.col("size")
+    left = taken - (F.col("_mix_copy") - 1) * size
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    return rows.withColumn(text, F.when(left >= F.col("size"), F.col(text)).otherwise(cut)).drop("_mix_copy")
+    return rows.withColumn(text, F.when(left >= size, F.col(text)).otherwise(cut)).drop("_mix_copy")

@@ -78,11 +78,39 @@ _MARK[[ord("."), ord(",")]] = True
 _KNOWN: dict[tuple, WordIds] = {}
 
 
+def _before(lengths: np.ndarray) -> np.ndarray:
+    """n+1 offsets of parts that lie one after another."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places in the ranges that start at starts[i] and have lengths[i] places."""
+    before = _before(lengths)
+    return np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])
+
+
+class _Pool:
+    """An array that grows."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Where they lie from now on."""
+        at = self.used
+        if at + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(max(len(more), len(self.data) // 2) + 1, self.data.dtype)])
+        self.data[at : at + len(more)] = more
+        self.used += len(more)
+        return at
+
+
 class WordIds:
     """Ids of whole texts, for a tokenizer that lower-cases, drops white space and merges nothing across it, nor
     across the border of a letter or digit and a full stop or comma: a text's ids are its words' ids one after
-    another. Each distinct word is encoded once and found again by its 64-bit hash in a sorted array; at most
-    ``most`` words, about 40 bytes each, are kept in a Python worker."""
+    another. Each distinct word is encoded once and found again by its 64-bit hash in a sorted array, and its bytes are
+    compared with those of the word that was encoded, so a clash of hashes changes no ids: texts with one are encoded by
+    themselves. At most ``most`` words, about 50 bytes each, are kept in a Python worker."""
 
     def __init__(self, path: str, end_id: int | None, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,10 +122,11 @@ class WordIds:
 
     def _clear(self) -> None:
         self.hashes, self.at, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.pool, self.bytes = _Pool(np.uint32), _Pool(np.uint8)
+        self.spelled, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encodes words that aren't known; hashes are sorted."""
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words one after another, and how many each has."""
         text = raw.tobytes()
         listed = [text[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
         flat, lengths = array("I"), []
@@ -106,14 +135,22 @@ class WordIds:
                 ids = e.ids
                 flat.extend(ids)
                 lengths.append(len(ids))
-        lengths = np.array(lengths, np.int32)
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), len(self.pool) // 2) + 1, np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = np.frombuffer(flat, np.uint32) if len(flat) else []
-        at = self.used + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
-        self.used += len(flat)
+        return np.frombuffer(flat, np.uint32) if len(flat) else np.zeros(0, np.uint32), np.array(lengths, np.int64)
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes words that aren't known; hashes are sorted."""
+        flat, lengths = self._encoded(raw, starts, ends)
+        at = self.pool.add(flat) + _before(lengths)[:-1]
+        size = ends - starts
+        spelled = self.bytes.add(raw[_ranges(starts, size)]) + _before(size)[:-1]
         place = np.searchsorted(self.hashes, hashes)
         self.hashes, self.at, self.length = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.length, place, lengths)
+        self.spelled, self.size = np.insert(self.spelled, place, spelled), np.insert(self.size, place, size)
+
+    def _same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> bool:
+        """Whether each word's bytes are those of the known word that its hash found."""
+        size = ends - starts
+        return bool((self.size[known] == size).all()) and bool((self.bytes.data[_ranges(self.spelled[known], size)] == raw[_ranges(starts, size)]).all())
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts raw[offsets[i]:offsets[i+1]], each with the end id."""
@@ -134,9 +171,13 @@ class WordIds:
         if new.any():
             self._learn(raw, hashes[new], a[first[new]], b[first[new]])
             found = np.searchsorted(self.hashes, hashes)
-        at, length = self.at[found][which], self.length[found][which].astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(length)])
-        flat = self.pool[np.repeat(at - before[:-1], length) + np.arange(before[-1])]
+        known = found[which]
+        if self._same(raw, a, b, known):
+            length = self.length[known].astype(np.int64)
+            flat = self.pool.data[_ranges(self.at[known], length)]
+        else:
+            flat, length = self._encoded(raw, a, b)
+        before = _before(length)
         bounds = before[np.searchsorted(a, offsets)]
         tail = np.array([] if self.end_id is None else [self.end_id], np.uint32)
         return [np.concatenate([flat[lo:hi], tail]) for lo, hi in zip(bounds[:-1], bounds[1:])]

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Written folders: (session, path, weak reference to the JVM's file index of the table that reads it, or None).
-_CREATED: list[tuple[SparkSession, str, object]] = []
+#: What was written and isn't removed yet: (session, folder, catalog table or None). Without a scope it stays until the driver ends.
+_Written = list[tuple[SparkSession, str, str | None]]
+_ALL: _Written = []
+_SCOPE: ContextVar[_Written] = ContextVar("linkloom_scope", default=_ALL)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a local master (as in tests) gets one of
+    its own; on a cluster that is an error, as no machine sees another one's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.linkloom.scratch", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
             spark.conf.set("spark.linkloom.scratch", base)
     return base.rstrip("/")
@@ -32,52 +40,84 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sweep(everything: bool = False) -> None:
-    """Removes written tables that no plan reads any more: those whose file index the JVM has collected."""
-    left = []
-    for spark, path, ref in _CREATED:
-        try:
-            if everything or ref is not None and ref.get() is None:
-                _delete(spark, path)
-            else:
-                left.append((spark, path, ref))
-        except Exception:  # noqa: BLE001  the session has ended, and its folders with it
-            continue
-    _CREATED[:] = left
+def _release(written: _Written) -> None:
+    for spark, path, table in written:
+        with contextlib.suppress(Exception):  # the session may have ended, and its folders with it
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _delete(spark, path)
+    written.clear()
 
 
-atexit.register(sweep, True)
+atexit.register(_release, _ALL)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Removes at its end what operators have written within it. Their results are lazy and read those tables, so they must
+    have been written or collected by then."""
+    mine: _Written = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _release(mine)
 
 
 class Scratch:
     """Written tables of one run of an operator, in the shared folder, so that a lost executor loses nothing.
 
-    Lazy results read them, so a table lives until ``drop``, until no plan in the JVM refers to it any more, or until
-    the driver ends.
+    Lazy results read them, so a table lives until the operator drops it, the enclosing ``scope`` ends, or the driver does.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/linkloom-{name}-{uuid.uuid4().hex[:12]}"
-        sweep()
+        self.names: set[str] = set()
+        _SCOPE.get().append((spark, self.path, None))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again: cuts the lineage."""
         path = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        index = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
-        _CREATED.append((self.spark, path, self.spark._jvm.java.lang.ref.WeakReference(index)))
-        return out
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-        """Write df as a table hashed by a column, so that later joins on it don't shuffle this side."""
+        """Write df as a table hashed by a column, so that later joins on it don't shuffle this side. Spark's limit on the
+        number of buckets is raised where it is lower."""
+        limit = "spark.sql.sources.bucketing.maxBuckets"
+        if buckets > int(self.spark.conf.get(limit, "100000")):
+            self.spark.conf.set(limit, str(buckets))
         table = f"linkloom_{name}_{self.path[-12:]}"
-        _CREATED.append((self.spark, f"{self.path}/{name}", None))
+        _SCOPE.get().append((self.spark, f"{self.path}/{name}", table))
         df.repartition(buckets, column).write.option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(buckets, column).saveAsTable(table)
         return self.spark.table(table)
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for name in names:
+            _delete(self.spark, f"{self.path}/{name}")
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        self.drop(*(self.names - set(names)))
+
+
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """Ids are compared and sent as 64-bit integers."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df begins with it, in any case."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
 
 
 def input_bytes(df: DataFrame) -> int:

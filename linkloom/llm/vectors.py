@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .components import connected_components, unite
-from .runtime import Scratch
+from .runtime import Scratch, integer_ids
 
 
 def usable(vector: str, dim: int | None = None) -> Column:
@@ -19,10 +19,9 @@ def usable(vector: str, dim: int | None = None) -> Column:
     return F.coalesce(fine & (F.size(v) == dim) if dim else fine, F.lit(False))
 
 
-def dimension(vectors: DataFrame, vector: str) -> int:
-    """The most common length of usable vectors (the larger of equal ones); others take no part."""
-    row = vectors.where(usable(vector)).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return row["d"] if row else 0
+def dimensions(vectors: DataFrame, vector: str) -> list[int]:
+    """The lengths of usable vectors, as a rule one. Only vectors of one length are compared with each other."""
+    return sorted(r["d"] for r in vectors.where(usable(vector)).select(F.size(vector).alias("d")).distinct().collect())
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -30,119 +29,131 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dim)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of norm 1; scaled first, so that squares of very large or small components don't overflow or vanish."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def dot_in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of a and b, summed from the first component to the last: equal rows have equal products, wherever
+    they stand in a matrix."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def _sample(vectors: DataFrame, id_col: str, dim: int, most: int) -> np.ndarray:
     rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(most).select("_v").collect()
     return np.array([r[0] for r in rows], np.float64).reshape(len(rows), dim)
 
 
-def compare(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool, lead: int, block: int = 1024):
+#: Products this close to the threshold are summed again in a fixed order, so that they don't depend on how they were come by.
+_UNSURE = 1e-9
+
+
+def compare(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool, steps: tuple[int, ...] = (8, 16, 32), block: int = 1024):
     """Yields (rows of a, rows of b) that reach the cosine threshold; a and b are unit rows.
 
-    In the PCA basis the product of the first ``lead`` components plus the product of the norms of the rest bounds
-    the cosine. It is taken for a block at once, as one more component, in single precision with a margin; only
-    pairs whose bound reaches the threshold are continued to all components, and decided in double precision.
+    In the PCA basis the product of the components so far plus the product of the norms of the rest bounds the cosine.
+    ``steps`` are where it is looked at: the first one for a block at once, with the norms as one more component, in
+    single precision with a margin; then only the pairs whose bound still reaches the threshold go on to the next step. A block of
+    which most pairs go on is finished at once. What is left after all components is decided in double precision.
     """
-    lead = min(lead, a.shape[1] - 1)
+    dim = a.shape[1]
+    steps = [*[s for s in steps if s < dim], dim]
+    x, y = a @ basis, b @ basis
+    rest_x, rest_y = ([np.linalg.norm(z[:, s:], axis=1) for s in steps] for z in (x, y))
+    bounded = lambda z, rest: np.hstack([z[:, : steps[0]], rest[0][:, None]]).astype(np.float32)
+    lead_x, lead_y, least = bounded(x, rest_x), bounded(y, rest_y), threshold - 1e-4
+
+    def decided(u, v, cosine):
+        unsure = np.abs(cosine - threshold) <= _UNSURE
+        sure = cosine >= threshold
+        sure[unsure] = dot_in_order(a[u[unsure]], b[v[unsure]]) >= threshold
+        return u[sure], v[sure]
 
-    def bounded(x):
-        y = (x @ basis).astype(np.float32)
-        return np.hstack([y[:, :lead], np.linalg.norm(y[:, lead:], axis=1, keepdims=True)]) if lead > 0 else y
-
-    pa_, pb = bounded(a), bounded(b)
-    least = np.float32(threshold - 1e-4)
     for i in range(0, len(a), block):
         for j in range(i if same else 0, len(b), block):
-            near = pa_[i : i + block] @ pb[j : j + block].T >= least
+            near = lead_x[i : i + block] @ lead_y[j : j + block].T >= np.float32(least)
             if same and i == j:
                 near = np.triu(near, 1)
             n = np.count_nonzero(near)
-            if not n:
-                continue
-            if n > 1 << 14:  # a dense block: all products at once
-                u, v = np.nonzero((a[i : i + block] @ b[j : j + block].T >= threshold) & near)
+            if n > near.size // 16:
+                cosine = a[i : i + block] @ b[j : j + block].T
+                u, v = np.nonzero(near & (cosine >= threshold - _UNSURE))
+                found = [decided(u + i, v + j, cosine[u, v])]
             else:
                 u, v = np.nonzero(near)
-                sure = np.einsum("ij,ij->i", a[i + u], b[j + v]) >= threshold
-                u, v = u[sure], v[sure]
-            if len(u):
-                yield u + i, v + j
-
+                u, v = u + i, v + j
+                cosine = np.einsum("ij,ij->i", x[u, : steps[0]], y[v, : steps[0]])
+                for k, (lo, hi) in enumerate(zip(steps[:-1], steps[1:]), 1):
+                    cosine += np.einsum("ij,ij->i", x[u, lo:hi], y[v, lo:hi])
+                    go = cosine + rest_x[k][u] * rest_y[k][v] >= threshold - _UNSURE
+                    u, v, cosine = u[go], v[go], cosine[go]
+                found = [decided(u, v, cosine)]
+            for u, v in found:
+                if len(u):
+                    yield u, v
+
+
+class Tiles:
+    """Boxes in the space of the leading principal components: all are halved at a sample's median, again and again, in the
+    component in which they are widest.
+
+    Unit vectors with cosine >= t lie within sqrt(2 - 2t) of each other, so boxes further apart than that hold no link.
+    """
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", id_col: str = "vec_id", tile: int = 16384, lead: int = 16, sample: int = 20_000) -> DataFrame:
+    def __init__(self, sample: np.ndarray, basis: np.ndarray, tiles: int, threshold: float, components: int = 8):
+        y = sample @ basis[:, :components]
+        levels, m = max(0, math.ceil(math.log2(tiles))), y.shape[1]
+        self.basis, self.count, self.borders = basis[:, :components], 1 << levels, []
+        self.reach = max(0.0, 2 - 2 * threshold) + 1e-9
+        low, high, at = np.full((1, m), -np.inf), np.full((1, m), np.inf), np.zeros(len(y), np.int64)
+        for level in range(levels):
+            inner = [y[at == t] for t in range(1 << level)]
+            c = int(np.argmax(sum(np.ptp(z, axis=0) for z in inner if len(z)))) if len(y) else 0
+            middle = [np.median(z[:, c]) if len(z) else 0.0 for z in inner]
+            border = np.clip(np.array(middle), low[:, c], high[:, c])
+            self.borders.append((c, border))
+            at = 2 * at + (y[:, c] >= border[at])
+            low, high = np.repeat(low, 2, 0), np.repeat(high, 2, 0)
+            high[0::2, c], low[1::2, c] = border, border
+        self.low, self.high = low, high
+
+    def of(self, unit_rows: np.ndarray) -> np.ndarray:
+        y, at = unit_rows @ self.basis, np.zeros(len(unit_rows), np.int64)
+        for c, border in self.borders:
+            at = 2 * at + (y[:, c] >= border[at])
+        return at
+
+    def near(self, tile: int) -> np.ndarray:
+        """The tiles that are within reach, itself included."""
+        gap = np.maximum(0, np.maximum(self.low - self.high[tile], self.low[tile] - self.high))
+        return np.flatnonzero((gap * gap).sum(1) <= self.reach)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "embedding", id_col: str = "vec_id", tile: int = 16384, steps: tuple[int, ...] = (8, 16, 32), sample: int = 20_000) -> DataFrame:
     """A row for each vector: id, n_links (other vectors with cosine >= threshold), component_id, kept.
 
-    Equal vectors are compared once and counted. Vectors are put in tiles along the first principal component; two
-    unit vectors with cosine >= t lie within sqrt(2 - 2t) of each other in it, so tiles further apart aren't
-    compared. The basis and the borders of tiles come from at most ``sample`` vectors; any basis gives the same
-    result. Each pair of tiles is a task that holds two tiles, and returns counts and a spanning forest of its
-    links, not the links. Unusable vectors (null, empty, zero, with null or non-finite components, or not of the
-    most common length) link with nothing and are their own component. Ids are expected to be unique: rows that
-    share an id are one vertex. A row with a null id has no links and a null component.
+    Equal vectors are compared once and counted. Vectors are put in ``Tiles``; the basis and the borders come from at most
+    ``sample`` vectors; any basis gives the same result. Each pair of tiles is a group that holds two tiles, and
+    returns counts and a spanning forest of its links, not the links. Vectors are compared with those of their own length.
+    Unusable vectors (null, empty, zero, with null or non-finite components) link with nothing and are their own component. Ids are
+    integers and expected to be unique: rows that share an id are one vertex. A row with a null id has no links and a null component. Other
+    columns are ignored; an empty table gives none.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "tiles")
-    dim = dimension(vectors, vector)
+    scratch = Scratch(vectors.sparkSession, "tiles")
+    integer_ids(vectors, id_col)
     keys = [F.xxhash64(F.col(vector)), F.xxhash64(F.lit(1), F.col(vector))]
-    fine = usable(vector, dim or 1) & F.col(id_col).isNotNull()
+    fine = usable(vector) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col), F.when(fine, keys[0]).alias("_h"), F.when(fine, keys[1]).alias("_g"), F.when(fine, F.col(vector).cast("array<double>")).alias("_v"))
-    classes = rows.where(F.col("_h").isNotNull()).groupBy("_h", "_g").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("_v").alias("_v"))
+    classes = rows.where(F.col("_h").isNotNull()).groupBy("_h", "_g").agg(F.min(id_col).cast("long").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("_v").alias("_v"))
     classes = scratch.table(classes, "classes")
-    count = classes.count()
-    x = _sample(classes, "rep", dim or 1, sample)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.eye(1)
-    basis = np.linalg.eigh(np.cov(x, rowvar=False).reshape(x.shape[1], -1) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1].copy()
-    tiles = max(1, math.ceil(count / tile))
-    borders = np.quantile(x @ basis[:, 0], np.arange(1, tiles) / tiles)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    pairs: list[tuple[int, int]] = []
-    of_tile: list[list[int]] = [[] for _ in range(tiles)]
-    for i in range(tiles):
-        for j in range(i, tiles):
-            if j - i > 1 and borders[j - 1] - borders[i] > reach:
-                break  # borders are sorted, so tiles further on are out of reach too
-            for t in {i, j}:
-                of_tile[t].append(len(pairs))
-            pairs.append((i, j))
-
-    def spread(batches):
-        for batch in batches:
-            v = matrix(batch.column(2), dim)
-            at = np.searchsorted(borders, (v @ basis[:, 0]) / np.linalg.norm(v, axis=1), "right")
-            take = np.repeat(np.arange(len(at)), [len(of_tile[t]) for t in at])
-            out = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for t in at for k in of_tile[t]], pa.int32()), pa.array(at[take], pa.int32()), *out.columns], ["pair", "tile", "rep", "n", "_v"]
-            )
-
-    def link(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        ids, n, tile_of, pair = (table.column(c).to_numpy() for c in ("rep", "n", "tile", "pair"))
-        v = matrix(table.column("_v").combine_chunks(), dim)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        for p in np.unique(pair):
-            mine = np.flatnonzero(pair == p)
-            i, j = pairs[p]
-            a, b = mine[tile_of[mine] == i], mine[tile_of[mine] == j]
-            links, labels, place = np.zeros(len(ids), np.int64), np.arange(len(mine)), np.zeros(len(ids), np.int64)
-            place[mine] = np.arange(len(mine))
-            for s, t in compare(v[a], v[b], basis, threshold, i == j, lead):
-                s, t = a[s], b[t]
-                links += np.bincount(s, n[t], len(ids)).astype(np.int64) + np.bincount(t, n[s], len(ids)).astype(np.int64)
-                labels = unite(labels, place[s], place[t])
-            linked, apart = np.flatnonzero(links), np.flatnonzero(labels != np.arange(len(mine)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ids[linked], ids[mine[apart]]]), pa.int64()),
-                    pa.array(np.concatenate([links[linked], np.zeros(len(apart), np.int64)]), pa.int64()),
-                    pa.array(np.concatenate([np.zeros(len(linked), np.int64), ids[mine[labels[apart]]]]), pa.int64(), mask=np.arange(len(linked) + len(apart)) < len(linked)),
-                ],
-                ["a", "links", "b"],
-            )
-
-    dealt = classes.select("rep", "n", "_v").mapInArrow(spread, "pair int, tile int, rep long, n long, _v array<double>")
-    found = scratch.table(dealt.repartitionById(len(pairs), F.col("pair")).mapInArrow(link, "a long, links long, b long"), "found")
+    found = vectors.sparkSession.createDataFrame([], "a long, links long, b long")
+    for dim in dimensions(classes, "_v"):
+        found = found.unionByName(scratch.table(_links(classes.where(F.size("_v") == dim), dim, threshold, tile, steps, sample), f"found_{dim}"))
     links = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b"), scratch)
     known = (
@@ -154,6 +165,49 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vector: str = "
     return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(id_col), F.lit(True)).alias("kept"))
 
 
+def _links(classes: DataFrame, dim: int, threshold: float, tile: int, steps: tuple[int, ...], sample: int) -> DataFrame:
+    """Of different vectors of one length: (a, links, null), the number of vectors that a vector is linked with by a pair of tiles,
+    and (a, 0, b), links that join what is linked there."""
+    x = unit(_sample(classes, "rep", dim, sample))
+    basis = np.linalg.eigh(np.cov(x, rowvar=False).reshape(dim, dim) if len(x) > 1 else np.eye(dim))[1][:, ::-1].copy()
+    tiles = Tiles(x, basis, math.ceil(classes.count() / tile), threshold)
+
+    def spread(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = tiles.of(unit(matrix(batch.column(2), dim)))
+            partners = {t: tiles.near(t) for t in np.unique(at).tolist()}
+            take = np.repeat(np.arange(len(at)), [len(partners[t]) for t in at.tolist()])
+            other, own = np.concatenate([partners[t] for t in at.tolist()]), at[take]
+            pair = np.minimum(own, other) * tiles.count + np.maximum(own, other)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(own, pa.int32()), *batch.take(pa.array(take)).columns], ["pair", "tile", "rep", "n", "_v"])
+
+    def link(key, table):
+        i, j = divmod(key[0].as_py(), tiles.count)
+        ids, n, tile_of = (table.column(c).to_numpy() for c in ("rep", "n", "tile"))
+        v = unit(matrix(table.column("_v").combine_chunks(), dim))
+        a, b = np.flatnonzero(tile_of == i), np.flatnonzero(tile_of == j)
+        links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for s, t in compare(v[a], v[b], basis, threshold, i == j, steps):
+            s, t = a[s], b[t]
+            links += np.bincount(s, n[t], len(ids)).astype(np.int64) + np.bincount(t, n[s], len(ids)).astype(np.int64)
+            labels = unite(labels, s, t)
+        linked, apart = np.flatnonzero(links), np.flatnonzero(labels != np.arange(len(ids)))
+        none = np.arange(len(linked) + len(apart)) < len(linked)
+        return pa.table(
+            [
+                pa.array(np.concatenate([ids[linked], ids[apart]]), pa.int64()),
+                pa.array(np.concatenate([links[linked], np.zeros(len(apart), np.int64)]), pa.int64()),
+                pa.array(np.concatenate([np.zeros(len(linked), np.int64), ids[labels[apart]]]), pa.int64(), mask=none),
+            ],
+            ["a", "links", "b"],
+        )
+
+    dealt = classes.select("rep", "n", "_v").mapInArrow(spread, "pair long, tile int, rep long, n long, _v array<double>")
+    return dealt.groupBy("pair").applyInArrow(link, "a long, links long, b long")
+
+
 class Forest:
     """Trees of sorted hash strings over the rows of one block.
 
@@ -212,23 +266,42 @@ class Forest:
         return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.6, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.4, least: int = 640, seed: int = 7) -> DataFrame:
     """The k rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
     Rows are dealt to blocks of about ``block``; each block indexes all its rows in a forest and answers all
     queries, and the best k of all blocks are kept. Trees ascend until their ranges hold ``share`` of the block's rows, and
-    k + 1 at least: vectors without any structure need so many for a recall above 0.9, and the share is the same at
+    ``least`` and k + 1 at least: vectors without any structure need so many for a recall above 0.9, and the share is the same at
     every size. Inner product becomes an angle by one more component that makes all rows' norms equal (0 for queries). Scores
-    are in double precision on the vectors as they are; ties go to the smaller id. Unusable vectors take no part.
-    A query's own row isn't returned, nor others with its id.
+    are in double precision on the vectors as they are, summed in the order of components, so equal vectors have equal scores; ties
+    go to the smaller id. A query is compared with vectors of its own length. Unusable vectors, and rows with a null id, take no
+    part. A query's own row isn't returned, nor others with its id. Ids are integers; repeated rows are rows like others, and repeated
+    queries are asked once; other columns are ignored; an empty table gives none.
     """
-    dim = dimension(vectors, vector) or 1
-    rows = vectors.where(usable(vector, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    integer_ids(vectors, id_col)
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in dimensions(vectors, vector):
+        rows = vectors.where(usable(vector, dim) & F.col(id_col).isNotNull())
+        rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+        out = out.unionByName(_nearest(rows, dim, k, block, trees, bits, share, least, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, dim: int, k: int, block: int, trees: int, bits: int, share: float, least: int, seed: int) -> DataFrame:
     n, largest = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     blocks, norm = max(1, math.ceil(n / block)), math.sqrt(largest or 1.0) * (1 + 1e-9)
-    enough = share
     data = rows.select("id", F.lit(0).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "v")
-    asked = rows.where("q").select("id", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v")
+    asked = rows.where("q").dropDuplicates(["id"]).select("id", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v")
+
+    def best(ids, v, q, q_id, found):
+        """The k largest scores of the rows found: first by any order of sums, then those that are near the k-th in the fixed one."""
+        found = found[ids[found] != q_id]
+        rough = v[found] @ q
+        if len(found) > k:
+            found = found[rough >= np.partition(rough, -k)[-k] - 1e-12 * norm * norm]
+        score = dot_in_order(v[found], np.broadcast_to(q, (len(found), dim)))
+        order = np.lexsort((ids[found], -score))[:k]
+        return ids[found[order]], score[order]
 
     def answer(batches):
         forest, ids, v, held = None, None, None, []
@@ -247,15 +320,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
                 rest = np.sqrt(np.maximum(0, norm**2 - (v * v).sum(1)))
                 forest = Forest(np.hstack([v, rest[:, None]]), trees, bits, seed)
             q, q_ids = matrix(asked_now.column(3), dim), asked_now.column(0).to_numpy()
+            enough = max(k + 1, least, math.ceil(share * len(ids)))
             out = ([], [], [])
-            for i, found in enumerate(forest.search(np.hstack([q, np.zeros((len(q), 1))]), max(k + 1, int(enough * len(ids))))):
-                found = found[ids[found] != q_ids[i]]
-                score = v[found] @ q[i]
-                best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
-                best = best[np.lexsort((ids[found[best]], -score[best]))][:k]
-                out[0].append(np.full(len(best), q_ids[i]))
-                out[1].append(ids[found[best]])
-                out[2].append(score[best])
+            for i, found in enumerate(forest.search(np.hstack([q, np.zeros((len(q), 1))]), enough)):
+                names, score = best(ids, v, q[i], q_ids[i], found)
+                out[0].append(np.full(len(names), q_ids[i]))
+                out[1].append(names)
+                out[2].append(score)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
     dealt = data.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")

@@ -10,7 +10,8 @@ is 1 if t occurs beside e only, and 0 if it is independent. A passage is judged
 of a pair c - 1 speak for it, so n(e, t) is weighed by (c - 1) / c. One context alone proves nothing, two cost one bit,
 and many cost next to nothing; there is no least number. A term is any run of letters and digits. Different documents with the same line are different contexts, as
 are different passages of one document; copies of a document, edited ones too, count once as a rule. Terms at or
-above a threshold are generalised, and from a second threshold on removed, beside the mentions that they would reveal.
+above a threshold are generalised to their kind (name, number, code, word), and from a second threshold on removed, wherever they
+stand in a document that mentions the entity which they would reveal.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: Code points on each side of a mention, over line breaks, that count as beside it.
+#: Code points on each side of a mention, over line breaks, that count as beside it, if not told otherwise.
 REACH = 200
 #: Min-hashes of a context; two contexts differ if all of them differ.
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -89,7 +90,7 @@ def _minima(words: list[str]) -> np.ndarray:
     return (pairs[:, None] * _FACTORS).min(0)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+def _contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> list[dict]:
     """For each mention: its entity, min-hashes of the document and the words around it, and the terms beside it that
     no earlier mention of the entity has."""
     covered = [(s, e) for s, _, e in spans]
@@ -97,7 +98,7 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     document = _minima(text.split()).astype(np.int64) << 32
     for s, kind, e in spans:
         value = text[s:e].lower() if kind < 2 else _NOT_DIGIT.sub("", text[s:e])
-        from_, to = max(0, s - REACH), min(len(text), e + REACH)
+        from_, to = max(0, s - reach), min(len(text), e + reach)
         while first < len(covered) and covered[first][1] <= from_:
             first += 1
         near = []
@@ -111,7 +112,7 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
             if whole and (entity, a) not in seen and not any(a < hi and lo < b for lo, hi in near):
                 seen.add((entity, a))
-                terms.append({"term": m.group().lower(), "start": a, "end": b})
+                terms.append(m.group().lower())
         around = document | _minima([*text[from_:s].split(), "", *text[e:to].split()])
         out.append({"entity": entity, "around": around.tolist(), "terms": terms})
     return out
@@ -130,26 +131,27 @@ def _inside(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("around", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(_TERMS))])
+_CONTEXT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("around", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.StringType()))])
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.list_(pa.int64())), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
+_ARROW_CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))]))
 
 
-def _detect(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
-    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_inside", T.ArrayType(T.StringType()))]
+def _detect(docs: DataFrame, text: str, carry: list[str], reach: int) -> DataFrame:
+    """carry's columns, a number for each row, its base spans, and where it has any the text and the contexts."""
+    fields = [T.StructField("_pii_row", T.LongType()), *[docs.schema[c] for c in carry], T.StructField("_pii_base", T.ArrayType(_SPAN)), T.StructField("_pii_contexts", T.ArrayType(_CONTEXT)), T.StructField("_pii_inside", T.ArrayType(T.StringType())), T.StructField("_pii_text", T.StringType())]
     rows = docs.select(F.monotonically_increasing_id().alias("_pii_row"), *carry, F.col(text).alias("_pii_text"))
 
     def run(batches):
         for batch in batches:
-            base, contexts, within = [], [], []
+            base, contexts, within, texts = [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 spans = base_spans(t)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                contexts.append(_contexts(t, spans) if spans else [])
+                contexts.append(_contexts(t, spans, reach) if spans else [])
                 within.append(_inside(t, spans) if spans else [])
+                texts.append(t if spans else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(within, pa.list_(pa.string()))],
+                [*batch.columns[:-1], pa.array(base, _ARROW_SPAN), pa.array(contexts, _ARROW_CONTEXT), pa.array(within, pa.list_(pa.string())), pa.array(texts, pa.string())],
                 names=[f.name for f in fields],
             )
 
@@ -179,29 +181,58 @@ def _count_terms(docs: DataFrame, text: str, inside: DataFrame, wanted: np.ndarr
     return counted.unionByName(inside.select(F.explode(F.array("term", F.lit(None))).alias("term"), F.lit(-1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None, generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | None = None, generalise_at: float = 0.9, remove_at: float = 0.98, reach: int = REACH, filter_bits: int = 20) -> DataFrame:
     """A row for each document: ``carry``'s columns, ``base`` and ``spans``.
 
-    base: array of (start, kind, end, remove) of the pattern matches; spans: those and the disclosing terms.
+    base: array of (start, kind, end, remove) of the pattern matches; spans: those and the disclosing terms. Terms within
+    ``reach`` code points of a mention are counted as beside it; those that disclose an entity are marked in the whole of each text
+    that mentions it. Very long texts are taken as a whole.
     kind is an index into KINDS. Null and empty texts have no spans; repeated rows are handled one by one (no
     column needs to be a key); an empty table gives none. Columns named
     _pii_... are reserved; carried ones named base and spans are replaced. What the driver gets is at most 2**filter_bits hash values, at any input size.
     """
     carry = [c for c in (carry if carry is not None else docs.columns) if c not in ("base", "spans") and (carry is not None or c != text)]
-    found = _find(docs, text, carry, generalise_at, remove_at, filter_bits)
+    found = _find(docs, text, carry, generalise_at, remove_at, reach, filter_bits)
     return found.withColumnsRenamed({"_pii_marked": "base", "_pii_spans": "spans"})
 
 
-def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0.9, remove_at: float = 0.98, filter_bits: int = 20) -> DataFrame:
+def _bits(terms: DataFrame, mask: int) -> np.ndarray:
+    """Which of mask + 1 hash values the terms have: all that the driver gets of them."""
+    out = np.zeros(mask + 1, bool)
+    out[terms.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().toArrow().column("h").to_numpy()] = True
+    return out
+
+
+def _occurrences(found: DataFrame, wanted: np.ndarray, mask: int) -> DataFrame:
+    """All places outside of mentions, in the whole text of each document that has a mention, of the terms whose hash is wanted."""
+    shared = found.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches):
+        keep = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            rows = ([], [], [], [])
+            for row, t, base in zip(*(c.to_pylist() for c in batch.columns)):
+                spans, at = [(s["start"], s["end"]) for s in base], 0
+                done = 0  # the end of all spans before ``at``: they may overlap
+                for m in _TERM.finditer(t):
+                    low = m.group().lower()
+                    while at < len(spans) and spans[at][0] < m.end():
+                        done = max(done, spans[at][1])
+                        at += 1
+                    if done <= m.start() and keep[zlib.crc32(low.encode("utf-8", "replace")) & mask]:
+                        for c, v in zip(rows, (row, low, m.start(), m.end())):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["_pii_row", "term", "start", "end"])
+
+    return found.where(F.col("_pii_text").isNotNull()).select("_pii_row", "_pii_text", "_pii_base").mapInArrow(run, "_pii_row long, term string, start int, end int")
+
+
+def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0.9, remove_at: float = 0.98, reach: int = REACH, filter_bits: int = 20) -> DataFrame:
     """carry's columns, _pii_marked and _pii_spans."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.table(_detect(docs, text, carry), "found")
-    beside = (
-        found.where(F.size("_pii_contexts") > 0)
-        .select("_pii_row", F.explode("_pii_contexts").alias("c"))
-        .select("_pii_row", F.col("c.entity").alias("entity"), F.col("c.around").alias("around"), F.explode("c.terms").alias("t"))
-        .select("_pii_row", "entity", "around", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    )
+    found = scratch.table(_detect(docs, text, carry, reach), "found")
+    mentions = found.where(F.size("_pii_contexts") > 0).select("_pii_row", F.explode("_pii_contexts").alias("c"))
+    beside = mentions.select("_pii_row", F.col("c.entity").alias("entity"), F.col("c.around").alias("around"), F.explode("c.terms").alias("term"))
     # each occurrence beside an entity is here once; a pair of one context only can't disclose, whatever its counts
     n = len(_FACTORS)
     ends = [f(F.col("around")[j]).alias(f"{f.__name__}{j}") for j in range(n) for f in (F.min, F.max)]
@@ -215,8 +246,7 @@ def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0
     contexts = contexts.groupBy("entity", "term", "j", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term", "j").agg(F.count(F.lit(1)).alias("c"))
     likely = scratch.table(several.join(contexts.groupBy("entity", "term").agg(F.min("c").alias("contexts")), ["entity", "term"]), "likely")
     mask = (1 << filter_bits) - 1
-    wanted = np.zeros(mask + 1, bool)
-    wanted[likely.select(F.crc32(F.col("term").cast("binary")).bitwiseAND(F.lit(mask)).alias("h")).distinct().toArrow().column("h").to_numpy()] = True
+    wanted = _bits(likely, mask)
     total = 1
     if wanted.any():
         counts = scratch.table(_count_terms(docs, text, found.select(F.explode("_pii_inside").alias("term")), wanted, mask), "counts")
@@ -225,8 +255,13 @@ def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0
     disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * (F.col("contexts") - 1) / F.col("contexts")) / bits
     disclosing = (likely.join(counts, "term") if wanted.any() else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     disclosing = scratch.table(disclosing.select("entity", "term", "disclosure"), "disclosing")
+    # only terms that a text has are joined with the entities that it mentions, so an entity in very many texts costs no more than they
+    scratch.keep("found", "disclosing")
+    telling = _bits(disclosing, mask)
+    places = _occurrences(found if telling.any() else found.where(F.lit(False)), telling, mask)
     extra = (
-        beside.join(disclosing, ["entity", "term"])
+        places.join(mentions.select("_pii_row", F.col("c.entity").alias("entity")).distinct(), "_pii_row")
+        .join(small(disclosing), ["entity", "term"])
         .groupBy("_pii_row", "start", "end")
         .agg(F.max("disclosure").alias("d"))
         .groupBy("_pii_row")
@@ -245,8 +280,18 @@ def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def general(term: str) -> str:
+    """What a term is generalised to."""
+    if term.isnumeric():
+        return "NUMBER"
+    if any(c.isnumeric() for c in term):
+        return "CODE"
+    return "NAME" if term[0].isupper() else "WORD"
+
+
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with each span in the text replaced by its kind in brackets; strongly disclosing terms are removed.
+    """docs with each span in the text replaced by its kind in brackets (a disclosing term by the kind of term that it is); strongly
+    disclosing terms are removed.
 
     Overlapping base spans are merged under the first one's kind. All columns and rows stay; rows without a span
     are passed on as they are.
@@ -263,7 +308,8 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
                 parts, done = [], 0
                 for s in spans:
                     if s["start"] >= done:
-                        parts += [t[done : s["start"]], "" if s["remove"] else f"[{KINDS[s['kind']].upper()}]"]
+                        kind = KINDS[s["kind"]].upper() if s["kind"] < 4 else general(t[s["start"] : s["end"]])
+                        parts += [t[done : s["start"]], "" if s["remove"] else f"[{kind}]"]
                     done = max(done, s["end"])
                 out.append("".join([*parts, t[done:]]))
             arrays = list(batch.columns[:-1])

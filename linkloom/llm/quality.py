@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 from .hashing import SPACE, mixed
 from .runtime import slices, text_bytes
 
+#: Lengths of character n-grams, and of word n-grams.
 NGRAMS = (3, 4)
-#: Added to a document's number of features: a short one's score stays near the prior's.
+WORD_NGRAMS = (2, 3)
+#: 2**BITS buckets.
+BITS = 18
+#: A document is averaged with so many zero vectors, in training and scoring: a short one's score stays near the prior's.
 SHRINK = 100
 #: Bytes of text that are worked on at once; the arrays of a slice take about a hundred times as much.
 SLICE = 1 << 19
@@ -32,7 +36,10 @@ class Model:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, repeated words and character n-grams of each document, and n+1 offsets into them.
+    """Buckets of all words, word n-grams and character n-grams of each document, and n+1 offsets into them.
+
+    A word n-gram has two: one for its words, and one for how they repeat (each word as the place of the first in the n-gram
+    that equals it), so that repetition is learned from words that other documents haven't got.
 
     Characters are code points. n-grams may begin or end at white space, but have none inside; each document
     is seen with a space before and after it. Words have their own hash.
@@ -72,17 +79,20 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
         word = mixed(np.add.reduceat(parts, cut) + np.uint64(99))
         found.append((word >> shift).astype(np.int32))
         at.append(starts)
-        doc = np.searchsorted(bounds, starts, "right").astype(np.uint64)
-        # word n-grams by whether they repeat: a word equal to the one before it, and three words that the document had
-        inside = doc[1:] == doc[:-1]
-        same = np.flatnonzero(inside & (word[1:] == word[:-1])) + 1
-        three = np.flatnonzero(inside[:-1] & inside[1:]) if len(inside) > 1 else np.zeros(0, np.int64)
-        rows = mixed(word[three] * _MULTIPLIERS[1] + word[three + 1] * _MULTIPLIERS[2] + word[three + 2] * _MULTIPLIERS[3]) + doc[three] * _MULTIPLIERS[0]
-        again = np.ones(len(three), bool)
-        again[np.unique(rows, return_index=True)[1]] = False
-        for name, where in ((7, same), (8, three[again])):
-            found.append(np.full(len(where), int(mixed(np.array([name], np.uint64))[0] >> shift), np.int32))
-            at.append(starts[where])
+        doc = np.searchsorted(bounds, starts, "right")
+        for n in WORD_NGRAMS:
+            inside = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
+            h, pattern = np.full(len(inside), n, np.uint64), np.full(len(inside), 100 + n, np.uint64)
+            for j in range(n):
+                here = word[inside + j]
+                h = mixed(h + here * _MULTIPLIERS[j])
+                same = np.full(len(inside), j, np.uint64)  # the first word of the n-gram that equals the j-th
+                for i in range(j - 1, -1, -1):
+                    same[word[inside + i] == here] = i
+                pattern = mixed(pattern + same * _MULTIPLIERS[j])
+            for x in (h, pattern):
+                found.append((x >> shift).astype(np.int32))
+                at.append(starts[inside])
     if not found:
         return np.zeros(0, np.int32), np.zeros(n_docs + 1, np.int64)
     # in the order of the documents
@@ -95,12 +105,14 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     return out, offs
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], prior: float, bits: int, dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 5) -> Model:
-    """examples: distinct buckets, their shares of the document, label. prior: share of label 1 among all labels."""
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], prior: float, bits: int, dim: int = 8, epochs: int = 8, least_steps: int = 8000, rate: float = 0.5, seed: int = 5) -> Model:
+    """examples: distinct buckets, their shares of the document, label. prior: share of label 1 among all labels. Few examples are
+    gone through more often, until there are ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     softmax = np.zeros((2, dim), np.float32)
     ones = sum(y for _, _, y in examples)
+    epochs = max(epochs, -(-least_steps // max(1, len(examples))))
     total, step = epochs * len(examples), 0
     if 0 < ones < len(examples):
         for _ in range(epochs):
@@ -122,34 +134,48 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], prior: float, bits
     odds = lambda p: float(np.log(p / (1 - p)))
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     sampled = min(max(ones / len(examples), 1e-3), 1 - 1e-3) if examples else prior
-    return Model(vectors, softmax, (vectors @ (softmax[1] - softmax[0])).astype(np.float32), odds(prior) - odds(sampled) if examples else 0.0)
+    return Model(vectors, softmax, (vectors @ (softmax[1] - softmax[0])).astype(np.float32), odds(prior) - (odds(sampled) if examples else 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", max_rows: int = 4000, bits: int = 17, seed: int = 5) -> Model:
-    """Fits on at most max_rows labelled rows, half of each class as far as there are any, chosen by a seeded hash.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", max_rows: int = 4000, max_bytes: int = 64 << 20, bits: int = BITS, seed: int = 5) -> Model:
+    """Fits on at most ``max_rows`` labelled documents with at most ``max_bytes`` of text, half of each class as far as there are
+    any, chosen by a seeded hash; a text that would go beyond the bytes is left out as a whole.
 
     Labels other than 0 and 1, and null ones, are ignored; of a document with several labels the largest
-    counts. Only hashed features of the sample come to the driver. With one class only, or no labels, all
+    counts, of rows that share an id the text with the smallest hash. Null texts count as empty, and empty ones teach nothing. Only
+    hashed features of the sample come to the driver. With one class only, or no labels, all
     documents get the prior's score (0.5 with no labels).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max_rows // 2) for y in (0, 1)]
-    sample = docs.select(id_col, text).join(F.broadcast(picked[0].unionByName(picked[1])), id_col)  # at most max_rows rows
+    named = F.broadcast(picked[0].unionByName(picked[1]))  # at most max_rows rows
+    one = lambda c: F.min(F.struct(F.xxhash64(text).alias("h"), c.alias("c")))["c"]
+    sizes = docs.select(id_col, text).join(named, id_col).groupBy(id_col, "_y").agg(one(F.coalesce(F.octet_length(text), F.lit(0))).alias("n"))
+    rows = sizes.select(id_col, "_y", "n").orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).collect()
+    chosen, left = [], {0: max_bytes // 2, 1: max_bytes // 2}
+    for r in rows:
+        if r["n"] <= left[r["_y"]]:
+            left[r["_y"]] -= r["n"]
+            chosen.append((r[id_col], r["_y"]))
+    if not chosen:
+        return train([], counts.get(1, 0) / sum(counts.values()) if counts else 0.5, bits, seed=seed)
+    listed = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema[id_col].dataType.simpleString()}, _y int")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(listed), "_id")
+    sample = sample.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text")).select("_id", "_text", "_y")
 
     def to_features(batches):
         for batch in batches:
             raw, offs = text_bytes(batch.column(1))
-            ids, ys = batch.column(0), batch.column(2)
             out = []
             for lo, hi in slices(offs, SLICE):
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 for i in range(hi - lo):
                     b, n = np.unique(f[o[i] : o[i + 1]], return_counts=True)
                     out.append((b.astype("<i4").tobytes(), (n / (n.sum() + SHRINK)).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "y", "buckets", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "y", "buckets", "share"])
 
-    table = sample.mapInArrow(to_features, "id long, y int, buckets binary, share binary").toArrow()
+    table = sample.mapInArrow(to_features, f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets binary, share binary").toArrow()
     order = np.lexsort((table.column("y").to_numpy(), table.column("id").to_numpy()))
     columns = [table.column(c).combine_chunks() for c in ("buckets", "share", "y")]
     rows = [(np.frombuffer(columns[0][i].as_buffer(), "<i4"), np.frombuffer(columns[1][i].as_buffer(), "<f4"), columns[2][i].as_py()) for i in order.tolist()]
@@ -158,8 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     return train(examples, prior, bits, seed=seed)
 
 
-def score(docs: DataFrame, model: Model, bits: int = 17, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with the probability of label 1 added, from whole texts; empty and null texts get the prior's."""
+def score(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text", column: str = "score") -> DataFrame:
+    """docs with the probability of label 1 added, from whole texts, however long; empty and null texts get the prior's. A
+    document's score depends on its text alone, to the last bit: equal texts and repeated rows have equal scores, however
+    rows are dealt to batches. A column of that name is replaced; all others stay; an empty table gives none."""
     from pyspark.sql import types as T
 
     weight, bias, at = docs.sparkSession.sparkContext.broadcast(model.weight), model.bias, docs.columns.index(text)
@@ -173,9 +201,10 @@ def score(docs: DataFrame, model: Model, bits: int = 17, text: str = "text", col
             logits = np.zeros(batch.num_rows)
             for lo, hi in slices(offs, SLICE):
                 f, o = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
-                sums = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 n = np.diff(o)
-                logits[lo:hi] = (sums[o[1:]] - sums[o[:-1]]) / (n + SHRINK)
+                full = np.flatnonzero(n)  # each document is summed by itself
+                if len(full):
+                    logits[lo + full] = np.add.reduceat(w[f].astype(np.float64), o[full]) / (n[full] + SHRINK)
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits + bias, -60, 60))))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], scores], [*names, column])
 

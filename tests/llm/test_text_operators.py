@@ -259,6 +259,21 @@ def test_licence_passages(spark):
     assert (3, 1, "Apache-2.0-header", 1.0) in got
 
 
+def test_whole_licences(spark):
+    """Whole licence texts, wrapped, commented and edited a little, between other text."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(n))
+    texts = {}
+    for i, name in enumerate(n for n in licences.TEMPLATES if n.endswith("-text")):
+        words = licences.TEMPLATES[name].split()
+        words[9], words[60] = "Foo", "Bar Baz"
+        lines = [" * " + " ".join(words[a : a + 11]) for a in range(0, len(words), 11)]
+        texts[i, name] = "\n".join([filler(30), "/*", " * Copyright 2020 Foo", *lines, " */", filler(300)])
+    got = [(r["doc_id"], r["license"], r["line_no"]) for r in licences.scan(frame(spark, list(texts.values()))).where("dice > 0.9").collect()]
+    whole = {(i, name) for i, name, line in got if name.endswith("-text")}
+    assert whole == set(texts) and all(line == 4 for _, name, line in got if name.endswith("-text"))
+
+
 def test_licence_anchors_are_enough():
     grams = {n: licences.bigrams(t) for n, t in licences.TEMPLATES.items()}
     words = set(licences.anchors(grams, licences.THRESHOLD))

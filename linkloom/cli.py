@@ -6,12 +6,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from . import sinks
+from .functions.text import ESCAPES
 from .model import Store
 from .operators import storage
 from .plans import exports
+from .plans.filters import ALIASES, PREDICATES
 from .plans.wide import ATTRIBUTES
 
 
@@ -32,6 +34,19 @@ def compose(*configs: dict) -> dict:
     return out
 
 
+_DOMAINS = """filters: +f domain under NAME keeps what is at the domain or below it (several are alternatives), -f domain under NAME drops it."""
+HELP = {
+    "urls": f"""filters: +f ATTRIBUTE PREDICATE VALUE keeps, -f ... drops; all are to hold.
+attributes: {", ".join(ATTRIBUTES)}
+predicates: {", ".join(PREDICATES)}, or {", ".join(f"{a} for {b}" for a, b in ALIASES.items())}; "is None", "is True" and "is False" test the state.
+  startswith, endswith and contains are blind to the case of A-Z, and % and _ in the value stand for any text and any character.
+options: fmt=TEMPLATE names the file of a row, with %(ATTRIBUTE)s fields as in "%(feed:netloc)s/%(published:year)d.txt";
+  format=lines|csv; key=ATTRIBUTE, or a comma list for csv; escape={"|".join(str(e) for e in ESCAPES if e)}; parts=N files for each name.""",
+    "graph": f"{_DOMAINS}\noptions: graphtype=hyperlink|domain. Edges have the type and time of the last link, or a count for each tag.",
+    "uncharted": f"{_DOMAINS}\nThe report has page_count, keywords and referrers of domains without a feed.",
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="linkloom")
     sub = p.add_subparsers(dest="command", required=True)
@@ -41,8 +56,9 @@ def parser() -> argparse.ArgumentParser:
     export.add_argument("-o", "--output", required=True)
     export.add_argument("+f", "--include", nargs=3, action="append", default=[])
     export.add_argument("-f", "--exclude", nargs=3, action="append", default=[])
-    for name in ("check", "repair", "cleanup"):
+    for name in ("check", "repair", "upgrade", "cleanup"):
         sub.add_parser(name).add_argument("input")
+    sub.choices["repair"].add_argument("--unlock", action="store_true", help="also if it is locked: no writer may be at work")
     merge = sub.add_parser("merge", help="several stores into a new one")
     merge.add_argument("inputs", nargs="+")
     merge.add_argument("-o", "--output", required=True)
@@ -50,7 +66,8 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("pages")
     ingest.add_argument("store")
     ingest.add_argument("checkpoint")
-    sub.add_parser("options", help="attributes of the filter grammar")
+    options = sub.add_parser("options", help="attributes of the filter grammar; with a topic, its filters and options")
+    options.add_argument("topic", nargs="?", choices=tuple(HELP))
     return p
 
 
@@ -59,7 +76,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     if any("=" not in e or args.command != "export" for e in extra):
         parser().error(f"unrecognized arguments: {' '.join(extra)}")
     if args.command == "options":
-        print("\n".join(ATTRIBUTES))
+        print(HELP[args.topic] if args.topic else "\n".join(ATTRIBUTES))
         return 0
     spark = spark or SparkSession.builder.appName("linkloom").getOrCreate()
     if args.command == "export":
@@ -67,8 +84,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         extras = dict(e.split("=", 1) for e in extra)
         include, exclude = [tuple(f) for f in args.include], [tuple(f) for f in args.exclude]
         if args.topic == "urls":
-            written = sinks.write_by_path(exports.urls(tables, include, exclude, **extras), args.output, extras.get("format", "lines")).collect()
-            print(json.dumps({r["_path"]: r["n_rows"] for r in written}))
+            parts = int(extras.pop("parts", 1))
+            written = sinks.write_by_path(exports.urls(tables, include, exclude, **extras), args.output, extras.get("format", "lines"), parts=parts)
+            n = written.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+            print(json.dumps(n.asDict()))
         elif args.topic == "graph":
             graph = exports.domain_graph if extras.get("graphtype", "hyperlink") == "domain" else exports.hyperlink_graph
             sinks.write_graphml(*graph(tables, include=include, exclude=exclude), args.output)
@@ -77,6 +96,9 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     elif args.command in ("check", "repair"):
         store = Store(spark, args.input)
         if args.command == "repair" and store.locked:
+            if not args.unlock:
+                print(f"{store.path} is locked; if no writer is at work, repair it with --unlock", file=sys.stderr)
+                return 1
             store.unlock()
         tables = store.open()
         bad = storage.orphans(tables).count(), storage.duplicates(tables).where("n_keys > 0").count()
@@ -86,10 +108,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         store.save(storage.repair(tables))
     elif args.command == "merge":
         Store(spark, args.output).save(storage.merge_all([Store(spark, i).open() for i in args.inputs]))
+    elif args.command == "upgrade":
+        print(json.dumps(storage.upgrade(Store(spark, args.input))))
     elif args.command == "cleanup":
-        store = Store(spark, args.input)
-        for left in store.staged():
-            store.save(storage.merge(store.open(), Store(spark, left).open()))
+        from .streaming.ingest import merge_staged
+
+        print(json.dumps({"merged": merge_staged(Store(spark, args.input))}))
     elif args.command == "ingest":
         from .streaming.ingest import ingest
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -61,10 +61,14 @@ def file_path(template: str, columns: Mapping[str, Column], escape=lambda c: c,
     return F.when(path == "", F.lit("-")).otherwise(F.regexp_replace(path, "^/+", ""))
 
 
-def url_variants(url: Column, trees: Mapping[str, list[str]]) -> Column:
+#: Templates, or a function of the fields' columns that gives an array of URLs.
+Templates = list[str] | Callable[[Mapping[str, Column]], Column]
+
+
+def url_variants(url: Column, trees: Mapping[str, Templates]) -> Column:
     """The URLs built by the templates of the first pattern that matches at the start, as an array; none: null.
 
-    Templates have the fields scheme, netloc, path, query, fragment, network_path, path_query, original, and the
+    Templates, and functions in place of them, have the fields scheme, netloc, path, query, fragment, network_path, path_query, original, and the
     pattern's groups by number and by name.
     """
     out = F.lit(None).cast("array<string>")
@@ -76,6 +80,7 @@ def url_variants(url: Column, trees: Mapping[str, list[str]]) -> Column:
         parts |= {"network_path": network_path(url), "path_query": path_query(url), "original": url}
         groups = {str(i): F.regexp_extract(url, anchored, i) for i in range(1, compiled.groups + 1)}
         groups |= {name: F.regexp_extract(url, anchored, i) for name, i in compiled.groupindex.items()}
-        built = F.array(*[render(t, {**parts, **groups}) for t in templates])
+        fields = {**parts, **groups}
+        built = templates(fields) if callable(templates) else F.array(*[render(t, fields) for t in templates])
         out = F.when(url.rlike(anchored), built).otherwise(out)
     return out

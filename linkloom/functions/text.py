@@ -77,6 +77,12 @@ def sha1_hex(c: Column) -> Column:
     return F.sha1(c.cast("binary"))
 
 
+def random_hex(digits: int) -> Column:
+    """Another text of hexadecimal digits for each row."""
+    parts = [F.replace(F.uuid(), F.lit("-"), F.lit("")) for _ in range(-(-digits // 32))]
+    return F.substring(F.concat(*parts), 1, digits)
+
+
 def falsy(c: Column, values: tuple = ("", "0", "false", "no", "none")) -> Column:
     return c.isNull() | F.lower(c).isin(*values)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 VERSION = "1"
 
@@ -45,10 +48,14 @@ SPECS = {
 
 
 class Catalog:
-    """A set of tables by name; those that are missing are empty."""
+    """A set of tables by name; those that are missing are empty.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.tables = spark, dict(tables or {})
+    ``named`` may hold tables with the URLs of some id columns beside them (``<column>_url``), where the source of the tables
+    has them; queries then need no join with url, the largest table.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, named: dict[str, DataFrame] | None = None):
+        self.spark, self.tables, self.named = spark, dict(tables or {}), dict(named or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -56,16 +63,39 @@ class Catalog:
         return self.tables[name]
 
     def with_tables(self, **tables: DataFrame) -> Catalog:
-        return Catalog(self.spark, {**self.tables, **tables})
+        named = {} if "url" in tables else {n: t for n, t in self.named.items() if n not in tables}
+        return Catalog(self.spark, {**self.tables, **tables}, named)
+
+    def with_urls(self, name: str, *columns: str) -> DataFrame:
+        """A table with ``<column>_url`` for each of the columns; rows whose ids url hasn't got drop out."""
+        out = self.named.get(name)
+        if out is not None and all(f"{c}_url" in out.columns for c in columns):
+            return out
+        out = self[name]
+        for c in columns:
+            out = out.join(self["url"].select(F.col("id").alias("_id"), F.col("url").alias(f"{c}_url")), F.col(c) == F.col("_id")).drop("_id")
+        return out
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster."""
 
 
 class Store:
-    """A folder with a Parquet folder for each table, a ``_version`` and, while it is being changed, a ``_lock``.
+    """A folder of Parquet tables. Each change adds a generation: a folder ``tables-N`` with new rows, and ``_version-N`` that lists
+    the folders of all tables.
+
+    A version's file is created once and never overwritten, so readers see a generation as a whole or not at all, and of two writers
+    that start from the same generation one gets a ``Conflict``. ``append`` writes new rows only; of tables that keep the last row
+    of a key the row of the newest folder counts. ``save`` writes everything anew. Folders that neither of the last two
+    versions lists are removed, so a reader that has just opened a store may finish.
 
-    Folders are reached through Spark's file system, so any store that Spark writes to will do. A save writes
-    a new generation of tables beside the old one and then points to it, so readers never see half of it.
+    Folders are reached through Spark's file system, so any store that Spark writes to will do.
     """
 
+    #: Folders of one table that a reader has to put together; from so many on an append writes the table anew.
+    MOST_PARTS = 32
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
@@ -75,8 +105,14 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
-    def _put(self, name: str, text: str) -> None:
-        out = self._fs.create(self._path(f"{self.path}/{name}"), True)
+    def _create(self, name: str, text: str) -> None:
+        """A new file; Conflict if it is there."""
+        try:
+            out = self._fs.create(self._path(f"{self.path}/{name}"), False)
+        except Exception as e:
+            if "AlreadyExists" in str(e) or self._exists(name):
+                raise Conflict(f"{self.path}/{name} was written by another writer") from None
+            raise
         out.write(bytearray(text.encode()))
         out.close()
 
@@ -87,42 +123,133 @@ class Store:
         finally:
             stream.close()
 
+    def _delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def _names(self, pattern: str) -> list[str]:
+        found = self._fs.globStatus(self._path(f"{self.path}/{pattern}"))
+        return sorted(s.getPath().getName() for s in found or [])
+
     @property
     def locked(self) -> bool:
         return self._exists("_lock")
 
-    def lock(self) -> None:
-        if self.locked:
-            raise RuntimeError(f"{self.path} is locked: a change of it did not end; check and repair it first")
-        self._put("_lock", VERSION)
+    def lock(self, owner: str = "") -> None:
+        """One at a time: the file is created, or another's is there."""
+        try:
+            self._create("_lock", owner or VERSION)
+        except Conflict:
+            raise RuntimeError(self._in_change()) from None
 
     def unlock(self) -> None:
-        self._fs.delete(self._path(f"{self.path}/_lock"), False)
+        self._delete("_lock")
+
+    def _in_change(self) -> str:
+        return f"{self.path} is locked: a change of it goes on or did not end; check and repair it first"
+
+    def manifest(self) -> dict | None:
+        """The newest version whose file is complete: its generation, version and each table's folders, oldest first."""
+        for name in reversed(self._names("_version-*")):
+            try:
+                return {"generation": int(name.rpartition("-")[2]), **json.loads(self._get(name))}
+            except json.JSONDecodeError:  # being written
+                continue
+        return None
 
     def open(self) -> Catalog:
         """Needs the exact version and no lock."""
-        if not self._exists("_version"):
-            raise FileNotFoundError(f"{self.path} holds no tables")
+        return Catalog(self.spark, {n: self._read(n, folders) for n, folders in self._opened(VERSION)["tables"].items()})
+
+    def open_old(self) -> tuple[str, dict[str, DataFrame]]:
+        """The version and the tables as they are, of any version."""
+        found = self._opened(None)
+        return found["version"], {n: self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders]) for n, folders in found["tables"].items()}
+
+    def _opened(self, version: str | None) -> dict:
         if self.locked:
-            raise RuntimeError(f"{self.path} is locked: a change of it did not end; check and repair it first")
-        version, generation = self._get("_version").split()
-        if version != VERSION:
-            raise RuntimeError(f"{self.path} has version {version}, not {VERSION}")
-        tables = {n: self.spark.read.schema(s.schema).parquet(f"{self.path}/{generation}/{n}") for n, s in SPECS.items() if self._exists(f"{generation}/{n}")}
-        return Catalog(self.spark, tables)
-
-    def save(self, catalog: Catalog) -> None:
-        old = self._get("_version").split()[1] if self._exists("_version") else None
-        generation = f"tables-{int(old.rpartition('-')[2]) + 1 if old else 0:06d}"
+            raise RuntimeError(self._in_change())
+        found = self.manifest()
+        if not found:
+            raise FileNotFoundError(f"{self.path} holds no tables")
+        if version and found["version"] != version:
+            raise RuntimeError(f"{self.path} has version {found['version']}, not {version}; upgrade it")
+        return found
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        spec = SPECS[name]
+        parts = [self.spark.read.schema(spec.schema).parquet(f"{self.path}/{f}") for f in folders]
+        if spec.keep == "first" or len(parts) == 1:
+            return reduce(DataFrame.unionByName, parts)
+        numbered = reduce(DataFrame.unionByName, [p.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)])
+        rest = [f.name for f in spec.schema if f.name not in spec.key]
+        newest = numbered.groupBy(*spec.key).agg(F.max_by(F.struct(*rest), "_part").alias("_row"))
+        return newest.select(*[F.col(f"_row.{f.name}") if f.name in rest else F.col(f.name) for f in spec.schema])
+
+    @property
+    def generation(self) -> int:
+        """The newest one's number, -1 without any."""
+        return self._generation_of(self.manifest())
+
+    def save(self, catalog: Catalog, base: int | None = None) -> None:
+        """All tables anew. With ``base``, the generation that the catalog was made from, another one since is a Conflict."""
+        self._write({n: catalog[n] for n in SPECS}, {}, VERSION, base)
+
+    def save_old(self, tables: dict[str, DataFrame], version: str) -> None:
+        """Tables of another version, with their own columns."""
+        self._write(tables, {}, version, None)
+
+    def append(self, new: Catalog, base: int | None = None) -> None:
+        """New rows of the tables that ``new`` has, beside what is there. Rows of keys that are there are to be in tables that keep the
+        last row only (``operators.storage.additions`` gives such rows). ``base`` as in ``save``."""
+        found = self.manifest()
+        have = found["tables"] if found else {}
+        full = {n for n in new.tables if len(have.get(n, [])) >= self.MOST_PARTS}
+        old = self.open() if full else None
+        fresh = {}
+        for name, df in new.tables.items():
+            if name in full:
+                kept = old[name] if SPECS[name].keep == "first" else old[name].join(df.select(*SPECS[name].key), list(SPECS[name].key), "left_anti")
+                df = kept.unionByName(df.select(kept.columns))
+            fresh[name] = df
+        self._write(fresh, {n: f for n, f in have.items() if n not in full}, VERSION, self._generation_of(found) if base is None else base)
+
+    @staticmethod
+    def _generation_of(found: dict | None) -> int:
+        return found["generation"] if found else -1
+
+    def _write(self, tables: dict[str, DataFrame], before: dict[str, list[str]], version: str, base: int | None) -> None:
+        generation = self._generation_of(self.manifest()) + 1
+        if base is not None and base != generation - 1:
+            raise Conflict(f"{self.path} has changed since generation {base}")
+        folder, listed = f"tables-{generation:06d}-{uuid.uuid4().hex[:8]}", {n: list(f) for n, f in before.items()}
         self.lock()
         try:
-            for name, spec in SPECS.items():
-                catalog[name].select([f.name for f in spec.schema]).write.mode("overwrite").parquet(f"{self.path}/{generation}/{name}")
-            self._put("_version", f"{VERSION} {generation}")
+            for name, df in tables.items():
+                columns = [f.name for f in SPECS[name].schema] if version == VERSION else df.columns
+                df.select(columns).write.parquet(f"{self.path}/{folder}/{name}")
+                listed.setdefault(name, []).append(f"{folder}/{name}")
+            self._create(f"_version-{generation:06d}", json.dumps({"version": version, "tables": listed}))
+            self._forget(generation)
         finally:
             self.unlock()
 
-    def staged(self, pattern: str = "staged-*") -> list[str]:
-        """Stores left beside the tables by ingestion that was interrupted before its merge."""
-        found = self._fs.globStatus(self._path(f"{self.path}/{pattern}"))
-        return sorted(s.getPath().toString() for s in found or [])
+    def _forget(self, generation: int) -> None:
+        """Removes versions before the last two, and folders that no version lists."""
+        for name in self._names("_version-*"):
+            if int(name.rpartition("-")[2]) < generation - 1:
+                self._delete(name)
+        used = {f.split("/")[0] for name in self._names("_version-*") for folders in json.loads(self._get(name))["tables"].values() for f in folders}
+        for name in self._names("tables-*"):
+            if name not in used:
+                self._delete(name)
+
+    def staging(self) -> Store:
+        """A new store beside the tables, for rows that are to be merged."""
+        return Store(self.spark, f"{self.path}/staged-{uuid.uuid4().hex[:8]}")
+
+    def staged(self, pattern: str = "staged-*") -> list[Store]:
+        """Stores left beside the tables by ingestion that was interrupted before its merge; those without a version are incomplete."""
+        return [Store(self.spark, f"{self.path}/{n}") for n in self._names(pattern)]
+
+    def remove(self) -> None:
+        self._fs.delete(self._path(self.path), True)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..folders import shared_folder
 from ..functions.text import is_feed_type, keyword_score
 from ..functions.urls import host_under, site
 
@@ -31,20 +32,21 @@ def over_threshold(mentions: DataFrame, scheduled: DataFrame, threshold: int) ->
     return mentions.where(F.col("n") > threshold).join(scheduled.select("site"), "site", "left_anti")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int, most_levels: int = 0) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int, most_levels: int = 0, state: str | None = None) -> DataFrame:
     """(site, depth) of all sites that are reached: the seeds are at depth 1; a site is scheduled when the items of all
     sites scheduled so far mention it more than ``threshold`` times, at one more than the depth of the newest level.
 
     edges: (site, target, n): n mentions of target by the items of site. Each level is one aggregation over the edges
     of the reached sites, checkpointed. depth_limit 0: no limit. With
-    ``most_levels`` it is an error if sites are left beyond so many levels.
+    ``most_levels`` it is an error if sites are left beyond so many levels. With ``state``, a folder, the levels are
+    kept there, and a run that was interrupted goes on after the last whole one (remove the folder to begin anew).
     """
     reached = seeds.select("site").distinct().withColumn("depth", F.lit(1))
     level = 1
     while not (depth_limit and level >= depth_limit):
         known = edges.join(reached.select("site"), "site").groupBy("target").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
         new = known.select(F.col("target").alias("site")).join(reached.select("site"), "site", "left_anti").withColumn("depth", F.lit(level + 1))
-        new = _checkpointed(new)
+        new = _kept(new, f"{state}/level-{level + 1:05d}") if state else _checkpointed(new)
         if new.isEmpty():
             break
         if most_levels and level >= most_levels:
@@ -53,15 +55,19 @@ def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int,
     return reached
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """What is at the path if it was written to its end; else df, written there."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="linkloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -108,3 +114,24 @@ def prioritised(mentions: DataFrame, start: DataFrame, weights: Mapping[float, l
     scored = mentions.join(start, "source", "left").withColumn("score", keyword_score(dict(weights), F.col("target"), F.coalesce("phrases", F.lit(""))))
     best = scored.groupBy("target").agg(F.max(F.coalesce("priority", F.lit(0.0)) + F.col("score")).alias("priority"), F.min("score").alias("least"))
     return best.where(F.col("least") != float("-inf")).select("target", "priority")
+
+
+def carried_priorities(mentions: DataFrame, seeds: DataFrame, weights: Mapping[float, list[str]], levels: int) -> DataFrame:
+    """(target, priority, level): the priorities of ``levels`` levels, each of which starts with those of the level before.
+
+    seeds: (source, priority). A target is of the level that reaches it first, and keeps its priority; one that is dropped leads
+    nowhere and isn't reached again. mentions is scored once, whatever the number of levels.
+    """
+    scored = mentions.select("source", "target", keyword_score(dict(weights), F.col("target"), F.coalesce("phrases", F.lit(""))).alias("score"))
+    pairs = _checkpointed(scored.groupBy("source", "target").agg(F.max("score").alias("score"), F.min("score").alias("least")))
+    dropped = pairs.where(F.col("least") == float("-inf")).select("target").distinct()
+    pairs = pairs.join(dropped, "target", "left_anti").select("source", "target", "score")
+    reached = seeds.groupBy(F.col("source").alias("target")).agg(F.max("priority").alias("priority")).withColumn("level", F.lit(0))
+    for level in range(1, levels + 1):
+        front = reached.where(F.col("level") == level - 1).select(F.col("target").alias("source"), "priority")
+        found = pairs.join(front, "source").groupBy("target").agg(F.max(F.col("priority") + F.col("score")).alias("priority"))
+        new = _checkpointed(found.join(reached.select("target"), "target", "left_anti").withColumn("level", F.lit(level)))
+        if new.isEmpty():
+            break
+        reached = _checkpointed(reached.unionByName(new))
+    return reached.where(F.col("level") > 0)

@@ -8,13 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 def rolling_stats(df: DataFrame, value: str, order: list[str], partition: list[str], last: int = 64) -> DataFrame:
     """min, max, mean and mode of the last values up to each row; of equally frequent values the smallest is the mode."""
     frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
-    counted = F.collect_list(value).over(frame)
-    best = F.aggregate(
-        F.array_sort(F.array_distinct(counted)),
-        F.struct(F.lit(0).alias("n"), F.lit(None).cast(df.schema[value].dataType).alias("v")),
-        lambda acc, v: F.when(F.size(F.filter(counted, lambda x: x == v)) > acc["n"], F.struct(F.size(F.filter(counted, lambda x: x == v)).alias("n"), v.alias("v"))).otherwise(acc),
-    )["v"]
-    return df.withColumns({"min_last": F.min(value).over(frame), "max_last": F.max(value).over(frame), "mean_last": F.avg(value).over(frame), "mode_last": best})
+    return df.withColumns({"min_last": F.min(value).over(frame), "max_last": F.max(value).over(frame), "mean_last": F.avg(value).over(frame), "mode_last": F.mode(value, True).over(frame)})
 
 
 def rate(df: DataFrame, value: str, order: list[str], partition: list[str], samples: int = 5) -> DataFrame:

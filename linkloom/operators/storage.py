@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..model import SPECS, Catalog, TableSpec
+from ..model import SPECS, VERSION, Catalog, TableSpec
 
 
 def dedup(df: DataFrame, keys: list[str], keep: str = "first", order: str = "id") -> DataFrame:
@@ -68,15 +68,17 @@ def repair(tables: Catalog) -> Catalog:
     return out
 
 
-def merge(main: Catalog, other: Catalog) -> Catalog:
-    """The union of both on natural keys, in the order of dependence; links of ``other`` are rewritten.
+def additions(main: Catalog, other: Catalog) -> Catalog:
+    """The rows that a merge of ``other`` adds to ``main``, or replaces in tables that keep the last row of a key; links are
+    rewritten to main's ids.
 
     Rows of other whose key main has take main's id; new ones get a hash of their key, so that a merge that is repeated
-    gives the same ids and needs no global numbering; ``duplicates`` finds ids that clash. For tables that keep the
-    first row main's wins, for those that keep the last other's does.
+    gives the same ids and needs no global numbering; ``duplicates`` finds ids that clash. Of main only ids and keys are read.
     """
-    out, renamed = main, {}
+    out, renamed = {}, {}
     for name, spec in SPECS.items():
+        if name not in other.tables and not _linked_to(name):
+            continue
         new = other[name]
         for column, parent in spec.links.items():
             new = new.join(renamed[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
@@ -88,13 +90,20 @@ def merge(main: Catalog, other: Catalog) -> Catalog:
         # several rows of other may share a key, and all of their ids must be known
         keys = new.select(F.col("id").alias("_winner"), *[F.col(k).alias(f"_{k}") for k in spec.key])
         renamed[name] = placed.select(F.col("id").alias("_old"), "_new") if not _linked_to(name) else _all_ids(other[name], spec, keys, placed)
-        fresh = placed.where(F.col("_have").isNull()).withColumn("id", F.col("_new")).select(main[name].columns)
-        if spec.keep == "last":
-            changed = placed.where(F.col("_have").isNotNull()).withColumn("id", F.col("_new")).select(main[name].columns)
-            kept = main[name].join(changed.select("id"), "id", "left_anti").select(main[name].columns)
-            out = out.with_tables(**{name: kept.unionByName(changed).unionByName(fresh)})
-        else:
-            out = out.with_tables(**{name: main[name].unionByName(fresh)})
+        added = placed if spec.keep == "last" else placed.where(F.col("_have").isNull())
+        out[name] = added.withColumn("id", F.col("_new")).select([f.name for f in spec.schema])
+    return Catalog(main.spark, out)
+
+
+def merge(main: Catalog, other: Catalog) -> Catalog:
+    """The union of both on natural keys, in the order of dependence. For tables that keep the first row main's wins, for
+    those that keep the last other's does."""
+    out, added = main, additions(main, other)
+    for name, new in added.tables.items():
+        columns, kept = new.columns, main[name]
+        if SPECS[name].keep == "last":
+            kept = kept.join(new.select("id"), "id", "left_anti")
+        out = out.with_tables(**{name: kept.select(columns).unionByName(new)})
     return out
 
 
@@ -146,7 +155,27 @@ def _tag_urls(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {**t, "tagging": dedup(tagging, ["url_id", "keyword_id"]), "item": dedup(t["item"], ["url"]), "feed": feed}
 
 
-MIGRATIONS: dict[tuple[str, str], Migration] = {("0.10", "0.10.3"): _split_markup, ("0.10.3", "0.10.5"): _tag_urls, ("0.10.5", "0.10.6"): dict, ("0.10.6", "1"): dict}
+def _same_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Only what a database does on deleting a row changed, and tables of files have no such rules."""
+    return dict(t)
+
+
+def _own_tables(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of this library: columns and types by ``SPECS``, missing ones null; numbered ids stay, new rows get hashes."""
+    out = {}
+    for name, spec in SPECS.items():
+        if name in t:
+            out[name] = t[name].select([F.col(f.name).cast(f.dataType).alias(f.name) if f.name in t[name].columns else F.lit(None).cast(f.dataType).alias(f.name) for f in spec.schema])
+    return out
+
+
+MIGRATIONS: dict[tuple[str, str], Migration] = {
+    ("0.10", "0.10.3"): _split_markup,
+    ("0.10.3", "0.10.5"): _tag_urls,
+    ("0.10.3", "0.10.6"): _tag_urls,
+    ("0.10.5", "0.10.6"): _same_tables,
+    ("0.10.6", "1"): _own_tables,
+}
 
 
 def migration_path(start: str, end: str, steps: dict[tuple[str, str], Migration] = MIGRATIONS) -> list[tuple[str, str]]:
@@ -163,6 +192,15 @@ def migration_path(start: str, end: str, steps: dict[tuple[str, str], Migration]
     raise ValueError(f"no way from version {start} to {end}")
 
 
+def upgrade(store) -> list[tuple[str, str]]:
+    """Brings a store of an older version to this one; the steps that were taken."""
+    version, tables = store.open_old()
+    steps = migration_path(version, VERSION)
+    if steps:
+        store.save(Catalog(store.spark, migrate(tables, version, VERSION)))
+    return steps
+
+
 def migrate(tables: dict[str, DataFrame], start: str, end: str) -> dict[str, DataFrame]:
     for step in migration_path(start, end):
         tables = MIGRATIONS[step](tables)

@@ -52,14 +52,12 @@ def _named(name: Column, include: Sequence[Filter], exclude: Sequence[Filter]) -
 def hyperlink_graph(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filter] = ()) -> tuple[DataFrame, DataFrame]:
     """vertices (name) and edges (source, target, type, timestamp) of the links of items; of several links between
     two URLs the one with the largest tag and time stays. Filters give the subgraph that their vertices induce."""
-    url = lambda role: tables["url"].select(F.col("id").alias(f"{role}_id"), F.col("url").alias(role))
     items = tables["item"].select(F.col("url").alias("source_id"), F.col("published").alias("timestamp"))
-    rows = tables["hyperlink"].select("source_id", "target_id", "element").join(items, "source_id").join(url("source"), "source_id").join(url("target"), "target_id")
-    rows = rows.where(_named(F.col("source"), include, exclude))
+    links = tables.with_urls("hyperlink", "source_id", "target_id").join(items, "source_id").select(F.col("source_id_url").alias("source"), F.col("target_id_url").alias("target"), "element", "timestamp")
     last = F.max(F.struct(F.col("element").alias("type"), "timestamp")).alias("last")
-    edges = rows.groupBy("source", "target").agg(last).select("source", "target", "last.type", "last.timestamp")
+    edges = links.where(_named(F.col("source"), include, exclude)).groupBy("source", "target").agg(last).select("source", "target", "last.type", "last.timestamp")
     # a vertex is there through an edge of the whole graph, also if its partner is filtered out
-    ends = tables["hyperlink"].join(items, "source_id").join(url("source"), "source_id").join(url("target"), "target_id").select(F.explode(F.array("source", "target")).alias("name")).distinct()
+    ends = links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
     return ends.where(_named(F.col("name"), include, exclude)), edges.where(_named(F.col("target"), include, exclude))
 
 
@@ -72,8 +70,8 @@ def domain_vertices(tables: Catalog, include: Sequence[Filter] = (), exclude: Se
 def domain_links(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filter] = ()) -> DataFrame:
     """source, target, tag, n: links between domains. Links are summed by URL pair's domains before the last shuffle
     by Spark's partial aggregation, so hub domains cost no more than others."""
-    at = lambda role: domains(tables).select(F.col("id").alias(f"{role}_id"), F.col("domain").alias(role))
-    rows = tables["hyperlink"].join(at("source"), "source_id").join(at("target"), "target_id")
+    domain = lambda role: url_part(F.col(f"{role}_id_url"), "netloc").alias(role)
+    rows = tables.with_urls("hyperlink", "source_id", "target_id").select(domain("source"), domain("target"), "element")
     for role in ("source", "target"):
         rows = rows.where(_named(F.concat(F.lit("http://"), F.col(role)), include, exclude))
     return rows.groupBy("source", "target", F.col("element").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
@@ -91,15 +89,13 @@ def domain_graph(tables: Catalog, tags: Sequence[str] | None = None, include: Se
 def uncharted(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filter] = ()) -> dict[str, DataFrame]:
     """Domains that no feed is at: pages (domain, page_count), keywords (domain, keyword, n), referrers (domain,
     referrer, n) in long form."""
-    at = domains(tables)
-    charted = tables["feed"].select(F.col("url_id").alias("id")).join(at, "id").select("domain").distinct()
+    domain = lambda column: url_part(F.col(f"{column}_url"), "netloc").alias("domain")
+    charted = tables.with_urls("feed", "url_id").select(domain("url_id")).distinct()
     keep = lambda df: df.join(charted, "domain", "left_anti").where(_named(F.concat(F.lit("http://"), F.col("domain")), include, exclude))
-    pages = at.groupBy("domain").agg(F.count(F.lit(1)).alias("page_count"))
-    words = tables["tagging"].join(at.withColumnRenamed("id", "url_id"), "url_id").groupBy("domain", "keyword_id").agg(F.count(F.lit(1)).alias("n"))
+    pages = domains(tables).groupBy("domain").agg(F.count(F.lit(1)).alias("page_count"))
+    words = tables.with_urls("tagging", "url_id").select(domain("url_id"), "keyword_id").groupBy("domain", "keyword_id").agg(F.count(F.lit(1)).alias("n"))
     words = words.join(tables["keyword"].select(F.col("id").alias("keyword_id"), "keyword"), "keyword_id").groupBy("domain", "keyword").agg(F.sum("n").alias("n"))
-    role = lambda name: at.select(F.col("id").alias(f"{name}_id"), F.col("domain").alias(name))
-    links = tables["hyperlink"].join(role("source"), "source_id").join(role("target"), "target_id")
-    links = links.groupBy(F.col("target").alias("domain"), F.col("source").alias("referrer")).agg(F.count(F.lit(1)).alias("n"))
+    links = domain_links(tables).groupBy(F.col("target").alias("domain"), F.col("source").alias("referrer")).agg(F.sum("n").alias("n"))
     return {"pages": keep(pages), "keywords": keep(words), "referrers": keep(links)}
 
 

@@ -28,23 +28,24 @@ def columns() -> dict[str, Column]:
     return {a: attribute(a) for a in ATTRIBUTES}
 
 
-def _urls(tables: Catalog, role: str) -> DataFrame:
-    url = F.col("url")
-    return tables["url"].select(F.col("id").alias(f"_{role}"), *[(url if p == "url" else url_part(url, p)).alias(f"{role}:{p}") for p in URL_PARTS])
+def _parts(url: str, role: str) -> list[Column]:
+    return [(F.col(url) if p == "url" else url_part(F.col(url), p)).alias(f"{role}:{p}") for p in URL_PARTS]
 
 
 def wide(tables: Catalog) -> DataFrame:
-    """All attributes of all hyperlinks whose source is an item of a known feed; the ids are _source, _target, _feed."""
-    items = tables["item"].select(
-        F.col("url").alias("_item"), F.col("source").alias("_item_feed"), F.col("title").alias("source:title"), *[date_part(F.col("published"), p).alias(f"published:{p}") for p in DATE_PARTS]
+    """All attributes of all hyperlinks whose source is an item of a known feed; the ids are _source, _target, _feed.
+
+    The URLs come with the tables' rows where the tables have them, else by joins with url.
+    """
+    items = tables.with_urls("item", "source").select(
+        F.col("url").alias("_item"), F.col("source").alias("_feed"), F.col("title").alias("source:title"), *_parts("source_url", "feed"), *[date_part(F.col("published"), p).alias(f"published:{p}") for p in DATE_PARTS]
     )
     feeds = tables["feed"].select(F.col("url_id").alias("_feed_info"), F.col("title").alias("feed:title"), F.col("dead").alias("feed:isdead"))
-    links = tables["hyperlink"].select("source_id", "target_id", F.col("element").alias("tag"))
+    links = tables.with_urls("hyperlink", "source_id", "target_id").select(
+        F.col("source_id").alias("_source"), F.col("target_id").alias("_target"), F.col("element").alias("tag"), *_parts("source_id_url", "source"), *_parts("target_id_url", "target")
+    )
     return (
-        links.join(items, F.col("source_id") == F.col("_item"))
-        .join(feeds, F.col("_item_feed") == F.col("_feed_info"))
-        .join(_urls(tables, "feed"), F.col("_item_feed") == F.col("_feed"))
-        .join(_urls(tables, "source"), F.col("source_id") == F.col("_source"))
-        .join(_urls(tables, "target"), F.col("target_id") == F.col("_target"))
+        links.join(items, F.col("_source") == F.col("_item"))
+        .join(feeds, F.col("_feed") == F.col("_feed_info"))
         .select("_source", "_target", "_feed", *columns().values())
     )

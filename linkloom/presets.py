@@ -1,13 +1,17 @@
-"""Settings for sites with known feed addresses, chosen by name or by a feed's URL."""
+"""Settings for sites with known feed addresses, chosen by name or by a feed's URL; users add their own from JSON or Python files."""
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+import runpy
+from dataclasses import dataclass, field, fields
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import Column
 
-from .functions.templates import url_variants
+from .functions.templates import Templates, url_variants
 
 SCHEMES = ("http", "https")
 
@@ -18,7 +22,7 @@ class Preset:
     followed to; feed_state: selection mode; ignore: domains that are no sites of users."""
 
     site: str
-    feeds: dict[str, list[str]]
+    feeds: dict[str, Templates]
     follow: tuple[str, ...] = ()
     depth: int = 2
     feed_state: str = "all"
@@ -29,7 +33,7 @@ def _both(host: str, endings: list[str]) -> list[str]:
     return [f"{scheme}://{host}/{ending}" for scheme in SCHEMES for ending in endings]
 
 
-# Addresses of feeds and of the sites' own domains.
+# Addresses of feeds, patterns of the sites and their own domains.
 _WORDPRESS = ["?feed=rss", "?feed=rss2", "?feed=rdf", "?feed=atom", "feed/", "feed/rss/", "feed/rss2/", "feed/rdf/", "feed/atom/"]
 _TUMBLR = ["rss", "rss#_=_"]
 _LIVEJOURNAL = ["data/rss", "data/atom"]
@@ -47,6 +51,29 @@ PRESETS = {
 }
 
 
+def load(path: str) -> Preset:
+    """A preset from a file: a JSON object with a preset's fields, or a Python file that has them as upper-case names, in which
+    feeds may be functions. A Python file is run, so it is to be the user's own."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    else:
+        found = {k.lower(): v for k, v in runpy.run_path(path).items() if k.isupper() and not isinstance(v, ModuleType)}
+    known = [f.name for f in fields(Preset)]
+    if wrong := sorted(set(found) - set(known)):
+        raise KeyError(f"{path} has {', '.join(wrong)}; known are {', '.join(known)}")
+    return Preset(**{k: tuple(v) if k in ("follow", "ignore") else v for k, v in found.items()})
+
+
+def register(folder: str) -> list[str]:
+    """Adds the presets of a folder's .json and .py files under the files' names, before the built-in ones; the names."""
+    found = {p.stem: load(str(p)) for p in sorted(Path(folder).iterdir()) if p.suffix in (".json", ".py") and not p.stem.startswith("_")}
+    built_in = {k: v for k, v in PRESETS.items() if k not in found}
+    PRESETS.clear()
+    PRESETS.update({**found, **built_in})
+    return list(found)
+
+
 def for_feed(url: str) -> Preset | None:
     """The first preset whose site pattern matches a feed's URL from its start."""
     return next((p for p in PRESETS.values() if re.match(p.site, url)), None)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .folders import new_folder
 from .functions import templates, text as fn, urls as fu
 from .functions.html import links as html_links_of
 from .model import Catalog
@@ -14,6 +15,7 @@ from .plans import exports
 from .plans.filters import Filter
 from .plans.wide import ATTRIBUTES, columns, wide
 from .sources import starschema
+from .sources.pages import image_links, without_crawled
 from .streaming.ingest import session_counts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +96,11 @@ def urls_wide_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plainly(wide(starschema.catalog(spark, sf_dir)).select(*columns().values()))
 
 
-@query("SELECT target_url, source_title, published_date FROM (SELECT *, row_number() OVER (PARTITION BY target_url ORDER BY source_url, tag) AS k FROM wide) WHERE k = 1", WIDE)
+@query("SELECT target_url, source_title || '|' || published_date AS path FROM (SELECT *, row_number() OVER (PARTITION BY target_url ORDER BY source_url, tag) AS k FROM wide) WHERE k = 1", WIDE)
 def urls_distinct_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wide(starschema.catalog(spark, sf_dir))
-    best = F.min_by(F.struct(F.col("`source:title`").alias("source_title"), F.col("`published:date`").alias("published_date")), F.struct("`source:url`", "tag")).alias("r")
-    return rows.groupBy(F.col("`target:url`").alias("target_url")).agg(best).select("target_url", "r.*")
+    """One row for each target; the template shows which of its links it is."""
+    rows = exports.urls(starschema.catalog(spark, sf_dir), fmt="%(source:title)s|%(published:date)s")
+    return rows.select(F.col("`target:url`").alias("target_url"), F.col("_path").alias("path"))
 
 
 @query(
@@ -252,34 +254,43 @@ def graph_hyper_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.hyperlink_graph(starschema.catalog(spark, sf_dir), [("domain", "under", "C2.example.com")])[0]
 
 
-_FREE = "charted AS (SELECT p.netloc FROM feed f JOIN parts p ON p.id = f.url_id)"
+# Feeds of some hosts only, so that items with keywords are at uncharted domains too.
+_FREE = "charted AS (SELECT p.netloc FROM feed f JOIN parts p ON p.id = f.url_id WHERE p.url LIKE 'https://c1%')"
+
+
+def _half_charted(spark: SparkSession, sf_dir: str) -> Catalog:
+    tables = starschema.catalog(spark, sf_dir)
+    feeds = tables.with_urls("feed", "url_id").where(F.col("url_id_url").startswith("https://c1"))
+    return tables.with_tables(feed=feeds.select(tables["feed"].columns))
 
 
 @query("SELECT netloc AS domain, count(*) AS page_count FROM parts WHERE netloc NOT IN (SELECT netloc FROM charted) GROUP BY 1", f"{BASE}, {_FREE}")
 def uncharted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.uncharted(starschema.catalog(spark, sf_dir))["pages"]
+    return exports.uncharted(_half_charted(spark, sf_dir))["pages"]
 
 
 @query("SELECT p.netloc AS domain, k.keyword, count(*) AS n FROM tagging t JOIN parts p ON p.id = t.url_id JOIN keyword k ON k.id = t.keyword_id WHERE p.netloc NOT IN (SELECT netloc FROM charted) GROUP BY 1, 2", f"{BASE}, {_FREE}")
 def uncharted_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.uncharted(starschema.catalog(spark, sf_dir))["keywords"]
+    return exports.uncharted(_half_charted(spark, sf_dir))["keywords"]
 
 
 @query("SELECT target AS domain, source AS referrer, CAST(sum(n) AS BIGINT) AS n FROM dl WHERE target NOT IN (SELECT netloc FROM charted) GROUP BY 1, 2", f"{BASE}, {_LINKS}, {_FREE}")
 def uncharted_referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.uncharted(starschema.catalog(spark, sf_dir))["referrers"]
+    return exports.uncharted(_half_charted(spark, sf_dir))["referrers"]
 
 
 @query(
-    "SELECT 'http://' || p.netloc AS name, p.n AS page_count, 0::BIGINT AS n_keywords, coalesce(r.k, 0) AS n_referrers, coalesce(r.n, 0) AS n_links FROM (SELECT netloc, count(*) AS n FROM parts WHERE netloc NOT IN (SELECT netloc FROM charted) GROUP BY 1) p "
-    "LEFT JOIN (SELECT target, count(DISTINCT source) AS k, CAST(sum(n) AS BIGINT) AS n FROM dl GROUP BY 1) r ON r.target = p.netloc",
+    "SELECT 'http://' || p.netloc AS name, p.n AS page_count, coalesce(w.k, 0) AS n_keywords, coalesce(w.n, 0) AS n_taggings, coalesce(r.k, 0) AS n_referrers, coalesce(r.n, 0) AS n_links FROM (SELECT netloc, count(*) AS n FROM parts WHERE netloc NOT IN (SELECT netloc FROM charted) GROUP BY 1) p "
+    "LEFT JOIN (SELECT target, count(DISTINCT source) AS k, CAST(sum(n) AS BIGINT) AS n FROM dl GROUP BY 1) r ON r.target = p.netloc "
+    "LEFT JOIN (SELECT p.netloc, count(DISTINCT t.keyword_id) AS k, count(*) AS n FROM tagging t JOIN parts p ON p.id = t.url_id GROUP BY 1) w ON w.netloc = p.netloc",
     f"{BASE}, {_LINKS}, {_FREE}",
 )
 def uncharted_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report with its maps folded to their sizes and sums."""
-    r = exports.uncharted_report(starschema.catalog(spark, sf_dir))
-    total = F.aggregate(F.map_values("referrers"), F.lit(0).cast("long"), lambda a, x: a + x)
-    return r.select("name", "page_count", F.size("keywords").cast("long").alias("n_keywords"), F.size("referrers").cast("long").alias("n_referrers"), total.alias("n_links"))
+    r = exports.uncharted_report(_half_charted(spark, sf_dir))
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    size = lambda c: F.size(c).cast("long")
+    return r.select("name", "page_count", size("keywords").alias("n_keywords"), total("keywords").alias("n_taggings"), size("referrers").alias("n_referrers"), total("referrers").alias("n_links"))
 
 
 _SITES = f"sites AS (SELECT source, target, lower(regexp_extract(target, '{URL_SQL}', 1)) || '://' || regexp_extract(target, '{URL_SQL}', 2) AS site FROM (SELECT DISTINCT source, target FROM raw_link))"
@@ -353,8 +364,6 @@ def offsite_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT regexp_replace(regexp_replace(target, '_[0-9]+[.](jpg|png|gif)', '_1280.\\1'), '^http:', 'https:') AS url FROM raw_link WHERE element = 'img' AND target LIKE '%.media.example.net/%'")
 def image_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources.pages import image_links
-
     return image_links(wide(starschema.catalog(spark, sf_dir)), "media.example.net", seed=3).select(fu.image_rewrite(F.col("url")).alias("url"))
 
 
@@ -484,9 +493,9 @@ def rate_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rate(table(spark, sf_dir, "events"), "value", ["event_id"], ["user_id"]).select("event_id", F.round("rate", 6).alias("rate"))
 
 
-@query("SELECT event_type, CAST(max(date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01')) AS BIGINT) AS oldest, CAST(min(date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01')) AS BIGINT) AS newest FROM events GROUP BY 1", plain=True)
+@query("SELECT event_type, CAST(max(age) AS BIGINT) AS oldest, CAST(min(age) AS BIGINT) AS newest, round(avg(age), 3) AS mean_age FROM (SELECT event_type, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01') AS age FROM events) GROUP BY 1", plain=True)
 def request_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ages(table(spark, sf_dir, "events"), "ts", F.lit("2024-02-01").cast("timestamp"), ["event_type"]).select("event_type", "oldest", "newest")
+    return stats.ages(table(spark, sf_dir, "events"), "ts", F.lit("2024-02-01").cast("timestamp"), ["event_type"]).select("event_type", "oldest", "newest", F.round("mean_age", 3).alias("mean_age"))
 
 
 @query("SELECT source, printf('%.2f%%', 100.0 * sum(CASE WHEN published < '1996' THEN 1 ELSE 0 END) / count(*)) AS explored FROM raw_item GROUP BY 1")
@@ -534,7 +543,9 @@ def migrate_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_crawled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = starschema.raw(spark, sf_dir)
     crawled = r["link"].select(F.col("target").alias("url")).union(r["item"].where(F.col("published") < "1996").select("url")).distinct()
-    return r["item"].join(crawled, "url", "left_anti").select("url", "source")
+    path = new_folder(spark, "crawled")
+    crawled.write.text(path)
+    return without_crawled(r["item"], spark, path).select("url", "source")
 
 
 _KW = "kw AS (SELECT url, keyword, element AS category FROM raw_tag JOIN (SELECT DISTINCT source, element FROM raw_link) l ON l.source = url)"

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _open_for_write(root: str):
@@ -35,24 +35,42 @@ def _csv_line(values: list) -> str:
     return out.getvalue()
 
 
-def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions: int | None = None) -> DataFrame:
+def numbered_path(path: Column, part: Column) -> Column:
+    """a/b.txt, 3 -> a/b.3.txt; part 0 is the file itself."""
+    name = F.regexp_extract(path, "[^/]*$", 0)
+    at = F.when(F.locate(".", name, 2) > 0, F.length(path) - F.length(name) + F.locate(".", name, 2) - 1).otherwise(F.length(path))
+    numbered = F.concat(F.substring(path, F.lit(1), at), F.lit("."), part.cast("string"), F.substring(path, at + 1, F.length(path)))
+    return F.when(part == 0, path).otherwise(numbered)
+
+
+def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions: int | None = None, parts: int = 1) -> DataFrame:
     """Writes rows to the file in their ``_path`` under root; gives (_path, n_rows).
 
     All rows of a file are in one task, sorted, so a file is written once, has one CSV header, and a repeated task writes the
-    same again. lines: the first column; csv: all columns; json: one object per file, keyed by the first column. Root is
-    a folder that executors share.
+    same again. A file that would be too large for a task is dealt by a hash of its rows to ``parts`` files, each of them a whole
+    file of its own: all.csv, all.1.csv, all.2.csv. lines: the first column; csv: all columns; json: one object per file, keyed by
+    the first column and written as it comes; of rows with one key the last counts. Root is a folder that executors share.
     """
     columns = [c for c in rows.columns if c != "_path"]
+    if parts > 1:
+        dealt_by = [F.col(f"`{columns[0]}`")] if format == "json" else [F.col(f"`{c}`") for c in columns]
+        rows = rows.withColumn("_path", numbered_path(F.col("_path"), F.pmod(F.xxhash64(*dealt_by), F.lit(parts))))
     dealt = rows.repartition(partitions, "_path") if partitions else rows.repartition("_path")
     ready = dealt.sortWithinPartitions("_path", *[f"`{c}`" for c in columns])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, at, out, n, done, objects = _open_for_write(root), None, None, 0, [], {}
+        open_, at, out, n, done, held = _open_for_write(root), None, None, 0, [], None
+
+        def put(last):
+            """The object of the key before, when the next key comes or the file ends."""
+            if held is not None:
+                out.write(f"{json.dumps(held[0], ensure_ascii=False)}: {json.dumps(held[1], ensure_ascii=False)}{'' if last else ', '}")
 
         def finish():
             if out is not None:
                 if format == "json":
-                    json.dump(objects, out, ensure_ascii=False)
+                    put(True)
+                    out.write("}")
                 out.close()
                 done.append((at, n))
 
@@ -61,15 +79,19 @@ def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions:
                 values, path = record[:-1], record[-1]
                 if path != at:
                     finish()
-                    at, n, objects, out = path, 0, {}, open_(path)
+                    at, n, held, out = path, 0, None, open_(path)
                     if format == "csv":
                         out.write(_csv_line(columns))
+                    elif format == "json":
+                        out.write("{")
                 if format == "lines":
                     out.write(f"{values[0]}\n")
                 elif format == "csv":
                     out.write(_csv_line(list(values)))
                 else:
-                    objects[str(values[0])] = dict(zip(columns[1:], [None if pd.isna(v) else v for v in values[1:]]))
+                    if held is not None and held[0] != str(values[0]):
+                        put(False)
+                    held = (str(values[0]), dict(zip(columns[1:], [None if pd.isna(v) else v for v in values[1:]])))
                 n += 1
         finish()
         yield pd.DataFrame(done, columns=["_path", "n_rows"])
@@ -116,6 +138,19 @@ def write_json(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     rows.write.mode("overwrite").json(path, compression=compression)
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """(part, name, line) of the uncharted report as one JSON object by domain; the first domain's line has no comma before it."""
+    first = report.agg(F.min("name").alias("_first"))
+    body = F.concat(F.to_json(F.struct(F.col("name").alias("k"))), F.lit(""))
+    key = F.regexp_extract(body, r'^\{"k":(.*)\}$', 1)
+    value = F.to_json(F.struct("page_count", "keywords", "referrers"))
+    comma = F.when(F.col("name") == F.col("_first"), "").otherwise(",")
+    lines = report.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), "name", F.concat(comma, key, F.lit(":"), value).alias("line"))  # one row
+    ends = report.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, name string, line string")
+    return ends.unionByName(lines)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """The uncharted report: a JSON object for each domain, sorted by name in each part."""
-    report.sortWithinPartitions("name").select(F.to_json(F.create_map("name", F.struct("page_count", "keywords", "referrers"))).alias("value")).write.mode("overwrite").text(path)
+    """The uncharted report: a folder of text parts that are one JSON document when read in the order of their names."""
+    ready = report_lines(report).repartitionByRange("part", "name").sortWithinPartitions("part", "name")
+    ready.select(F.col("line").alias("value")).write.mode("overwrite").text(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.html import links
@@ -129,6 +132,13 @@ def without_crawled(items: DataFrame, spark: SparkSession, path: str) -> DataFra
     return items.join(done, "url", "left_anti")
 
 
+def fetch_batches(rows: DataFrame, size: int = 100_000) -> Iterator[list]:
+    """Lists of up to ``size`` rows, one after another: the driver holds one partition at a time."""
+    rest = rows.toLocalIterator(prefetchPartitions=True)
+    while batch := list(islice(rest, size)):
+        yield batch
+
+
 def image_links(wide_rows: DataFrame, host: str, seed: int, source_part: str = "") -> DataFrame:
     """img links to a media host from sources with a text in their URL, shuffled by a seed."""
     from ..functions.urls import under

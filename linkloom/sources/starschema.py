@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import Catalog
+from ..model import SPECS, Catalog
 
 
 def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """feed, item, link and tag rows with URLs and words as keys."""
+    """feed, item, link and tag rows with URLs and words as keys, and the links' targets and the tags' words, which repeat."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     host = lambda k, n=50: F.concat(F.lit("https://c"), k % n, F.lit(".example.com/"))
     feed_url = lambda k: F.concat(host(k), F.lit("feed/"), k, F.lit(".xml"))
@@ -24,27 +24,35 @@ def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     kind = lambda a, n, other: F.when(flag == "A", a).when(flag == "N", n).otherwise(other)
     media = F.concat(F.lit("http://m"), part % 7, F.lit(".media.example.net/"), F.col("l_suppkey"), F.lit("/"), part, kind(".html", ".gif", ".mp4"))
     target = F.when(F.col("l_linenumber") == 1, F.concat(host(part, 60), F.lit("post/"), part)).otherwise(media)
+    linked = posts.select("source", target.alias("target"), kind("a", "img", "source").alias("element"))
+    tags = posts.join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_brand").alias("keyword")), "l_partkey").select(F.col("source").alias("url"), "keyword")
     return {
         "feed": read("customer").select(feed_url(cust).alias("url"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") < 0, True).when(cust % 5 == 0, None).otherwise(False).alias("dead")),
         "item": items,
-        "link": posts.select("source", target.alias("target"), kind("a", "img", "source").alias("element")).distinct(),
-        "tag": posts.join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_brand").alias("keyword")), "l_partkey").select(F.col("source").alias("url"), "keyword").distinct(),
+        "link": linked.distinct(),
+        "target": linked.select("target"),
+        "tag": tags.distinct(),
+        "keyword": tags.select("keyword").distinct(),
     }
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The tables; ids are hashes of the natural keys, so none needs a global order."""
+    """The tables; ids are hashes of the natural keys, so none needs a global order, and the URLs stay beside the ids, so that
+    no query needs a join to get back what the source has."""
     r = raw(spark, sf_dir)
     h = lambda *c: F.xxhash64(*[F.col(x) for x in c])
-    urls = r["feed"].select("url").union(r["item"].select("url")).union(r["item"].select("source")).union(r["link"].select("target")).distinct()
-    return Catalog(
-        spark,
-        {
-            "url": urls.select(h("url").alias("id"), "url"),
-            "keyword": r["tag"].select("keyword").distinct().select(h("keyword").alias("id"), "keyword"),
-            "item": r["item"].select(h("url").alias("id"), h("url").alias("url"), h("source").alias("source"), "title", F.lit(None).cast("string").alias("author"), "published", F.lit(None).cast("string").alias("updated"), F.lit(None).cast("double").alias("crawled")),
-            "hyperlink": r["link"].select(h("source", "target", "element").alias("id"), h("source").alias("source_id"), h("target").alias("target_id"), "element"),
-            "feed": r["feed"].select(h("url").alias("id"), h("url").alias("url_id"), "title", "dead"),
-            "tagging": r["tag"].select(h("url", "keyword").alias("id"), h("url").alias("url_id"), h("keyword").alias("keyword_id")),
-        },
-    )
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    urls = r["feed"].select("url").union(r["item"].select("url")).union(r["item"].select("source")).union(r["target"]).distinct()
+    named = {
+        "item": r["item"].select(
+            h("url").alias("id"), h("url").alias("url"), h("source").alias("source"), "title", none("string", "author"), "published", none("string", "updated"), none("double", "crawled"),
+            F.col("url").alias("url_url"), F.col("source").alias("source_url"),
+        ),
+        "hyperlink": r["link"].select(
+            h("source", "target", "element").alias("id"), h("source").alias("source_id"), h("target").alias("target_id"), "element", F.col("source").alias("source_id_url"), F.col("target").alias("target_id_url")
+        ),
+        "feed": r["feed"].select(h("url").alias("id"), h("url").alias("url_id"), "title", "dead", F.col("url").alias("url_id_url")),
+        "tagging": r["tag"].select(h("url", "keyword").alias("id"), h("url").alias("url_id"), h("keyword").alias("keyword_id"), F.col("url").alias("url_id_url")),
+    }
+    plain = {n: t.select([f.name for f in SPECS[n].schema]) for n, t in named.items()}
+    return Catalog(spark, {"url": urls.select(h("url").alias("id"), "url"), "keyword": r["keyword"].select(h("keyword").alias("id"), "keyword"), **plain}, named)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import is_absolute_http, site
 from ..model import Catalog, Store
-from ..operators.storage import merge
+from ..operators.storage import additions
 from ..sources.pages import entries, parse_pages, tables_of, with_links
 
 
@@ -24,26 +25,53 @@ def page_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, max_files: int | None = None, on_batch: Callable[[int, Catalog], None] | None = None) -> StreamingQuery:
     """Merges each micro-batch of pages into the store; ends when the files that are there are done.
 
-    Keys are natural, so a batch that is repeated after a failure changes nothing: rows whose first version stays keep
-    it, and rows whose last version stays get the same one again.
+    A batch is parsed once and staged beside the tables; then the rows that the tables haven't got are appended, and what is there
+    isn't written again. Keys are natural, so a batch that is repeated after a failure changes nothing: rows whose first version
+    stays keep it, and rows whose last version stays get the same one again. A batch that was staged only is merged by
+    ``merge_staged``.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        new = tables_of(with_links(entries(parse_pages(batch))))
+        staged = store.staging()
+        parsed = with_links(entries(parse_pages(batch))).persist(StorageLevel.DISK_ONLY)
         try:
-            old = store.open()
-        except FileNotFoundError:
-            old = Catalog(spark)
-        store.save(merge(old, new))
+            staged.append(tables_of(parsed))
+        finally:
+            parsed.unpersist()
+        _merge(store, staged)
         if on_batch:
             on_batch(batch_id, store.open())
 
     return page_stream(spark, path, max_files).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _merge(store: Store, staged: Store) -> None:
+    base = store.generation
+    main = store.open() if base >= 0 else Catalog(store.spark)
+    store.append(additions(main, staged.open()), base)
+    staged.remove()
+
+
+def merge_staged(store: Store) -> int:
+    """Merges what interrupted ingestion has left beside the tables, and removes it; gives how many there were. Half-written
+    ones hold nothing that their batch won't bring again."""
+    merged = 0
+    for staged in store.staged():
+        if staged.manifest():
+            if staged.locked:
+                staged.unlock()
+            _merge(store, staged)
+            merged += 1
+        else:
+            staged.remove()
+    return merged
+
+
 def site_counts(links: DataFrame, threshold: int) -> DataFrame:
-    """Running mentions by site of a stream of (source, target), in update mode; those over the threshold."""
-    found = links.where(is_absolute_http(F.col("target"))).groupBy(site(F.col("target")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
+    """Running mentions by site of a stream of (source, target), in update mode; those over the threshold. A pair counts once,
+    however often it comes."""
+    once = links.where(is_absolute_http(F.col("target"))).dropDuplicates(["source", "target"])
+    found = once.groupBy(site(F.col("target")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
     return found.where(F.col("n") > threshold)
 
 

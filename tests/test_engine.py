@@ -1,18 +1,21 @@
 import csv
 import json
+import os
 import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom import cli, sinks
-from linkloom.model import SPECS, Catalog, Store
+from linkloom import cli, presets, queries, sinks
+from linkloom.model import SPECS, Catalog, Conflict, Store
 from linkloom.operators import frontier, keywords, stats, storage
 from linkloom.plans import exports
 from linkloom.plans.wide import ATTRIBUTES
-from linkloom.sources.pages import enriched, entries, parse_pages, read_pages, tables_of, with_links, without_crawled
+from linkloom.sources.pages import enriched, entries, fetch_batches, parse_pages, read_pages, tables_of, with_links, without_crawled
 from linkloom.streaming.ingest import ingest, site_counts, windowed_counts
 
+from . import oracle
+
 
 def page(*items, feed="http://f.com/rss"):
     return json.dumps({"id": f"feed/{feed}", "title": "F", "continuation": "c", "items": list(items)})
@@ -169,7 +172,7 @@ def test_store(spark, tables, tmp_path):
 
 
 def test_migrations():
-    assert storage.migration_path("0.10", "1") == [("0.10", "0.10.3"), ("0.10.3", "0.10.5"), ("0.10.5", "0.10.6"), ("0.10.6", "1")]
+    assert storage.migration_path("0.10", "1") == [("0.10", "0.10.3"), ("0.10.3", "0.10.6"), ("0.10.6", "1")]
     with pytest.raises(ValueError):
         storage.migration_path("1", "0.10")
 
@@ -192,10 +195,7 @@ def test_sinks(spark, tables, tmp_path):
     ns = "{http://graphml.graphdrawing.org/xmlns}"
     assert len(root.findall(f".//{ns}node")) == exports.domain_vertices(tables).count() and len(root.findall(f".//{ns}edge")) > 0
     sinks.write_report(exports.uncharted_report(tables), str(tmp_path / "r"))
-    report = {}
-    for p in (tmp_path / "r").glob("part-*"):
-        for line in p.read_text().splitlines():
-            report |= json.loads(line)
+    report = json.loads("".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))))
     assert report["http://other.net"]["page_count"] == 2
 
 
@@ -233,7 +233,14 @@ def test_cli(spark, tables, tmp_path, capsys):
     assert cli.run(["merge", store, store, "-o", str(tmp_path / "m")], spark) == 0
     assert natural(Store(spark, str(tmp_path / "m")).open(), "url") == natural(tables, "url")
     Store(spark, f"{store}/staged-1").save(tables)
-    assert cli.run(["cleanup", store], spark) == 0
+    (tmp_path / "store" / "staged-2" / "tables-0").mkdir(parents=True)
+    capsys.readouterr()
+    assert cli.run(["cleanup", store], spark) == 0 and json.loads(capsys.readouterr().out) == {"merged": 1}
+    assert not list((tmp_path / "store").glob("staged-*")) and natural(Store(spark, store).open(), "url") == natural(tables, "url")
+    for topic in cli.HELP:
+        assert cli.run(["options", topic], spark) == 0 and "filters" in capsys.readouterr().out
+    Store(spark, store).lock()
+    assert cli.run(["repair", store], spark) == 1 and cli.run(["repair", store, "--unlock"], spark) == 0
     assert cli.run(["export", "graph", "-i", store, "-o", str(tmp_path / "g"), "graphtype=domain"], spark) == 0
     assert cli.run(["export", "uncharted", "-i", store, "-o", str(tmp_path / "u")], spark) == 0
     assert cli.compose({"a": {1}, "b": [1], "c": {"x": 1}}, {"a": {2}, "b": [2], "c": {"y": 2}, "d": 3}) == {"a": {1, 2}, "b": [1, 2], "c": {"x": 1, "y": 2}, "d": 3}
@@ -275,3 +282,135 @@ def test_stats(spark):
     assert [r["rate"] for r in stats.rate(df, "v", ["i"], ["k"]).orderBy("i").collect()] == [None, -4.0, -2.0, 0.0, 1.0]
     log = spark.createDataFrame([("a", 1, "add"), ("a", 2, "remove"), ("b", 1, "add")], "key string, seq int, action string")
     assert [r["key"] for r in stats.compact_log(log, ["key"]).collect()] == ["b"]
+
+
+def test_two_writers(spark, tables, tmp_path):
+    """Of two writers that start from one generation the second is told; a lock is taken once."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.save(tables)
+    a, b = store.generation, Store(spark, store.path).generation
+    one = storage.additions(store.open(), tables)
+    store.append(one, a)
+    with pytest.raises(Conflict):
+        Store(spark, store.path).append(one, b)
+    with pytest.raises(Conflict):
+        store.save(tables, b)
+    with pytest.raises(Conflict):
+        store._create(f"_version-{store.generation:06d}", "x")
+    store.lock()
+    with pytest.raises(RuntimeError):
+        Store(spark, store.path).lock()
+    store.unlock()
+    (tmp_path / "store" / "_version-000099").write_text('{"version": "1", "tab')  # being written
+    assert store.generation == 1 and natural(store.open(), "item") == natural(tables, "item")
+
+
+def test_append_writes_new_rows_only(spark, tables, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.save(tables)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("part-*.parquet")}
+    before = files()
+    u = spark.createDataFrame([(1, "http://new.example/a"), (2, "http://new.example/b")], SPECS["url"].schema)
+    new = Catalog(spark, {"url": u, "summary": spark.createDataFrame([(9, 1, "new")], SPECS["summary"].schema)})
+    store.append(storage.additions(store.open(), new), store.generation)
+    after = files()
+    assert all(after.get(p) == t for p, t in before.items())
+    rows = sum(spark.read.parquet(p).count() for p in set(after) - set(before))
+    assert rows == 3 and store.open()["url"].count() == tables["url"].count() + 2
+    # the last row of a key counts, and many parts are put together
+    store.MOST_PARTS = 3
+    for text in ("newer", "newest"):
+        again = Catalog(spark, {"url": u, "summary": spark.createDataFrame([(9, 1, text)], SPECS["summary"].schema)})
+        store.append(storage.additions(store.open(), again), store.generation)
+        assert [r["markup"] for r in store.open().with_urls("summary", "url_id").where("url_id_url = 'http://new.example/a'").collect()] == [text]
+    assert len(store.manifest()["tables"]["summary"]) < 4 and store.open()["url"].count() == tables["url"].count() + 2
+    store.save(store.open())
+    store.save(store.open())
+    assert {p.split("/")[-3] for p in files()} == {f.split("/")[0] for n in ("_version-*",) for v in (tmp_path / "store").glob(n) for fs in json.loads(v.read_text())["tables"].values() for f in fs}
+
+
+def test_upgrade(spark, tmp_path, capsys):
+    """A store of the oldest version by the command line."""
+    row = lambda data, schema: spark.createDataFrame(data, schema)
+    old = {
+        "url": row([(1, "http://a.example/feed"), (2, "http://a.example/1"), (3, "http://a.example/2")], "id long, url string"),
+        "keyword": row([(1, "k")], "id long, keyword string"),
+        "item": row([(1, 2, 1, "t", None, "2011-01-01", None, 1.0, "short", "long"), (2, 3, 1, "u", "me", "2011-01-02", None, 1.0, "only", None), (3, 3, 1, "u", "me", "2011-01-02", None, 1.0, None, None)],
+                    "id long, url long, source long, title string, author string, published string, updated string, crawled double, summary string, content string"),
+        "tagging": row([(1, 1, 1), (2, 2, 1), (3, 3, 1)], "id long, item_id long, keyword_id long"),
+        "feed": row([(1, 1, "f")], "id long, url_id long, title string"),
+        "hyperlink": row([(1, 2, 3, "a")], "id long, source_id long, target_id long, element string"),
+    }
+    store = Store(spark, str(tmp_path / "old"))
+    store.save_old(old, "0.10")
+    with pytest.raises(RuntimeError, match="upgrade"):
+        store.open()
+    assert cli.run(["upgrade", store.path], spark) == 0 and json.loads(capsys.readouterr().out) == [["0.10", "0.10.3"], ["0.10.3", "0.10.6"], ["0.10.6", "1"]]
+    new = store.open()
+    assert sorted((r["url_id"], r["markup"]) for r in new["summary"].collect()) == [(2, "long"), (3, "only")]
+    assert sorted((r["url_id"], r["keyword_id"]) for r in new["tagging"].collect()) == [(2, 1), (3, 1)]
+    assert new["item"].count() == 2 and [r["dead"] for r in new["feed"].collect()] == [None] and new["hyperlink"].count() == 1
+    assert cli.run(["check", store.path], spark) == 0 and cli.run(["upgrade", store.path], spark) == 0 and store.generation == 1
+
+
+def test_plan_of_the_flagship(spark):
+    """Each table is read once, and no column twice: URLs come with their rows."""
+    if not os.path.isdir(oracle.DATA):
+        pytest.skip("needs the test tables")
+    for name, links in (("urls_flagship", 1), ("urls_wide_row", 1), ("graph_domain_edges", 1)):
+        plan = queries.QUERIES[name](spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == links and plan.count("orders.parquet") <= 2
+
+
+def test_numbered_files(spark, tables, tmp_path):
+    names = spark.createDataFrame([("a/b.txt", 0), ("a/b.txt", 2), ("a.d/b", 1), (".x", 1), ("a/.x.tar.gz", 3)], "p string, n int")
+    assert [r[0] for r in names.select(sinks.numbered_path(F.col("p"), F.col("n"))).collect()] == ["a/b.txt", "a/b.2.txt", "a.d/b.1", ".x.1", "a/.x.3.tar.gz"]
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"), F.lit("all.json").alias("_path"))
+    rows = rows.unionByName(rows.where("v = 1").withColumn("v", F.lit(9)))
+    written = sinks.write_by_path(rows, str(tmp_path / "o"), "json", parts=4).collect()
+    assert sorted(r["_path"] for r in written) == ["all.1.json", "all.2.json", "all.3.json", "all.json"] and sum(r["n_rows"] for r in written) == rows.count()
+    held = {}
+    for r in written:
+        held |= json.loads((tmp_path / "o" / r["_path"]).read_text())
+    assert held == {str(i): {"v": 9 if i % 7 == 1 else i % 7} for i in range(500)}
+
+
+def test_fetch_batches(spark):
+    assert [len(b) for b in fetch_batches(spark.range(25), 10)] == [10, 10, 5] and list(fetch_batches(spark.range(0))) == []
+
+
+def test_frontier_goes_on_where_it_was(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "d", 1)], "site string, target string, n long")
+    seeds, state = spark.createDataFrame([("a",)], "site string"), str(tmp_path / "state")
+    assert frontier.expand(edges, seeds, 0, 3, state=state).count() == 3
+    kept = [p.stat().st_mtime_ns for p in sorted((tmp_path / "state").glob("level-*/part-*.parquet"))]
+    (tmp_path / "state" / "level-00003" / "_SUCCESS").unlink()  # interrupted there
+    got = {r["site"]: r["depth"] for r in frontier.expand(edges, seeds, 0, 0, state=state).collect()}
+    assert got == {"a": 1, "b": 2, "c": 3, "d": 4}
+    assert [p.stat().st_mtime_ns for p in sorted((tmp_path / "state").glob("level-00002/part-*.parquet"))] == kept[: len(list((tmp_path / "state").glob("level-00002/part-*.parquet")))]
+
+
+def test_own_presets(spark, tmp_path):
+    (tmp_path / "mine.json").write_text(json.dumps({"site": r".*\\.mine\\.example/.*".replace("\\\\", "\\"), "feeds": {r".*\.mine\.example/": ["http://%(netloc)s/rss"]}, "follow": ["mine.example"], "depth": 3}))
+    (tmp_path / "ours.py").write_text("from pyspark.sql import functions as F\nSITE = '.*//ours[.]example/.*'\nFEEDS = {'.*//ours[.]example/(.*)': lambda f: F.array(F.concat(F.lit('http://'), f['netloc'], F.lit('/'), F.upper(f['1'])))}\n")
+    before = dict(presets.PRESETS)
+    try:
+        assert presets.register(str(tmp_path)) == ["mine", "ours"]
+        assert presets.for_feed("http://a.mine.example/x").depth == 3 and presets.for_feed("http://ours.example/x").follow == ()
+        urls = spark.createDataFrame([("http://a.mine.example/x",), ("http://ours.example/ab",), ("http://b.wordpress.com/",)], "u string")
+        got = [r[0] for r in urls.select(presets.feed_candidates(F.col("u"))).collect()]
+        assert got[0] == ["http://a.mine.example/rss"] and got[1] == ["http://ours.example/AB"] and len(got[2]) > 5
+    finally:
+        presets.PRESETS.clear()
+        presets.PRESETS.update(before)
+    (tmp_path / "bad.json").write_text('{"sight": "x"}')
+    with pytest.raises(KeyError, match="sight"):
+        presets.load(str(tmp_path / "bad.json"))
+
+
+def test_carried_priorities(spark):
+    rows = [("a", "b", "x"), ("a", "c", "hot"), ("b", "d", ""), ("c", "d", ""), ("d", "e", "hot"), ("a", "bad", ""), ("bad", "f", "")]
+    mentions = spark.createDataFrame(rows, "source string, target string, phrases string")
+    seeds = spark.createDataFrame([("a", 1.0)], "source string, priority double")
+    got = {r["target"]: (r["priority"], r["level"]) for r in frontier.carried_priorities(mentions, seeds, {2.0: ["hot"], float("-inf"): ["bad"]}, 5).collect()}
+    assert got == {"b": (1.0, 1), "c": (3.0, 1), "d": (3.0, 2), "e": (5.0, 3)}

@@ -83,13 +83,12 @@ def additions(main: Catalog, other: Catalog) -> Catalog:
         for column, parent in spec.links.items():
             new = new.join(renamed[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
             new = new.withColumn(column, F.coalesce(f"_n_{column}", column)).drop(f"_{column}", f"_n_{column}")
-        new = dedup_table(new.select(other[name].columns), spec)
         have = main[name].select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
-        placed = new.join(have, [F.col(k) == F.col(f"_{k}") for k in spec.key], "left").drop(*[f"_{k}" for k in spec.key])
-        placed = placed.withColumn("_new", F.coalesce(F.col("_have"), F.xxhash64(*spec.key)))
-        # several rows of other may share a key, and all of their ids must be known
-        keys = new.select(F.col("id").alias("_winner"), *[F.col(k).alias(f"_{k}") for k in spec.key])
-        renamed[name] = placed.select(F.col("id").alias("_old"), "_new") if not _linked_to(name) else _all_ids(other[name], spec, keys, placed)
+        new_id = F.coalesce(F.col("_have"), F.xxhash64(*spec.key)).alias("_new")
+        known = lambda df: df.join(have, [F.col(k) == F.col(f"_{k}") for k in spec.key], "left")  # noqa: B023, E731
+        if _linked_to(name):  # several rows of other may share a key; all of their ids lead to the key's one
+            renamed[name] = known(new).select(F.col("id").alias("_old"), new_id)
+        placed = known(dedup_table(new.select(other[name].columns), spec)).withColumn("_new", new_id)
         added = placed if spec.keep == "last" else placed.where(F.col("_have").isNull())
         out[name] = added.withColumn("id", F.col("_new")).select([f.name for f in spec.schema])
     return Catalog(main.spark, out)
@@ -111,11 +110,6 @@ def _linked_to(name: str) -> bool:
     return any(name in s.links.values() for s in SPECS.values())
 
 
-def _all_ids(table: DataFrame, spec: TableSpec, keys: DataFrame, placed: DataFrame) -> DataFrame:
-    every = table.select("id", *spec.key).join(keys, [F.col(k) == F.col(f"_{k}") for k in spec.key]).select(F.col("id").alias("_old"), "_winner")
-    return every.join(placed.select(F.col("id").alias("_winner"), "_new"), "_winner").select("_old", "_new")
-
-
 def merge_all(catalogs: list[Catalog]) -> Catalog:
     out = catalogs[0]
     for c in catalogs[1:]:

@@ -126,7 +126,7 @@ def enriched_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), html.alias("html"), F.when(F.col("page_id") % 4 == 1, 404).alias("status"))
     own = items.select("url", number.alias("n")).join(answers, "n").select("url", "html", "status")
     found = pages.enriched(items, own).select(F.col("url").alias("source"), F.explode("links").alias("l"))
-    return found.where(F.col("l.url").rlike("^http://[^/]*[.]example[.]com/[A-Za-z]*$") & ~F.col("l.url").contains("media")).select("source", F.col("l.url").alias("link")).distinct()
+    return found.where(F.col("l.url").rlike("^http://[^/]*/[A-Za-z]*$")).select("source", F.col("l.url").alias("link")).distinct()
 
 
 # ---- filters and functions --------------------------------------------------------------------------------------------

@@ -266,7 +266,7 @@ class Forest:
         return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.4, least: int = 640, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.5, least: int = 640, seed: int = 7) -> DataFrame:
     """The k rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
     Rows are dealt to blocks of about ``block``; each block indexes all its rows in a forest and answers all

@@ -410,3 +410,73 @@ def store_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, new_folder(spark, "store"))
     store.save(starschema.catalog(spark, sf_dir))
     return plainly(exports.urls(store.open(), *FLAGSHIP).drop("_path"))
+
+
+# ---- guards, settings, state -------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT * FROM (VALUES ('unknown attribute', 'KeyError'), ('unknown predicate', 'ValueError'), ('text compared with a number', 'ValueError'), ('no store', 'FileNotFoundError'), ('locked store', 'RuntimeError'), "
+    "('locked twice', 'RuntimeError'), ('older store', 'RuntimeError'), ('other writer', 'Conflict'), ('no way back', 'ValueError')) t(what, error)",
+    plain=True,
+)
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused, and with which error."""
+    rows = _events_catalog(spark, sf_dir, 0, 9)
+    store, old, none = (Store(spark, new_folder(spark, n)) for n in ("store", "old", "none"))
+    store.save(rows)
+    store.append(storage.additions(store.open(), rows), 0)
+    old.save_old({"url": rows["url"]}, "0.10.5")
+    locked = Store(spark, new_folder(spark, "locked"))
+    locked.save(rows)
+    locked.lock()
+    attempts = {
+        "unknown attribute": lambda: where([("target:host", "is", "x")], [], columns(), TYPES),
+        "unknown predicate": lambda: where([("tag", "like", "x")], [], columns(), TYPES),
+        "text compared with a number": lambda: where([("published:year", "lt", "x")], [], columns(), TYPES),
+        "no store": none.open,
+        "locked store": locked.open,
+        "locked twice": locked.lock,
+        "older store": old.open,
+        "other writer": lambda: store.append(rows, 0),
+        "no way back": lambda: storage.migration_path("1", "0.10"),
+    }
+    found = []
+    for what, attempt in attempts.items():
+        try:
+            attempt()
+        except Exception as e:  # noqa: BLE001  its kind is the result
+            found.append((what, type(e).__name__))
+    return spark.createDataFrame(found, "what string, error string")
+
+
+@query("SELECT * FROM (VALUES ('depth', '3'), ('follow', 'a.example,b.example'), ('feeds', 'x,y,z'), ('state.mode', 'dead+'), ('state.keep', 'true')) t(name, value)", plain=True)
+def composed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings merged deeply: mappings recurse, sets unite, lists append, all else is overridden."""
+    from .cli import compose
+
+    out = compose({"depth": 2, "follow": {"a.example"}, "feeds": ["x"], "state": {"mode": "all", "keep": "true"}}, {"follow": {"b.example"}, "feeds": ["y", "z"]}, {"depth": 3, "state": {"mode": "dead+"}})
+    flat = [("depth", str(out["depth"])), ("follow", ",".join(sorted(out["follow"]))), ("feeds", ",".join(out["feeds"])), *[(f"state.{k}", v) for k, v in out["state"].items()]]
+    return spark.createDataFrame(flat, "name string, value string")
+
+
+@query("SELECT event_id // 700 AS batch, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1", plain=True)
+def fetched_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as lists of a fixed length, one after another."""
+    rows = table(spark, sf_dir, "events").select("event_id").orderBy("event_id")
+    return spark.createDataFrame([(k, len(b), b[0][0]) for k, b in enumerate(pages.fetch_batches(rows, 700))], "batch long, n long, first_id long")
+
+
+@query(
+    f"""SELECT site, min(depth) AS depth FROM (SELECT 'https://c2.example.com' AS site, 1 AS depth
+ UNION ALL SELECT site, 2 FROM e WHERE source = 'https://c2.example.com' AND n > 2
+ UNION ALL SELECT site, 3 FROM (SELECT e.site, sum(n) AS n FROM e WHERE source = 'https://c2.example.com' OR source IN (SELECT site FROM e WHERE source = 'https://c2.example.com' AND n > 2) GROUP BY 1) WHERE n > 2) GROUP BY site""",
+    f"{BASE}, e AS (SELECT lower(regexp_extract(source, '{URL_SQL}', 1)) || '://' || regexp_extract(source, '{URL_SQL}', 2) AS source, lower(regexp_extract(target, '{URL_SQL}', 1)) || '://' || regexp_extract(target, '{URL_SQL}', 2) AS site, count(*) AS n FROM (SELECT DISTINCT source, target FROM raw_link) GROUP BY 1, 2)",
+)
+def frontier_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frontier that was stopped after two levels goes on from its kept state."""
+    pairs = starschema.raw(spark, sf_dir)["link"].select("source", "target").distinct()
+    edges = pairs.groupBy(fu.site(F.col("source")).alias("site"), fu.site(F.col("target")).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    seeds, state = spark.createDataFrame([("https://c2.example.com",)], "site string"), new_folder(spark, "frontier")
+    frontier.expand(edges, seeds, threshold=2, depth_limit=2, state=state)
+    return frontier.expand(edges, seeds, threshold=2, depth_limit=3, state=state)

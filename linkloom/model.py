@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -147,14 +148,18 @@ class Store:
     def _in_change(self) -> str:
         return f"{self.path} is locked: a change of it goes on or did not end; check and repair it first"
 
-    def manifest(self) -> dict | None:
-        """The newest version whose file is complete: its generation, version and each table's folders, oldest first."""
+    def _versions(self) -> list[tuple[str, dict]]:
+        """Names and contents of the versions whose file is complete, newest first."""
+        out = []
         for name in reversed(self._names("_version-*")):
-            try:
-                return {"generation": int(name.rpartition("-")[2]), **json.loads(self._get(name))}
-            except json.JSONDecodeError:  # being written
-                continue
-        return None
+            with contextlib.suppress(json.JSONDecodeError):  # being written, or its writer ended
+                out.append((name, json.loads(self._get(name))))
+        return out
+
+    def manifest(self) -> dict | None:
+        """The newest version: its generation, version and each table's folders, oldest first."""
+        found = self._versions()
+        return {"generation": int(found[0][0].rpartition("-")[2]), **found[0][1]} if found else None
 
     def open(self) -> Catalog:
         """Needs the exact version and no lock."""
@@ -218,9 +223,9 @@ class Store:
         return found["generation"] if found else -1
 
     def _write(self, tables: dict[str, DataFrame], before: dict[str, list[str]], version: str, base: int | None) -> None:
-        generation = self._generation_of(self.manifest()) + 1
-        if base is not None and base != generation - 1:
+        if base is not None and base != self.generation:
             raise Conflict(f"{self.path} has changed since generation {base}")
+        generation = max((int(n.rpartition("-")[2]) for n in self._names("_version-*")), default=-1) + 1
         folder, listed = f"tables-{generation:06d}-{uuid.uuid4().hex[:8]}", {n: list(f) for n, f in before.items()}
         self.lock()
         try:
@@ -229,16 +234,17 @@ class Store:
                 df.select(columns).write.parquet(f"{self.path}/{folder}/{name}")
                 listed.setdefault(name, []).append(f"{folder}/{name}")
             self._create(f"_version-{generation:06d}", json.dumps({"version": version, "tables": listed}))
-            self._forget(generation)
+            self._forget()
         finally:
             self.unlock()
 
-    def _forget(self, generation: int) -> None:
-        """Removes versions before the last two, and folders that no version lists."""
+    def _forget(self) -> None:
+        """Removes versions before the last two, and folders that neither of these lists."""
+        kept = self._versions()[:2]
         for name in self._names("_version-*"):
-            if int(name.rpartition("-")[2]) < generation - 1:
+            if name not in {n for n, _ in kept}:
                 self._delete(name)
-        used = {f.split("/")[0] for name in self._names("_version-*") for folders in json.loads(self._get(name))["tables"].values() for f in folders}
+        used = {f.split("/")[0] for _, found in kept for folders in found["tables"].values() for f in folders}
         for name in self._names("tables-*"):
             if name not in used:
                 self._delete(name)

@@ -303,6 +303,8 @@ def test_two_writers(spark, tables, tmp_path):
     store.unlock()
     (tmp_path / "store" / "_version-000099").write_text('{"version": "1", "tab')  # being written
     assert store.generation == 1 and natural(store.open(), "item") == natural(tables, "item")
+    store.append(one, 1)  # its writer ended: the next version comes after it
+    assert store.generation == 100 and not (tmp_path / "store" / "_version-000099").exists()
 
 
 def test_append_writes_new_rows_only(spark, tables, tmp_path):

@@ -34,6 +34,10 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    @classmethod
+    def of(cls, vectors: np.ndarray, softmax: np.ndarray, bias: float) -> Model:
+        return cls(vectors, softmax, (vectors @ (softmax[1] - softmax[0])).astype(np.float32), bias)
+
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, word n-grams and character n-grams of each document, and n+1 offsets into them.
@@ -134,7 +138,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], prior: float, bits
     odds = lambda p: float(np.log(p / (1 - p)))
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     sampled = min(max(ones / len(examples), 1e-3), 1 - 1e-3) if examples else prior
-    return Model(vectors, softmax, (vectors @ (softmax[1] - softmax[0])).astype(np.float32), odds(prior) - (odds(sampled) if examples else 0.0))
+    return Model.of(vectors, softmax, odds(prior) - (odds(sampled) if examples else 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", max_rows: int = 4000, max_bytes: int = 64 << 20, bits: int = BITS, seed: int = 5) -> Model:
@@ -142,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     any, chosen by a seeded hash; a text that would go beyond the bytes is left out as a whole.
 
     Labels other than 0 and 1, and null ones, are ignored; of a document with several labels the largest
-    counts, of rows that share an id the text with the smallest hash. Null texts count as empty, and empty ones teach nothing. Only
-    hashed features of the sample come to the driver. With one class only, or no labels, all
+    counts, of rows that share an id the text with the smallest hash. Null texts count as empty, and empty ones teach nothing. The
+    model is trained in one task, and nothing else comes to the driver. With one class only, or no labels, all
     documents get the prior's score (0.5 with no labels).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
@@ -175,13 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
                     out.append((b.astype("<i4").tobytes(), (n / (n.sum() + SHRINK)).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "y", "buckets", "share"])
 
-    table = sample.mapInArrow(to_features, f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets binary, share binary").toArrow()
-    order = np.lexsort((table.column("y").to_numpy(), table.column("id").to_numpy()))
-    columns = [table.column(c).combine_chunks() for c in ("buckets", "share", "y")]
-    rows = [(np.frombuffer(columns[0][i].as_buffer(), "<i4"), np.frombuffer(columns[1][i].as_buffer(), "<f4"), columns[2][i].as_py()) for i in order.tolist()]
-    examples = [r for r in rows if len(r[0])]
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    return train(examples, prior, bits, seed=seed)
+
+    def to_model(batches):
+        """One task: the sample is bounded, and only the model goes to the driver."""
+        held = [b for b in batches if b.num_rows]
+        ids, ys = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+        buckets, shares = ([np.frombuffer(x.as_buffer(), t) for b in held for x in b.column(c)] for c, t in ((2, "<i4"), (3, "<f4")))
+        rows = [(buckets[i], shares[i], int(ys[i])) for i in np.lexsort((ys, ids)).tolist()]
+        m = train([r for r in rows if len(r[0])], prior, bits, seed=seed)
+        yield pa.RecordBatch.from_arrays([pa.array([m.vectors.tobytes()], pa.binary()), pa.array([m.softmax.tobytes()], pa.binary()), pa.array([m.bias])], ["vectors", "softmax", "bias"])
+
+    seen = sample.mapInArrow(to_features, f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets binary, share binary")
+    row = seen.repartition(1).mapInArrow(to_model, "vectors binary, softmax binary, bias double").first()
+    return Model.of(np.frombuffer(row["vectors"], np.float32).reshape(1 << bits, -1), np.frombuffer(row["softmax"], np.float32).reshape(2, -1), row["bias"])
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS, text: str = "text", column: str = "score") -> DataFrame:

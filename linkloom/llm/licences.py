@@ -66,6 +66,10 @@ TEMPLATES = {
     "distribution.",
 }
 THRESHOLD = 0.75
+#: Words up to this length are looked for as whole words, others anywhere.
+SHORT = 4
+# Short words that most English texts have.
+_COMMON = frozenset("a an and any are as at be by do for if in is it no not of on or out shall so the this to use with you".split())
 
 
 def normal_words(text: str) -> list[str]:
@@ -92,7 +96,7 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
         for free in open_.values():
             for g in free:
                 for w in g.split():
-                    gain[w] = gain.get(w, 0) + (len(w) ** 2 if len(w) > 4 else 0.01)
+                    gain[w] = gain.get(w, 0) + (len(w) ** 2 if len(w) > SHORT else 0.01 if w not in _COMMON and not w.isdigit() else 0.001)
         chosen.append(max(sorted(gain), key=gain.get))
 
 
@@ -110,11 +114,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     words = anchors(grams, threshold)
     lengths = [len(normal_words((templates or TEMPLATES)[name])) - 1 for name in grams]
 
+    def once(value, use):
+        """use(value), with value worked out once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def holds(column):
-        low, out = F.lower(column), F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w))
-        return out
+        def any_word(low):
+            out = F.lit(False)
+            for w in words:
+                out = out | (F.contains(low, F.lit(w)) if len(w) > SHORT else low.rlike(f"(?:^|[^a-z0-9]){w}(?:$|[^a-z0-9])"))
+            return out
+
+        return F.coalesce(once(F.lower(column), any_word), F.lit(False))
 
     def normal(column):
         plain = F.regexp_replace(F.translate(column, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", " ")
@@ -123,10 +134,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def pairs(w):
         return F.when(F.size(w) >= 2, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
-    def once(value, use):
-        """use(value), with value worked out once."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
     ratio, templates_ = threshold / (2 - threshold), list(grams.values())
     lists = [F.array(*[F.lit(x) for x in g]) for g in templates_]
 

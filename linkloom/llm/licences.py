@@ -122,7 +122,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         def any_word(low):
             out = F.lit(False)
             for w in words:
-                out = out | (F.contains(low, F.lit(w)) if len(w) > SHORT else low.rlike(f"(?:^|[^a-z0-9]){w}(?:$|[^a-z0-9])"))
+                # lower-casing may turn other letters into a-z, so whole words are told on the text itself
+                out = out | (F.contains(low, F.lit(w)) if len(w) > SHORT else column.rlike(f"(?i)(?:^|[^a-z0-9]){w}(?:$|[^a-z0-9])"))
             return out
 
         return F.coalesce(once(F.lower(column), any_word), F.lit(False))

@@ -259,6 +259,13 @@ def test_licence_passages(spark):
     assert (3, 1, "Apache-2.0-header", 1.0) in got
 
 
+def test_licence_words_beside_other_letters(spark):
+    """Letters whose lower case is in a-z part words; short anchors are whole words of any case."""
+    texts = ["\u212aNC 4.0 x Under CC BY \u212aNC\u0130 4 0", "CC BY-nC 4.0 \u212a", "CC BY once 4 0 since"]
+    got = [(r["doc_id"], r["license"]) for r in licences.scan(frame(spark, texts), {"CC": "CC BY-NC 4.0"}).collect()]
+    assert sorted(got) == [(0, "CC"), (1, "CC")]
+
+
 def test_whole_licences(spark):
     """Whole licence texts, wrapped, commented and edited a little, between other text."""
     rng = random.Random(3)

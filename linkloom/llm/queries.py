@@ -1,10 +1,10 @@
-"""The queries op1_ to op10_: thin digests of the operators of this package, over whole tables."""
+"""The queries op1_ to op13_: thin digests of the operators of this package, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, minhash, mixing, oracles, packing, pii, quality, sharding, substrings, vectors
+from . import exact, licences, manifest, minhash, mixing, oracles, packing, pii, quality, sharding, substrings, vectors, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,11 +81,33 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(read(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle tree over all documents by language; each row's proof checked against its row as it is or was tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(chosen, manifest.leaf([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields]))
+    out = manifest.manifest(read(spark, sf_dir, "documents"), fields, "doc_id", "lang", carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+    out = out.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = manifest.digest_of(F.array_join(manifest.siblings(F.col("proof")), ""))
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the one of equal texts that stays."""
+    out = exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first 32 components, whitened."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_information_theoretic_pii, op2_window_dedup, op3_tiled_embedding_dedup, op4_licence_dice, op5_lpt_shards,
-        op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix, op9_prefix_forest_search, op10_minhash_groups,
+        op6_best_fit_packs, op7_subword_quality, op8_water_filled_mix, op9_prefix_forest_search, op10_minhash_groups, op11_merkle_manifest, op12_exact_stream, op13_jacobi_whitening,
     )
 }
 ORACLE: dict[str, str] = {
@@ -93,4 +115,6 @@ ORACLE: dict[str, str] = {
     "op3_tiled_embedding_dedup": oracles.embeddings(0.95),
     "op4_licence_dice": licences.scan_sql(),
     "op10_minhash_groups": oracles.near_duplicates(80),
+    "op11_merkle_manifest": oracles.merkle(),
+    "op12_exact_stream": oracles.exact_copies(),
 }

@@ -27,6 +27,7 @@ STATE = {
     f"{_ROCKS}changelogCheckpointing.enabled": "true",
     f"{_ROCKS}boundedMemoryUsage": "true",
     f"{_ROCKS}maxMemoryUsageMB": "256",
+    f"{_ROCKS}allowFAllocate": "false",  # each partition's store would take disk in advance
 }
 #: A digest with more than 1 / HOT of all rows is hot; there are fewer than HOT of them, so they can be broadcast.
 HOT = 4096

@@ -100,12 +100,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
                 print(f"{store.path} is locked; if no writer is at work, repair it with --unlock", file=sys.stderr)
                 return 1
             store.unlock()
-        tables = store.open()
+        base, tables = store.generation, store.open()
         bad = storage.orphans(tables).count(), storage.duplicates(tables).where("n_keys > 0").count()
         print(json.dumps({"orphans": bad[0], "tables_with_duplicates": bad[1]}))
         if args.command == "check":
             return int(any(bad))
-        store.save(storage.repair(tables))
+        store.save(storage.repair(tables), base)
     elif args.command == "merge":
         Store(spark, args.output).save(storage.merge_all([Store(spark, i).open() for i in args.inputs]))
     elif args.command == "upgrade":

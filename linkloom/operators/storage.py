@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..folders import written
 from ..model import SPECS, VERSION, Catalog, TableSpec
 
 
@@ -73,7 +74,8 @@ def additions(main: Catalog, other: Catalog) -> Catalog:
     rewritten to main's ids.
 
     Rows of other whose key main has take main's id; new ones get a hash of their key, so that a merge that is repeated
-    gives the same ids and needs no global numbering; ``duplicates`` finds ids that clash. Of main only ids and keys are read.
+    gives the same ids and needs no global numbering; ``duplicates`` finds ids that clash. Of main only ids and keys are read, and
+    of a store only the folders that may hold keys of other.
     """
     out, renamed = {}, {}
     for name, spec in SPECS.items():
@@ -83,12 +85,15 @@ def additions(main: Catalog, other: Catalog) -> Catalog:
         for column, parent in spec.links.items():
             new = new.join(renamed[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
             new = new.withColumn(column, F.coalesce(f"_n_{column}", column)).drop(f"_{column}", f"_n_{column}")
-        have = main[name].select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
+        have = main.lookup(name, new.select(*spec.key)).select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
         new_id = F.coalesce(F.col("_have"), F.xxhash64(*spec.key)).alias("_new")
         known = lambda df: df.join(have, [F.col(k) == F.col(f"_{k}") for k in spec.key], "left")  # noqa: B023, E731
         if _linked_to(name):  # several rows of other may share a key; all of their ids lead to the key's one
-            renamed[name] = known(new).select(F.col("id").alias("_old"), new_id)
-        placed = known(dedup_table(new.select(other[name].columns), spec)).withColumn("_new", new_id)
+            renamed[name] = written(known(new).select(F.col("id").alias("_old"), new_id, F.col("_have").isNotNull().alias("_had")), f"ids-{name}")
+            had = renamed[name].select(F.col("_old").alias("id"), "_new", F.when(F.col("_had"), F.col("_new")).alias("_have"))
+            placed = dedup_table(new.select(other[name].columns), spec).join(had, "id")
+        else:
+            placed = known(dedup_table(new.select(other[name].columns), spec)).withColumn("_new", new_id)
         added = placed if spec.keep == "last" else placed.where(F.col("_have").isNull())
         out[name] = added.withColumn("id", F.col("_new")).select([f.name for f in spec.schema])
     return Catalog(main.spark, out)
@@ -188,10 +193,11 @@ def migration_path(start: str, end: str, steps: dict[tuple[str, str], Migration]
 
 def upgrade(store) -> list[tuple[str, str]]:
     """Brings a store of an older version to this one; the steps that were taken."""
+    base = store.generation
     version, tables = store.open_old()
     steps = migration_path(version, VERSION)
     if steps:
-        store.save(Catalog(store.spark, migrate(tables, version, VERSION)))
+        store.save(Catalog(store.spark, migrate(tables, version, VERSION)), base)
     return steps
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import random
+import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import is_absolute_http, site
-from ..model import Catalog, Store
+from ..model import Catalog, Conflict, Store
 from ..operators.storage import additions
 from ..sources.pages import entries, parse_pages, tables_of, with_links
 
@@ -22,48 +25,71 @@ def page_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.load(path).where((F.col("value") != "\0") & (F.trim("value") != ""))
 
 
-def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, max_files: int | None = None, on_batch: Callable[[int, Catalog], None] | None = None) -> StreamingQuery:
-    """Merges each micro-batch of pages into the store; ends when the files that are there are done.
+def stream_of(spark: SparkSession, checkpoint: str) -> str:
+    """A stream's own name, by which its batches are told from others': it is in its checkpoint from the first start on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    file = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(bytes(file.readAllBytes()).decode())["id"]
+    finally:
+        file.close()
+
+
+def ingest(
+    spark: SparkSession, path: str, store: Store, checkpoint: str, max_files: int | None = None, on_batch: Callable[[int, Catalog], None] | None = None, on_stage: Callable[[int], None] | None = None
+) -> StreamingQuery:
+    """Merges each micro-batch of pages into the store, once; ends when the files that are there are done.
 
     A batch is parsed once and staged beside the tables; then the rows that the tables haven't got are appended, and what is there
-    isn't written again. Keys are natural, so a batch that is repeated after a failure changes nothing: rows whose first version
-    stays keep it, and rows whose last version stays get the same one again. A batch that was staged only is merged by
-    ``merge_staged``.
+    isn't written again. Of the tables only folders that may hold keys of the batch are read. The append and the batch's number are one change: a
+    batch that is repeated after a failure isn't merged again if it is done, and starts from its stage if that is complete. So a
+    stage that was left behind never overwrites what later batches brought. ``on_stage`` is called between the two steps.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        staged = store.staging()
-        parsed = with_links(entries(parse_pages(batch))).persist(StorageLevel.DISK_ONLY)
-        try:
-            staged.append(tables_of(parsed))
-        finally:
-            parsed.unpersist()
-        _merge(store, staged)
+        this = stream_of(spark, checkpoint), batch_id
+        staged = store.staging(this)
+        if store.done(this[0]) < batch_id:
+            if not staged.manifest():
+                staged.remove()
+                parsed = with_links(entries(parse_pages(batch))).persist(StorageLevel.DISK_ONLY)
+                try:
+                    staged.append(tables_of(parsed))
+                finally:
+                    parsed.unpersist()
+            if on_stage:
+                on_stage(batch_id)
+            _merge(store, staged, this)
+        staged.remove()
         if on_batch:
-            on_batch(batch_id, store.open())
+            on_batch(batch_id, store.open(locked=True))
 
     return page_stream(spark, path, max_files).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _merge(store: Store, staged: Store) -> None:
-    base = store.generation
-    main = store.open() if base >= 0 else Catalog(store.spark)
-    store.append(additions(main, staged.open()), base)
-    staged.remove()
+def _merge(store: Store, staged: Store, batch: tuple[str, int] | None, tries: int = 5) -> None:
+    """Another writer's change in between is a Conflict: what is to be added is found anew then."""
+    for left in reversed(range(tries)):
+        base = store.generation
+        main = store.open(locked=True) if base >= 0 else Catalog(store.spark)
+        try:
+            store.append(additions(main, staged.open(locked=True)), base, batch)
+            return
+        except Conflict:
+            if not left:
+                raise
+            time.sleep(random.uniform(0.5, 2))
 
 
 def merge_staged(store: Store) -> int:
-    """Merges what interrupted ingestion has left beside the tables, and removes it; gives how many there were. Half-written
-    ones hold nothing that their batch won't bring again."""
+    """Merges what interrupted ingestion has left beside the tables, by stream and batch, and removes it; gives how many were merged.
+    A stage whose batch is done is removed unread. Half-written ones hold nothing that their batch won't bring again."""
     merged = 0
-    for staged in store.staged():
-        if staged.manifest():
-            if staged.locked:
-                staged.unlock()
-            _merge(store, staged)
+    for staged, batch in store.staged():
+        if staged.manifest() and not (batch and store.done(batch[0]) >= batch[1]):
+            _merge(store, staged, batch)
             merged += 1
-        else:
-            staged.remove()
+        staged.remove()
     return merged
 
 

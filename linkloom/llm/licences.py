@@ -4,9 +4,11 @@ Only DataFrame expressions; no shuffle. A line or a window of words A matches a
 threshold t over distinct bigrams. That implies t/(2-t) |B| <= |A| <= (2-t)/t |B|, which prunes templates by size,
 and |A and B| >= t/(2-t) |B|, so a match holds at least one bigram of each large enough subset of B's:
 ``anchors`` chooses few words that leave fewer bigrams without them, and only texts and lines with such a word are looked at.
-Windows run over the whole text, so a notice may be wrapped or stand in a line with other words. A window is as long as
-B at least, so that words in which the text differs aren't cut away. A longer one that begins or ends with a bigram that
-B hasn't got is worse than the one without it, so windows begin with one of B's, and longer ones end with one.
+
+Windows run over the whole text, so a notice may be wrapped, stand in a line with other words, or have lost some of its own; what tells two licences apart by a word is left to the better template. Runs are
+the text's longest stretches of bigrams that B has. A window is as good at least as any other one within if it begins where a run begins
+and ends where one ends: what B hasn't got at its ends makes it worse, and more of what B has never does. So only such windows
+are rated, those with enough of B's bigrams and at most twice B's length.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ _CONDITIONS_BSD = (
     "in the documentation and/or other materials provided with the distribution. "
 )
 TEMPLATES = {
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -45,6 +48,16 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. "
+    "This software is distributed without any warranty.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+    "either version 2.1 of the License, or (at your option) any later version.",
+    "Apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+    "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD-2-Clause-text": _CONDITIONS_BSD + _WARRANTY_BSD,
     "BSD-3-Clause-text": _CONDITIONS_BSD
     + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
@@ -103,16 +116,18 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[str]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each match: id, line_no (from 1, where it begins), license, shared (bigrams), dice.
 
-    The best template of a line counts, of equal ones the first by name. Added are passages: windows from a template's
-    length to the size bound, of each template and first bigram the best one, of overlapping ones the best one. A passage
+    The best template of a line counts, of equal ones the first by name. Added are passages: of each template and each start of a
+    run the best window (the most shared bigrams, then the shortest), of overlapping ones the best one. A passage
     that touches a matching line is left out if that line has the same template, or one that is as good (by dice, then
     shared). Null, empty and one-word texts match nothing; repeated rows are scanned one by one; very long texts are
-    scanned as a whole, one row each; other columns are ignored; an empty table gives none.
+    scanned as a whole, one row each, in time that grows with their length (and with the square of a template's, so templates are
+    notices and short licences); other columns are ignored; an empty table gives none.
     """
-    grams = {name: bigrams(t) for name, t in sorted((templates or TEMPLATES).items())}
+    texts_of = templates or TEMPLATES
+    grams = {name: bigrams(t) for name, t in sorted(texts_of.items())}
     grams = {name: g for name, g in grams.items() if g}
     words = anchors(grams, threshold)
-    lengths = [len(normal_words((templates or TEMPLATES)[name])) - 1 for name in grams]
+    ratio = threshold / (2 - threshold)
 
     def once(value, use):
         """use(value), with value worked out once."""
@@ -135,63 +150,92 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def pairs(w):
         return F.when(F.size(w) >= 2, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
-    ratio, templates_ = threshold / (2 - threshold), list(grams.values())
-    lists = [F.array(*[F.lit(x) for x in g]) for g in templates_]
+    # one constant: number, bigrams, how many of them a match shares at least, how many positions it has at most
+    known = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), F.lit(len(g)).alias("n"), F.lit(math.ceil(ratio * len(g) - 1e-9)).alias("least"), F.lit(2 * (len(normal_words(texts_of[name])) - 1)).alias("most"), F.split(F.lit(",".join(g)), ",").alias("grams"))
+            for k, (name, g) in enumerate(grams.items())
+        ]
+    )
 
     def line_match(line):
         def best(g):
-            n, found = F.size(g), []
-            for k, template in enumerate(templates_):
-                near = (n >= ratio * len(template) - 1e-9) & (n <= len(template) / ratio + 1e-9)
-                shared = F.size(F.array_intersect(g, lists[k]))
-                dice = 2.0 * shared / (n + len(template))
-                found.append(F.when(near & (dice >= threshold), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), shared.alias("shared"), line["no"].alias("line"))))
-            return F.array_max(F.array(*found))
+            n = F.size(g)
+
+            def rate(t):
+                near = (n >= ratio * t["n"] - 1e-9) & (n <= t["n"] / ratio + 1e-9)
+                return F.when(near, once(F.size(F.array_intersect(g, t["grams"])), lambda shared: F.struct((2.0 * shared / (n + t["n"])).alias("dice"), (-t["k"]).alias("k"), shared.alias("shared"), line["no"].alias("line"))))
+
+            return F.array_max(F.filter(F.transform(known, rate), lambda m: m["dice"] >= threshold))
 
         return once(F.array_distinct(pairs(line["w"])), best)
 
-    def windows(k):
-        """Of each of the text's bigrams that template k has: the best window from there on, if it matches."""
-        size = len(templates_[k])
-        least, length, most = math.ceil(ratio * size - 1e-9), lengths[k], max(lengths[k], math.floor(size / ratio + 1e-9))
+    def windows(t):
+        """Of each run of template t's bigrams: the best window from there on, if it matches."""
 
         def window(i, j):
             def rate(part):
-                shared = F.size(F.array_intersect(part, lists[k]))
-                return F.struct((2.0 * shared / (F.size(F.array_distinct(part)) + size)).alias("dice"), shared.alias("shared"), (-j).alias("end"))
+                return once(F.size(F.array_intersect(part, t["grams"])), lambda shared: F.struct((2.0 * shared / (F.size(F.array_distinct(part)) + t["n"])).alias("dice"), shared.alias("shared"), (-j).alias("end")))
 
             return once(F.slice("_g", i + 1, j - i + 1), rate)
 
-        def longest(hits):
-            def of(i, p):
-                # at the end of the text it begins earlier
-                first = F.greatest(F.lit(0), F.least(i, F.size("_g") - length))
-                ends = F.filter(F.slice(hits, p + 1, F.lit(most)), lambda j: (j - first + 1 > length) & (j - first + 1 <= most))
-                ends = F.concat(ends, F.array(F.least(first + length, F.size("_g")) - 1))
-                best = F.array_max(F.transform(ends, lambda j: window(first, j)))
-                return once(best, lambda b: F.when(b["dice"] >= threshold, F.struct((-b["dice"]).alias("worse"), (-b["shared"]).alias("fewer"), first.alias("start"), F.lit(k).alias("k"), (-b["end"]).alias("end"))))
+        def best(runs):
+            def of(r, x):
+                enough = lambda e: (e["end"] - r["start"] < t["most"]) & (e["before"] + e["n"] - r["before"] >= t["least"])
+                ends = F.filter(F.slice(runs, x + 1, F.shiftright(t["most"], 1) + 1), enough)
+                found = F.array_max(F.transform(ends, lambda e: window(r["start"], e["end"])))
+                return once(found, lambda b: F.when(b["dice"] >= threshold, F.struct((-b["dice"]).alias("worse"), (-b["shared"]).alias("fewer"), r["start"].alias("start"), t["k"].alias("k"), (-b["end"]).alias("end"))))
+
+            return F.filter(F.transform(runs, of), lambda c: c.isNotNull())
+
+        def runs(hits):
+            def between(first):
+                def run(i, x):
+                    n = F.coalesce(F.get(first, x + 1), F.size(hits)) - i
+                    return F.struct(F.get(hits, i).alias("start"), (F.get(hits, i) + n - 1).alias("end"), i.alias("before"), n.alias("n"))
+
+                return F.transform(first, run)
 
-            return F.filter(F.transform(hits, of), lambda c: c.isNotNull())
+            return once(F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: (i == 0) | (F.get(hits, i) - F.get(hits, i - 1) > 1)), between)
 
-        hits = F.filter(F.transform("_g", lambda g, i: F.when(F.array_contains(lists[k], g), i)), lambda i: i.isNotNull())
-        return once(F.when(F.size(F.array_intersect(F.col("_g"), lists[k])) >= least, hits).otherwise(F.array().cast("array<int>")), longest)
+        hits = F.filter(F.transform("_g", lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+        return F.when(F.size(F.array_intersect("_d", t["grams"])) >= t["least"], once(once(hits, runs), best))
+
+    def chosen(found):
+        """Of candidates by start: apart from those that overlap none, the best ones of each chain of overlaps."""
+        apart = lambda a, b: (a["start"] > b["end"] + 1) | (b["start"] > a["end"] + 1)
+        none = F.slice(found, 1, 0)
+
+        def chain(at, c):
+            new = c["start"] > at["last"] + 1
+            return F.struct(
+                F.when(new, F.concat(at["done"], F.array(at["open"]))).otherwise(at["done"]).alias("done"), F.when(new, F.array(c)).otherwise(F.concat(at["open"], F.array(c))).alias("open"),
+                F.when(new, c["end"]).otherwise(F.greatest(at["last"], c["end"])).alias("last"),
+            )
+
+        chains = F.aggregate(found, F.struct(F.slice(F.array(none), 1, 0).alias("done"), none.alias("open"), F.lit(-2).alias("last")), chain, lambda at: F.concat(at["done"], F.array(at["open"])))
+        pick = lambda c: F.aggregate(F.array_sort(c), none, lambda done, x: F.when(F.exists(done, lambda d: ~apart(x, d)), done).otherwise(F.concat(done, F.array(x))))
+        return F.flatten(F.transform(chains, lambda c: F.when(F.size(c) < 2, c).otherwise(pick(c))))
 
     lines = F.transform(F.split(F.col(text), "\n"), lambda line, i: F.struct((i + 1).alias("no"), normal(line).alias("w"), holds(line).alias("held")))
     texts = docs.where(holds(F.col(text))).select(id_col, lines.alias("_lines"))
-    matches = F.filter(F.transform(F.filter("_lines", lambda x: x["held"]), line_match), lambda m: m.isNotNull())
     at = F.flatten(F.transform("_lines", lambda x: F.transform(x["w"], lambda _: x["no"])))
-    texts = texts.select(id_col, matches.alias("_m"), at.alias("_at"), pairs(F.flatten(F.transform("_lines", lambda x: x["w"]))).alias("_g"))
-    texts = texts.select(id_col, "_m", "_at", F.array_sort(F.flatten(F.array(*[windows(k) for k in range(len(grams))]))).alias("_c"))
-    apart = lambda a, b: (a["start"] > b["end"] + 1) | (b["start"] > a["end"] + 1)
-    kept = F.aggregate("_c", F.slice("_c", 1, 0), lambda done, c: F.when(F.exists(done, lambda d: ~apart(c, d)), done).otherwise(F.concat(done, F.array(c))))
-    placed = F.transform(kept, lambda c: F.struct((-c["worse"]).alias("dice"), (-c["k"]).alias("k"), (-c["fewer"]).alias("shared"), F.element_at("_at", c["start"] + 1).alias("line"), F.element_at("_at", c["end"] + 2).alias("last")))
-    told = lambda m, c: (m["k"] == c["k"]) | (m["dice"] > c["dice"]) | ((m["dice"] == c["dice"]) & (m["shared"] >= c["shared"]))
+    texts = texts.select(id_col, F.transform("_lines", lambda x: F.when(x["held"], line_match(x))).alias("_m"), at.alias("_at"), pairs(F.flatten(F.transform("_lines", lambda x: x["w"]))).alias("_g"))
+
+    def candidates(d):
+        found = F.transform(known, lambda t: F.coalesce(windows(t), F.array().cast("array<struct<worse:double,fewer:int,start:int,k:int,end:int>>")))
+        return F.transform(F.array_sort(F.transform(F.flatten(found), lambda c: F.struct(c["start"].alias("at"), c.alias("c")))), lambda x: x["c"])
+
+    texts = texts.withColumn("_d", F.array_distinct("_g"))
+    texts = texts.select(id_col, "_m", "_at", once(F.col("_d"), candidates).alias("_c"))
+    placed = F.transform(once(F.col("_c"), chosen), lambda c: F.struct((-c["worse"]).alias("dice"), (-c["k"]).alias("k"), (-c["fewer"]).alias("shared"), F.element_at("_at", c["start"] + 1).alias("line"), F.element_at("_at", c["end"] + 2).alias("last")))
+    told = lambda m, c: m.isNotNull() & ((m["k"] == c["k"]) | (m["dice"] > c["dice"]) | ((m["dice"] == c["dice"]) & (m["shared"] >= c["shared"])))
     texts = texts.select(id_col, "_m", placed.alias("_p"))
-    new = F.filter("_p", lambda c: ~F.exists("_m", lambda m: m["line"].between(c["line"], c["last"]) & told(m, c)))
+    new = F.filter("_p", lambda c: ~F.exists(F.slice("_m", c["line"], c["last"] - c["line"] + 1), lambda m: told(m, c)))
     new = F.transform(new, lambda c: F.struct(c["dice"].alias("dice"), c["k"].alias("k"), c["shared"].alias("shared"), c["line"].alias("line")))
     names = F.array(*[F.lit(x) for x in grams])
     # outer, as Spark would work out the lists of explode twice, to filter empty ones first
-    best = texts.select(id_col, F.explode_outer(F.concat("_m", new)).alias("_b")).where(F.col("_b").isNotNull())
+    best = texts.select(id_col, F.explode_outer(F.concat(F.filter("_m", lambda m: m.isNotNull()), new)).alias("_b")).where(F.col("_b").isNotNull())
     return best.select(id_col, F.col("_b.line").alias("line_no"), F.element_at(names, 1 - F.col("_b.k")).alias("license"), F.col("_b.shared").alias("shared"), F.col("_b.dice").alias("dice"))
 
 

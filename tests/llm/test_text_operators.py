@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -234,7 +235,7 @@ def test_personal_data_odd_rows(spark):
 def test_licences(spark):
     lines = ["x\nReleased under the MIT License.\ny", "licensed UNDER the apache license version 2.0", "Licensed under the Apache License, Version 1.1", "The license of it", None, "", "one", "a\n" * 5000 + "This work is licensed under the GNU General Public License, version 3."]
     got = sorted((r["doc_id"], r["line_no"], r["license"]) for r in licences.scan(frame(spark, lines)).collect())
-    assert got == [(0, 2, "MIT"), (1, 1, "Apache-2.0"), (7, 5001, "GPL-3.0")]
+    assert got == [(0, 2, "MIT"), (1, 1, "Apache-2.0"), (2, 1, "Apache-1.1"), (7, 5001, "GPL-3.0")]
     assert licences.scan(frame(spark, [])).count() == 0
 
 
@@ -254,7 +255,7 @@ def test_licence_passages(spark):
     got = sorted((r["doc_id"], r["line_no"], r["license"], round(r["dice"], 2)) for r in licences.scan(frame(spark, texts)).collect())
     assert [r for r in got if r[0] != 3] == [
         (0, 1, "MIT", 1.0), (1, 2, "GPL-3.0", 1.0), (2, 2, "BSD-2-Clause", 1.0), (2, 6, "ISC", 1.0),
-        (4, 1, "CC-BY-NC-4.0", 1.0), (4, 1, "MIT", 1.0), (4, 1, "MIT", 1.0), (5, 1, "GPL-3.0", 1.0), (5, 2, "GPL-3.0", 1.0),
+        (4, 1, "CC-BY-NC-4.0", 1.0), (4, 1, "MIT", 1.0), (4, 1, "MIT", 1.0), (5, 1, "GPL-3.0", 1.0), (5, 2, "GPL-3.0", 1.0), (6, 3, "Apache-1.1", 1.0),
     ]
     assert (3, 1, "Apache-2.0-header", 1.0) in got
 
@@ -281,6 +282,70 @@ def test_whole_licences(spark):
     assert whole == set(texts) and all(line == 4 for _, name, line in got if name.endswith("-text"))
 
 
+def test_licence_windows_equal_brute_force(spark):
+    """Notices that lost, changed and gained words, wrapped and between other words: no window of any length is better than
+    what is found there."""
+    rng = random.Random(11)
+    names = ["MIT", "GPL-3.0", "Apache-2.0-header", "BSD-notice", "MPL-2.0", "LGPL-header", "CC-BY-NC-4.0"]
+    templates = {n: licences.TEMPLATES[n] for n in names}
+    grams = {n: set(licences.bigrams(t)) for n, t in templates.items()}
+    common = "the of License under a software terms GNU this Public is MIT".split()
+    texts = []
+    for _ in range(60):
+        words = []
+        for name in rng.sample(names, rng.randrange(1, 4)):
+            words += [rng.choice(["foo", "bar", "baz", *common]) for _ in range(rng.randrange(12))]
+            for w in templates[name].split():
+                change = rng.random()
+                words += [] if change < 0.06 else ["x", w] if change < 0.1 else ["y"] if change < 0.14 else [w]
+        texts.append("".join(w + rng.choice("     \n") for w in words))
+    texts.append(" ".join([templates["MIT"]] * 3) + "\n" + templates["GPL-3.0"].removeprefix("This work is ").removesuffix(".") + " and more")
+    got = {}
+    for r in licences.scan(frame(spark, texts), templates).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    found = 0
+    for i, t in enumerate(texts):
+        words = licences.normal_words(t)
+        lines = [k for k, line in enumerate(t.split("\n"), 1) for _ in licences.normal_words(line)]
+        at = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for name, g in grams.items():
+            best = (0, 0)
+            for a in range(len(at)):
+                seen, shared = set(), 0
+                for b in range(a, min(len(at), a + 2 * len(licences.normal_words(templates[name])) - 2)):
+                    if at[b] not in seen:
+                        seen.add(at[b])
+                        shared += at[b] in g
+                        if 2 * shared / (len(seen) + len(g)) >= licences.THRESHOLD:
+                            best = max(best, (2 * shared / (len(seen) + len(g)), shared, -a, b))
+            if best[0]:
+                found += 1
+                _, _, a, b = best
+                touching = [r for r in got.get(i, []) if r["dice"] >= best[0] - 1e-12 or r["license"] == name]
+                assert any(r["line_no"] <= lines[b + 1] for r in touching), (i, name, best, t, got.get(i))
+                mine = [r["dice"] for r in got.get(i, []) if r["license"] == name]
+                if mine and not any(r["license"] != name for r in got[i]) and t.count("\n") == 0:
+                    assert max(mine) == pytest.approx(best[0])
+        assert all(r["dice"] >= licences.THRESHOLD for r in got.get(i, []))
+    assert found > 60
+
+
+def test_shortened_notices(spark):
+    gpl = "Licensed under the GNU General Public License, version 3"
+    texts = [gpl, gpl.replace(" GNU ", "\nGNU "), f"foo bar {gpl} baz", f"# {gpl.replace(' General', '\n# General')}\n# x y z"]
+    got = sorted((r["doc_id"], r["license"], r["shared"]) for r in licences.scan(frame(spark, texts)).collect())
+    assert got == [(i, "GPL-3.0", 8) for i in range(4)]
+
+
+def test_many_licences_in_one_text(spark):
+    mit = licences.TEMPLATES["MIT-text"]
+    began = time.time()
+    rows = licences.scan(frame(spark, ["\n\nCopyright 2020 Foo\n".join([mit] * 1000), "\n".join([" ".join(mit.split()[k : k + 12]) for k in range(0, 160, 12)] * 300)])).collect()
+    assert time.time() - began < 60
+    assert sum(r["license"] == "MIT-text" for r in rows if r["doc_id"] == 0) == 1000
+    assert sum(r["license"] == "MIT-text" for r in rows if r["doc_id"] == 1) == 300
+
+
 def test_licence_anchors_are_enough():
     grams = {n: licences.bigrams(t) for n, t in licences.TEMPLATES.items()}
     words = set(licences.anchors(grams, licences.THRESHOLD))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -93,24 +94,20 @@ def _minima(words: list[str]) -> np.ndarray:
 def _contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> list[dict]:
     """For each mention: its entity, min-hashes of the document and the words around it, and the terms beside it that
     no earlier mention of the entity has."""
-    covered = [(s, e) for s, _, e in spans]
-    out, first, seen = [], 0, set()
+    lows, highs = _merged(spans)
+    out, seen = [], set()
     document = _minima(text.split()).astype(np.int64) << 32
     for s, kind, e in spans:
         value = text[s:e].lower() if kind < 2 else _NOT_DIGIT.sub("", text[s:e])
         from_, to = max(0, s - reach), min(len(text), e + reach)
-        while first < len(covered) and covered[first][1] <= from_:
-            first += 1
-        near = []
-        for k in range(first, len(covered)):
-            if covered[k][0] >= to:
-                break
-            near.append(covered[k])
+        at = bisect_right(highs, from_)  # the first stretch of mentions that isn't over; terms come in order, and so do stretches
         entity, terms = hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=16).hexdigest(), []
         for m in _TERM.finditer(text, from_, to):
             a, b = m.span()
+            while at < len(highs) and highs[at] <= a:
+                at += 1
             whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if whole and (entity, a) not in seen and not any(a < hi and lo < b for lo, hi in near):
+            if whole and (entity, a) not in seen and not (at < len(lows) and lows[at] < b):
                 seen.add((entity, a))
                 terms.append(m.group().lower())
         around = document | _minima([*text[from_:s].split(), "", *text[e:to].split()])
@@ -118,16 +115,31 @@ def _contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH)
     return out
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover; spans that only touch are apart."""
+    lows, highs = [], []
+    for s, _, e in spans:
+        if highs and s < highs[-1]:
+            highs[-1] = max(highs[-1], e)
+        else:
+            lows.append(s)
+            highs.append(e)
+    return lows, highs
+
+
 def _inside(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     """Terms that lie in a mention, in part or as a whole: sanitised with it, so they are no occurrences of their own."""
-    out = {}
-    for s, _, e in spans:
-        while s > 0 and text[s - 1].isalnum():
+    out, done = [], 0
+    for s, e in zip(*_merged(spans)):
+        s = max(s, done)  # up to there the terms are told
+        while s > done and text[s - 1].isalnum():
             s -= 1
-        while e < len(text) and text[e].isalnum():
+        e = max(e, s)
+        while e > done and e < len(text) and text[e].isalnum():
             e += 1
-        out.update((m.start(), m.group().lower()) for m in _TERM.finditer(text, s, e))
-    return list(out.values())
+        out += [m.group().lower() for m in _TERM.finditer(text, s, e)]
+        done = max(done, e)
+    return out
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -255,18 +267,12 @@ def _find(docs: DataFrame, text: str, carry: list[str], generalise_at: float = 0
     disclosure = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * (F.col("contexts") - 1) / F.col("contexts")) / bits
     disclosing = (likely.join(counts, "term") if wanted.any() else likely.where(F.lit(False)).withColumn("n_term", F.lit(1))).join(entities, "entity").withColumn("disclosure", disclosure).where(F.col("disclosure") >= generalise_at)
     disclosing = scratch.table(disclosing.select("entity", "term", "disclosure"), "disclosing")
-    # only terms that a text has are joined with the entities that it mentions, so an entity in very many texts costs no more than they
+    # what each text's entities make telling comes first, then its places: no place meets an entity that it doesn't reveal
     scratch.keep("found", "disclosing")
     telling = _bits(disclosing, mask)
     places = _occurrences(found if telling.any() else found.where(F.lit(False)), telling, mask)
-    extra = (
-        places.join(mentions.select("_pii_row", F.col("c.entity").alias("entity")).distinct(), "_pii_row")
-        .join(small(disclosing), ["entity", "term"])
-        .groupBy("_pii_row", "start", "end")
-        .agg(F.max("disclosure").alias("d"))
-        .groupBy("_pii_row")
-        .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("d") >= remove_at).alias("remove"))).alias("_pii_extra"))
-    )
+    told = mentions.select("_pii_row", F.col("c.entity").alias("entity")).distinct().join(small(disclosing), "entity").groupBy("_pii_row", "term").agg(F.max("disclosure").alias("d"))
+    extra = places.join(told, ["_pii_row", "term"]).groupBy("_pii_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("d") >= remove_at).alias("remove"))).alias("_pii_extra"))
     base = F.transform("_pii_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("remove")))
     plain = found.where(F.size("_pii_base") == 0).select(*carry, base.alias("_pii_marked"), base.alias("_pii_spans"))
     marked = found.where(F.size("_pii_base") > 0).select("_pii_row", *carry, base.alias("_pii_marked")).join(extra, "_pii_row", "left")

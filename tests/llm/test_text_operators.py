@@ -656,3 +656,49 @@ def test_scores_to_the_last_bit(spark):
         got.append({r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()})
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got[0] == got[1] == got[2] and all(abs(got[0][i] - want[i]) < 1e-4 for i in want)
+
+
+def test_personal_data_in_nested_mentions_is_linear():
+    """One mention that holds all others, and mentions in one run of letters and digits."""
+    for text in ("+".join(["10.20.30.40"] * 25_000).replace("+", "-") + "@example.com", "a4111111111111111" * 16_000 + " x"):
+        assert len(text) > 270_000
+        began = time.time()
+        spans = pii.base_spans(text)
+        contexts, inside = pii._contexts(text, spans), pii._inside(text, spans)
+        assert time.time() - began < 30 and len(contexts) == len(spans) > 10_000 and inside
+
+
+def test_terms_inside_and_beside_mentions_equal_plain_ones():
+    rng = random.Random(7)
+    parts = ["a@b.com", "10.1.2.3", "4111111111111111", "+1 234 567 890", "word", "é4", "x_y", "-", " ", " ", "\n", "@", "."]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        spans = pii.base_spans(text)
+        plain = {}
+        for s, _, e in spans:
+            while s > 0 and text[s - 1].isalnum():
+                s -= 1
+            while e < len(text) and text[e].isalnum():
+                e += 1
+            plain.update((m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text[:e]) if m.end() > s and m.start() >= s)
+        assert sorted(pii._inside(text, spans)) == sorted(plain.values())
+        seen = set()
+        for (s, _, e), c in zip(spans, pii._contexts(text, spans, reach=9)):
+            beside = []
+            for m in re.finditer(r"[^\W_]+", text):
+                a, b = m.span()
+                apart = not any(a < hi and lo < b for lo, _, hi in spans)
+                if max(0, s - 9) <= a and b <= min(len(text), e + 9) and apart and (c["entity"], a) not in seen and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()):
+                    seen.add((c["entity"], a))
+                    beside.append(m.group().lower())
+            assert c["terms"] == beside, (text, s, e)
+
+
+def test_a_long_list_of_contacts_is_no_product(spark):
+    names = [f"Name{i} Sur{i} <p{i}@x{i}.example>" for i in range(20_000)]
+    lists = ["\n".join(names), "\n\n".join(f"- {n} -" for n in reversed(names)), "\n".join(f"{i}. {n}" for i, n in enumerate(names[::2]))]
+    began = time.time()
+    found = pii.find_personal_data(frame(spark, lists), carry=["doc_id"]).collect()
+    assert time.time() - began < 60
+    assert {r["doc_id"]: len(r["base"]) for r in found} == {0: 20_000, 1: 20_000, 2: 10_000}
+    assert all(len(r["spans"]) > 1.5 * len(r["base"]) for r in found)

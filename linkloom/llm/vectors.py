@@ -266,13 +266,40 @@ class Forest:
         return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.5, least: int = 640, seed: int = 7) -> DataFrame:
+def search_block(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray, forest: Forest, k: int, share: float, least: int):
+    """For each query (its rows' places in the block, scores, and how many rows it was compared with): the k largest inner products found.
+
+    Scores are by any order of sums first; those that are near the k-th are then summed in the fixed one.
+    """
+    longest = np.sqrt((v * v).sum(1).max())
+    enough = max(k + 1, least, math.ceil(share * len(ids)))
+    scaled = q / np.maximum(np.abs(q).max(1, keepdims=True), np.finfo(float).tiny)
+    for i, found in enumerate(forest.search(np.hstack([scaled, np.zeros((len(q), 1))]), enough)):
+        compared = len(found)
+        found = found[ids[found] != q_ids[i]]
+        rough = v[found] @ q[i]
+        if len(found) > k:
+            found = found[rough >= np.partition(rough, -k)[-k] - 1e-12 * longest * np.linalg.norm(q[i])]
+        score = dot_in_order(v[found], np.broadcast_to(q[i], (len(found), v.shape[1])))
+        order = np.lexsort((ids[found], -score))[:k]
+        yield found[order], score[order], compared
+
+
+def block_forest(v: np.ndarray, trees: int, bits: int, seed: int) -> Forest:
+    """A forest in which inner products are angles: one more component makes the norms of all rows of the block equal."""
+    scaled = v / np.abs(v).max()
+    squares = (scaled * scaled).sum(1)
+    return Forest(np.hstack([scaled, np.sqrt(np.maximum(0, squares.max() * (1 + 1e-9) - squares))[:, None]]), trees, bits, seed)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", id_col: str = "vec_id", block: int = 4096, trees: int = 80, bits: int = 24, share: float = 0.55, least: int = 0, seed: int = 7) -> DataFrame:
     """The k rows with the largest inner product found for each query: query_id, rank, vec_id, score.
 
-    Rows are dealt to blocks of about ``block``; each block indexes all its rows in a forest and answers all
-    queries, and the best k of all blocks are kept. Trees ascend until their ranges hold ``share`` of the block's rows, and
-    ``least`` and k + 1 at least: vectors without any structure need so many for a recall above 0.9, and the share is the same at
-    every size. Inner product becomes an angle by one more component that makes all rows' norms equal (0 for queries). Scores
+    Rows are dealt to blocks of about ``block``, of similar norms (within a factor of the root of 2); each block indexes all its rows in a
+    forest and answers all queries, and the best k of all blocks are kept. Trees ascend until their ranges hold ``share`` of the
+    block's rows, and k + 1 at least (or ``least``, if that is more): vectors without any structure need so many for a recall above 0.9, and the share
+    is the same at every size. Inner product becomes an angle by one more component that makes the block's norms equal (0 for queries); as
+    they are similar, it stays small, whatever the norms of other rows. Scores
     are in double precision on the vectors as they are, summed in the order of components, so equal vectors have equal scores; ties
     go to the smaller id. A query is compared with vectors of its own length. Unusable vectors, and rows with a null id, take no
     part. A query's own row isn't returned, nor others with its id. Ids are integers; repeated rows are rows like others, and repeated
@@ -288,48 +315,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
 
 
 def _nearest(rows: DataFrame, dim: int, k: int, block: int, trees: int, bits: int, share: float, least: int, seed: int) -> DataFrame:
-    n, largest = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    blocks, norm = max(1, math.ceil(n / block)), math.sqrt(largest or 1.0) * (1 + 1e-9)
-    data = rows.select("id", F.lit(0).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "v")
-    asked = rows.where("q").dropDuplicates(["id"]).select("id", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v")
-
-    def best(ids, v, q, q_id, found):
-        """The k largest scores of the rows found: first by any order of sums, then those that are near the k-th in the fixed one."""
-        found = found[ids[found] != q_id]
-        rough = v[found] @ q
-        if len(found) > k:
-            found = found[rough >= np.partition(rough, -k)[-k] - 1e-12 * norm * norm]
-        score = dot_in_order(v[found], np.broadcast_to(q, (len(found), dim)))
-        order = np.lexsort((ids[found], -score))[:k]
-        return ids[found[order]], score[order]
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    # squares that over- or underflow are bands of their own; there are some 2000 bands at most
+    rows = rows.withColumn("band", F.when(square == 0, -2000).when(square == float("inf"), 2000).otherwise(F.floor(F.log2(square) + 0.5)).cast("int"))
+    bands, blocks = [], 0
+    for r in sorted(rows.groupBy("band").count().collect()):
+        n = math.ceil(r["count"] / block)
+        bands.append((r["band"], blocks, n))
+        blocks += n
+    known = F.broadcast(rows.sparkSession.createDataFrame(bands, "band int, first int, n int"))
+    data = rows.join(known, "band").select("id", F.lit(0).alias("kind"), (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int").alias("block"), "v")
+    asked = rows.where("q").dropDuplicates(["id"]).select("id", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block"), "v")
 
     def answer(batches):
-        forest, ids, v, held = None, None, None, []
+        forest, ids, v, held, at = None, None, None, [], None
         for batch in batches:
-            kind = batch.column(1).to_numpy(zero_copy_only=False)
-            at = int(np.searchsorted(kind, 1))  # the block's rows come first
-            if at:
-                held.append(batch.slice(0, at))
-            asked_now = batch.slice(at)
-            if not asked_now.num_rows or not held and forest is None:
-                continue
-            if forest is None:
-                table = pa.Table.from_batches(held)
-                ids, v = table.column(0).to_numpy(), matrix(table.column(3).combine_chunks(), dim)
-                held = []
-                rest = np.sqrt(np.maximum(0, norm**2 - (v * v).sum(1)))
-                forest = Forest(np.hstack([v, rest[:, None]]), trees, bits, seed)
-            q, q_ids = matrix(asked_now.column(3), dim), asked_now.column(0).to_numpy()
-            enough = max(k + 1, least, math.ceil(share * len(ids)))
-            out = ([], [], [])
-            for i, found in enumerate(forest.search(np.hstack([q, np.zeros((len(q), 1))]), enough)):
-                names, score = best(ids, v, q[i], q_ids[i], found)
-                out[0].append(np.full(len(names), q_ids[i]))
-                out[1].append(names)
-                out[2].append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
-
-    dealt = data.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+            # a task may have several blocks, one after another: of each the rows come first
+            numbers, kinds = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if numbers[lo] != at:
+                    forest, held, at = None, [], numbers[lo]
+                if not kinds[lo]:
+                    held.append(part)
+                    continue
+                if forest is None:
+                    if not held:
+                        continue
+                    table = pa.Table.from_batches(held)
+                    ids, v = table.column(0).to_numpy(), matrix(table.column(3).combine_chunks(), dim)
+                    held, forest = [], block_forest(v, trees, bits, seed)
+                q, q_ids = matrix(part.column(3), dim), part.column(0).to_numpy()
+                out = ([], [], [])
+                for i, (found, score, _) in enumerate(search_block(ids, v, q_ids, q, forest, k, share, least)):
+                    out[0].append(np.full(len(found), q_ids[i]))
+                    out[1].append(ids[found])
+                    out[2].append(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+
+    dealt = data.unionByName(asked).repartitionById(max(blocks, 1), F.col("block")).sortWithinPartitions("block", "kind")
     found = dealt.select("id", "kind", "block", "v").mapInArrow(answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -608,3 +608,24 @@ def frontier_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([("c1.example.com", 3.0)], "source string, priority double")
     return frontier.prioritised(mentions, start, {5.0: ["media", "urgent"], float("-inf"): ["^c7[.]"]})
 
+
+_ACCUMULATED = f"""{BASE}, ev AS (SELECT row_number() OVER (ORDER BY k, target) AS seq, regexp_extract(source, '{URL_SQL}', 2) AS s, regexp_extract(target, '{URL_SQL}', 2) AS t,
+  CASE WHEN regexp_extract(target, '{URL_SQL}', 2) LIKE '%media%' THEN 5.0 ELSE 0.0 END + CASE WHEN title LIKE '%URGENT%' THEN 0.25 ELSE 0.0 END + CASE WHEN regexp_extract(target, '{URL_SQL}', 2) LIKE 'c7.%' THEN CAST('-infinity' AS DOUBLE) ELSE 0.0 END AS d
+  FROM (SELECT DISTINCT l.source, l.target FROM raw_link l) x JOIN (SELECT url, k, title FROM raw_item) i ON i.url = x.source),
+ledge AS (SELECT s AS node, min(seq) AS led FROM ev GROUP BY 1), firsts AS (SELECT t AS node, min(seq) AS at, arg_min(s, seq) AS up FROM ev GROUP BY 1),
+born AS (SELECT f.node, f.up, coalesce((SELECT sum(d) FROM ev WHERE ev.t = f.up AND ev.seq < f.at), 0) AS gained FROM firsts f LEFT JOIN ledge l USING (node) WHERE l.led IS NULL OR l.led > f.at),
+roots AS (SELECT DISTINCT up AS node FROM born WHERE up NOT IN (SELECT node FROM born)),
+tree AS (SELECT * FROM (WITH RECURSIVE r(node, v) AS (SELECT node, CAST(0 AS DOUBLE) FROM roots UNION ALL SELECT b.node, r.v + b.gained FROM born b JOIN r ON r.node = b.up) SELECT * FROM r)),
+told AS (SELECT ev.t, ev.seq, coalesce(tree.v, 0) + sum(d) OVER (PARTITION BY ev.t ORDER BY seq) AS priority FROM ev LEFT JOIN tree ON tree.node = ev.t)"""
+
+
+@query("SELECT t AS target, CAST(arg_max(priority, seq) AS DOUBLE) AS priority, count(*) FILTER (priority > CAST('-infinity' AS DOUBLE)) AS n_kept, CAST(max(priority) AS DOUBLE) AS highest FROM told GROUP BY t", _ACCUMULATED)
+def frontier_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities that add up mention by mention, in the order of items; each target's last and highest one."""
+    raw = starschema.raw(spark, sf_dir)
+    items = raw["item"].select(F.col("url").alias("source_url"), "k", F.col("title").alias("phrases"))
+    mentions = raw["link"].select(F.col("source").alias("source_url"), F.col("target").alias("target_url")).distinct().join(items, "source_url")
+    mentions = mentions.select(fu.url_part(F.col("source_url"), "netloc").alias("source"), fu.url_part(F.col("target_url"), "netloc").alias("target"), "phrases", "k", "target_url")
+    out = frontier.accumulated_priorities(mentions, ["k", "target_url"], {5.0: ["media"], 0.25: ["urgent"], float("-inf"): ["^c7[.]"]})
+    kept = F.sum((F.col("priority") > float("-inf")).cast("long")).alias("n_kept")
+    return out.groupBy("target").agg(F.max_by("priority", F.struct("k", "target_url")).alias("priority"), kept, F.max("priority").alias("highest"))

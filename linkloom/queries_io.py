@@ -13,8 +13,9 @@ from .operators import frontier, stats, storage
 from .plans import exports
 from .plans.filters import where
 from .plans.wide import TYPES, columns, wide
-from .queries import _PAGES, BASE, FLAGSHIP, URL_SQL, WIDE, _main_catalog, _pages_catalog, plainly, query, table
+from .queries import _PAGES, BASE, FLAGSHIP, ORACLE, URL_SQL, WIDE, _main_catalog, _pages_catalog, plainly, query, table
 from .sources import pages, starschema
+from .streaming.frontier import expand_stream
 from .streaming.ingest import ingest, merge_staged
 
 # ---- feed pages: each customer is a feed whose orders are its entries -------------------------------------------------
@@ -513,3 +514,10 @@ def frontier_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds, state = spark.createDataFrame([("https://c2.example.com",)], "site string"), new_folder(spark, "frontier")
     frontier.expand(edges, seeds, threshold=2, depth_limit=2, state=state)
     return frontier.expand(edges, seeds, threshold=2, depth_limit=3, state=state)
+
+
+@query(ORACLE["frontier_bfs_depth3"], plain=True)
+def frontier_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier by a stream with state: what it schedules decides what it reads next."""
+    pairs = starschema.raw(spark, sf_dir)["link"].select("source", "target").distinct()
+    return expand_stream(pairs, spark.createDataFrame([("https://c1.example.com",)], "site string"), threshold=2, depth_limit=3, folder=new_folder(spark, "frontier"))

@@ -5,28 +5,27 @@ from __future__ import annotations
 import csv
 import io
 import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from .folders import new_folder
 
-def _open_for_write(root: str):
-    """Opens root/path for text on the executor: a local or mounted folder, or any store by pyarrow's file systems."""
+
+def _file_system(root: str):
+    """(file system, its path of root): a local or mounted folder, or any store by pyarrow's file systems."""
     import pyarrow.fs as pafs
 
     if "://" in root and not root.startswith("file://"):
-        fs, base = pafs.FileSystem.from_uri(root)
-    else:
-        fs, base = pafs.LocalFileSystem(), root.removeprefix("file://")
-
-    def open_(path: str):
-        full = f"{base}/{path}"
-        fs.create_dir(full.rsplit("/", 1)[0], recursive=True)
-        return io.TextIOWrapper(fs.open_output_stream(full), encoding="utf-8", newline="")
-
-    return open_
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root.removeprefix("file://")
 
 
 def _csv_line(values: list) -> str:
@@ -44,22 +43,53 @@ def numbered_path(path: Column, part: Column) -> Column:
 
 
 def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions: int | None = None, parts: int = 1) -> DataFrame:
-    """Writes rows to the file in their ``_path`` under root; gives (_path, n_rows).
+    """Writes rows to the file in their ``_path`` under root; gives (_path, n_rows) of the files.
 
-    All rows of a file are in one task, sorted, so a file is written once, has one CSV header, and a repeated task writes the
-    same again. A file that would be too large for a task is dealt by a hash of its rows to ``parts`` files, each of them a whole
-    file of its own: all.csv, all.1.csv, all.2.csv. lines: the first column; csv: all columns; json: one object per file, keyed by
-    the first column and written as it comes; of rows with one key the last counts. Root is a folder that executors share.
+    All rows of a file are in one task, sorted, so a file is written once and has one CSV header. Tasks write to a folder of the run,
+    each attempt to names of its own; the files get their names when all tasks have ended, so what failed, or ran twice, leaves
+    nothing, and a run that fails as a whole changes no file. A file that would be too large for a task is dealt by a hash of its rows to ``parts``
+    files, each of them a whole file of its own: all.csv, all.1.csv, all.2.csv. lines: the first column; csv: all columns; json: one object per
+    file, keyed by the first column and written as it comes; of rows with one key the last counts. Root is a folder that executors share.
     """
     columns = [c for c in rows.columns if c != "_path"]
     if parts > 1:
         dealt_by = [F.col(f"`{columns[0]}`")] if format == "json" else [F.col(f"`{c}`") for c in columns]
         rows = rows.withColumn("_path", numbered_path(F.col("_path"), F.pmod(F.xxhash64(*dealt_by), F.lit(parts))))
     dealt = rows.repartition(partitions, "_path") if partitions else rows.repartition("_path")
-    ready = dealt.sortWithinPartitions("_path", *[f"`{c}`" for c in columns])
+    ready = dealt.sortWithinPartitions("_path", *[f"`{c}`" for c in columns]).select(*[f"`{c}`" for c in columns], "_path")
+    spark, listed = rows.sparkSession, new_folder(rows.sparkSession, "files")
+    spark.dataSource.register(RoutedFiles)
+    ready.write.format(RoutedFiles.name()).mode("append").options(root=root, listed=listed, form=format).save()
+    return spark.read.schema("_path string, n_rows long").parquet(listed)
+
+
+class RoutedFiles(DataSource):
+    """A sink of files whose names are in the last column; options: root, form, and listed, where the list of files goes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "linkloom_routed"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> RoutedWriter:
+        return RoutedWriter(self.options["root"], self.options["listed"], self.options["form"], [f.name for f in schema][:-1])
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_, at, out, n, done, held = _open_for_write(root), None, None, 0, [], None
+
+@dataclass
+class Routed(WriterCommitMessage):
+    """(name, the attempt's file, rows) of a task."""
+
+    files: list[tuple[str, str, int]]
+
+
+class RoutedWriter(DataSourceArrowWriter):
+    def __init__(self, root: str, listed: str, form: str, columns: list[str]):
+        self.root, self.listed, self.form, self.columns, self.run = root, listed, form, columns, f"_attempts-{uuid.uuid4().hex[:12]}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Routed:
+        fs, base = _file_system(self.root)
+        folder, form, columns = f"{base}/{self.run}/{uuid.uuid4().hex}", self.form, self.columns
+        fs.create_dir(folder, recursive=True)
+        at, out, n, done, held = None, None, 0, [], None
 
         def put(last):
             """The object of the key before, when the next key comes or the file ends."""
@@ -68,25 +98,26 @@ def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions:
 
         def finish():
             if out is not None:
-                if format == "json":
+                if form == "json":
                     put(True)
                     out.write("}")
                 out.close()
-                done.append((at, n))
+                done.append((at, f"{folder}/{len(done)}", n))
 
-        for batch in batches:
-            for record in batch.astype(object).itertuples(index=False, name=None):
+        for batch in iterator:
+            for record in batch.to_pandas().astype(object).itertuples(index=False, name=None):
                 values, path = record[:-1], record[-1]
                 if path != at:
                     finish()
-                    at, n, held, out = path, 0, None, open_(path)
-                    if format == "csv":
+                    at, n, held = path, 0, None
+                    out = io.TextIOWrapper(fs.open_output_stream(f"{folder}/{len(done)}"), encoding="utf-8", newline="")
+                    if form == "csv":
                         out.write(_csv_line(columns))
-                    elif format == "json":
+                    elif form == "json":
                         out.write("{")
-                if format == "lines":
+                if form == "lines":
                     out.write(f"{values[0]}\n")
-                elif format == "csv":
+                elif form == "csv":
                     out.write(_csv_line(list(values)))
                 else:
                     if held is not None and held[0] != str(values[0]):
@@ -94,9 +125,29 @@ def write_by_path(rows: DataFrame, root: str, format: str = "lines", partitions:
                     held = (str(values[0]), dict(zip(columns[1:], [None if pd.isna(v) else v for v in values[1:]])))
                 n += 1
         finish()
-        yield pd.DataFrame(done, columns=["_path", "n_rows"])
-
-    return ready.select(*[f"`{c}`" for c in columns], "_path").mapInPandas(write, "_path string, n_rows long")
+        return Routed(done)
+
+    def commit(self, messages: list[Routed | None]) -> None:
+        """Gives the files of the attempts that count their names; the others go with the run's folder."""
+        fs, base = _file_system(self.root)
+        files = [f for m in messages if m for f in m.files]
+        for folder in sorted({f"{base}/{name}".rsplit("/", 1)[0] for name, _, _ in files}):
+            fs.create_dir(folder, recursive=True)
+        for name, attempt, _ in files:
+            fs.move(attempt, f"{base}/{name}")
+        self._clean(fs, base)
+        to, folder = _file_system(self.listed)
+        to.create_dir(folder, recursive=True)
+        pq.write_table(pa.table({"_path": pa.array([f[0] for f in files], pa.string()), "n_rows": pa.array([f[2] for f in files], pa.int64())}), f"{folder}/files.parquet", filesystem=to)
+
+    def abort(self, messages: list[Routed | None]) -> None:
+        self._clean(*_file_system(self.root))
+
+    def _clean(self, fs, base: str) -> None:
+        import pyarrow.fs as pafs
+
+        if fs.get_file_info(f"{base}/{self.run}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{base}/{self.run}")
 
 
 def graphml_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:

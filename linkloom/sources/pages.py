@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..folders import written
 from ..functions.html import links
 from ..functions.text import epoch_time, iso_time, lower_set
 from ..functions.urls import feed_uri, is_absolute_http, url_part
@@ -22,23 +23,32 @@ _ALTERNATE = "array<struct<href string, type string>>"
 
 def read_pages(spark: SparkSession, path: str, delimiter: str = "\0", on_error: str = "continue") -> DataFrame:
     """Lines of JSON pages with delimiter lines between; on_error: continue (drop the line), raise, or stop (drop the
-    line and what follows it in its file; files are then read as a whole)."""
-    if on_error == "stop":
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-        whole = whole.select("_file", F.posexplode(F.split("value", "\n")).alias("_at", "value"))
-        whole = whole.where((F.col("value") != delimiter) & (F.trim("value") != "")).withColumn("page", F.from_json("value", PAGE, {"mode": "PERMISSIVE"}))
-        bad = F.col("page.items").isNull() & F.col("page.id").isNull()
-        first = F.min(F.when(bad, F.col("_at"))).over(Window.partitionBy("_file"))
-        return whole.withColumn("_bad", first).where(F.col("_bad").isNull() | (F.col("_at") < F.col("_bad"))).select("page.*")
-    lines = spark.read.text(path).where((F.col("value") != delimiter) & (F.trim("value") != ""))
-    return parse_pages(lines, on_error)
+    line and what follows it in its file).
+
+    A file may be read in several parts, by several tasks: a line's place is where its part begins in the file, and its number
+    there. The first bad line of each file that has one is found in a first pass over the files, and a second one
+    leaves out what comes after it.
+    """
+    lines = spark.read.text(path)
+    if on_error != "stop":
+        return parse_pages(lines.where((F.col("value") != delimiter) & (F.trim("value") != "")), on_error)
+    at = F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    placed = lines.select(F.col("_metadata.file_path").alias("_file"), at.alias("_at"), "value").where((F.col("value") != delimiter) & (F.trim("value") != ""))
+    placed = placed.select("_file", "_at", F.from_json("value", PAGE, {"mode": "PERMISSIVE"}).alias("page"))
+    stops = placed.where(_is_bad(F.col("page"))).groupBy("_file").agg(F.min("_at").alias("_stop"))
+    return placed.join(written(stops, "stops"), "_file", "left").where(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop"))).select("page.*")
+
+
+def _is_bad(page: Column) -> Column:
+    """What bad JSON, or JSON that is no page, gives: nothing in any field."""
+    return page.isNull() | (page["id"].isNull() & page["title"].isNull() & page["continuation"].isNull() & page["items"].isNull())
 
 
 def parse_pages(lines: DataFrame, on_error: str = "continue", value: str = "value") -> DataFrame:
     """One row for each page; bad JSON gives no row, or with on_error='raise' an error."""
     mode = {"continue": "PERMISSIVE", "raise": "FAILFAST"}[on_error]
     parsed = lines.select(F.from_json(value, PAGE, {"mode": mode}).alias("page"))
-    return parsed.where(F.col("page").isNotNull()).select("page.*")
+    return parsed.where(~_is_bad(F.col("page"))).select("page.*")
 
 
 def entries(pages: DataFrame, feed_url: Column | None = None) -> DataFrame:

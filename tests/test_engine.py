@@ -416,3 +416,59 @@ def test_carried_priorities(spark):
     seeds = spark.createDataFrame([("a", 1.0)], "source string, priority double")
     got = {r["target"]: (r["priority"], r["level"]) for r in frontier.carried_priorities(mentions, seeds, {2.0: ["hot"], float("-inf"): ["bad"]}, 5).collect()}
     assert got == {"b": (1.0, 1), "c": (3.0, 1), "d": (3.0, 2), "e": (5.0, 3)}
+
+
+def test_files_are_named_when_all_tasks_have_ended(spark, tmp_path):
+    """What fails leaves no file, and what was there stays."""
+    root = tmp_path / "o"
+    root.mkdir()
+    (root / "a.txt").write_text("before")
+    rows = spark.range(40).select(F.concat("id", F.lit("")).alias("v"), F.concat(F.lit("abcd"), F.lit("/"), F.col("id") % 4, F.lit(".txt")).alias("_path"))
+    fails = rows.withColumn("v", F.when(F.col("v") == "37", F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    fails = fails.unionByName(spark.createDataFrame([("x", "a.txt")], "v string, _path string"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_by_path(fails, str(root), partitions=4)
+    assert [p.name for p in root.rglob("*")] == ["a.txt"] and (root / "a.txt").read_text() == "before"
+    fine = rows.unionByName(spark.createDataFrame([("x", "a.txt")], "v string, _path string"))
+    listed = {r["_path"]: r["n_rows"] for r in sinks.write_by_path(fine, str(root), partitions=4).collect()}
+    assert listed == {"a.txt": 1, **{f"abcd/{k}.txt": 10 for k in range(4)}}
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file()) == sorted(listed) and (root / "a.txt").read_text() == "x\n"
+    assert sinks.write_by_path(fine.limit(0), str(root)).count() == 0
+
+
+def test_an_attempt_that_failed_leaves_nothing(tmp_path):
+    """Of two attempts of a task only the one that counts gives a file."""
+    import pyarrow as pa
+
+    def broken():
+        yield pa.RecordBatch.from_pydict({"v": ["1"], "_path": ["x.txt"]})
+        raise OSError("executor lost")
+
+    w = sinks.RoutedWriter(str(tmp_path / "o"), str(tmp_path / "l"), "lines", ["v"])
+    with pytest.raises(OSError):
+        w.write(broken())
+    counts = w.write(iter([pa.RecordBatch.from_pydict({"v": ["1", "2"], "_path": ["x.txt", "y/z.txt"]})]))
+    twice = w.write(iter([pa.RecordBatch.from_pydict({"v": ["1", "2"], "_path": ["x.txt", "y/z.txt"]})]))  # a speculative one
+    assert not (tmp_path / "o" / "x.txt").exists() and len(twice.files) == 2
+    w.commit([counts, None])
+    assert sorted(str(p.relative_to(tmp_path / "o")) for p in (tmp_path / "o").rglob("*") if p.is_file()) == ["x.txt", "y/z.txt"]
+
+
+def test_stop_mode_over_several_parts_of_a_file(spark, tmp_path):
+    """A file that several tasks read ends at its first bad line; others go on."""
+    good = [page(item(f"http://a.example/{i}"), feed=f"http://f.example/{i}") for i in range(60)]
+    (tmp_path / "a.jsonl").write_text("\n\0\n".join([*good[:40], "{ no json", *good[40:], "{ nor this"]))
+    (tmp_path / "b.jsonl").write_text("\n".join(good[:30]))
+    (tmp_path / "c.jsonl").write_text("\n".join(["[1, 2]", *good[:3]]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        pages = read_pages(spark, str(tmp_path), on_error="stop")
+        assert pages.rdd.getNumPartitions() > 5
+        got = sorted(r["id"] for r in pages.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted([f"feed/http://f.example/{i}" for i in range(40)] + [f"feed/http://f.example/{i}" for i in range(30)])
+    assert parse_pages(spark.createDataFrame([("{ no json",), ("[1]",), (good[0],), (None,)], "value string")).count() == 1

@@ -92,7 +92,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             graph = exports.domain_graph if extras.get("graphtype", "hyperlink") == "domain" else exports.hyperlink_graph
             sinks.write_graphml(*graph(tables, include=include, exclude=exclude), args.output)
         else:
-            sinks.write_report(exports.uncharted_report(tables, include, exclude), args.output)
+            sinks.write_uncharted(exports.uncharted(tables, include, exclude), args.output)
     elif args.command in ("check", "repair"):
         store = Store(spark, args.input)
         if args.command == "repair" and store.locked:

@@ -40,9 +40,13 @@ def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int,
     edges: (site, target, n): n mentions of target by the items of site. Each level is one aggregation over the edges
     of the reached sites, checkpointed. depth_limit 0: no limit. With
     ``most_levels`` it is an error if sites are left beyond so many levels. With ``state``, a folder, the levels are
-    kept there, and a run that was interrupted goes on after the last whole one (remove the folder to begin anew).
+    kept there, and a run that was interrupted goes on after the last whole one (remove the folder to begin anew); of other edges,
+    seeds or another threshold they are a ValueError.
     """
+    edges = written(edges.select("site", "target", "n"), "edges")  # read once for each level
     reached = seeds.select("site").distinct().withColumn("depth", F.lit(1))
+    if state:
+        _same_run(edges, reached, f"threshold {threshold}", state)
     level = 1
     while not (depth_limit and level >= depth_limit):
         known = edges.join(reached.select("site"), "site").groupBy("target").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
@@ -56,6 +60,15 @@ def expand(edges: DataFrame, seeds: DataFrame, threshold: int, depth_limit: int,
     return reached
 
 
+def _same_run(edges: DataFrame, seeds: DataFrame, what: str, state: str) -> None:
+    """Writes what the levels in a folder are of, or compares it with what is there."""
+    many = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0))).first()
+    found = f"{what} edges {tuple(map(str, many(edges)))} seeds {tuple(map(str, many(seeds)))}"
+    kept = _kept(edges.sparkSession.createDataFrame([(found,)], "run string"), f"{state}/run").first()["run"]
+    if kept != found:
+        raise ValueError(f"{state} holds levels of another run: {kept}, not {found}")
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     """What is at the path if it was written to its end; else df, written there."""
     spark = df.sparkSession

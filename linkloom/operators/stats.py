@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
-
+from collections.abc import Callable
 
-def rolling_stats(df: DataFrame, value: str, order: list[str], partition: list[str], last: int = 64) -> DataFrame:
+from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.window import WindowSpec
+
+from ..folders import written
+
+
+def segments(df: DataFrame, order: list[str], partition: list[str], last: int) -> DataFrame:
+    """df dealt by ranges of its keys and their order, so that a key with most of the rows is many tasks: ``_segment`` is the range, and
+    with each key's part of a range come the ``last`` - 1 rows of the key before it, marked ``_halo``. A frame of ``last`` rows within
+    key and segment is then what it is within the key."""
+    dealt = written(df.repartitionByRange(*partition, *order).withColumn("_segment", F.spark_partition_id()), "segments").withColumn("_halo", F.lit(False))
+    part = [*partition, "_segment"]
+    back = F.row_number().over(Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order]))
+    ends = dealt.withColumn("_back", back).where(F.col("_back") < last)
+    sizes = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    # the parts after each one, and how many rows lie between: as each has a row at least, no more than last - 1 can matter
+    later = F.collect_list(F.struct(F.col("_segment").alias("to"), F.col("_n").alias("n"))).over(Window.partitionBy(*partition).orderBy("_segment").rowsBetween(1, last - 1))
+    gaps = F.transform(later, lambda x, i: F.struct(x["to"].alias("to"), F.aggregate(F.slice(later, F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("gap")))
+    reach = sizes.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(part)], gaps.alias("_gaps"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{j}")) for j, c in enumerate(part)]
+    halo = ends.join(reach, same).withColumn("_to", F.explode("_gaps")).where(F.col("_to.gap") + F.col("_back") < last)
+    return dealt.unionByName(halo.select(*df.columns, F.col("_to.to").alias("_segment"), F.lit(True).alias("_halo")))
+
+
+def _framed(df: DataFrame, order: list[str], partition: list[str], last: int, split: bool, add: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """df with columns over a frame of the last rows of each key; ``split``: of keys that may be too large for a task."""
+    if split:
+        df, partition = segments(df, order, partition, last), [*partition, "_segment"]
+    out = df.withColumns(add(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)))
+    return out.where(~F.col("_halo")).drop("_halo", "_segment") if split else out
+
+
+def rolling_stats(df: DataFrame, value: str, order: list[str], partition: list[str], last: int = 64, split: bool = False) -> DataFrame:
     """min, max, mean and mode of the last values up to each row; of equally frequent values the smallest is the mode."""
-    frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
-    return df.withColumns({"min_last": F.min(value).over(frame), "max_last": F.max(value).over(frame), "mean_last": F.avg(value).over(frame), "mode_last": F.mode(value, True).over(frame)})
+    add = lambda w: {"min_last": F.min(value).over(w), "max_last": F.max(value).over(w), "mean_last": F.avg(value).over(w), "mode_last": F.mode(value, True).over(w)}
+    return _framed(df, order, partition, last, split, add)
 
 
-def rate(df: DataFrame, value: str, order: list[str], partition: list[str], samples: int = 5) -> DataFrame:
+def rate(df: DataFrame, value: str, order: list[str], partition: list[str], samples: int = 5, split: bool = False) -> DataFrame:
     """(last - first) / (samples - 1) over the last samples; null for the first row."""
-    frame = Window.partitionBy(*partition).orderBy(*order).rowsBetween(-(samples - 1), Window.currentRow)
-    n = F.count(value).over(frame)
-    return df.withColumn("rate", F.when(n > 1, (F.col(value) - F.first(value).over(frame)) / (n - 1)))
+    add = lambda w: {"rate": F.when(F.count(value).over(w) > 1, (F.col(value) - F.first(value).over(w)) / (F.count(value).over(w) - 1))}
+    return _framed(df, order, partition, samples, split, add)
 
 
 def ages(df: DataFrame, created: str, now: Column, keys: list[str]) -> DataFrame:

@@ -475,6 +475,16 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rolling_stats(cents, "value", ["event_id"], ["user_id"]).select("event_id", "min_last", "max_last", "mean_last")
 
 
+@query(
+    "SELECT event_id, min(v) OVER w AS min_last, max(v) OVER w AS max_last, avg(v) OVER w AS mean_last FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS v FROM events) WINDOW w AS (ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)",
+    plain=True,
+)
+def rolling_stats_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events are of one key, which is dealt to several tasks."""
+    cents = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 100).cast("long").alias("value"), F.lit("all").alias("key"))
+    return stats.rolling_stats(cents, "value", ["event_id"], ["key"], split=True).select("event_id", "min_last", "max_last", "mean_last")
+
+
 @query(
     "SELECT event_id, (SELECT min(v) FROM (SELECT v, count(*) AS c FROM (SELECT unnest(l) AS v) GROUP BY v) WHERE c = (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(l) AS v) GROUP BY v))) AS mode_last "
     "FROM (SELECT event_id, list(length(event_type)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS l FROM events)",

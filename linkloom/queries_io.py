@@ -300,7 +300,7 @@ def sink_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uncharted report as one JSON document, read as a whole."""
     folder = new_folder(spark, "report")
-    sinks.write_report(exports.uncharted_report(starschema.catalog(spark, sf_dir)), folder)
+    sinks.write_uncharted(exports.uncharted(starschema.catalog(spark, sf_dir)), folder)
     parts = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value")
     whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda x: x["value"]), "").alias("value"))
     held = F.explode(F.from_json("value", "map<string, struct<page_count: bigint, keywords: map<string, bigint>, referrers: map<string, bigint>>>")).alias("name", "v")

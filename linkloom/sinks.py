@@ -205,3 +205,32 @@ def write_report(report: DataFrame, path: str) -> None:
     """The uncharted report: a folder of text parts that are one JSON document when read in the order of their names."""
     ready = report_lines(report).repartitionByRange("part", "name").sortWithinPartitions("part", "name")
     ready.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def uncharted_lines(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, name, section, key, line) of the uncharted report from its long tables (``plans.exports.uncharted``): read in that
+    order, the lines are one JSON object by domain. Each keyword and referrer is a line, so no domain is a row."""
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    named = lambda df: df.select(F.concat(F.lit("http://"), F.col("domain")).alias("name"), *[c for c in df.columns if c != "domain"])
+    pages = named(parts["pages"])
+    first = pages.agg(F.min("name").alias("_first"))  # one row
+    begin = F.concat(F.when(F.col("name") == F.col("_first"), "").otherwise(","), text(F.col("name")), F.lit(':{"page_count":'), F.col("page_count").cast("string"), F.lit(',"keywords":{'))
+    fixed = lambda section, line: pages.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), "name", F.lit(section).alias("section"), F.lit("").alias("key"), line.alias("line"))
+
+    def entries(table, column, section, prefix):
+        rows = named(table).select("name", F.concat(F.lit(prefix), F.col(column)).alias("key"), "n")
+        least = rows.groupBy("name").agg(F.min("key").alias("_least"))
+        line = F.concat(F.when(F.col("key") == F.col("_least"), "").otherwise(","), text(F.col("key")), F.lit(":"), F.col("n").cast("string"))
+        return rows.join(least, "name").select(F.lit(1).alias("part"), "name", F.lit(section).alias("section"), "key", line.alias("line"))
+
+    ends = pages.sparkSession.createDataFrame([(0, "", 0, "", "{"), (2, "", 0, "", "}")], "part int, name string, section int, key string, line string")
+    bodies = (fixed(0, begin), entries(parts["keywords"], "keyword", 1, ""), fixed(2, F.lit('},"referrers":{')), entries(parts["referrers"], "referrer", 3, "http://"), fixed(4, F.lit("}}")))
+    for body in bodies:
+        ends = ends.unionByName(body)
+    return ends
+
+
+def write_uncharted(parts: dict[str, DataFrame], path: str) -> None:
+    """The uncharted report: a folder of text parts that are one JSON document when read in the order of their names."""
+    order = ["part", "name", "section", "key"]
+    uncharted_lines(parts).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)

@@ -472,3 +472,44 @@ def test_stop_mode_over_several_parts_of_a_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == sorted([f"feed/http://f.example/{i}" for i in range(40)] + [f"feed/http://f.example/{i}" for i in range(30)])
     assert parse_pages(spark.createDataFrame([("{ no json",), ("[1]",), (good[0],), (None,)], "value string")).count() == 1
+
+
+def test_the_report_is_the_same_without_maps(spark, tables, tmp_path):
+    sinks.write_report(exports.uncharted_report(tables), str(tmp_path / "a"))
+    sinks.write_uncharted(exports.uncharted(tables), str(tmp_path / "b"))
+    read = lambda p: json.loads("".join(f.read_text() for f in sorted((tmp_path / p).glob("part-*"))))
+    assert read("a") == read("b") and any(v["referrers"] for v in read("b").values())
+    odd = {
+        "pages": spark.createDataFrame([('q"\\', 2), ("hub", 1)], "domain string, page_count long"),
+        "keywords": spark.createDataFrame([("hub", "a\nb", 3), ("hub", "é", 1)], "domain string, keyword string, n long"),
+        "referrers": spark.createDataFrame([("hub", f"r{i}", i) for i in range(2000)], "domain string, referrer string, n long"),
+    }
+    sinks.write_uncharted(odd, str(tmp_path / "c"))
+    assert read("c") == {'http://q"\\': {"page_count": 2, "keywords": {}, "referrers": {}}, "http://hub": {"page_count": 1, "keywords": {"a\nb": 3, "é": 1}, "referrers": {f"http://r{i}": i for i in range(2000)}}}
+    sinks.write_uncharted({n: t.limit(0) for n, t in odd.items()}, str(tmp_path / "d"))
+    assert read("d") == {}
+
+
+def test_frames_of_a_hot_key_are_several_tasks(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 50 == 0, None).when(F.col("id") < 880, "hot").otherwise("cold").alias("k"), F.col("id").alias("o"), (F.col("id") * 7919 % 101).alias("v"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # parts smaller than a frame too
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for f in (lambda **x: stats.rolling_stats(df, "v", ["o"], ["k"], **x), lambda **x: stats.rate(df, "v", ["o"], ["k"], **x)):
+            assert sorted(map(repr, f(split=True).collect())) == sorted(map(repr, f().collect()))
+        assert stats.segments(df, ["o"], ["k"], 64).where("k = 'hot' AND NOT _halo").select("_segment").distinct().count() > 5
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_kept_levels_of_another_run_are_refused(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", 9)], "site string, target string, n long")
+    seeds = spark.createDataFrame([("a",)], "site string")
+    run = lambda e, t: frontier.expand(e, seeds, t, 0, state=str(tmp_path / "s")).count()
+    assert run(edges, 2) == run(edges, 2) == 2
+    with pytest.raises(ValueError, match="another run"):
+        run(edges, 3)
+    with pytest.raises(ValueError, match="another run"):
+        run(edges.union(edges), 2)

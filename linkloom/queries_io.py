@@ -6,10 +6,11 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import sinks
-from .folders import new_folder
+from .folders import new_folder, written
 from .functions import text as fn, urls as fu
 from .model import SPECS, Catalog, Store
 from .operators import frontier, stats, storage
+from .operators.state import LateKeys, State, log_run
 from .plans import exports
 from .plans.filters import where
 from .plans.wide import TYPES, columns, wide
@@ -521,3 +522,26 @@ def frontier_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frontier by a stream with state: what it schedules decides what it reads next."""
     pairs = starschema.raw(spark, sf_dir)["link"].select("source", "target").distinct()
     return expand_stream(pairs, spark.createDataFrame([("https://c1.example.com",)], "site string"), threshold=2, depth_limit=3, folder=new_folder(spark, "frontier"))
+
+
+@query("SELECT event_id % 97 AS key, max(event_id) AS seq FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'view'", plain=True)
+def log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request log of three runs, each merged with what is kept of those before; the second one is told twice."""
+    log = table(spark, sf_dir, "events").select((F.col("event_id") % 97).alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "remove").otherwise("add").alias("action"))
+    state = State(spark, new_folder(spark, "state"), shards=4)
+    for run, (low, high) in enumerate([(0, 300), (300, 900), (900, 1 << 60)]):
+        for _ in range(2 if run == 1 else 1):
+            log_run(state, "requests", log.where(F.col("seq").between(low, high - 1)), ["key"], run=str(run))
+    return state.read("requests").select("key", "seq")
+
+
+@query("SELECT source, target, element FROM raw_link", plain=False)
+def late_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose source comes before its URL has an id: they wait for the batch that brings it."""
+    raw, late = starschema.raw(spark, sf_dir), LateKeys(State(spark, new_folder(spark, "late"), shards=4), "hyperlink", "source")
+    urls = starschema.catalog(spark, sf_dir)["url"]
+    early = urls.where(F.col("url").contains("//c1"))
+    first = written(late.batch(0, raw["link"].select("source", "target", "element"), early, "url"), "told")
+    second = late.batch(1, raw["link"].select("source", "target", "element").limit(0), urls, "url")
+    told = first.unionByName(second).select(F.col("source").cast("long").alias("id"), "target", "element")
+    return told.join(urls, "id").select(F.col("url").alias("source"), "target", "element")

@@ -75,5 +75,5 @@ def label_sequence(df: DataFrame, order: list[Column], partition: list[str], sta
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """A repeatable shuffle: within each partition by a seeded hash."""
-    return df.sortWithinPartitions(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    """A repeatable shuffle: within each partition by a seeded hash, which other engines know as well."""
+    return df.sortWithinPartitions(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from . import sinks
 from .folders import new_folder, written
@@ -16,6 +16,7 @@ from .plans.filters import where
 from .plans.wide import TYPES, columns, wide
 from .queries import _PAGES, BASE, FLAGSHIP, ORACLE, URL_SQL, WIDE, _main_catalog, _pages_catalog, plainly, query, table
 from .sources import pages, starschema
+from .sources.paged import page_path, paged_stream
 from .streaming.frontier import expand_stream
 from .streaming.ingest import ingest, merge_staged
 
@@ -99,12 +100,12 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT concat('feed/', feed_url) AS id FROM entry WHERE feed < 100", _ENTRY_SQL)
 def json_lines_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of pages with delimiter lines, read up to the first line that is no JSON."""
-    lines = page_lines(spark, sf_dir).select("feed", F.lit(0).alias("n"), "value")
-    marks = lines.select("feed", F.lit(1).alias("n"), F.lit("\0").alias("value"))
-    bad = spark.createDataFrame([(100, -1, "{ no json")], "feed long, n int, value string")
+    """Files of pages with delimiter lines, each read up to its first line that is no JSON."""
+    lines = page_lines(spark, sf_dir).select((F.col("feed") % 8).alias("file"), "feed", F.lit(0).alias("n"), "value")
+    marks = lines.select("file", "feed", F.lit(1).alias("n"), F.lit("\0").alias("value"))
+    bad = lines.groupBy("file").agg(F.lit(100).cast("long").alias("feed"), F.lit(-1).alias("n"), F.lit("{ no json").alias("value"))
     path = new_folder(spark, "lines")
-    lines.unionByName(marks).unionByName(bad).repartition(1).sortWithinPartitions("feed", "n").select("value").write.text(path)
+    lines.unionByName(marks).unionByName(bad).repartition("file").sortWithinPartitions("file", "feed", "n").select("file", "value").write.partitionBy("file").text(path)
     return pages.read_pages(spark, path, on_error="stop").select("id")
 
 
@@ -117,6 +118,23 @@ def json_lines_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.read_pages(spark, path).where(F.col("id").isNotNull()).select("id", F.size("items").cast("long").alias("n_items"))
 
 
+@query("SELECT DISTINCT concat('feed/', feed_url) AS id, count(*) AS n_items, 1 AS n_read FROM entry GROUP BY 1", _ENTRY_SQL)
+def paged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of pages that name the next one, as a stream that stops where a page isn't there yet and goes on when it is."""
+    chain, order = F.col("feed") % 16, Window.partitionBy(F.col("feed") % 16).orderBy("feed")
+    after, before = F.lead("feed").over(order), F.lag("feed").over(order)
+    text = F.when(after.isNotNull(), F.concat(F.lit('{"continuation": "'), after, F.lit('", '), F.expr("substring(value, 2)"))).otherwise(F.col("value"))
+    name = lambda mark: F.format_string(page_path("%d", "").replace("=first", "%s"), chain, mark)
+    files = written(page_lines(spark, sf_dir).select(text.alias("value"), name(F.when(before.isNull(), "=first").otherwise(F.col("feed").cast("string"))).alias("_path"), (F.col("feed") % 64 < 40).alias("early")), "chains")
+    root, out, checkpoint = (new_folder(spark, n) for n in ("pages", "read", "checkpoint"))
+    for early in (True, False):
+        sinks.write_by_path(files.where(F.col("early") == early).drop("early"), root)
+        stream = pages.parse_pages(paged_stream(spark, root, f"{checkpoint}-marks/reached")).select("id", F.size("items").cast("long").alias("n_items"))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("id string, n_items long").parquet(out)
+    return read.groupBy("id", "n_items").agg(F.count(F.lit(1)).alias("n_read"))
+
+
 @query(
     f"SELECT DISTINCT g.url AS source, 'http://' || regexp_extract(p.url, '{URL_SQL}', 2) || h AS link FROM good g JOIN pages p ON p.page_id = g.k, unnest(regexp_extract_all(p.html, '<a href=\"(/[A-Za-z]*)\"', 1)) t(h) WHERE valid AND k % 4 <> 1",
     _ENTRY_SQL,
@@ -185,10 +203,21 @@ def epoch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts")).select("event_id", fn.epoch_time(number).cast("timestamp_ntz").alias("at"), (F.col("event_id") % 7 < 3).alias("late"))
 
 
-@query("SELECT event_id, user_id FROM events", plain=True)
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('5:' || event_id)) AS place FROM events", plain=True)
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows in a repeatable order."""
-    return stats.shuffled(table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"], seed=5)
+    """Each user's rows in a repeatable order, with the place that they come at."""
+    rows = stats.shuffled(table(spark, sf_dir, "events").select("event_id", "user_id").repartition("user_id"), ["event_id"], seed=5)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("_at"))
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", place.cast("long")).drop("_at")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) AS n_different, 40 AS shortest, 40 AS longest, count(*) AS n_hex FROM events GROUP BY 1", plain=True)
+def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random text of 40 hexadecimal digits for each row: no two are equal."""
+    rows = written(table(spark, sf_dir, "events").select("event_type", fn.random_hex(40).alias("r")), "random")
+    return rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("r").alias("n_different"), F.min(F.length("r")).alias("shortest"), F.max(F.length("r")).alias("longest"), F.count_if(F.col("r").rlike("^[0-9a-f]*$")).alias("n_hex")
+    )
 
 
 # ---- frontier ---------------------------------------------------------------------------------------------------------
@@ -497,9 +526,9 @@ def composed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id // 700 AS batch, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1", plain=True)
 def fetched_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as lists of a fixed length, one after another."""
-    rows = table(spark, sf_dir, "events").select("event_id").orderBy("event_id")
-    return spark.createDataFrame([(k, len(b), b[0][0]) for k, b in enumerate(pages.fetch_batches(rows, 700))], "batch long, n long, first_id long")
+    """Rows in batches of a fixed length, numbered in the order of their ids."""
+    rows = pages.numbered_batches(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 700)
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from ..folders import written
 from ..functions.html import links
@@ -149,6 +149,18 @@ def fetch_batches(rows: DataFrame, size: int = 100_000) -> Iterator[list]:
         yield batch
 
 
+def numbered_batches(rows: DataFrame, order: list[str], size: int = 100_000) -> DataFrame:
+    """rows with ``batch``: 0 for the first ``size`` of them in their order, 1 for the next ones.
+
+    They are dealt by ranges of the order and numbered within each; only how many each range has is added up, so no task holds all rows.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    return dealt.join(F.broadcast(before), "_range").withColumn("batch", F.floor(place / size).cast("long")).select(*rows.columns, "batch")
+
+
 def image_links(wide_rows: DataFrame, host: str, seed: int, source_part: str = "") -> DataFrame:
     """img links to a media host from sources with a text in their URL, shuffled by a seed."""
     from ..functions.urls import under

@@ -36,9 +36,10 @@ def stream_of(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest(
-    spark: SparkSession, path: str, store: Store, checkpoint: str, max_files: int | None = None, on_batch: Callable[[int, Catalog], None] | None = None, on_stage: Callable[[int], None] | None = None
+    spark: SparkSession, path: str | DataFrame, store: Store, checkpoint: str, max_files: int | None = None, on_batch: Callable[[int, Catalog], None] | None = None, on_stage: Callable[[int], None] | None = None
 ) -> StreamingQuery:
-    """Merges each micro-batch of pages into the store, once; ends when the files that are there are done.
+    """Merges each micro-batch of pages into the store, once; ends when what is there is done. path: a folder of files of pages, or a
+    stream with them in ``value``, as ``sources.paged.paged_stream`` gives them.
 
     A batch is parsed once and staged beside the tables; then the rows that the tables haven't got are appended, and what is there
     isn't written again. Of the tables only folders that may hold keys of the batch are read. The append and the batch's number are one change: a
@@ -64,7 +65,8 @@ def ingest(
         if on_batch:
             on_batch(batch_id, store.open(locked=True))
 
-    return page_stream(spark, path, max_files).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = page_stream(spark, path, max_files) if isinstance(path, str) else path
+    return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _merge(store: Store, staged: Store, batch: tuple[str, int] | None, tries: int = 5) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import runpy
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 from types import ModuleType
@@ -79,6 +80,20 @@ def for_feed(url: str) -> Preset | None:
     return next((p for p in PRESETS.values() if re.match(p.site, url)), None)
 
 
-def feed_candidates(url: Column) -> Column:
-    """Possible feed URLs of a page's URL by all presets; null where none knows the site."""
-    return url_variants(url, {pattern: templates for p in PRESETS.values() for pattern, templates in p.feeds.items()})
+def chosen(name: str | None, feed_url: str) -> Preset:
+    """The preset of a name or file; without one that of the feed's site, or the default: all links, no feeds known."""
+    if name is None:
+        return for_feed(feed_url) or Preset(".*", {}, depth=1)
+    if name in PRESETS:
+        return PRESETS[name]
+    if name.endswith((".json", ".py")):
+        return load(name)
+    raise KeyError(f"no preset {name}; known are {', '.join(PRESETS)}")
+
+
+def feed_candidates(url: Column, first: Mapping[str, Templates] | None = None) -> Column:
+    """Possible feed URLs of a page's URL by all presets, after the patterns of ``first``; null where none knows the site."""
+    patterns = dict(first or {})
+    for p in PRESETS.values():
+        patterns.update({k: v for k, v in p.feeds.items() if k not in patterns})
+    return url_variants(url, patterns)

@@ -13,7 +13,9 @@ from .model import Catalog
 from .operators import frontier, keywords, stats, storage
 from .plans import exports
 from .plans.filters import Filter
+from .plans.sites import planned_sites
 from .plans.wide import ATTRIBUTES, columns, wide
+from .presets import Preset
 from .sources import starschema
 from .sources.pages import image_links, without_crawled
 from .streaming.ingest import session_counts, windowed_counts
@@ -322,6 +324,21 @@ def frontier_bfs_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.expand(edges, spark.createDataFrame([("https://c1.example.com",)], "site string"), threshold=2, depth_limit=3)
 
 
+@query(
+    f"""SELECT d.site, d.depth, f.dead, CASE WHEN f.dead IS NULL THEN -128 WHEN f.dead THEN 0 ELSE 1 END AS priority, CASE WHEN length(d.site) = 22 THEN concat(d.site, '/', d.site[10], '.xml') END AS candidates
+ FROM (SELECT site, min(depth) AS depth FROM (SELECT 'https://c1.example.com' AS site, 1 AS depth
+ UNION ALL SELECT site, 2 FROM e WHERE source = 'https://c1.example.com' AND n > 1
+ UNION ALL SELECT site, 3 FROM (SELECT e.site, sum(n) AS n FROM e WHERE source = 'https://c1.example.com' OR source IN (SELECT site FROM e WHERE source = 'https://c1.example.com' AND n > 1) GROUP BY 1) WHERE n > 1) GROUP BY site) d
+ LEFT JOIN (SELECT 'https://' || regexp_extract(url, '{URL_SQL}', 2) AS site, bool_and(dead) AS dead FROM raw_feed GROUP BY 1) f ON f.site = d.site WHERE d.depth = 1 OR f.dead IS NULL OR NOT f.dead""",
+    f"{BASE}, {_SITES}, e AS (SELECT lower(regexp_extract(source, '{URL_SQL}', 1)) || '://' || regexp_extract(source, '{URL_SQL}', 2) AS source, site, count(*) AS n FROM sites WHERE site LIKE '%.example.com' AND site NOT LIKE '%//c9.%' GROUP BY 1, 2)",
+)
+def preset_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier under a preset: domains that it follows, one that it ignores, sites with dead feeds left out, where feeds may be."""
+    preset = Preset(".*", {r"https://c(\d)\.example\.com/": ["%(scheme)s://%(netloc)s/%(1)s.xml"]}, ("example.com",), 3, "alive+", ("c9.example.com",))
+    sites = planned_sites(starschema.catalog(spark, sf_dir), spark.createDataFrame([("https://c1.example.com",)], "site string"), preset, threshold=1)
+    return sites.withColumn("candidates", F.array_join("candidates", " "))
+
+
 @query(
     "SELECT m.mode, title, CASE WHEN dead IS NULL THEN m.u WHEN dead THEN m.d ELSE m.a END AS priority FROM raw_feed, (VALUES ('all', 1, 1, 1), ('dead', 0, 1, 0), ('alive', 0, 0, 1), ('dead+', -128, 1, 0), ('alive+', -128, 0, 1)) m(mode, u, d, a) "
     "WHERE CASE WHEN dead IS NULL THEN m.u WHEN dead THEN m.d ELSE m.a END <> 0"

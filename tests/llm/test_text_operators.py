@@ -5,7 +5,7 @@ import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -418,6 +418,26 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, ["", None]), lambda n, s: [1.0] * len(n), share=1.5).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_a_mix_is_the_prefix_of_a_hashed_order(spark):
+    """Whatever the ranges in which the cut is looked for; with repeated and null ids at the cut, and one source of nearly all rows."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(40)]), " ".join("w" for _ in range(rng.randint(0, 9))), "hot" if rng.random() < 0.9 else "rare") for _ in range(600)]
+    rows += [(7, "one two three", "copies")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 1.7):
+        out = {b: sorted((r["doc_id"] is None, r["doc_id"], r["source"], r["text"], r["taken"]) for r in mixing.mix(docs, lambda names, sizes: sizes, share=share, bucket_bytes=b).collect()) for b in (1, 1 << 20)}
+        assert out[1] == out[1 << 20] and len(out[1]) == len(rows)
+        size, taken = Counter(), Counter()
+        for _, _, source, text, n in out[1]:
+            size[source] += len(text.split())
+            taken[source] += n
+            whole = int(share)
+            assert whole * len(text.split()) <= n <= (whole + 1) * len(text.split())
+        assert all(abs(taken[s] - share * size[s]) < 0.501 for s in size)
+        part = [n for _, _, source, text, n in out[1] if int(share) * len(text.split()) < n < (int(share) + 1) * len(text.split())]
+        assert len(part) <= len(size)
+
+
 def length_tokenizer():
     """A tokenizer of words to their lengths; nested, so that it travels by value."""
 

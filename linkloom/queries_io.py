@@ -9,7 +9,7 @@ from . import sinks
 from .folders import new_folder, written
 from .functions import text as fn, urls as fu
 from .model import SPECS, Catalog, Store
-from .operators import frontier, stats, storage
+from .operators import frontier, settings, stats, storage
 from .operators.state import LateKeys, State, log_run
 from .plans import exports
 from .plans.filters import where
@@ -480,48 +480,56 @@ def store_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('unknown attribute', 'KeyError'), ('unknown predicate', 'ValueError'), ('text compared with a number', 'ValueError'), ('no store', 'FileNotFoundError'), ('locked store', 'RuntimeError'), "
-    "('locked twice', 'Conflict'), ('older store', 'RuntimeError'), ('other writer', 'Conflict'), ('no way back', 'ValueError')) t(what, error)",
-    plain=True,
+    "SELECT what, error, (SELECT count(*) FROM url) AS n_urls FROM (VALUES ('unknown attribute', 'KeyError'), ('unknown predicate', 'ValueError'), ('text compared with a number', 'ValueError'), ('no store', 'FileNotFoundError'), "
+    "('locked store', 'RuntimeError'), ('locked twice', 'Conflict'), ('older store', 'RuntimeError'), ('other writer', 'Conflict'), ('no way back', 'ValueError')) t(what, error)"
 )
 def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is refused, and with which error."""
-    rows = _events_catalog(spark, sf_dir, 0, 9)
+    """What is refused over a store of all tables, with which error, and how many URLs the store holds after it."""
+    rows = starschema.catalog(spark, sf_dir)
     store, old, none = (Store(spark, new_folder(spark, n)) for n in ("store", "old", "none"))
     store.save(rows)
     store.append(storage.additions(store.open(), rows), 0)
     old.save_old({"url": rows["url"]}, "0.10.5")
-    locked = Store(spark, new_folder(spark, "locked"))
-    locked.save(rows)
-    locked.lock()
     attempts = {
         "unknown attribute": lambda: where([("target:host", "is", "x")], [], columns(), TYPES),
         "unknown predicate": lambda: where([("tag", "like", "x")], [], columns(), TYPES),
         "text compared with a number": lambda: where([("published:year", "lt", "x")], [], columns(), TYPES),
         "no store": none.open,
-        "locked store": locked.open,
-        "locked twice": locked.lock,
         "older store": old.open,
         "other writer": lambda: store.append(rows, 0),
         "no way back": lambda: storage.migration_path("1", "0.10"),
+        "locked store": store.open,
+        "locked twice": store.lock,
     }
     found = []
     for what, attempt in attempts.items():
+        if what == "locked store":
+            store.lock()
         try:
             attempt()
         except Exception as e:  # noqa: BLE001  its kind is the result
             found.append((what, type(e).__name__))
-    return spark.createDataFrame(found, "what string, error string")
+    store.unlock()
+    return spark.createDataFrame(found, "what string, error string").withColumn("n_urls", F.lit(store.open()["url"].count()))
 
 
-@query("SELECT * FROM (VALUES ('depth', '3'), ('follow', 'a.example,b.example'), ('feeds', 'x,y,z'), ('state.mode', 'dead+'), ('state.keep', 'true')) t(name, value)", plain=True)
+@query(
+    """SELECT scope, path, kind, value, max(layer) AS layer FROM stays WHERE kind = 'set' GROUP BY ALL UNION ALL SELECT scope, path, kind, value, layer FROM stays WHERE kind = 'list'
+ UNION ALL SELECT scope, path, kind, arg_max(value, layer), max(layer) FROM stays WHERE kind = 'value' GROUP BY scope, path, kind""",
+    """told AS (SELECT o_custkey AS scope, o_orderkey AS layer, CASE o_orderkey % 6 WHEN 0 THEN 'depth' WHEN 1 THEN 'state.mode' WHEN 2 THEN 'state.tags' WHEN 3 THEN 'follow' WHEN 4 THEN 'state' ELSE 'state.mode.keep' END AS path,
+  CASE o_orderkey % 6 WHEN 2 THEN 'list' WHEN 3 THEN 'set' ELSE 'value' END AS kind, o_orderpriority AS value FROM orders),
+stays AS (SELECT * FROM told r WHERE NOT EXISTS (SELECT 1 FROM told l WHERE l.scope = r.scope AND l.layer > r.layer AND l.path <> r.path AND (starts_with(l.path, r.path || '.') OR starts_with(r.path, l.path || '.'))))""",
+)
 def composed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings merged deeply: mappings recurse, sets unite, lists append, all else is overridden."""
-    from .cli import compose
-
-    out = compose({"depth": 2, "follow": {"a.example"}, "feeds": ["x"], "state": {"mode": "all", "keep": "true"}}, {"follow": {"b.example"}, "feeds": ["y", "z"]}, {"depth": 3, "state": {"mode": "dead+"}})
-    flat = [("depth", str(out["depth"])), ("follow", ",".join(sorted(out["follow"]))), ("feeds", ",".join(out["feeds"])), *[(f"state.{k}", v) for k, v in out["state"].items()]]
-    return spark.createDataFrame(flat, "name string, value string")
+    """Settings of each feed (customer), merged deeply from layers (its orders): mappings recurse, sets unite, lists append, all else is
+    overridden."""
+    k = F.col("o_orderkey") % 6
+    names = F.split(F.when(k == 0, "depth").when(k == 1, "state.mode").when(k == 2, "state.tags").when(k == 3, "follow").when(k == 4, "state").otherwise("state.mode.keep"), r"\.")
+    kind = F.when(k == 2, "list").when(k == 3, "set").otherwise("value")
+    told = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("layer"), names.alias("path"), kind.alias("kind"), F.when(k.isin(2, 3), 0).alias("pos"), F.col("o_orderpriority").alias("value")
+    )
+    return settings.compose_layers(told, ["scope"]).select("scope", F.array_join("path", ".").alias("path"), "kind", "value", "layer")
 
 
 @query("SELECT event_id // 700 AS batch, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1", plain=True)

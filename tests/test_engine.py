@@ -1,14 +1,16 @@
 import csv
 import json
 import os
+import random
 import xml.etree.ElementTree as ET
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom import cli, presets, queries, sinks
 from linkloom.model import SPECS, Catalog, Conflict, Store
-from linkloom.operators import frontier, keywords, stats, storage
+from linkloom.operators import frontier, keywords, settings, stats, storage
 from linkloom.plans import exports
 from linkloom.plans.wide import ATTRIBUTES
 from linkloom.sources.pages import enriched, entries, fetch_batches, parse_pages, read_pages, tables_of, with_links, without_crawled
@@ -513,3 +515,21 @@ def test_kept_levels_of_another_run_are_refused(spark, tmp_path):
         run(edges, 3)
     with pytest.raises(ValueError, match="another run"):
         run(edges.union(edges), 2)
+
+
+def test_layers_as_rows_compose_like_mappings(spark):
+    """Random layers with all changes of kind, empty containers and a scope without a name, against the merge of mappings."""
+    rng = random.Random(5)
+
+    def config(depth=0):
+        make = lambda: rng.choice(["v", "w", None, [], ["a"], ["b", "a"], set(), {"a"}, {"b", "c"}, *([{}] + [config(depth + 1) for _ in range(3)] if depth < 3 else [])])
+        return {name: make() for name in rng.sample(["p", "q", "r"], rng.randint(0, 2))}
+
+    scopes = {s: [config() for _ in range(rng.randint(1, 6))] for s in [None, *map(str, range(60))]}
+    rows = [(s, *r) for s, layers in scopes.items() for i, c in enumerate(layers) for r in settings.flat(c, i)]
+    out = defaultdict(list)
+    for r in settings.compose_layers(spark.createDataFrame(rows, f"scope string, {settings.LAYER}"), ["scope"]).collect():
+        out[r["scope"]].append(tuple(r)[1:])
+    for s, layers in scopes.items():
+        assert settings.nested(out[s]) == cli.compose(*layers), layers
+    assert settings.compose_layers(spark.createDataFrame([], f"scope string, {settings.LAYER}"), ["scope"]).count() == 0

@@ -55,7 +55,8 @@ class Catalog:
     """A set of tables by name; those that are missing are empty.
 
     ``named`` may hold tables with the URLs of some id columns beside them (``<column>_url``), where the source of the tables
-    has them; queries then need no join with url, the largest table.
+    has them; queries then need no join with url, the largest table. Its ``links_of`` are the links of items by the items' ``_own`` key, which
+    the source of the tables has joined and dealt them by.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, named: dict[str, DataFrame] | None = None):
@@ -67,7 +68,7 @@ class Catalog:
         return self.tables[name]
 
     def with_tables(self, **tables: DataFrame) -> Catalog:
-        named = {} if "url" in tables else {n: t for n, t in self.named.items() if n not in tables}
+        named = {} if "url" in tables else {n: t for n, t in self.named.items() if n not in tables and not (n == "links_of" and {"item", "hyperlink"} & set(tables))}
         return Catalog(self.spark, {**self.tables, **tables}, named)
 
     def lookup(self, name: str, keys: DataFrame) -> DataFrame:
@@ -84,6 +85,13 @@ class Catalog:
             out = out.join(self["url"].select(F.col("id").alias("_id"), F.col("url").alias(f"{c}_url")), F.col(c) == F.col("_id")).drop("_id")
         return out
 
+    def links_of(self, items: DataFrame) -> DataFrame:
+        """The rows of items (with their id in ``url``), each with its hyperlinks: target_id, target_id_url, element."""
+        if "links_of" in self.named and "_own" in items.columns:
+            return items.join(self.named["links_of"], "_own")
+        links = self.with_urls("hyperlink", "target_id").select("source_id", "target_id", "target_id_url", "element")
+        return links.join(items, F.col("source_id") == F.col("url"))
+
 
 class Conflict(RuntimeError):
     """Another writer was faster, or is at work: the change may be tried again on what is there then."""

@@ -52,8 +52,7 @@ def _named(name: Column, include: Sequence[Filter], exclude: Sequence[Filter]) -
 def hyperlink_graph(tables: Catalog, include: Sequence[Filter] = (), exclude: Sequence[Filter] = ()) -> tuple[DataFrame, DataFrame]:
     """vertices (name) and edges (source, target, type, timestamp) of the links of items; of several links between
     two URLs the one with the largest tag and time stays. Filters give the subgraph that their vertices induce."""
-    items = tables["item"].select(F.col("url").alias("source_id"), F.col("published").alias("timestamp"))
-    links = tables.with_urls("hyperlink", "source_id", "target_id").join(items, "source_id").select(F.col("source_id_url").alias("source"), F.col("target_id_url").alias("target"), "element", "timestamp")
+    links = tables.links_of(tables.with_urls("item", "url")).select(F.col("url_url").alias("source"), F.col("target_id_url").alias("target"), "element", F.col("published").alias("timestamp"))
     last = F.max(F.struct(F.col("element").alias("type"), "timestamp")).alias("last")
     edges = links.where(_named(F.col("source"), include, exclude)).groupBy("source", "target").agg(last).select("source", "target", "last.type", "last.timestamp")
     # a vertex is there through an edge of the whole graph, also if its partner is filtered out

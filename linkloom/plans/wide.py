@@ -37,15 +37,16 @@ def wide(tables: Catalog) -> DataFrame:
 
     The URLs come with the tables' rows where the tables have them, else by joins with url.
     """
-    items = tables.with_urls("item", "source").select(
-        F.col("url").alias("_item"), F.col("source").alias("_feed"), F.col("title").alias("source:title"), *_parts("source_url", "feed"), *[date_part(F.col("published"), p).alias(f"published:{p}") for p in DATE_PARTS]
+    items = tables.with_urls("item", "url", "source")
+    own = ["_own"] if "_own" in items.columns else []
+    items = items.select(
+        "url", *own, F.col("source").alias("_feed"), F.col("title").alias("source:title"), F.col("published").alias("_published"), F.col("url_url").alias("_source_url"), F.col("source_url").alias("_feed_url")
     )
     feeds = tables["feed"].select(F.col("url_id").alias("_feed_info"), F.col("title").alias("feed:title"), F.col("dead").alias("feed:isdead"))
-    links = tables.with_urls("hyperlink", "source_id", "target_id").select(
-        F.col("source_id").alias("_source"), F.col("target_id").alias("_target"), F.col("element").alias("tag"), *_parts("source_id_url", "source"), *_parts("target_id_url", "target")
-    )
-    return (
-        links.join(items, F.col("_source") == F.col("_item"))
-        .join(feeds, F.col("_feed") == F.col("_feed_info"))
-        .select("_source", "_target", "_feed", *columns().values())
-    )
+    # feeds join the items, of which there are fewer than links
+    rows = tables.links_of(items.join(feeds, F.col("_feed") == F.col("_feed_info")))
+    dates = [date_part(F.col("_published"), p).alias(f"published:{p}") for p in DATE_PARTS]
+    rows = rows.select(
+        F.col("url").alias("_source"), F.col("target_id").alias("_target"), "_feed", *_parts("_feed_url", "feed"), *_parts("_source_url", "source"), *_parts("target_id_url", "target"), *dates, F.col("element").alias("tag"), "`source:title`", "`feed:title`", "`feed:isdead`"
+    )
+    return rows.select("_source", "_target", "_feed", *columns().values())

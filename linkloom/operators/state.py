@@ -14,10 +14,14 @@ from ..model import Conflict, Store
 from .stats import compact_log
 
 
+#: Rows of a shard beyond so many go to another task.
+_ROWS_EACH = 1 << 19
+
+
 class State:
     """A folder of named tables, each in shards by a hash of its key. A change reads and writes the shards that it touches; the others
     stay as they are. Each change is a version, which lists the folder of every shard and is created once; the last ``keep``
-    versions can be read. A run's change of a name counts once: repeated after a failure it does nothing.
+    versions can be read. A large shard is written by several tasks, so its size bounds no task's memory. A run's change of a name counts once: repeated after a failure it does nothing.
 
     Writers hold the lease of ``model.Store``.
     """
@@ -59,7 +63,15 @@ class State:
             new = written(new, "state")
             touched = list(range(self.shards)) if every else [r["s"] for r in new.select(of.alias("s")).distinct().collect()]
             folder = f"{name}-{found['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
-            merge(self._rows(mine, touched), new).withColumn("_shard", of).repartition("_shard").write.partitionBy("_shard").parquet(f"{self.path}/{folder}")
+            old = self._rows(mine, touched)
+            changed = merge(old, new)
+            pieces = -(-(old.count() + new.count()) // (_ROWS_EACH * max(1, len(touched))))
+            dealt = changed.withColumn("_shard", of)
+            if pieces > 1:
+                dealt = dealt.repartition(pieces * len(touched), "_shard", F.pmod(F.xxhash64(*changed.columns, F.lit(5)), F.lit(pieces)))
+            else:
+                dealt = dealt.repartition("_shard")
+            dealt.write.partitionBy("_shard").parquet(f"{self.path}/{folder}")
             full = [n.split("=")[1] for n in self._files._names(f"{folder}/_shard=*")]
             kept = {s: f for s, f in mine["shards"].items() if int(s) not in touched}
             names[name] = {"schema": mine["schema"], "shards": {**kept, **{s: folder for s in full}}, "done": [*mine["done"], run][-100:] if run is not None else mine["done"]}

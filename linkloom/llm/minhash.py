@@ -143,7 +143,7 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
 
     Buckets that share members make a family. A family of at most ``family_most`` documents is compared as one group,
     so its sets travel once; in a larger one each bucket is a group. In a group all members outside its largest
-    component are compared with all members, in blocks: a task gets ``block`` sets of each side and gives a spanning
+    component are compared with all members, in blocks: a task gets a sixteenth of each side (``block`` sets at least, 32 times as many at most) and gives a spanning
     forest of the links that it finds. No pair is made as a row.
     """
     split = lambda p: p.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")).where(F.col("lo") < F.col("hi")).select("key", "first")
@@ -153,12 +153,17 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
     families = connected_components(edges, scratch, "families").select(F.col("id").alias("rep"), F.col("component").alias("family"))
     families = scratch.table(families, "families")
     large = families.groupBy("family").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > family_most).select("family", F.lit(True).alias("large"))
-    of = families.join(large, "family", "left")
-    grouped = open_.join(of, "rep").select(F.xxhash64(F.when(F.col("large"), F.col("key")).otherwise(F.col("family")), F.coalesce("large", F.lit(False))).alias("group"), "rep", "component").distinct()
+    of = scratch.table(families.join(large, "family", "left"), "families_sized")
+    # a member of a small family is one row, however many buckets it is in
+    within = open_.select("rep", "component").distinct().join(of.where(F.col("large").isNull()), "rep").select(F.xxhash64("family", F.lit(False)).alias("group"), "rep", "component")
+    apart = open_.join(of.where("large").select("rep"), "rep", "left_semi").select(F.xxhash64("key", F.lit(True)).alias("group"), "rep", "component").distinct()
+    grouped = within.unionByName(apart)
     grouped = scratch.table(grouped, "grouped")
     parts = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("c"))
     shape = parts.groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), (F.sum("c") - F.max("c")).alias("s"))
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    # members travel to at most 16 blocks of the other side, until a block has as many as a task should hold
+    each = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 16)), F.lit(32 * block))
+    blocks = lambda c: F.ceil(F.col(c) / each).cast("int")
     shape = scratch.table(shape.select("group", "main", blocks("s").alias("left_blocks"), blocks("m").alias("right_blocks")), "shape")
     rows = grouped.join(small(shape), "group")
     own = lambda c: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(c)).cast("int")
@@ -179,10 +184,12 @@ def _between_components(scratch: Scratch, placed: DataFrame, sets: DataFrame, pe
             l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
             if not len(l) or not len(r):
                 return [], []
-            u, v = block_links(sets_, l, r, component, percent)
+            tiles = [(l[i : i + 4 * block], r[j : j + 4 * block]) for i in range(0, len(l), 4 * block) for j in range(0, len(r), 4 * block)]
+            hits = [(x[u], y[v]) for x, y in tiles for u, v in [block_links(sets_, x, y, component, percent)]]
             # one node for each component: only links that join two of them matter
             names, node = np.unique(component, return_inverse=True)
-            a, b, labels, out = l[u], r[v], np.arange(len(names)), []
+            a, b = (np.concatenate([h[side] for h in hits]) for side in (0, 1))
+            labels, out = np.arange(len(names)), []
             while len(a):
                 apart = labels[node[a]] != labels[node[b]]
                 a, b = a[apart], b[apart]

@@ -63,3 +63,25 @@ def test_orders_travel_to_their_pages_as_numbers(spark):
     assert not any("concat" in e for e in exchanges(queries_io.page_lines(spark, oracle.DATA)))
     plan = queries_io.page_lines(spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
     assert "originId" not in plan[plan.index("Exchange") :]
+
+
+def test_members_of_a_group_travel_to_few_blocks(spark):
+    """A member is in one row of its family, however many buckets it is in, and meets at most 16 blocks of the other side."""
+    from linkloom.llm import minhash
+    from linkloom.llm.runtime import Scratch
+
+    made = {}
+
+    class Recorded(Scratch):
+        def table(self, df, name):
+            made[name] = super().table(df, name)
+            return made[name]
+
+    reps = spark.range(2600).select(F.col("id").alias("rep"))
+    placed = reps.select(F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])).alias("key"), "rep", F.col("rep").alias("component"))
+    sets = reps.select(F.col("rep").alias("id"), F.array(F.when(F.col("rep") == 2599, 7).otherwise(F.col("rep")).cast("long")).alias("shingles"))
+    links = minhash._between_components(Recorded(spark, "minhash"), placed, sets, 80)
+    assert [sorted(r) for r in links.collect()] in ([[7, 2599]], [[7, 2599]] * 2)
+    assert made["grouped"].count() == 2600
+    shape = made["shape"].first()
+    assert shape["left_blocks"] <= 16 and shape["right_blocks"] <= 16

@@ -71,18 +71,22 @@ class Catalog:
         named = {} if "url" in tables else {n: t for n, t in self.named.items() if n not in tables and not (n == "links_of" and {"item", "hyperlink"} & set(tables))}
         return Catalog(self.spark, {**self.tables, **tables}, named)
 
-    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+    def lookup(self, name: str, keys: DataFrame, n_keys: int | None = None) -> DataFrame:
         """Rows of a table among which are all whose key is in ``keys``: here all rows."""
         return self[name]
 
+    def n_rows(self, name: str) -> int | None:
+        """How many rows a table has at most, where that is known without a job."""
+        return None
+
     def with_urls(self, name: str, *columns: str) -> DataFrame:
         """A table with ``<column>_url`` for each of the columns; rows whose ids url hasn't got drop out."""
         out = self.named.get(name)
         if out is not None and all(f"{c}_url" in out.columns for c in columns):
             return out
         out = self[name]
-        for c in columns:
-            out = out.join(self["url"].select(F.col("id").alias("_id"), F.col("url").alias(f"{c}_url")), F.col(c) == F.col("_id")).drop("_id")
+        for c in columns:  # url has the same names in each join, so that it is dealt once for all of them
+            out = out.join(self["url"].select(F.col("id").alias("_id"), F.col("url").alias("_url")), F.col(c) == F.col("_id")).drop("_id").withColumnRenamed("_url", f"{c}_url")
         return out
 
     def links_of(self, items: DataFrame) -> DataFrame:
@@ -103,6 +107,8 @@ def _key_hash(spec: TableSpec) -> Column:
 
 #: Bits of a block of a folder's key filter, and bits for each key; four are set.
 _BLOCK, _BITS_EACH, _SET = 1 << 15, 10, 4
+#: Pieces that a bucket is dealt to as it is written.
+_PIECES = 256
 
 
 def _filter_block(h: Column, blocks: Column) -> Column:
@@ -408,13 +414,15 @@ class Store:
 
     def _write_table(self, df: DataFrame, name: str, path: str, version: str, buckets: int) -> None:
         if version != VERSION:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             return
         df = df.select([f.name for f in SPECS[name].schema])
         if buckets == 1:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         else:
-            df.withColumn("_bucket", F.pmod(_key_hash(SPECS[name]), F.lit(buckets)).cast("int")).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+            h = _key_hash(SPECS[name])  # by pieces of a bucket, so that its size bounds no task's memory; small ones are joined by Spark
+            dealt = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int")).repartition("_bucket", F.pmod(F.xxhash64(h, F.lit(5)), F.lit(_PIECES)))
+            dealt.write.option("compression", "zstd").partitionBy("_bucket").parquet(path)
 
     def _described(self, folder: str, names: list[str], buckets: int) -> dict[str, dict]:
         """Rows and range of keys of the tables that have rows, and their key filters, written beside them."""
@@ -428,13 +436,16 @@ class Store:
             if r["rows"]:
                 plain = (lambda v: v) if dict(SPECS[r["name"]].columns)[first[r["name"]]] == "string" else lambda v: v if v is None else int(v)
                 out[r["name"]] = {"rows": r["rows"], "low": plain(r["low"]), "high": plain(r["high"]), "blocks": max(1, -(-r["rows"] * _BITS_EACH // (_BLOCK * buckets)))}
-        keys = []
-        for n, part in out.items():
-            h = F.col("_h")
-            bits = rows[n].select(_key_hash(SPECS[n]).alias("_h")).select(F.lit(n).alias("name"), F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), _filter_block(h, F.lit(part["blocks"])).alias("block"), F.explode(F.array(*_filter_bits(h))).alias("at"))
-            keys.append(bits)
+        h, keys, names = F.col("_h"), [], list(out)
+        for i, n in enumerate(names):
+            key = rows[n].select(_key_hash(SPECS[n]).alias("_h"))
+            keys.append(key.select(F.lit(i).alias("t"), F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), _filter_block(h, F.lit(out[n]["blocks"])).alias("block"), "_h"))
         if keys:
-            made = reduce(DataFrame.unionByName, keys).groupBy("name", "bucket", "block").agg(F.bitmap_construct_agg("at").alias("bits"))
+            # keys travel to their block as numbers: bitmaps of each task would be as many as tasks x blocks, the square of the input
+            of = ["t", "bucket", "block"]
+            each = reduce(DataFrame.unionByName, keys).repartition(*of).groupBy(*of).agg(F.array(*[F.bitmap_construct_agg(at) for at in _filter_bits(h)]).alias("each"))
+            made = each.select(*of, F.explode("each").alias("bits")).groupBy(*of).agg(F.bitmap_or_agg("bits").alias("bits"))
+            made = made.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("t") + 1).alias("name"), "bucket", "block", "bits")
             made.write.partitionBy("name").parquet(f"{self.path}/{folder}/_keys")
         return out
 
@@ -476,12 +487,17 @@ class StoredCatalog(Catalog):
         self.store, self.found = store, found
         super().__init__(store.spark, {n: store._joined(n, [store._folder(n, p) for p in parts]) for n, parts in found["tables"].items()})
 
-    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+    def n_rows(self, name: str) -> int | None:
+        parts = self.found["tables"].get(name, [])
+        return sum(p["rows"] for p in parts) if all("rows" in p for p in parts) else None
+
+    def lookup(self, name: str, keys: DataFrame, n_keys: int | None = None) -> DataFrame:
         """The rows of a table whose key may be among ``keys`` (its key's columns), from the folders and buckets whose range and
         filter say so; all rows whose key is among them are there. One job over the keys and the filters finds
-        these; none of it runs where no folder has a filter. Tables that keep the last row give each key's newest one."""
+        these; none of it runs where no folder has a filter, or ``n_keys``, how many keys there are, is known and no smaller than a quarter of the rows, as
+        then all folders hold some. Tables that keep the last row give each key's newest one."""
         parts = self.found["tables"].get(name, [])
-        if not any("blocks" in p for p in parts):
+        if not any("blocks" in p for p in parts) or n_keys is not None and 4 * n_keys >= sum(p.get("rows", 0) for p in parts):
             return self[name]
         spec, buckets, store = SPECS[name], self.found["buckets"], self.store
         typed = dict(spec.columns)[spec.key[0]]

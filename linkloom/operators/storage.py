@@ -75,26 +75,29 @@ def additions(main: Catalog, other: Catalog) -> Catalog:
 
     Rows of other whose key main has take main's id; new ones get a hash of their key, so that a merge that is repeated
     gives the same ids and needs no global numbering; ``duplicates`` finds ids that clash. Of main only ids and keys are read, and
-    of a store only the folders that may hold keys of other.
+    of a store only the folders that may hold keys of other. Links are joined only with the ids that change, and only rows of new keys are summed.
     """
-    out, renamed = {}, {}
+    out, moved = {}, {}
     for name, spec in SPECS.items():
         if name not in other.tables and not _linked_to(name):
             continue
         new = other[name]
         for column, parent in spec.links.items():
-            new = new.join(renamed[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
+            new = new.join(moved[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
             new = new.withColumn(column, F.coalesce(f"_n_{column}", column)).drop(f"_{column}", f"_n_{column}")
-        have = main.lookup(name, new.select(*spec.key)).select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
-        new_id = F.coalesce(F.col("_have"), F.xxhash64(*spec.key)).alias("_new")
-        known = lambda df: df.join(have, [F.col(k) == F.col(f"_{k}") for k in spec.key], "left")  # noqa: B023, E731
+        have = main.lookup(name, new.select(*spec.key), other.n_rows(name)).where(F.col("id").isNotNull()).select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
+        same, new_id = [F.col(k) == F.col(f"_{k}") for k in spec.key], F.xxhash64(*spec.key)
         if _linked_to(name):  # several rows of other may share a key; all of their ids lead to the key's one
-            renamed[name] = written(known(new).select(F.col("id").alias("_old"), new_id, F.col("_have").isNotNull().alias("_had")), f"ids-{name}")
-            had = renamed[name].select(F.col("_old").alias("id"), "_new", F.when(F.col("_had"), F.col("_new")).alias("_have"))
-            placed = dedup_table(new.select(other[name].columns), spec).join(had, "id")
+            told = new.join(have, same, "left").withColumn("_new", F.coalesce("_have", new_id))
+            changed = F.col("_have").isNull() | ~F.col("id").eqNullSafe(F.col("_new"))
+            told = told.select(*[f.name for f in spec.schema], "_new", F.col("_have").isNotNull().alias("_had"))
+            told = written(told.where(changed) if spec.keep == "first" else told, f"ids-{name}")
+            moved[name] = written(told.where("id <> _new").select(F.col("id").alias("_old"), "_new"), f"moved-{name}")
+            added = dedup(told if spec.keep == "last" else told.where("NOT _had"), list(spec.key), spec.keep)
+        elif spec.keep == "last":
+            added = dedup_table(new.select(other[name].columns), spec).join(have, same, "left").withColumn("_new", F.coalesce("_have", new_id))
         else:
-            placed = known(dedup_table(new.select(other[name].columns), spec)).withColumn("_new", new_id)
-        added = placed if spec.keep == "last" else placed.where(F.col("_have").isNull())
+            added = dedup_table(new.join(have, same, "left_anti").select(other[name].columns), spec).withColumn("_new", new_id)
         out[name] = added.withColumn("id", F.col("_new")).select([f.name for f in spec.schema])
     return Catalog(main.spark, out)
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom import queries, queries_io
-from linkloom.operators import state as states
+from linkloom.model import Catalog, Store
+from linkloom.operators import state as states, storage
 
 from . import oracle
 
@@ -15,10 +16,10 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="needs
 
 
 @contextlib.contextmanager
-def without_broadcasts(spark):
+def without_broadcasts(spark, above="-1"):
     """Plans as of tables that are too large to broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", above)
     try:
         yield
     finally:
@@ -30,6 +31,13 @@ def exchanges(df):
     return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 @needs_tables
 def test_links_travel_once_by_their_order_and_once_to_be_told_apart(spark):
     with without_broadcasts(spark):
@@ -85,3 +93,31 @@ def test_members_of_a_group_travel_to_few_blocks(spark):
     assert made["grouped"].count() == 2600
     shape = made["shape"].first()
     assert shape["left_blocks"] <= 16 and shape["right_blocks"] <= 16
+
+
+def test_keys_travel_to_their_filters_as_numbers_not_as_bitmaps(spark, tmp_path):
+    """Bitmaps of each task, summed after they travel, are as many as tasks x blocks: the square of the rows."""
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.range(0, 40_000, numPartitions=40).select("id", F.concat(F.lit("http://a/"), "id").alias("url"))
+    before = shuffled(spark)
+    store.save(Catalog(spark, {"url": rows}))
+    assert shuffled(spark) - before < 40_000 * 80  # the table once, its keys once; 40 tasks x 14 blocks of 4 KB are 2.3 MB more
+    blocks = spark.read.parquet(f"{tmp_path}/s/tables-000000-*/_keys").where("name = 'url'")
+    assert blocks.count() == blocks.select("bucket", "block").distinct().count() == 2 * 7
+    assert all(len(r["bits"]) == 4096 for r in blocks.collect())
+    asked = spark.createDataFrame([("http://a/39999",)], "url string")
+    assert store.open().lookup("url", asked).where("url = 'http://a/39999'").count() == 1
+
+
+def test_a_merge_with_itself_joins_links_with_no_unchanged_ids(spark, tmp_path):
+    ids = [(i, f"http://a/{i}") for i in range(2000)]
+    links = spark.createDataFrame([(i, i, (i + 1) % 2000, "a") for i in range(2000)], "id long, source_id long, target_id long, element string")
+    tables = Catalog(spark, {"url": spark.createDataFrame(ids, "id long, url string"), "hyperlink": links})
+    with without_broadcasts(spark, "5000"):
+        added = storage.additions(tables, tables)
+        assert len(exchanges(added["hyperlink"])) == 2  # its own rows and main's, by their key
+    assert added["url"].count() == added["hyperlink"].count() == 0
+    other = Catalog(spark, {"url": spark.createDataFrame([(900 + i, u) for i, u in ids] + [(7, "http://new/")], "id long, url string"), "hyperlink": spark.createDataFrame([(1, 903, 904, "a"), (2, 903, 7, "a")], links.schema)})
+    merged = storage.merge(tables, other)
+    assert merged["url"].count() == 2001 and merged["hyperlink"].count() == 2001
+    assert merged.with_urls("hyperlink", "source_id", "target_id").where("target_id_url = 'http://new/'").first()["source_id_url"] == "http://a/3"

@@ -107,8 +107,8 @@ def _key_hash(spec: TableSpec) -> Column:
 
 #: Bits of a block of a folder's key filter, and bits for each key; four are set.
 _BLOCK, _BITS_EACH, _SET = 1 << 15, 10, 4
-#: Pieces that a bucket is dealt to as it is written.
-_PIECES = 256
+#: Each task writes to up to so many buckets; rows of more are dealt by bucket, to so many pieces of it.
+_FEW_BUCKETS, _PIECES = 16, 256
 
 
 def _filter_block(h: Column, blocks: Column) -> Column:
@@ -420,8 +420,10 @@ class Store:
         if buckets == 1:
             df.write.option("compression", "zstd").parquet(path)
         else:
-            h = _key_hash(SPECS[name])  # by pieces of a bucket, so that its size bounds no task's memory; small ones are joined by Spark
-            dealt = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int")).repartition("_bucket", F.pmod(F.xxhash64(h, F.lit(5)), F.lit(_PIECES)))
+            h = _key_hash(SPECS[name])
+            dealt = df.withColumn("_bucket", F.pmod(h, F.lit(buckets)).cast("int"))
+            if buckets > _FEW_BUCKETS:  # by pieces of a bucket, so that its size bounds no task's memory; Spark joins small ones
+                dealt = dealt.repartition("_bucket", F.pmod(F.xxhash64(h, F.lit(5)), F.lit(_PIECES)))
             dealt.write.option("compression", "zstd").partitionBy("_bucket").parquet(path)
 
     def _described(self, folder: str, names: list[str], buckets: int) -> dict[str, dict]:

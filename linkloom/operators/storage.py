@@ -83,19 +83,26 @@ def additions(main: Catalog, other: Catalog) -> Catalog:
             continue
         new = other[name]
         for column, parent in spec.links.items():
+            if moved[parent] is None:
+                continue
             new = new.join(moved[parent].select(F.col("_old").alias(f"_{column}"), F.col("_new").alias(f"_n_{column}")), F.col(column) == F.col(f"_{column}"), "left")
             new = new.withColumn(column, F.coalesce(f"_n_{column}", column)).drop(f"_{column}", f"_n_{column}")
-        have = main.lookup(name, new.select(*spec.key), other.n_rows(name)).where(F.col("id").isNotNull()).select(F.col("id").alias("_have"), *[F.col(k).alias(f"_{k}") for k in spec.key])
-        same, new_id = [F.col(k) == F.col(f"_{k}") for k in spec.key], F.xxhash64(*spec.key)
+        have = main.lookup(name, new.select(*spec.key), other.n_rows(name)).where(F.col("id").isNotNull()).select("id", *spec.key)
+        if _broadcastable(asked := new.select(*spec.key)):  # else a large table would travel to few rows
+            have = have.join(F.broadcast(asked), list(spec.key), "left_semi").select("id", *spec.key)
+        # both sides have the same names, so that of a merge with the same rows one side travels
+        new, have = new.alias("n"), have.alias("h")
+        same, new_id = [F.col(f"n.{k}") == F.col(f"h.{k}") for k in spec.key], F.xxhash64(*spec.key)
         if _linked_to(name):  # several rows of other may share a key; all of their ids lead to the key's one
-            told = new.join(have, same, "left").withColumn("_new", F.coalesce("_have", new_id))
+            told = new.join(have, same, "left").select("n.*", F.col("h.id").alias("_have")).withColumn("_new", F.coalesce("_have", new_id))
             changed = F.col("_have").isNull() | ~F.col("id").eqNullSafe(F.col("_new"))
             told = told.select(*[f.name for f in spec.schema], "_new", F.col("_have").isNotNull().alias("_had"))
             told = written(told.where(changed) if spec.keep == "first" else told, f"ids-{name}")
-            moved[name] = written(told.where("id <> _new").select(F.col("id").alias("_old"), "_new"), f"moved-{name}")
+            moves = written(told.where("id <> _new").select(F.col("id").alias("_old"), "_new"), f"moved-{name}")
+            moved[name] = None if moves.isEmpty() else moves
             added = dedup(told if spec.keep == "last" else told.where("NOT _had"), list(spec.key), spec.keep)
         elif spec.keep == "last":
-            added = dedup_table(new.select(other[name].columns), spec).join(have, same, "left").withColumn("_new", F.coalesce("_have", new_id))
+            added = dedup_table(new.select(other[name].columns), spec).alias("n").join(have, same, "left").select("n.*", F.col("h.id").alias("_have")).withColumn("_new", F.coalesce("_have", new_id))
         else:
             added = dedup_table(new.join(have, same, "left_anti").select(other[name].columns), spec).withColumn("_new", new_id)
         out[name] = added.withColumn("id", F.col("_new")).select([f.name for f in spec.schema])
@@ -114,6 +121,12 @@ def merge(main: Catalog, other: Catalog) -> Catalog:
     return out
 
 
+def _broadcastable(df: DataFrame) -> bool:
+    """Whether Spark would broadcast a table by its own estimate."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def _linked_to(name: str) -> bool:
     return any(name in s.links.values() for s in SPECS.values())
 

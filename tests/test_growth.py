@@ -121,3 +121,15 @@ def test_a_merge_with_itself_joins_links_with_no_unchanged_ids(spark, tmp_path):
     merged = storage.merge(tables, other)
     assert merged["url"].count() == 2001 and merged["hyperlink"].count() == 2001
     assert merged.with_urls("hyperlink", "source_id", "target_id").where("target_id_url = 'http://new/'").first()["source_id_url"] == "http://a/3"
+
+
+def test_a_small_merge_moves_no_large_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    store.save(Catalog(spark, {"url": spark.range(20_000).select("id", F.concat(F.lit("http://a/"), F.xxhash64("id")).alias("url"))}))
+    few = Catalog(spark, {"url": spark.range(3).select((F.col("id") + 5).alias("id"), F.concat(F.lit("http://b/"), "id").alias("url"))})
+    few.tables["url"] = few["url"].unionByName(store.open()["url"].where("id < 3"))
+    few.tables["url"] = spark.createDataFrame(few["url"].collect(), "id long, url string")
+    before = shuffled(spark)
+    added = storage.additions(store.open(), few)["url"]
+    assert sorted(r["url"] for r in added.collect()) == ["http://b/0", "http://b/1", "http://b/2"]
+    assert shuffled(spark) - before < 100_000

@@ -13,7 +13,7 @@ from xml.sax.saxutils import escape, quoteattr
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .folders import new_folder
@@ -150,6 +150,17 @@ class RoutedWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{base}/{self.run}")
 
 
+def hand_on(spark: SparkSession, written: str, root: str) -> None:
+    """Moves each folder below ``written`` into the folder of the same name below root, as a whole and under a name of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{written}/*")) or []:
+        if status.isDirectory():
+            to = path(f"{root}/{status.getPath().getName()}")
+            fs.mkdirs(to)
+            fs.rename(status.getPath(), path(to, uuid.uuid4().hex[:12]))
+
+
 def graphml_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, line) of a GraphML document, built by expressions: keys, nodes by name, edges. Attribute columns of vertices are all
     but name; of edges all but source and target."""

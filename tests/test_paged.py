@@ -1,6 +1,8 @@
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 
@@ -80,3 +82,53 @@ def test_marks(tmp_path):
     put(tmp_path, "c", 'a"b', 'a"b')
     with pytest.raises(ValueError, match="lead back"):
         reader.latestOffset()
+
+
+def rows_of(root, chain, name, rows):
+    file = root / chain / name
+    file.parent.mkdir(parents=True, exist_ok=True)
+    marks, after = zip(*rows)
+    values = [json.dumps({"id": f"{chain}:{m or ''}", "continuation": a}) for m, a in rows]
+    text = pa.string()
+    pq.write_table(pa.table({"mark": pa.array(marks, text), "continuation": pa.array(after, text), "value": pa.array(values, text)}), file, row_group_size=3)
+
+
+def test_pages_of_one_file_are_followed_without_opening_each(spark, tmp_path, monkeypatch):
+    root, got = tmp_path / "pages", []
+    even = [(None if n == 0 else f"m{n}", f"m{n + 1}") for n in range(0, 20, 2)]
+    odd = [(f"m{n}", f"m{n + 1}") for n in range(1, 19, 2)]
+    rows_of(root, "c", "a/1.parquet", even[::-1])  # in any order
+    put(root, "mixed", "", "x")
+    rows_of(root, "mixed", "1.parquet", [("y", "z"), ("x", "y")])
+
+    def keep(batch, _):
+        got.append(sorted((r["chain"], r["mark"]) for r in batch.select("chain", "mark").collect()))
+
+    stream(spark, root, tmp_path, keep)
+    assert got == [[("c", ""), ("mixed", ""), ("mixed", "x"), ("mixed", "y")]]
+    rows_of(root, "c", "b/1.parquet", odd)
+    put(root, "mixed", "z", None)
+    stream(spark, root, tmp_path, keep)
+    assert got[1] == sorted([*[("c", f"m{n}") for n in range(1, 19)], ("mixed", "z")])
+    put(root, "c", "m19", "m20")
+    stream(spark, root, tmp_path, keep)
+    assert got[2] == [("c", "m19")]
+    reader = PagedReader(str(root), None, 64)
+    opened = []
+    monkeypatch.setattr(PagedReader, "_continuation", lambda self, chain, mark: opened.append((chain, mark)) or PagedReader_continuation(self, chain, mark))
+    end = reader.latestOffset()
+    assert end == {"c": "m20", "mixed": None} and sorted(opened) == [("c", "m19"), ("c", "m20"), ("mixed", ""), ("mixed", "z")]
+    opened.clear()
+    tasks = reader.partitions({}, end)
+    assert opened == [] and len(tasks) == 2 and tasks[0].pages == [("c", "m19"), ("mixed", ""), ("mixed", "z")]
+    assert sorted(m for t in tasks for b in reader.read(t) for m in b["mark"].to_pylist()) == sorted(["", "", *[f"m{n}" for n in range(1, 20)], "x", "y", "z"])
+    fresh = PagedReader(str(root), None, 64)  # a batch that is repeated
+    again = fresh.partitions({"c": "m1", "mixed": "x"}, {"c": "m7", "mixed": "z"})
+    assert sorted(m for t in again for b in fresh.read(t) for m in b["mark"].to_pylist()) == ["m1", "m2", "m3", "m4", "m5", "m6", "x", "y"]
+    assert reader.latestOffset() == end and reader.whole["c"] == {str(root / "c/a/1.parquet"), str(root / "c/b/1.parquet")}
+    rows_of(root, "back", "1.parquet", [(None, "a"), ("a", "b"), ("b", "a")])
+    with pytest.raises(ValueError, match="lead back"):
+        PagedReader(str(root), None, 64).latestOffset()
+
+
+PagedReader_continuation = PagedReader._continuation

@@ -3,12 +3,14 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import frontier
 from linkloom.operators.ordered import running_sum
-from linkloom.streaming.frontier import expand_stream, scheduled_sites, start
+from linkloom.functions import urls
+from linkloom.streaming.frontier import SETS, Pairs, PairSets, expand_stream, mentions, scheduled_sites, start
 
 WEIGHTS = {2.0: ["hot"], -0.5: ["cold", "ice"], float("-inf"): ["bad"]}
 
@@ -108,3 +110,52 @@ def test_a_streamed_frontier_is_the_frontier(spark, tmp_path):
     assert got == want and len({d for _, d in want}) > 2
     again = expand_stream(df, seeds, threshold=3, depth_limit=4, folder=str(tmp_path / "f"))  # resumed: all is there
     assert sorted(map(tuple, again.collect())) == want
+
+
+class Held:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getMapState(self, *_, **__):  # noqa: N802
+        return self
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.rows[key] = value
+
+
+def test_pairs_are_looked_up_in_sets_not_one_by_one():
+    rng, states = random.Random(2), (Held(), Held())
+    plain, sets = Pairs(0), PairSets()
+    for p, held in zip((plain, sets), states):
+        p.init(held)
+    pairs = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(3000)]
+    pairs += [(a, b ^ 1) for a, b in pairs[:500]]
+    for turn in range(4):
+        rows = [(*rng.choice(pairs), rng.choice([1, 2]), False) for _ in range(2000)] + ([(0, 0, 1, True)] if turn == 2 else [])
+        df = pd.DataFrame(rows, columns=["a", "b", "depth", "known"])
+        df = df.drop_duplicates(["a", "b"]) if turn % 2 else df
+        want, got = (pd.concat(p.handleInputRows(("s", 1), iter([df[:700], df[700:]]), None)).values.tolist() for p in (plain, sets))
+        assert got == want
+    few = pd.DataFrame([(0, 0, 1, True)], columns=["a", "b", "depth", "known"])
+    assert pd.concat(sets.handleInputRows(("s", 1), iter([few]), None)).values.tolist() == [["s", 0, 0, True]]
+    assert len(states[1].rows) <= SETS and states[1].calls <= 4 * 3 * SETS < states[0].calls
+    kept = {bytes(v[0][i : i + 16]) for v in states[1].rows.values() for i in range(0, len(v[0]), 16)}
+    assert len(kept) == len(states[0].rows)
+
+
+def test_mentions_are_of_absolute_sites(spark):
+    found = ["http://a.b/c", "HTTPS://A.b?x", "//host", "//host/p#f", "http:///x", "ftp://a/", "/rel", "http:x", "", "a//b", "http://a#f\ng", "http://a:80#f", None, "x y", "http://u@h/?q#//z"]
+    df = spark.createDataFrame([(str(i), u, 1) for i, u in enumerate(found)], "source string, target string, depth int")
+    want = [r["s"] for r in df.where(urls.is_absolute_http(F.col("target"))).select(urls.site(F.col("target")).alias("s")).collect()]
+    assert sorted(want) == sorted(r["site"] for r in mentions(df).collect()) and len(want) > 5

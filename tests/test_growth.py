@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom import queries, queries_io
 from linkloom.model import Catalog, Store
 from linkloom.operators import state as states, storage
+from linkloom.sources import starschema
 
 from . import oracle
 
@@ -133,3 +134,10 @@ def test_a_small_merge_moves_no_large_table(spark, tmp_path):
     added = storage.additions(store.open(), few)["url"]
     assert sorted(r["url"] for r in added.collect()) == ["http://b/0", "http://b/1", "http://b/2"]
     assert shuffled(spark) - before < 100_000
+
+
+@needs_tables
+def test_pairs_of_links_are_told_apart_where_their_orders_lines_are(spark):
+    with without_broadcasts(spark):
+        found = exchanges(starschema.raw(spark, oracle.DATA)["pair"])
+        assert len(found) == 2 and all("hashpartitioning(k#" in e for e in found)

@@ -151,8 +151,8 @@ def carried_priorities(mentions: DataFrame, seeds: DataFrame, weights: Mapping[f
     return reached.where(F.col("level") > 0)
 
 
-def accumulated_priorities(mentions: DataFrame, order: Sequence[str], weights: Mapping[float, list[str]]) -> DataFrame:
-    """mentions with ``priority``: what the target's is after each mention, in their order.
+def accumulated_priorities(mentions: DataFrame, order: Sequence[str], weights: Mapping[float, list[str]], columns: Sequence[str] | None = None) -> DataFrame:
+    """mentions, or only the ``columns`` of them, with ``priority``: what the target's is after each mention, in their order.
 
     mentions: source, target, phrases and the columns of ``order``, which tells them apart. A target starts with the priority that
     its first source has at that time, a source that no mention before led to with 0; each mention adds its score, and
@@ -160,21 +160,25 @@ def accumulated_priorities(mentions: DataFrame, order: Sequence[str], weights: M
 
     A fold over all mentions, in parts: running sums by target (``running_sum``) give what each node has gained at any
     time. What it started with is a path in the tree of first mentions, summed in as many rounds as the logarithm of its depth.
+    With a mention travel its score, its target and order, and such ``columns`` as are neither; name only those that are read.
     """
-    order = list(order)
+    order, columns = list(order), list(columns or mentions.columns)
+    rest = [c for c in columns if c not in ("target", *order)]
     at = F.struct(*order)
     scored = mentions.where(F.col("source").isNotNull() & F.col("target").isNotNull())
-    scored = written(scored.withColumn("_score", keyword_score(dict(weights), F.col("target"), F.coalesce("phrases", F.lit("")))), "scored")
+    scored = scored.withColumn("_score", keyword_score(dict(weights), F.col("target"), F.coalesce("phrases", F.lit(""))))
+    scored = written(scored.select(*dict.fromkeys(["source", "target", *order, *rest, "_score"])), "scored")
     as_target = scored.groupBy(F.col("target").alias("_node")).agg(F.min(at).alias("_first"), F.min_by("source", at).alias("_up"))
     as_source = scored.groupBy(F.col("source").alias("_node")).agg(F.min(at).alias("_led"))
     born = as_target.join(as_source, "_node", "left").where(F.col("_led").isNull() | (F.col("_led") > F.col("_first")))
     # a node's first mention asks what its source has gained before
     asks = born.select(F.col("_up").alias("_key"), *[F.col(f"_first.{c}").alias(c) for c in order], F.lit(0).alias("_kind"), F.col("_node"), F.lit(0.0).alias("_score"))
-    gains = scored.select(F.col("target").alias("_key"), *order, F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_node"), "_score", F.struct(*mentions.columns).alias("_row"))
-    gained = written(running_sum(asks.withColumn("_row", F.lit(None).cast(gains.schema["_row"].dataType)).unionByName(gains), "_key", [*order, "_kind", "_node"], "_score", "_gained"), "gained")
+    gains = scored.select(F.col("target").alias("_key"), *order, F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_node"), "_score", *[F.col(c).alias(f"_row_{c}") for c in rest])
+    gained = written(running_sum(asks.unionByName(gains, allowMissingColumns=True), "_key", [*order, "_kind", "_node"], "_score", "_gained"), "gained")
     start = written(gained.where("_kind = 0").select("_node", F.col("_key").alias("_up"), F.col("_gained").alias("_start")), "start")
     while not start.where(F.col("_up").isNotNull()).isEmpty():
         above = start.select(F.col("_node").alias("_up"), F.col("_up").alias("_next"), F.col("_start").alias("_more"))
         start = written(start.join(above, "_up", "left").select("_node", F.col("_next").alias("_up"), (F.col("_start") + F.coalesce("_more", F.lit(0.0))).alias("_start")), "start")
     out = gained.where("_kind = 1").join(start.select(F.col("_node").alias("_key"), "_start"), "_key", "left")
-    return out.select("_row.*", (F.coalesce("_start", F.lit(0.0)) + F.col("_gained")).alias("priority"))
+    kept = [F.col({"target": "_key"}.get(c, f"_row_{c}" if c in rest else c)).alias(c) for c in columns]
+    return out.select(*kept, (F.coalesce("_start", F.lit(0.0)) + F.col("_gained")).alias("priority"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom import queries, queries_io
 from linkloom.model import Catalog, Store
-from linkloom.operators import state as states, storage
+from linkloom.operators import frontier, state as states, storage
 from linkloom.sources import starschema
 
 from . import oracle
@@ -141,3 +141,13 @@ def test_pairs_of_links_are_told_apart_where_their_orders_lines_are(spark):
     with without_broadcasts(spark):
         found = exchanges(starschema.raw(spark, oracle.DATA)["pair"])
         assert len(found) == 2 and all("hashpartitioning(k#" in e for e in found)
+
+
+def test_mentions_travel_without_what_is_not_asked_for(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 5).alias("source"), F.concat(F.lit("t"), F.col("id") % 7).alias("target"), F.sha2(F.col("id").cast("string"), 256).alias("phrases"), "id")
+    before = shuffled(spark)
+    few = frontier.accumulated_priorities(rows, ["id"], {1.0: ["t"]}, columns=["target", "id"])
+    got = few.select("target", "id", "priority").orderBy("id").collect()
+    assert few.columns == ["target", "id", "priority"] and len(got) == 4000
+    assert shuffled(spark) - before < 4000 * 50  # a phrase alone is 64 bytes
+    assert got == frontier.accumulated_priorities(rows, ["id"], {1.0: ["t"]}).select("target", "id", "priority").orderBy("id").collect()

@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .folders import new_folder
+from .folders import new_folder, written
 
 
 def _file_system(root: str):
@@ -244,4 +244,6 @@ def uncharted_lines(parts: dict[str, DataFrame]) -> DataFrame:
 def write_uncharted(parts: dict[str, DataFrame], path: str) -> None:
     """The uncharted report: a folder of text parts that are one JSON document when read in the order of their names."""
     order = ["part", "name", "section", "key"]
+    # counts by domain are worked out once: the lines read each table several times, and ranges take a pass of their own
+    parts = {name: written(df, name) for name, df in parts.items()}
     uncharted_lines(parts).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)

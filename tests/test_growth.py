@@ -1,12 +1,13 @@
 """What travels between tasks, and how much of it a task gets, where tables are large."""
 
 import contextlib
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom import queries, queries_io
+from linkloom import queries, queries_io, sinks
 from linkloom.model import Catalog, Store
 from linkloom.operators import frontier, state as states, storage
 from linkloom.sources import starschema
@@ -151,3 +152,22 @@ def test_mentions_travel_without_what_is_not_asked_for(spark):
     assert few.columns == ["target", "id", "priority"] and len(got) == 4000
     assert shuffled(spark) - before < 4000 * 50  # a phrase alone is 64 bytes
     assert got == frontier.accumulated_priorities(rows, ["id"], {1.0: ["t"]}).select("target", "id", "priority").orderBy("id").collect()
+
+
+def test_a_report_works_its_counts_out_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        runs.add(1)
+        return n
+
+    pages = spark.createDataFrame([("a", 1), ("b", 2)], "domain string, n long").select("domain", counted.asNondeterministic()("n").alias("page_count"))
+    parts = {"pages": pages}
+    for table, name in (("keywords", "keyword"), ("referrers", "referrer")):
+        rows = spark.createDataFrame([("a", "x", 3), ("a", "y", 4)], f"domain string, {name} string, n long")
+        parts[table] = rows.select("domain", name, counted.asNondeterministic()("n").alias("n"))
+    sinks.write_uncharted(parts, str(tmp_path / "r"))
+    assert runs.value == 6
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert json.loads(text)["http://a"] == {"page_count": 1, "keywords": {"x": 3, "y": 4}, "referrers": {"http://x": 3, "http://y": 4}}
